@@ -39,6 +39,27 @@ def label_right_closed(value: Column, edges: Sequence[float], labels: Sequence[s
     return chain
 
 
+def fixed_text(value: Column, places: int) -> Column:
+    """Text with 1 to 3 decimals, rounding the binary value itself: exact halves go to the even digit.
+
+    ``format_string`` rounds the shortest decimal text half up, which differs
+    for values such as 2.25 or 38.55. Where twice the scaled value is an odd
+    whole number, the lost part of that product decides.
+    """
+    powers = {1: (16, 4), 2: (256, -64, 8), 3: (2048, -32, -16)}[places]  # they sum to 2 * 10 ** places
+    total, lost = value * float(powers[0]), F.lit(0.0)
+    for power in powers[1:]:
+        term = value * float(power)
+        grown = total + term
+        part = grown - total
+        lost = lost + ((total - (grown - part)) + (term - part))
+        total = grown
+    below = (total - 1) / 2
+    digits = F.when(lost < 0, below).when(lost > 0, below + 1).otherwise(below + F.abs(below % 2))
+    half = (total == F.floor(total)) & (F.abs(total % 2) == 1) & (F.abs(total) < 1e15)
+    return F.format_string(f"%.{places}f", F.when(half, digits / 10 ** places).otherwise(value))
+
+
 def as_number(column: Column) -> Column:
     """Double value of anything; unparseable text, NaN and infinities become NULL."""
     return finite(column.try_cast("double"))

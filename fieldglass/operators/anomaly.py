@@ -78,7 +78,30 @@ def with_anomaly(df: DataFrame, features: Sequence[str] | None = None, method: s
 def impute_median(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
     """Feature -> its value, or the feature's exact median where missing."""
     medians = exact_quantiles(df, {f: (F.col(f), [0.5]) for f in features})
-    return {f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f][0])) for f in features}
+    return {f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f][0]).cast("double")) for f in features}
+
+
+def min_max_scale(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``(x - min) / (max - min + 1e-9)``, missing as 0; one one-row aggregate."""
+    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if ends["low"] is None:
+        return df.withColumn(out, F.lit(0.0))
+    scaled = (F.col(column) - ends["low"]) / (ends["high"] - ends["low"] + 1e-9)
+    return df.withColumn(out, F.coalesce(scaled, F.lit(0.0)))
+
+
+def robust_scale(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
+    """Feature -> ``(filled - median) / IQR``, exact over the whole table; a feature without spread is divided by 1.
+
+    Missing values are filled with the median first, and quartiles are taken after filling.
+    """
+    filled = impute_median(df, features)
+    found = exact_quantiles(df, {f: (filled[f], [0.25, 0.5, 0.75]) for f in features})
+    out = {}
+    for f in features:
+        low, middle, high = found[f]
+        out[f] = F.lit(0.0) if middle is None else (filled[f] - middle) / ((high - low) or 1.0)
+    return out
 
 
 def _forest(df, features, n, trees, sample, seed, row_key) -> DataFrame:
@@ -91,11 +114,8 @@ def _forest(df, features, n, trees, sample, seed, row_key) -> DataFrame:
         rows, keys = rows.withColumn("_key", F.xxhash64(*names)), ["_key"]
     packed, psi = fit_forest(rows, names, keys, n, trees, sample, seed)
     raw = forest_score(df.sparkSession, packed, psi, [filled[f] for f in features])
-    scored = settle(df.withColumn("_raw", raw), "scored")
-    inside = any_present(features)
-    ends = scored.where(inside).agg(F.min("_raw").alias("low"), F.max("_raw").alias("high")).first()
-    scaled = (F.col("_raw") - ends["low"]) / (ends["high"] - ends["low"] + 1e-9)
-    return _labelled(scored, F.when(inside, scaled).otherwise(0.0)).drop("_raw")
+    scored = settle(df.withColumn("_raw", F.when(any_present(features), raw)), "scored")
+    return _labelled(min_max_scale(scored, "_raw", "anomaly_score"), F.col("anomaly_score")).drop("_raw")
 
 
 def severity_distribution(scored: DataFrame, severity: str | None = None) -> DataFrame:

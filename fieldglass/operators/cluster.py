@@ -1,8 +1,8 @@
 """Environmental zones: K-means on robustly scaled indicators, the number of zones chosen by silhouette.
 
-The number of clusters is chosen on a sample of at most 5,000 rows, as a
-bounded problem: many small ``pyspark.ml`` fits, and silhouettes against a
-broadcast copy of the sample. The whole table is then clustered from the best
+The number of clusters is chosen on a sample of at most 5,000 rows, a bounded
+problem whose runs (each k, each restart) and silhouettes are spread over
+tasks against a broadcast copy of the sample. The whole table is then clustered from the best
 sample centres by plain aggregation: assign by least distance, average by
 cluster, repeat. Each round is one scan with map-side combining and a shuffle
 of a handful of rows.
@@ -11,19 +11,15 @@ of a handful of rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.operators.anomaly import eligible_rows
+from fieldglass.operators.anomaly import any_present, eligible_rows
 from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.forest import unit_hash
 from fieldglass.operators.schema import numeric_features, resolve_fields
@@ -82,58 +78,84 @@ def nearest(columns: Sequence[Column], centres: Centres) -> Column:
     return F.least(*distances)["i"] if len(distances) > 1 else F.lit(0)
 
 
-def best_of_restarts(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int, parallel: int) -> dict[int, Centres]:
-    """For each k the centres with the least cost among seeded restarts; fits are independent Spark jobs."""
+def lloyd(points: np.ndarray, k: int, rng: np.random.Generator, max_iter: int = 100) -> tuple[np.ndarray, float]:
+    """Centres and cost of one K-means run on a bounded sample, started by squared-distance seeding."""
+    centres = points[rng.integers(len(points))][None, :]
+    gap = ((points - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        pick = rng.choice(len(points), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(points))
+        centres = np.vstack([centres, points[pick]])
+        gap = np.minimum(gap, ((points - points[pick]) ** 2).sum(axis=1))
+    for _ in range(max_iter):
+        distance = squared_distances(points, centres)
+        label = distance.argmin(axis=1)
+        member = np.eye(k)[label]
+        size = member.sum(axis=0)
+        moved = np.where(size[:, None] > 0, (member.T @ points) / np.maximum(size, 1)[:, None], centres)
+        shift = ((moved - centres) ** 2).sum()
+        centres = moved
+        if shift <= 1e-8:
+            break
+    return centres, float(squared_distances(points, centres).min(axis=1).sum())
+
+
+def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    cross = (left ** 2).sum(axis=1)[:, None] + (right ** 2).sum(axis=1)[None, :] - 2.0 * (left @ right.T)
+    return np.maximum(cross, 0.0)
 
-    def fit(task):
-        k, run = task
-        model = KMeans(featuresCol="v", k=k, seed=seed + run, maxIter=100).fit(vectors)
-        return k, model.summary.trainingCost, run, [list(map(float, c)) for c in model.clusterCenters()]
 
-    with ThreadPoolExecutor(parallel) as pool:
-        fits = list(pool.map(fit, [(k, run) for k in ks for run in range(restarts)]))
-    return {k: min((f for f in fits if f[0] == k), key=lambda f: f[1:3])[3] for k in ks}
+def best_of_restarts(spark: SparkSession, shared, ks: Sequence[int], restarts: int, seed: int) -> dict[int, Centres]:
+    """For each k the centres with the least cost among seeded restarts; every run is a task of its own."""
+    tasks = [(k, run) for k in ks for run in range(restarts)]
+
+    def fit(batches):
+        for batch in batches:
+            for number in batch["id"]:
+                k, run = tasks[number]
+                centres, cost = lloyd(shared.value, k, np.random.default_rng([seed, k, run]))
+                yield pd.DataFrame({"k": [k], "run": [run], "cost": [cost], "centres": [centres.tolist()]})
+
+    runs = spark.range(0, len(tasks), 1, len(tasks)).mapInPandas(
+        fit, "k int, run int, cost double, centres array<array<double>>")
+    best = runs.groupBy("k").agg(F.min_by("centres", F.struct("cost", "run")).alias("centres")).collect()
+    return {row["k"]: row["centres"] for row in best}
 
 
-def mean_silhouettes(sample: DataFrame, names: Sequence[str], models: Mapping[int, Centres]) -> dict[int, float]:
+def mean_silhouettes(spark: SparkSession, shared, size: int, models: Mapping[int, Centres]) -> dict[int, float]:
     """Mean Euclidean silhouette of each clustering of a bounded sample.
 
     The sample (at most a few hundred kilobytes) is broadcast; each row sums
     its distances to every cluster in its own task, so no pair is ever emitted.
     """
-    matrix = sample.select(*names).toPandas().to_numpy(dtype="float64")
-    labels = {}
-    for k, centres in models.items():
-        gaps = ((matrix[:, None, :] - np.asarray(centres)[None, :, :]) ** 2).sum(axis=2)
-        labels[k] = gaps.argmin(axis=1)
-    shared = sample.sparkSession.sparkContext.broadcast((matrix, labels))
-    schema = ", ".join(f"s{k} double" for k in models)
+    schema = ", ".join(f"s{k} double, c{k} int" for k in models)
 
     def score(batches):
-        points, assigned = shared.value
-        sums = {k: np.eye(lab.max() + 1)[lab] for k, lab in assigned.items()}
+        points = shared.value
+        assigned = {k: squared_distances(points, np.asarray(c)).argmin(axis=1) for k, c in models.items()}
+        members = {k: np.eye(len(models[k]))[label] for k, label in assigned.items()}
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                rows = batch["row"].to_numpy()[start:start + 256]
-                distance = np.sqrt(((points[rows][:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-                out = {}
-                for k, member in sums.items():
-                    mine, size = assigned[k][rows], member.sum(axis=0)
+            for start in range(0, len(batch), 512):
+                rows = batch["id"].to_numpy()[start:start + 512]
+                distance = np.sqrt(squared_distances(points[rows], points))
+                at, out = np.arange(len(rows)), {}
+                distance[at, rows] = 0.0
+                for k, member in members.items():
+                    mine, count = assigned[k][rows], member.sum(axis=0)
                     total = distance @ member
-                    at = np.arange(len(rows))
-                    inside = total[at, mine] / np.maximum(size[mine] - 1, 1)
-                    other = total / np.maximum(size, 1)
-                    other[:, size == 0] = np.inf
+                    inside = total[at, mine] / np.maximum(count[mine] - 1, 1)
+                    other = np.where(count > 0, total / np.maximum(count, 1), np.inf)
                     other[at, mine] = np.inf
                     outside = other.min(axis=1)
-                    value = (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300)
-                    out[f"s{k}"] = np.where((size[mine] > 1) & np.isfinite(outside), value, 0.0)
+                    width = np.maximum(inside, outside)
+                    fair = (count[mine] > 1) & np.isfinite(outside) & (width > 0)
+                    out[f"s{k}"] = np.where(fair, (outside - inside) / np.where(fair, width, 1.0), 0.0)
+                    out[f"c{k}"] = mine
                 yield pd.DataFrame(out)
 
-    spark = sample.sparkSession
-    rows = spark.range(0, len(matrix), 1, max(1, min(len(matrix) // 256, 64))).withColumnRenamed("id", "row")
-    means = rows.mapInPandas(score, schema).agg(*[F.avg(f"s{k}").alias(f"s{k}") for k in models]).first()
-    return {k: (means[f"s{k}"] if len(set(labels[k])) > 1 else -1.0) for k in models}
+    rows = spark.range(0, size, 1, max(1, min(size // 256, 64))).mapInPandas(score, schema)
+    means = rows.agg(*[F.avg(f"s{k}").alias(f"s{k}") for k in models],
+                     *[F.countDistinct(f"c{k}").alias(f"c{k}") for k in models]).first()
+    return {k: means[f"s{k}"] if means[f"c{k}"] > 1 else -1.0 for k in models}
 
 
 def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: int, tolerance: float) -> Centres:
@@ -166,9 +188,16 @@ def describe(profiles: DataFrame, table: DataFrame, fields: Mapping[str, str]) -
     return profiles.withColumn("description", F.concat_ws(", ", *texts))
 
 
+def preconditions(df: DataFrame) -> DataFrame:
+    """One row: usable features, rows, and rows with at least one feature."""
+    features = numeric_features(df)
+    return df.agg(F.lit(len(features)).alias("features"), F.count(F.lit(1)).alias("rows"),
+                  F.count_if(any_present(features)).alias("usable"))
+
+
 def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None = None, seed: int = V.SEED,
              restarts: int = V.CLUSTER_RESTARTS, sample_cap: int = V.CLUSTER_SAMPLE, max_iter: int = 100,
-             tolerance: float = 1e-4, parallel: int = 8, row_key: Sequence[str] = ("row_id",)) -> Zones:
+             tolerance: float = 1e-4, row_key: Sequence[str] = ("row_id",)) -> Zones:
     """Cluster the rows with at least one feature; ``k`` fixes the number of clusters, else 2..6 are compared."""
     fields = resolve_fields(df.columns)
     features = list(numeric_features(df, fields) if features is None else features)
@@ -186,22 +215,18 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     names = [f"_x{i}" for i in range(len(features))]
     matrix = [scaled[f].alias(x) for f, x in zip(features, names)]
 
-    small = sample.select(*matrix).coalesce(1)
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(small).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, size - 1) + 1))
-        models = best_of_restarts(vectors, tried, restarts, seed, parallel)
-        scores = mean_silhouettes(vectors, names, models)
-    finally:
-        vectors.unpersist()
+    small = sample.select(*matrix)
+    points = small.toPandas().to_numpy(dtype="float64")  # at most sample_cap rows
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(points)
+    tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, size - 1) + 1))
+    models = best_of_restarts(spark, shared, tried, restarts, seed)
+    scores = mean_silhouettes(spark, shared, len(points), models)
     chosen = max(tried, key=lambda c: (scores[c], -c))
 
     centres = models[chosen]
     if n > size:
-        whole = settle(rows.select(*matrix), "matrix")
-        centres = refine(whole, names, centres, max_iter, tolerance)
-    else:
-        centres = refine(small, names, centres, max_iter, tolerance)
+        centres = refine(settle(rows.select(*matrix), "matrix"), names, centres, max_iter, tolerance)
     centres = sorted(centres)
     assigned = rows.withColumn("cluster", nearest([scaled[f] for f in features], centres))
     profiles = assigned.groupBy("cluster").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.functions.scalar import literal_table
+from fieldglass.functions.scalar import fixed_text, literal_table
 from fieldglass.operators.correlation import correlations
 from fieldglass.operators.regions import extreme_regions, regional_profile
 from fieldglass.operators.schema import resolve_fields
@@ -43,7 +43,7 @@ def trend_finding(scored: DataFrame, index: str = "ndvi") -> DataFrame:
     change = F.col("change")
     direction = F.when(change >= 0, "improved").otherwise("declined")
     return _rows(facts, [_finding(
-        "VEGETATION HEALTH", [F.lit(index.upper()), direction, F.abs(change)],
+        "VEGETATION HEALTH", [F.lit(index.upper()), direction, fixed_text(F.abs(change), 1)],
         {"indicator": F.lit(index), "change_percent": _number(change), "latest_mean": _number(F.col("overall"))},
         change.isNotNull(),
     )])
@@ -61,25 +61,25 @@ def level_findings(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     c = F.col
     if "ndwi" in scored.columns:
         facts += [F.avg("ndwi").alias("ndwi_mean"), share(c("ndwi") < V.WATER_STRESS_BELOW).alias("stress")]
-        out.append(_finding("HYDROLOGY & MOISTURE", [c("ndwi_mean"), c("stress")],
+        out.append(_finding("HYDROLOGY & MOISTURE", [fixed_text(c("ndwi_mean"), 3), fixed_text(c("stress"), 1)],
                             {"ndwi_mean": _number(c("ndwi_mean")), "stress_percentage": _number(c("stress"))},
                             c("ndwi_mean").isNotNull()))
     if "temperature" in fields:
         t = fields["temperature"]
         facts += [F.avg(t).alias("t_mean"), F.max(t).cast("double").alias("t_max")]
-        out.append(_finding("THERMAL REGIME", [c("t_mean"), c("t_max")],
+        out.append(_finding("THERMAL REGIME", [fixed_text(c("t_mean"), 1), fixed_text(c("t_max"), 1)],
                             {"mean_temp": _number(c("t_mean")), "max_temp": _number(c("t_max"))},
                             c("t_mean").isNotNull()))
     if "rainfall" in fields:
         r = fields["rainfall"]
         facts += [F.avg(r).alias("r_mean"), F.max(r).cast("double").alias("r_max")]
-        out.append(_finding("PRECIPITATION DYNAMICS", [c("r_mean"), c("r_max")],
+        out.append(_finding("PRECIPITATION DYNAMICS", [fixed_text(c("r_mean"), 2), fixed_text(c("r_max"), 1)],
                             {"mean_rainfall": _number(c("r_mean")), "peak_rainfall": _number(c("r_max"))},
                             c("r_mean").isNotNull()))
-    out.append(_finding("ML ANOMALY OUTLIERS", [c("flagged"), c("flagged_share")],
+    out.append(_finding("ML ANOMALY OUTLIERS", [F.format_string("%,d", c("flagged")), fixed_text(c("flagged_share"), 1)],
                         {"anomaly_count": c("flagged"), "share_percent": _number(c("flagged_share"))},
                         c("flagged") > 0))
-    out.append(_finding("RISK STRATIFICATION", [c("critical"), c("elevated")],
+    out.append(_finding("RISK STRATIFICATION", [c("critical").cast("string"), c("elevated").cast("string")],
                         {"critical": c("critical"), "elevated": c("elevated"), "avg_score": _number(c("risk"))},
                         c("n") > 0))
     return _rows(scored.agg(*facts), out)
@@ -89,7 +89,7 @@ def region_finding(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     c = F.col
     extremes = extreme_regions(regional_profile(scored, fields), fields["region"])
     return _rows(extremes, [_finding(
-        "REGIONAL DISPARITY", [c("highest"), c("highest_risk"), c("lowest"), c("lowest_risk")],
+        "REGIONAL DISPARITY", [c("highest"), fixed_text(c("highest_risk"), 1), c("lowest"), fixed_text(c("lowest_risk"), 1)],
         {"highest_risk": c("highest"), "lowest_risk": c("lowest")}, c("highest").isNotNull())])
 
 
@@ -101,7 +101,7 @@ def correlation_finding(scored: DataFrame) -> DataFrame:
                  F.struct(F.abs(F.round("correlation", 6)), -F.col("pair"))).alias("p")).select("p.*")
     kind = F.when(c("correlation") > 0, "positive association").otherwise("inverse relationship")
     return _rows(best, [_finding(
-        "INDICATOR CORRELATION", [kind, c("correlation"), F.upper("a"), F.upper("b")],
+        "INDICATOR CORRELATION", [kind, fixed_text(c("correlation"), 2), F.upper("a"), F.upper("b")],
         {"a": c("a"), "b": c("b"), "correlation": _number(c("correlation")), "observations": c("observations")},
         F.abs("correlation") >= V.STRONG_CORRELATION_FROM)])
 

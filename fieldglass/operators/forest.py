@@ -70,6 +70,8 @@ def _grow(features: Sequence[str], psi: int, seed: int):
                 continue
             feature = int(rng.choice(splittable))
             threshold = float(rng.uniform(low[feature], high[feature]))
+            if threshold >= high[feature]:  # rounding of a very narrow range: keep both sides non-empty
+                threshold = float(low[feature])
             goes_left = values[rows, feature] <= threshold
             nodes[number][2:4] = feature, threshold
             todo.append((rows[~goes_left], depth + 1, number, 5))

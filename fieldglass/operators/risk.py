@@ -27,34 +27,50 @@ def risk_level(score: Column) -> Column:
     return label_right_closed(score, V.RISK_EDGES, V.RISK_LEVELS)
 
 
+class _Parts:
+    """Risk parts of a table: unfilled expressions, medians, and the rank tables behind two of them."""
+
+    def __init__(self, df: DataFrame, fields: Mapping[str, str], **limits) -> None:
+        self.expressions: dict[str, Column] = {}
+        self.medians: dict[str, float | None] = {}
+        self.ranked = {f: F.col(fields[f]) for f in V.CLIMATE_FIELDS if f in fields}
+        for part, index, form in (("vegetation", "ndvi", low_is_bad), ("water", "ndwi", low_is_bad),
+                                  ("urban", "ndbi", high_is_bad)):
+            if index in df.columns:
+                self.expressions[part] = form(F.col(index).cast("double"))
+        if self.expressions:
+            found = exact_quantiles(df, {p: (c, [0.5]) for p, c in self.expressions.items()}, **limits)
+            self.medians = {p: q[0] for p, q in found.items()}
+        self.ranks = RankTable(df, self.ranked, **limits) if self.ranked else None
+        for field, middle in (self.ranks.median_pct() if self.ranks else {}).items():
+            pct = F.col(f"_{field}_pct")
+            self.expressions[field] = pct * 100 if field == "temperature" else (1 - pct) * 100
+            if middle is not None:
+                middle = middle * 100 if field == "temperature" else (1 - middle) * 100
+            self.medians[field] = middle
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        for field, column in self.ranked.items():
+            df = self.ranks.attach(df, field, column, f"_{field}_pct")
+        return df
+
+    def filled(self) -> dict[str, Column]:
+        out = {}
+        for part, expression in self.expressions.items():
+            middle = self.medians[part]
+            out[part] = F.coalesce(expression, F.lit(V.EMPTY_PART_FILL if middle is None else middle))
+        out["anomaly"] = F.coalesce(F.col("anomaly_score"), F.lit(0.0)) * 100
+        return out
+
+
+def part_medians(df: DataFrame, fields: Mapping[str, str] | None = None, **limits) -> dict[str, float | None]:
+    return _Parts(df, fields or resolve_fields(df.columns), **limits).medians
+
+
 def risk_parts(df: DataFrame, fields: Mapping[str, str] | None = None, **limits) -> tuple[DataFrame, dict[str, Column]]:
     """The table with percent-rank columns attached, and each part filled with its median (50 if it has none)."""
-    fields = fields or resolve_fields(df.columns)
-    parts: dict[str, Column] = {}
-    for part, index, form in (("vegetation", "ndvi", low_is_bad), ("water", "ndwi", low_is_bad),
-                              ("urban", "ndbi", high_is_bad)):
-        if index in df.columns:
-            parts[part] = form(F.col(index).cast("double"))
-    medians: dict[str, float | None] = {}
-    if parts:
-        found = exact_quantiles(df, {p: (c, [0.5]) for p, c in parts.items()}, **limits)
-        medians = {p: q[0] for p, q in found.items()}
-    ranked = {f: F.col(fields[f]) for f in V.CLIMATE_FIELDS if f in fields}
-    if ranked:
-        ranks = RankTable(df, ranked, **limits)
-        middle = ranks.median_pct()
-        for field, column in ranked.items():
-            df = ranks.attach(df, field, column, f"_{field}_pct")
-            pct, mid = F.col(f"_{field}_pct"), middle[field]
-            parts[field] = pct * 100 if field == "temperature" else (1 - pct) * 100
-            if mid is not None:
-                medians[field] = mid * 100 if field == "temperature" else (1 - mid) * 100
-    filled = {
-        p: F.coalesce(c, F.lit(V.EMPTY_PART_FILL if medians.get(p) is None else medians[p]))
-        for p, c in parts.items()
-    }
-    filled["anomaly"] = F.coalesce(F.col("anomaly_score"), F.lit(0.0)) * 100
-    return df, filled
+    parts = _Parts(df, fields or resolve_fields(df.columns), **limits)
+    return parts.attach(df), parts.filled()
 
 
 def with_risk(df: DataFrame, fields: Mapping[str, str] | None = None, **limits) -> DataFrame:
