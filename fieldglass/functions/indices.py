@@ -19,9 +19,9 @@ SPECTRAL: dict[str, tuple[tuple[str, ...], Callable[[Bands], Column]]] = {
     "ndbi": (("nir", "swir"), lambda b: ratio(b["swir"] - b["nir"], b["swir"] + b["nir"])),
     "evi": (
         ("red", "nir", "blue"),
-        lambda b: 2.5 * ratio(b["nir"] - b["red"], b["nir"] + 6.0 * b["red"] - 7.5 * b["blue"] + 1.0),
+        lambda b: ratio(b["nir"] - b["red"], b["nir"] + 6.0 * b["red"] - 7.5 * b["blue"] + 1.0, 2.5),
     ),
-    "savi": (("red", "nir"), lambda b: 1.5 * ratio(b["nir"] - b["red"], b["nir"] + b["red"] + 0.5)),
+    "savi": (("red", "nir"), lambda b: ratio(b["nir"] - b["red"], b["nir"] + b["red"] + 0.5, 1.5)),
     "nbr": (("nir", "swir"), lambda b: ratio(b["nir"] - b["swir"], b["nir"] + b["swir"])),
 }
 

@@ -21,9 +21,10 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(INFINITY), value)
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """``numerator / denominator``; NULL for a zero denominator or an overflowing result."""
-    return finite(F.try_divide(numerator, denominator))
+def ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
+    """``scale * numerator / denominator``; NULL for a zero denominator or an overflowing result."""
+    quotient = F.try_divide(numerator, denominator)
+    return finite(quotient if scale == 1.0 else F.lit(scale) * quotient)
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

@@ -13,7 +13,7 @@ from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import clamp, label_right_closed
 from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.forest import fit_forest, forest_score
-from fieldglass.operators.schema import numeric_features
+from fieldglass.operators.schema import candidate_features
 from fieldglass.runtime import settle
 
 
@@ -38,10 +38,11 @@ def _labelled(df: DataFrame, score: Column) -> DataFrame:
 
 
 def feature_moments(df: DataFrame, features: Sequence[str]):
-    """One row: per feature mean and population deviation, and the number of rows with any feature present."""
+    """One row: per feature count, mean and population deviation, and the rows with any feature present."""
     return df.agg(
         F.count_if(any_present(features)).alias("eligible"),
-        *[a for f in features for a in (F.avg(f).alias(f"{f}_mean"), F.stddev_pop(f).alias(f"{f}_std"))],
+        *[a for f in features for a in (F.count(f).alias(f"{f}_count"), F.avg(f).alias(f"{f}_mean"),
+                                        F.stddev_pop(f).alias(f"{f}_std"))],
     ).first()
 
 
@@ -65,11 +66,16 @@ def with_anomaly(df: DataFrame, features: Sequence[str] | None = None, method: s
     the scored table once, because its scale needs the least and greatest raw
     score.
     """
-    features = list(numeric_features(df) if features is None else features)
-    if not features:
+    named = list(candidate_features(df) if features is None else features)
+    if not named:
         return _labelled(df, F.lit(0.0))
-    moments = feature_moments(df, features)
+    moments = feature_moments(df, named)
+    features = [f for f in named if features is not None or moments[f"{f}_count"] >= 2]
     n = moments["eligible"]
+    if features and len(features) < len(named):  # rows that had only a dropped feature are not eligible
+        n = eligible_rows(df, features).count()
+    if not features:
+        return _labelled(df, F.lit(0.0))
     if method == "zscore" or n == 0 or (method == "auto" and n < V.MIN_FOREST_ROWS):
         return _labelled(df, z_score(features, moments))
     return _forest(df, features, n, trees, sample, seed, row_key)

@@ -1,47 +1,70 @@
-"""Pairwise-complete Pearson correlations of all indicators in one scan."""
+"""Pairwise-complete Pearson correlations of all indicators.
+
+Rows are grouped by which indicators they have (one bit each), so that inside
+a group every present indicator is complete. One sum per product then serves
+all pairs, and a pair adds up the groups that hold both of its members.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.operators.schema import numeric_features
-
-
-def pearson(a: str, b: str, min_pairs: int = 3) -> Column:
-    """Aggregate: correlation over rows where both are present; NULL for too few pairs or a constant side.
-
-    Built from sums of squares, because ``corr`` divides by zero on a constant column in ANSI mode.
-    """
-    sxx, syy = F.regr_sxx(a, b), F.regr_sxx(b, a)
-    r = F.try_divide(F.regr_sxy(a, b), F.nullif(F.sqrt(sxx) * F.sqrt(syy), F.lit(0.0)))
-    return F.when(F.regr_count(a, b) >= min_pairs, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+from fieldglass.operators.schema import candidate_features
 
 
 def correlations(df: DataFrame, features: Sequence[str] | None = None, min_pairs: int = 3) -> DataFrame:
     """``(pair, a, b, correlation, observations)`` for each unordered pair, missing correlations left out.
 
-    ``pair`` numbers the pairs in feature order and settles ties.
+    ``pair`` numbers the pairs in feature order and settles ties. One eager
+    aggregate finds the usable features and their means; values are centred
+    on those means before they are multiplied, which keeps the sums accurate.
     """
-    features = list(features or numeric_features(df))
-    if len(features) < 2:
+    named = list(features or candidate_features(df))
+    numbers = df.select(*[F.col(f).cast("double").alias(f) for f in named])
+    at = numbers.agg(*[a for f in named for a in (F.count(f).alias(f"n_{f}"), F.avg(f).alias(f"m_{f}"))]).first()
+    used = named if features else [f for f in named if at[f"n_{f}"] >= 2]
+    if len(used) < 2:
         raise ValueError("at least two compatible numerical indicators are required")
-    pairs = list(combinations(features, 2))
-    measured = df.select(*[F.col(f).cast("double").alias(f) for f in features]).agg(*[
-        F.struct(pearson(a, b, min_pairs).alias("correlation"),
-                 F.regr_count(a, b).alias("observations")).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ])
+
+    position = {f: i for i, f in enumerate(used)}
+    bits = sum((F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for f, i in position.items()), F.lit(0))
+    centred = [F.coalesce(F.col(f) - F.lit(at[f"m_{f}"]).cast("double"), F.lit(0.0)).alias(f"d{i}")
+               for f, i in position.items()]
+    pairs = list(combinations(range(len(used)), 2))
+    groups = numbers.select(bits.alias("mask"), *centred).groupBy("mask").agg(  # at most one row per set of indicators
+        F.count(F.lit(1)).alias("n"),
+        *[a for i in range(len(used)) for a in (
+            F.sum(f"d{i}").alias(f"s{i}"), F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s{i}_{i}"),
+            F.min(f"d{i}").alias(f"low{i}"), F.max(f"d{i}").alias(f"high{i}"))],
+        *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in pairs],
+    )
     rows = [
-        F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}.correlation").alias("correlation"),
-                 F.col(f"p{i}.observations").alias("observations"))
-        for i, (a, b) in enumerate(pairs)
+        F.struct(
+            F.lit(p).alias("pair"), F.lit(used[i]).alias("a"), F.lit(used[j]).alias("b"),
+            (F.col("mask").bitwiseAND(F.lit((1 << i) | (1 << j))) == F.lit((1 << i) | (1 << j))).alias("both"),
+            F.col("n").alias("n"), F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
+            F.col(f"s{i}_{i}").alias("saa"), F.col(f"s{j}_{j}").alias("sbb"), F.col(f"s{i}_{j}").alias("sab"),
+            F.col(f"low{i}").alias("la"), F.col(f"high{i}").alias("ha"),
+            F.col(f"low{j}").alias("lb"), F.col(f"high{j}").alias("hb"))
+        for p, (i, j) in enumerate(pairs)
     ]
-    return measured.select(F.inline(F.array(*rows))).where(F.col("correlation").isNotNull())
+    c = F.col
+    sums = groups.select(F.inline(F.array(*rows))).where("both").groupBy("pair", "a", "b").agg(
+        *[F.sum(x).alias(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab")],
+        (F.min("la") < F.max("ha")).alias("a_varies"), (F.min("lb") < F.max("hb")).alias("b_varies"))
+    spread = F.sqrt(c("saa") - c("sa") * c("sa") / c("n")) * F.sqrt(c("sbb") - c("sb") * c("sb") / c("n"))
+    r = F.try_divide(c("sab") - c("sa") * c("sb") / c("n"), F.nullif(spread, F.lit(0.0)))
+    enough = (c("n") >= min_pairs) & c("a_varies") & c("b_varies")
+    return (
+        sums.withColumn("correlation", F.when(enough, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
+        .where(c("correlation").isNotNull() & ~F.isnan("correlation"))
+        .select("pair", "a", "b", "correlation", c("n").alias("observations"))
+    )
 
 
 def strongest(pairs: DataFrame, n: int = V.TOP_PAIRS) -> DataFrame:
@@ -51,10 +74,10 @@ def strongest(pairs: DataFrame, n: int = V.TOP_PAIRS) -> DataFrame:
 
 def correlation_matrix(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
     """Square form: one row per indicator, one column per indicator (1 on the diagonal where it varies)."""
-    both = pairs.select("a", "b", "correlation").unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "correlation"))
-    same = both.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("correlation"))
-    return (
-        both.unionByName(same).withColumnRenamed("a", "indicator")
-        .groupBy("indicator").pivot("b", list(features)).agg(F.first("correlation"))
-    )
+    cells = pairs.select(F.inline(F.array(
+        F.struct(F.col("a").alias("indicator"), F.col("b").alias("other"), F.col("correlation").alias("r")),
+        F.struct(F.col("b").alias("indicator"), F.col("a").alias("other"), F.col("correlation").alias("r")),
+        F.struct(F.col("a").alias("indicator"), F.col("a").alias("other"), F.lit(1.0).alias("r")),
+        F.struct(F.col("b").alias("indicator"), F.col("b").alias("other"), F.lit(1.0).alias("r")),
+    )))
+    return cells.groupBy("indicator").pivot("other", list(features)).agg(F.max("r"))

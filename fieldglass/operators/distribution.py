@@ -25,6 +25,8 @@ RANGE_ROWS = 5_000_000
 HOT_SHARE = 10_000
 #: salts that spread rows which must not meet in a shuffled lookup
 SALTS = 4096
+#: bracket rows that may be brought to the driver
+TAKEN_ROWS = 100_000
 #: sketches are merged in this many groups instead of in one task
 SKETCH_SHARDS = 64
 SKETCH_ACCURACY = 1000
@@ -163,7 +165,7 @@ def with_percent_rank(df: DataFrame, columns: Mapping[str, str], **limits) -> Da
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], small: int = SMALL_VALUES,
-                    range_rows: int = RANGE_ROWS) -> dict[str, list[float | None]]:
+                    range_rows: int = RANGE_ROWS, taken: int = TAKEN_ROWS) -> dict[str, list[float | None]]:
     """Interpolated quantiles of several columns, exact at any size, in two scans.
 
     Scan one sketches each column in ``SKETCH_SHARDS`` groups; whatever the
@@ -173,85 +175,81 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[f
     prove the bracket holds the wanted ranks; if one does not, it is widened to
     the column's whole range, so the answer never rests on the sketch.
     """
-    names = {f"q{i}": (name, c.cast("double")) for i, (name, (c, _)) in enumerate(wanted.items())}
-    plain = df.select(*[c.alias(k) for k, (_, c) in names.items()])
+    slots = [(name, q) for name, (_, qs) in wanted.items() for q in qs]
+    plain = df.select(*[c.cast("double").alias(f"q{i}") for i, (c, _) in enumerate(wanted.values())])
+    column = {name: f"q{i}" for i, name in enumerate(wanted)}
     margin = 4.0 / SKETCH_ACCURACY
     sketches = []
-    for key, (name, _) in names.items():
-        qs = wanted[name][1]
+    for name, (_, qs) in wanted.items():
         ends = [p for q in qs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-        sketches += [
-            F.count(key).alias(f"{key}_n"), F.min(key).alias(f"{key}_min"), F.max(key).alias(f"{key}_max"),
-            F.percentile_approx(key, ends, SKETCH_ACCURACY).alias(f"{key}_ends"),
-        ]
-    merged = []
-    for key, (name, _) in names.items():
-        merged += [F.sum(f"{key}_n").alias(f"{key}_n"), F.min(f"{key}_min").alias(f"{key}_min"),
-                   F.max(f"{key}_max").alias(f"{key}_max")]
-        for i in range(len(wanted[name][1])):
-            merged += [F.min(F.col(f"{key}_ends")[2 * i]).alias(f"{key}_lo{i}"),
-                       F.max(F.col(f"{key}_ends")[2 * i + 1]).alias(f"{key}_hi{i}")]
+        c = column[name]
+        sketches += [F.count(c).alias(f"{c}_n"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
+                     F.percentile_approx(c, ends, SKETCH_ACCURACY).alias(f"{c}_ends")]
     sharded = plain.withColumn("_shard", F.spark_partition_id() % SKETCH_SHARDS)
-    scan = sharded.groupBy("_shard").agg(*sketches).agg(*merged).first()
+    shards = sharded.groupBy("_shard").agg(*sketches).collect()  # at most SKETCH_SHARDS rows
 
-    brackets: dict[str, tuple[str, float, float, int, int]] = {}
     answers: dict[str, list[float | None]] = {name: [None] * len(qs) for name, (_, qs) in wanted.items()}
-    for key, (name, _) in names.items():
-        n = scan[f"{key}_n"] or 0
-        if not n:
-            continue
-        for i, q in enumerate(wanted[name][1]):
-            rank = int(floor((n - 1) * q))
-            if n <= small:
-                lo, hi = scan[f"{key}_min"], scan[f"{key}_max"]
-            else:
-                lo, hi = scan[f"{key}_lo{i}"], scan[f"{key}_hi{i}"]
-            brackets[f"{key}_{i}"] = (key, lo, hi, rank, n)
+    brackets, whole, counts = {}, {}, {}
+    for name, (_, qs) in wanted.items():
+        c = column[name]
+        seen = [row for row in shards if row[f"{c}_n"]]
+        counts[name] = sum(row[f"{c}_n"] for row in seen)
+        for i in range(len(qs)) if seen else ():
+            whole[name, i] = (c, min(row[f"{c}_min"] for row in seen), max(row[f"{c}_max"] for row in seen))
+            brackets[name, i] = (c, min(row[f"{c}_ends"][2 * i] for row in seen),
+                                 max(row[f"{c}_ends"][2 * i + 1] for row in seen))
     while brackets:
-        found = _locate(plain, brackets, small, range_rows)
+        ranks = {}
+        for name, i in brackets:
+            position = (counts[name] - 1) * wanted[name][1][i]
+            ranks[name, i] = (floor(position), min(floor(position) + 1, counts[name] - 1), position - floor(position))
+        found = _locate(plain, brackets, {slot: r[:2] for slot, r in ranks.items()},
+                        max(counts.values()), small, range_rows, taken)
         retry = {}
-        for slot, (key, lo, hi, rank, n) in brackets.items():
-            name, i = names[key][0], int(slot.rsplit("_", 1)[1])
-            low, high = found.get((slot, rank)), found.get((slot, min(rank + 1, n - 1)))
+        for slot, (lower, upper, share) in ranks.items():
+            low, high = found.get((slot, lower)), found.get((slot, upper))
             if low is None or high is None:
-                retry[slot] = (key, scan[f"{key}_min"], scan[f"{key}_max"], rank, n)
-                continue
-            answers[name][i] = low + (high - low) * ((n - 1) * wanted[name][1][i] - rank)
+                retry[slot] = whole[slot]
+            else:
+                answers[slot[0]][slot[1]] = low + (high - low) * share
         brackets = retry
     return answers
 
 
-def _locate(plain: DataFrame, brackets: Mapping[str, tuple[str, float, float, int, int]], small: int,
-            range_rows: int) -> dict[tuple[str, int], float]:
-    """Values at the wanted ranks, for the slots whose bracket holds them."""
-    # Slots of one column that share a bracket share one value table.
-    spans: dict[tuple[str, float, float], list[str]] = {}
-    for slot, (key, lo, hi, _, _) in brackets.items():
-        spans.setdefault((key, lo, hi), []).append(slot)
+def _locate(plain: DataFrame, brackets: Mapping[tuple, tuple[str, float, float]], ranks: Mapping[tuple, tuple[int, int]],
+            rows: int, small: int, range_rows: int, taken: int) -> dict[tuple, float]:
+    """``(slot, rank) -> value`` for the slots whose bracket holds their ranks."""
+    spans: dict[tuple[str, float, float], list] = {}
+    for slot, bracket in brackets.items():
+        spans.setdefault(bracket, []).append(slot)
     cells = []
-    for number, (key, lo, hi) in enumerate(spans):
-        value = F.col(key)
-        side = F.when(value < lo, F.lit(-1)).when(value <= hi, F.lit(0)).otherwise(F.lit(1))
-        cells.append(F.struct(F.lit(number).alias("span"), F.when(side == 0, value).alias("value"),
-                              F.when(value.isNotNull(), side).alias("side")))
-    # everything below a bracket is one row (NULL value, sorts first); everything above is dropped
-    table = settle(
-        plain.select(F.inline(F.array(*cells))).where(F.col("side") <= 0)
-        .groupBy("span", "value").agg(F.count(F.lit(1)).alias("ties")),
-        "brackets",
-    )
-    ordered = running_before(table, "span", ["value"], F.col("ties"), table.count(), small, range_rows)
-    hits, wanted = F.lit(False), {}
-    for number, slots in enumerate(spans.values()):
-        for slot in slots:
-            _, _, _, rank, n = brackets[slot]
-            for r in (rank, min(rank + 1, n - 1)):
-                wanted.setdefault(number, set()).add((slot, r))
-                hits = hits | ((F.col("span") == number) & (F.col("before") <= r)
-                               & (F.col("before") + F.col("ties") > r))
+    for number, (c, low, high) in enumerate(spans):
+        value = F.col(c)
+        cells.append(F.struct(F.lit(number).alias("span"), (value <= high).alias("kept"),
+                              F.when(value >= low, value).alias("value")))
+    # everything below a bracket becomes one row (missing value, sorts first); everything above is dropped
+    table = plain.select(F.inline(F.array(*cells))).where("kept").groupBy("span", "value").agg(
+        F.count(F.lit(1)).alias("ties"))
+    wanted = [(number, slot, rank) for number, slots in enumerate(spans.values()) for slot in slots
+              for rank in set(ranks[slot])]
+    # Tried only where the expected bracket is small, so that a large input is not scanned once more for nothing.
+    few = table.limit(taken + 1).collect() if rows * 0.01 * len(spans) <= 10 * taken else None
+    if few is not None and len(few) <= taken:
+        below: dict[int, int] = {}
+        ordered = []
+        for span, value, ties in sorted(few, key=lambda r: (r["span"], r["value"] is not None, r["value"])):
+            ordered.append((span, value, below.get(span, 0), ties))
+            below[span] = below.get(span, 0) + ties
+    else:
+        table = settle(table, "brackets")
+        placed = running_before(table, "span", ["value"], F.col("ties"), table.count(), small, range_rows)
+        hit = F.lit(False)
+        for number, _, rank in wanted:
+            hit = hit | ((F.col("span") == number) & (F.col("before") <= rank) & (F.col("before") + F.col("ties") > rank))
+        ordered = placed.where(hit).select("span", "value", "before", "ties").collect()
     out = {}
-    for row in ordered.where(hits & F.col("value").isNotNull()).collect():
-        for slot, r in wanted[row["span"]]:
-            if row["before"] <= r < row["before"] + row["ties"]:
-                out[(slot, r)] = row["value"]
+    for span, value, before, ties in ordered:
+        for number, slot, rank in wanted:
+            if number == span and value is not None and before <= rank < before + ties:
+                out[slot, rank] = value
     return out

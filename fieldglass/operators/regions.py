@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import literal_table
+from fieldglass.operators.distribution import RANGE_ROWS, SMALL_VALUES, running_before
 from fieldglass.operators.schema import candidate_features, resolve_fields
 from fieldglass.operators.trends import bucket_of, change_percent, in_region
+from fieldglass.runtime import settle
 
 
 def summary(scored: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:
@@ -89,10 +91,15 @@ def regional_profile(scored: DataFrame, fields: Mapping[str, str] | None = None)
     return profile.dropna(subset=keys).orderBy(F.col("risk_score").desc(), *keys)
 
 
-def rank_regions(profile: DataFrame, region: str = "region") -> DataFrame:
-    """Dense rank of the groups by mean risk, highest first. One row per group, ordered in one task."""
-    return profile.withColumn("risk_rank", F.dense_rank().over(
-        Window.partitionBy(F.lit(0)).orderBy(F.col("risk_score").desc())))
+def rank_regions(profile: DataFrame, small: int = SMALL_VALUES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``risk_rank``: the dense rank of the groups by mean risk, highest first (counts the distinct scores)."""
+    scores = settle(profile.select((-F.col("risk_score")).alias("_order")).distinct(), "scores")
+    distinct = scores.count()
+    placed = running_before(scores, None, ["_order"], F.lit(1), distinct, small, range_rows)
+    ranks = placed.select("_order", (F.col("before") + 1).cast("int").alias("risk_rank"))
+    joined = profile.withColumn("_score", -F.col("risk_score")).join(
+        F.broadcast(ranks) if distinct <= small else ranks, F.col("_score").eqNullSafe(F.col("_order")), "left")
+    return joined.drop("_score", "_order")
 
 
 def extreme_regions(profile: DataFrame, region: str = "region") -> DataFrame:

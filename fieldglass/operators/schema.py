@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from fieldglass import vocabulary as V
 from fieldglass.functions.indices import SPECTRAL, heat, proxy_ndvi, proxy_rest, season, wetness
-from fieldglass.functions.scalar import as_number, finite, literal_table
+from fieldglass.functions.scalar import as_number, literal_table
 from fieldglass.operators.distribution import exact_quantiles, with_row_position
 
 Fields = dict[str, str]
@@ -161,8 +161,8 @@ def prepare(df: DataFrame, fields: Mapping[str, str] | None = None, order_key: S
         if high_rain is None:
             high_rain = rain_quantile(out, fields["rainfall"]) if "rainfall" in fields else 2.0
         out = climate_indices(out, fields, high_rain, keep_measured)
-    present = [i for i in V.INDEX_NAMES if i in out.columns]
-    return out.withColumns({i: finite(as_number(F.col(i))) if i in fields else finite(F.col(i)) for i in present})
+    given = {i: as_number(F.col(i)) for i in V.INDEX_NAMES if i in fields}  # computed ones are finite by construction
+    return out.withColumns(given) if given else out
 
 
 def candidate_features(df: DataFrame, fields: Mapping[str, str] | None = None) -> list[str]:

@@ -65,12 +65,14 @@ def trend(df: DataFrame, index: str | None = None, every: str = "monthly", regio
     if not is_numeric(df, index):
         raise ValueError(f"{index!r} is not numeric")
     rows = in_time(in_region(df, region, resolve_fields(df.columns)), start, end)
-    rows = rows.dropna(subset=["_timestamp", index])
+    rows = rows.where(F.col("_timestamp").isNotNull())
     value = F.col(index).cast("double")
+    # Aggregates skip missing values, so empty buckets are dropped afterwards: a filter on the (derived) value
+    # would repeat its whole formula below the projection.
     return rows.groupBy(*by, bucket_of(F.col("_timestamp"), every).alias("bucket")).agg(
         F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.count(value).alias("count"),
-    )
+    ).where(F.col("count") > 0)
 
 
 def change_percent(mean: str = "mean", bucket: str = "bucket") -> Column:

@@ -7,7 +7,7 @@ once per session and source folder, as an analyst would after loading.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +17,17 @@ from fieldglass.functions.scalar import literal_table
 from fieldglass.operators.anomaly import with_anomaly
 from fieldglass.operators.risk import with_risk
 from fieldglass.operators.schema import prepare
-from fieldglass.runtime import settle
+from fieldglass.runtime import settle, small_side, spread
+
+
+@lru_cache
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema and file list are read once per session."""
+    return _stored(spark, f"{sf_dir}/{name}.parquet")
 
 
 def row_key() -> F.Column:
@@ -31,10 +37,12 @@ def row_key() -> F.Column:
 
 def obs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    nations = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
-    suppliers = table(spark, sf_dir, "supplier").join(nations, c("s_nationkey") == c("n_nationkey"))
-    rows = table(spark, sf_dir, "lineitem").join(suppliers, c("l_suppkey") == c("s_suppkey"))
+    # nation and region have a fixed 25 and 5 rows; suppliers grow with the data, so their size is checked
+    nations = F.broadcast(table(spark, sf_dir, "nation").join(
+        F.broadcast(table(spark, sf_dir, "region")), c("n_regionkey") == c("r_regionkey")))
+    supplier = table(spark, sf_dir, "supplier")
+    located = small_side(supplier.join(nations, c("s_nationkey") == c("n_nationkey")), supplier)
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").join(located, c("l_suppkey") == c("s_suppkey"))
     return rows.select(
         row_key().alias("row_id"), c("l_shipdate").alias("timestamp"),
         (8 + c("n_nationkey")).cast("double").alias("latitude"),
@@ -53,7 +61,7 @@ def climate_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     cities = [(i, name) for i, (name, _, _) in enumerate(V.STATIONS)] + [(20, "Atlantis")]
     dim = literal_table(spark, ["slot", "region"], cities)
-    rows = table(spark, sf_dir, "events").join(F.broadcast(dim), c("user_id") % 22 == c("slot"), "left")
+    rows = spread(table(spark, sf_dir, "events"), "event_id").join(F.broadcast(dim), c("user_id") % 22 == c("slot"), "left")
     return rows.select(
         c("event_id").alias("row_id"), c("ts").alias("timestamp"), "region",
         F.when(c("event_id") % 13 != 0, (15 + c("event_id") % 25).cast("double")).alias("temperature"),

@@ -21,9 +21,9 @@ def materialise(df: DataFrame, path: str, view: str = "observations", by_month:
     out = df
     if by_month:
         out = df.withColumns({"obs_year": F.year("_timestamp"), "obs_month": F.month("_timestamp")})
-        # a few files per month and no task that holds a whole month
-        out = out.repartition("obs_year", "obs_month", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
-        out.write.mode("overwrite").partitionBy("obs_year", "obs_month").parquet(path)
+        # rebalancing gathers small months and splits large ones by size, at run time
+        even = df.sparkSession.sql("SELECT /*+ REBALANCE(obs_year, obs_month) */ * FROM {rows}", rows=out)
+        even.write.mode("overwrite").partitionBy("obs_year", "obs_month").parquet(path)
     else:
         out.write.mode("overwrite").parquet(path)
     stored = df.sparkSession.read.schema(out.schema).parquet(path)
