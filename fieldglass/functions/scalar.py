@@ -40,25 +40,37 @@ def label_right_closed(value: Column, edges: Sequence[float], labels: Sequence[s
     return chain
 
 
-def fixed_text(value: Column, places: int) -> Column:
-    """Text with 1 to 3 decimals, rounding the binary value itself: exact halves go to the even digit.
+def sql_literal(value) -> str:
+    """A Python text, number, flag or None as a Spark SQL literal (doubles keep every digit)."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return f"({value!r}D)" if isinstance(value, float) else str(value)
+
+
+def fixed_text(value: str, places: int) -> str:
+    """SQL for the text of a column with 1 to 3 decimals, rounding the binary value itself (exact halves to even).
 
     ``format_string`` rounds the shortest decimal text half up, which differs
-    for values such as 2.25 or 38.55. Where twice the scaled value is an odd
-    whole number, the lost part of that product decides.
+    for values such as 2.25 or 38.55. Here twice the scaled value, kept as a
+    sum and what that sum lost, is compared with the odd number next to it.
+    The scale is summed from powers of two, so each term is exact.
     """
     powers = {1: (16, 4), 2: (256, -64, 8), 3: (2048, -32, -16)}[places]  # they sum to 2 * 10 ** places
-    total, lost = value * float(powers[0]), F.lit(0.0)
+    steps = [f"named_struct('t', x * {powers[0]}D, 'lost', 0D)"]
     for power in powers[1:]:
-        term = value * float(power)
-        grown = total + term
-        part = grown - total
-        lost = lost + ((total - (grown - part)) + (term - part))
-        total = grown
-    below = (total - 1) / 2
-    digits = F.when(lost < 0, below).when(lost > 0, below + 1).otherwise(below + F.abs(below % 2))
-    half = (total == F.floor(total)) & (F.abs(total % 2) == 1) & (F.abs(total) < 1e15)
-    return F.format_string(f"%.{places}f", F.when(half, digits / 10 ** places).otherwise(value))
+        steps.append(
+            f"transform(array({steps[-1]}), s -> named_struct('t', s.t + x * {power}D, 'lost', s.lost + "
+            f"(s.t - ((s.t + x * {power}D) - ((s.t + x * {power}D) - s.t))) + "
+            f"(x * {power}D - ((s.t + x * {power}D) - s.t))))[0]")
+    steps.append(f"transform(array({steps[-1]}), s -> named_struct('t', s.t, 'k', CAST(floor(s.t / 2) AS DOUBLE), "
+                 "'gap', (s.t - (2 * CAST(floor(s.t / 2) AS DOUBLE) + 1)) + s.lost))[0]")
+    digits = "CASE WHEN p.gap < 0 THEN p.k WHEN p.gap > 0 THEN p.k + 1 ELSE p.k + abs(p.k % 2) END"
+    return (f"transform(array({value}), x -> format_string('%.{places}f', transform(array({steps[-1]}), p -> "
+            f"IF(abs(p.t) < 1e15D, IF(x < 0, -abs({digits}), {digits}) / {10 ** places}D, x))[0]))[0]")
 
 
 def as_number(column: Column) -> Column:
@@ -101,5 +113,5 @@ def json_rows(df: DataFrame, out: str = "json") -> DataFrame:
 
 def literal_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
     """A small constant table that lives in the plan (no parallelised Python rows)."""
-    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
-    return spark.sql("SELECT 1 AS one").select(F.inline(F.array(*structs)))
+    body = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")

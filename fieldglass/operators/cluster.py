@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
+from fieldglass.functions.scalar import sql_literal
 from fieldglass.operators.anomaly import any_present, eligible_rows
 from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.forest import unit_hash
-from fieldglass.operators.schema import numeric_features, resolve_fields
+from fieldglass.operators.schema import candidate_features, numeric_features, resolve_fields
 from fieldglass.runtime import settle
 
 Centres = list[list[float]]
@@ -49,33 +50,34 @@ def seeded_sample(rows: DataFrame, n: int, cap: int, seed: int, keys: Sequence[s
     return drawn.orderBy("_u", *by).limit(cap).drop("_u")
 
 
-def robust_scale(sample: DataFrame, features: Sequence[str]) -> dict[str, Column]:
-    """Per feature ``(filled - median) / IQR`` with medians and quartiles of the (bounded) sample; no spread divides by 1.
+def robust_scale(sample: pd.DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Per feature ``(median, centre, width)`` of a bounded sample: fill, subtract, divide.
 
-    Quartiles are taken after filling missing values with the median.
+    Quartiles are taken after filling missing values with the median; no spread divides by 1.
     """
-    medians = sample.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in features}
-    quartiles = sample.agg(*[
-        F.percentile(filled[f], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features
-    ]).first()
     out = {}
-    for f in features:
-        if quartiles[f] is None:
-            out[f] = F.lit(0.0)
-            continue
-        low, middle, high = quartiles[f]
-        out[f] = (filled[f] - middle) / ((high - low) or 1.0)
+    for name, values in sample.items():
+        median = float(values.median()) if values.notna().any() else 0.0
+        low, centre, high = np.percentile(values.fillna(median), [25, 50, 75])
+        out[name] = (median, float(centre), float(high - low) or 1.0)
     return out
 
 
-def nearest(columns: Sequence[Column], centres: Centres) -> Column:
+def scaled_columns(scale: Mapping[str, tuple[float, float, float]], names: Sequence[str]) -> dict[str, Column]:
+    return {
+        x: F.expr(f"(coalesce(CAST(`{f}` AS DOUBLE), {sql_literal(fill)}) - {sql_literal(centre)}) / {sql_literal(width)}")
+        for x, (f, (fill, centre, width)) in zip(names, scale.items())
+    }
+
+
+def nearest(names: Sequence[str], centres: Centres) -> Column:
     """Number of the closest centre by Euclidean distance; the lower number wins a tie."""
-    distances = [
-        F.struct(sum(((c - v) * (c - v) for c, v in zip(columns, centre)), F.lit(0.0)).alias("d"), F.lit(i).alias("i"))
-        for i, centre in enumerate(centres)
-    ]
-    return F.least(*distances)["i"] if len(distances) > 1 else F.lit(0)
+    if len(centres) < 2:
+        return F.lit(0)
+    distances = ", ".join(
+        "struct(" + " + ".join(f"pow(`{n}` - {sql_literal(float(v))}, 2)" for n, v in zip(names, centre)) + f" AS d, {i} AS i)"
+        for i, centre in enumerate(centres))
+    return F.expr(f"least({distances}).i")
 
 
 def lloyd(points: np.ndarray, k: int, rng: np.random.Generator, max_iter: int = 100) -> tuple[np.ndarray, float]:
@@ -160,11 +162,10 @@ def mean_silhouettes(spark: SparkSession, shared, size: int, models: Mapping[int
 
 def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: int, tolerance: float) -> Centres:
     """Lloyd rounds over the whole table until no centre moves more than the tolerance; empty clusters stay put."""
-    columns = [F.col(n) for n in names]
     for _ in range(max_iter):
         means = {
             row["c"]: [row[n] for n in names]
-            for row in rows.groupBy(nearest(columns, centres).alias("c")).agg(*[F.avg(n).alias(n) for n in names])
+            for row in rows.groupBy(nearest(names, centres).alias("c")).agg(*[F.avg(n).alias(n) for n in names])
             .collect()  # at most k rows
         }
         moved = [means.get(i, c) for i, c in enumerate(centres)]
@@ -200,23 +201,23 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
              tolerance: float = 1e-4, row_key: Sequence[str] = ("row_id",)) -> Zones:
     """Cluster the rows with at least one feature; ``k`` fixes the number of clusters, else 2..6 are compared."""
     fields = resolve_fields(df.columns)
-    features = list(numeric_features(df, fields) if features is None else features)
+    named = list(candidate_features(df, fields) if features is None else features)
+    counts = df.agg(F.count_if(any_present(named)).alias("_n"), *[F.count(f).alias(f) for f in named]).first()
+    features = [f for f in named if features is not None or counts[f] >= 2]
     if len(features) < 2:
         raise ValueError("clustering needs at least two compatible numerical indicators")
     rows = eligible_rows(df, features)
     keys = [c for c in row_key if c in df.columns] or features
-    n = rows.count()
+    n = counts["_n"] if features == named else rows.count()
     if n < V.CLUSTER_MIN_ROWS:
         raise ValueError(f"clustering needs at least {V.CLUSTER_MIN_ROWS} rows with an indicator")
 
-    sample = settle(seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), n, sample_cap, seed, keys), "sample")
-    size = min(n, sample_cap)
-    scaled = robust_scale(sample, features)
+    drawn = seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), n, sample_cap, seed, keys)
+    sample = drawn.toPandas()[features].astype("float64")  # at most sample_cap rows
+    size = len(sample)
+    scale = robust_scale(sample)
     names = [f"_x{i}" for i in range(len(features))]
-    matrix = [scaled[f].alias(x) for f, x in zip(features, names)]
-
-    small = sample.select(*matrix)
-    points = small.toPandas().to_numpy(dtype="float64")  # at most sample_cap rows
+    points = np.column_stack([(sample[f].fillna(fill) - centre) / width for f, (fill, centre, width) in scale.items()])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(points)
     tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, size - 1) + 1))
@@ -226,9 +227,10 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
 
     centres = models[chosen]
     if n > size:
-        centres = refine(settle(rows.select(*matrix), "matrix"), names, centres, max_iter, tolerance)
+        matrix = rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()])
+        centres = refine(settle(matrix, "matrix"), names, centres, max_iter, tolerance)
     centres = sorted(centres)
-    assigned = rows.withColumn("cluster", nearest([scaled[f] for f in features], centres))
+    assigned = rows.withColumns(scaled_columns(scale, names)).withColumn("cluster", nearest(names, centres)).drop(*names)
     profiles = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), *[F.avg(f).alias(f) for f in features])
     return Zones(assigned, describe(profiles, df, fields), chosen, scores[chosen], scores, centres)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
+from fieldglass.functions.scalar import sql_literal
 from fieldglass.operators.schema import candidate_features
 
 
@@ -31,40 +32,26 @@ def correlations(df: DataFrame, features: Sequence[str] | None = None, min_pairs
     if len(used) < 2:
         raise ValueError("at least two compatible numerical indicators are required")
 
-    position = {f: i for i, f in enumerate(used)}
-    bits = sum((F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for f, i in position.items()), F.lit(0))
-    centred = [F.coalesce(F.col(f) - F.lit(at[f"m_{f}"]).cast("double"), F.lit(0.0)).alias(f"d{i}")
-               for f, i in position.items()]
-    pairs = list(combinations(range(len(used)), 2))
-    groups = numbers.select(bits.alias("mask"), *centred).groupBy("mask").agg(  # at most one row per set of indicators
-        F.count(F.lit(1)).alias("n"),
-        *[a for i in range(len(used)) for a in (
-            F.sum(f"d{i}").alias(f"s{i}"), F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s{i}_{i}"),
-            F.min(f"d{i}").alias(f"low{i}"), F.max(f"d{i}").alias(f"high{i}"))],
-        *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in pairs],
-    )
-    rows = [
-        F.struct(
-            F.lit(p).alias("pair"), F.lit(used[i]).alias("a"), F.lit(used[j]).alias("b"),
-            (F.col("mask").bitwiseAND(F.lit((1 << i) | (1 << j))) == F.lit((1 << i) | (1 << j))).alias("both"),
-            F.col("n").alias("n"), F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
-            F.col(f"s{i}_{i}").alias("saa"), F.col(f"s{j}_{j}").alias("sbb"), F.col(f"s{i}_{j}").alias("sab"),
-            F.col(f"low{i}").alias("la"), F.col(f"high{i}").alias("ha"),
-            F.col(f"low{j}").alias("lb"), F.col(f"high{j}").alias("hb"))
-        for p, (i, j) in enumerate(pairs)
-    ]
-    c = F.col
-    sums = groups.select(F.inline(F.array(*rows))).where("both").groupBy("pair", "a", "b").agg(
-        *[F.sum(x).alias(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab")],
-        (F.min("la") < F.max("ha")).alias("a_varies"), (F.min("lb") < F.max("hb")).alias("b_varies"))
-    spread = F.sqrt(c("saa") - c("sa") * c("sa") / c("n")) * F.sqrt(c("sbb") - c("sb") * c("sb") / c("n"))
-    r = F.try_divide(c("sab") - c("sa") * c("sb") / c("n"), F.nullif(spread, F.lit(0.0)))
-    enough = (c("n") >= min_pairs) & c("a_varies") & c("b_varies")
-    return (
-        sums.withColumn("correlation", F.when(enough, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
-        .where(c("correlation").isNotNull() & ~F.isnan("correlation"))
-        .select("pair", "a", "b", "correlation", c("n").alias("observations"))
-    )
+    # Written as SQL text: a column object per term would cost more than the query.
+    bits = " + ".join(f"IF(`{f}` IS NULL, 0, {1 << i})" for i, f in enumerate(used))
+    centred = [f"coalesce(`{f}` - {sql_literal(float(at[f'm_{f}'] or 0))}, 0D) AS d{i}" for i, f in enumerate(used)]
+    size, pairs = len(used), list(combinations(range(len(used)), 2))
+    sums = ["count(1) AS n"]
+    for i in range(size):
+        sums += [f"sum(d{i}) AS s{i}", f"min(d{i}) AS low{i}", f"max(d{i}) AS high{i}"]
+        sums += [f"sum(d{i} * d{j}) AS s{i}_{j}" for j in range(i, size)]
+    groups = numbers.selectExpr(f"{bits} AS mask", *centred).groupBy("mask").agg(*map(F.expr, sums))  # one row per set
+    rows = ", ".join(
+        f"named_struct('pair', {p}, 'a', '{used[i]}', 'b', '{used[j]}', 'both', mask & {1 << i | 1 << j} = "
+        f"{1 << i | 1 << j}, 'n', n, 'sa', s{i}, 'sb', s{j}, 'saa', s{i}_{i}, 'sbb', s{j}_{j}, 'sab', s{i}_{j}, "
+        f"'la', low{i}, 'ha', high{i}, 'lb', low{j}, 'hb', high{j})" for p, (i, j) in enumerate(pairs))
+    both = groups.selectExpr(f"inline(array({rows}))").where("both").groupBy("pair", "a", "b").agg(*map(F.expr, [
+        *[f"sum({x}) AS {x}" for x in ("n", "sa", "sb", "saa", "sbb", "sab")],
+        "min(la) < max(ha) AS a_varies", "min(lb) < max(hb) AS b_varies"]))
+    spread = "greatest(saa - sa * sa / n, 0D) * greatest(sbb - sb * sb / n, 0D)"
+    r = f"greatest(least((sab - sa * sb / n) / sqrt({spread}), 1D), -1D)"
+    return both.where(f"n >= {min_pairs} AND a_varies AND b_varies AND {spread} > 0").selectExpr(
+        "pair", "a", "b", f"{r} AS correlation", "n AS observations")
 
 
 def strongest(pairs: DataFrame, n: int = V.TOP_PAIRS) -> DataFrame:

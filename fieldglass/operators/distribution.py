@@ -88,22 +88,31 @@ def with_row_position(df: DataFrame, order: Sequence[str], out: str = "position"
 
 
 class RankTable:
-    """Average percent ranks of several columns, computed once and then attached or queried."""
+    """Average percent ranks of several columns, computed once and then attached or queried.
+
+    ``counts`` and ``distinct`` hold the non-missing rows and distinct values of
+    each column, ``medians`` the median over the rows of its percent rank.
+    """
 
     def __init__(self, df: DataFrame, columns: Mapping[str, Column], small: int = SMALL_VALUES,
                  range_rows: int = RANGE_ROWS) -> None:
         self.small = small
         values = settle(value_table(df, columns), "values")
-        self.counts = {name: 0 for name in columns}
-        self.distinct = {name: 0 for name in columns}
-        for row in values.groupBy("feature").agg(F.sum("ties").alias("n"), F.count(F.lit(1)).alias("d")).collect():
+        totals = values.groupBy("feature").agg(F.sum("ties").alias("n"), F.count(F.lit(1)).alias("d"))
+        ordered = running_before(values, "feature", ["value"], F.col("ties"), values.count(), small, range_rows)
+        self.table = ordered.join(F.broadcast(totals), "feature").withColumn(
+            "pct", F.expr("(before + (ties + 1) / 2) / n"))
+        self.counts = dict.fromkeys(columns, 0)
+        self.distinct = dict.fromkeys(columns, 0)
+        self.medians: dict[str, float | None] = dict.fromkeys(columns)
+        middle = self.table.where(
+            "(before <= (n - 1) div 2 AND before + ties > (n - 1) div 2) OR (before <= n div 2 AND before + ties > n div 2)")
+        middles: dict[str, list[float]] = {}
+        for row in middle.orderBy("feature", "value").collect():  # one or two rows per column
             self.counts[row["feature"]], self.distinct[row["feature"]] = row["n"], row["d"]
-        rows = sum(self.distinct.values())
-        ordered = running_before(values, "feature", ["value"], F.col("ties"), rows, small, range_rows)
-        total = F.lit(1)
-        for name, n in self.counts.items():
-            total = F.when(F.col("feature") == name, F.lit(max(n, 1))).otherwise(total)
-        self.table = ordered.withColumn("pct", (F.col("before") + (F.col("ties") + 1) / 2) / total)
+            middles.setdefault(row["feature"], []).append(row["pct"])
+        for feature, found in middles.items():
+            self.medians[feature] = (found[0] + found[-1]) / 2
 
     def attach(self, df: DataFrame, feature: str, column: Column, out: str) -> DataFrame:
         """Left join of the feature's percent rank onto the rows as column ``out``."""
@@ -132,29 +141,6 @@ class RankTable:
             "_key", "_hot", "_hot_pct", "_row_lane", "_cold_key", "_value", "_lane"
         )
 
-    def at_ranks(self, wanted: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], tuple[float, float]]:
-        """``(feature, zero-based rank) -> (value, pct)`` for a handful of ranks."""
-        hits = F.lit(False)
-        for feature, ranks in wanted.items():
-            for rank in ranks:
-                hits = hits | ((F.col("feature") == feature) & (F.col("before") <= rank)
-                               & (F.col("before") + F.col("ties") > rank))
-        out = {}
-        for row in self.table.where(hits).collect():
-            for rank in wanted[row["feature"]]:
-                if row["before"] <= rank < row["before"] + row["ties"]:
-                    out[(row["feature"], rank)] = (row["value"], row["pct"])
-        return out
-
-    def median_pct(self) -> dict[str, float | None]:
-        """Median over the rows of each feature's percent rank."""
-        wanted = {f: sorted({(n - 1) // 2, n // 2}) for f, n in self.counts.items() if n}
-        found = self.at_ranks(wanted)
-        return {
-            f: (found[(f, (n - 1) // 2)][1] + found[(f, n // 2)][1]) / 2 if n else None
-            for f, n in self.counts.items()
-        }
-
 
 def with_percent_rank(df: DataFrame, columns: Mapping[str, str], **limits) -> DataFrame:
     """Add, for each ``column -> out``, the average-tie rank divided by the non-missing count."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.functions.scalar import fixed_text, literal_table
+from fieldglass.functions.scalar import fixed_text, literal_table, sql_literal
 from fieldglass.operators.correlation import correlations
 from fieldglass.operators.regions import extreme_regions, regional_profile
 from fieldglass.operators.schema import resolve_fields
@@ -18,92 +18,84 @@ from fieldglass.operators.trends import change_percent, trend
 ORDER = {category: i + 1 for i, category in enumerate(V.FINDING_TEXT)}
 
 
-def _number(column: Column) -> Column:
-    return F.when(column.isNotNull(), F.format_string("%.6f", column.cast("double")))
+def _number(column: str) -> str:
+    return f"format_string('%.6f', CAST({column} AS DOUBLE))"
 
 
-def _finding(category: str, arguments: list[Column], evidence: Mapping[str, Column], present: Column) -> Column:
-    pairs = [x for k, v in evidence.items() for x in (F.lit(k), v.cast("string"))]
-    return F.struct(
-        F.when(present, F.lit(ORDER[category])).alias("ordinal"),
-        F.lit(category).alias("category"),
-        F.format_string(V.FINDING_TEXT[category], *arguments).alias("statement"),
-        F.create_map(*pairs).alias("evidence"),
-    )
+def _finding(category: str, arguments: list[str], evidence: Mapping[str, str], present: str) -> str:
+    """SQL of one finding; its ordinal is missing when the rule has no result."""
+    pairs = ", ".join(f"'{k}', CAST({v} AS STRING)" for k, v in evidence.items())
+    text = ", ".join([sql_literal(V.FINDING_TEXT[category]), *arguments])
+    return (f"named_struct('ordinal', IF({present}, {ORDER[category]}, NULL), 'category', {sql_literal(category)}, "
+            f"'statement', format_string({text}), 'evidence', map({pairs}))")
 
 
-def _rows(source: DataFrame, findings: list[Column]) -> DataFrame:
-    return source.select(F.inline(F.array(*findings))).where(F.col("ordinal").isNotNull())
+def _rows(facts: DataFrame, found: list[str]) -> DataFrame:
+    return facts.selectExpr(f"inline(array({', '.join(found)}))").where("ordinal IS NOT NULL")
 
 
 def trend_finding(scored: DataFrame, index: str = "ndvi") -> DataFrame:
-    facts = trend(scored, index).agg(
-        change_percent().alias("change"),
-        F.try_divide(F.sum(F.col("mean") * F.col("count")), F.sum("count")).alias("overall"))
-    change = F.col("change")
-    direction = F.when(change >= 0, "improved").otherwise("declined")
+    facts = trend(scored, index).agg(change_percent().alias("change"),
+                                     F.expr("try_divide(sum(mean * count), sum(count)) AS overall"))
     return _rows(facts, [_finding(
-        "VEGETATION HEALTH", [F.lit(index.upper()), direction, fixed_text(F.abs(change), 1)],
-        {"indicator": F.lit(index), "change_percent": _number(change), "latest_mean": _number(F.col("overall"))},
-        change.isNotNull(),
+        "VEGETATION HEALTH",
+        [sql_literal(index.upper()), "IF(change >= 0, 'improved', 'declined')", fixed_text("abs(change)", 1)],
+        {"indicator": sql_literal(index), "change_percent": _number("change"), "latest_mean": _number("overall")},
+        "change IS NOT NULL",
     )])
 
 
 def level_findings(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Moisture, heat, rain, anomaly and risk findings: one aggregate over the table."""
-    share = lambda p: F.avg(F.when(p, 1.0).otherwise(0.0)) * 100  # noqa: E731  (missing counts as false)
-    facts = [F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("risk"),
-             F.count_if(F.col("risk_score") >= V.FINDING_CRITICAL_FROM).alias("critical"),
-             F.count_if((F.col("risk_score") >= V.FINDING_ELEVATED_FROM)
-                        & (F.col("risk_score") < V.FINDING_CRITICAL_FROM)).alias("elevated"),
-             F.count_if("anomaly_flag").alias("flagged"), share(F.col("anomaly_flag")).alias("flagged_share")]
-    out = []
-    c = F.col
+    def share(predicate):  # a missing value counts as false
+        return f"avg(IF({predicate}, 1D, 0D)) * 100"
+
+    facts = [
+        "count(1) AS n", "avg(risk_score) AS risk", f"count_if(risk_score >= {V.FINDING_CRITICAL_FROM}) AS critical",
+        f"count_if(risk_score >= {V.FINDING_ELEVATED_FROM} AND risk_score < {V.FINDING_CRITICAL_FROM}) AS elevated",
+        "count_if(anomaly_flag) AS flagged", f"{share('anomaly_flag')} AS flagged_share",
+    ]
+    found = []
     if "ndwi" in scored.columns:
-        facts += [F.avg("ndwi").alias("ndwi_mean"), share(c("ndwi") < V.WATER_STRESS_BELOW).alias("stress")]
-        out.append(_finding("HYDROLOGY & MOISTURE", [fixed_text(c("ndwi_mean"), 3), fixed_text(c("stress"), 1)],
-                            {"ndwi_mean": _number(c("ndwi_mean")), "stress_percentage": _number(c("stress"))},
-                            c("ndwi_mean").isNotNull()))
+        facts += ["avg(ndwi) AS ndwi_mean", f"{share(f'ndwi < {V.WATER_STRESS_BELOW}')} AS stress"]
+        found.append(_finding("HYDROLOGY & MOISTURE", [fixed_text("ndwi_mean", 3), fixed_text("stress", 1)],
+                              {"ndwi_mean": _number("ndwi_mean"), "stress_percentage": _number("stress")},
+                              "ndwi_mean IS NOT NULL"))
     if "temperature" in fields:
         t = fields["temperature"]
-        facts += [F.avg(t).alias("t_mean"), F.max(t).cast("double").alias("t_max")]
-        out.append(_finding("THERMAL REGIME", [fixed_text(c("t_mean"), 1), fixed_text(c("t_max"), 1)],
-                            {"mean_temp": _number(c("t_mean")), "max_temp": _number(c("t_max"))},
-                            c("t_mean").isNotNull()))
+        facts += [f"avg(`{t}`) AS t_mean", f"CAST(max(`{t}`) AS DOUBLE) AS t_max"]
+        found.append(_finding("THERMAL REGIME", [fixed_text("t_mean", 1), fixed_text("t_max", 1)],
+                              {"mean_temp": _number("t_mean"), "max_temp": _number("t_max")}, "t_mean IS NOT NULL"))
     if "rainfall" in fields:
         r = fields["rainfall"]
-        facts += [F.avg(r).alias("r_mean"), F.max(r).cast("double").alias("r_max")]
-        out.append(_finding("PRECIPITATION DYNAMICS", [fixed_text(c("r_mean"), 2), fixed_text(c("r_max"), 1)],
-                            {"mean_rainfall": _number(c("r_mean")), "peak_rainfall": _number(c("r_max"))},
-                            c("r_mean").isNotNull()))
-    out.append(_finding("ML ANOMALY OUTLIERS", [F.format_string("%,d", c("flagged")), fixed_text(c("flagged_share"), 1)],
-                        {"anomaly_count": c("flagged"), "share_percent": _number(c("flagged_share"))},
-                        c("flagged") > 0))
-    out.append(_finding("RISK STRATIFICATION", [c("critical").cast("string"), c("elevated").cast("string")],
-                        {"critical": c("critical"), "elevated": c("elevated"), "avg_score": _number(c("risk"))},
-                        c("n") > 0))
-    return _rows(scored.agg(*facts), out)
+        facts += [f"avg(`{r}`) AS r_mean", f"CAST(max(`{r}`) AS DOUBLE) AS r_max"]
+        found.append(_finding("PRECIPITATION DYNAMICS", [fixed_text("r_mean", 2), fixed_text("r_max", 1)],
+                              {"mean_rainfall": _number("r_mean"), "peak_rainfall": _number("r_max")},
+                              "r_mean IS NOT NULL"))
+    found.append(_finding("ML ANOMALY OUTLIERS", ["format_string('%,d', flagged)", fixed_text("flagged_share", 1)],
+                          {"anomaly_count": "flagged", "share_percent": _number("flagged_share")}, "flagged > 0"))
+    found.append(_finding("RISK STRATIFICATION", ["CAST(critical AS STRING)", "CAST(elevated AS STRING)"],
+                          {"critical": "critical", "elevated": "elevated", "avg_score": _number("risk")}, "n > 0"))
+    return _rows(scored.agg(*map(F.expr, facts)), found)
 
 
 def region_finding(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
-    c = F.col
     extremes = extreme_regions(regional_profile(scored, fields), fields["region"])
     return _rows(extremes, [_finding(
-        "REGIONAL DISPARITY", [c("highest"), fixed_text(c("highest_risk"), 1), c("lowest"), fixed_text(c("lowest_risk"), 1)],
-        {"highest_risk": c("highest"), "lowest_risk": c("lowest")}, c("highest").isNotNull())])
+        "REGIONAL DISPARITY",
+        ["CAST(highest AS STRING)", fixed_text("highest_risk", 1), "CAST(lowest AS STRING)", fixed_text("lowest_risk", 1)],
+        {"highest_risk": "highest", "lowest_risk": "lowest"}, "highest IS NOT NULL")])
 
 
 def correlation_finding(scored: DataFrame) -> DataFrame:
-    c = F.col
     # 28 pairs at most: the strongest is an aggregate over them
-    best = correlations(scored).agg(
-        F.max_by(F.struct("a", "b", "correlation", "observations"),
-                 F.struct(F.abs(F.round("correlation", 6)), -F.col("pair"))).alias("p")).select("p.*")
-    kind = F.when(c("correlation") > 0, "positive association").otherwise("inverse relationship")
+    best = correlations(scored).agg(F.expr(
+        "max_by(struct(a, b, correlation, observations), struct(abs(round(correlation, 6)), -pair)) AS p")).select("p.*")
+    kind = "IF(correlation > 0, 'positive association', 'inverse relationship')"
     return _rows(best, [_finding(
-        "INDICATOR CORRELATION", [kind, fixed_text(c("correlation"), 2), F.upper("a"), F.upper("b")],
-        {"a": c("a"), "b": c("b"), "correlation": _number(c("correlation")), "observations": c("observations")},
-        F.abs("correlation") >= V.STRONG_CORRELATION_FROM)])
+        "INDICATOR CORRELATION", [kind, fixed_text("correlation", 2), "upper(a)", "upper(b)"],
+        {"a": "a", "b": "b", "correlation": _number("correlation"), "observations": "observations"},
+        f"abs(correlation) >= {V.STRONG_CORRELATION_FROM}")])
 
 
 def findings(scored: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:

@@ -90,14 +90,15 @@ def fit_forest(rows: DataFrame, features: Sequence[str], keys: Sequence[str], n:
     grow, depth = _grow(features, psi, seed)
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-    starts = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
-    base = nodes["tree"].map(starts).to_numpy()
+    roots = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
+    base = nodes["tree"].map(roots).to_numpy()
+    leaf = (nodes["left"] == nodes["node"]).to_numpy()
     packed = {
-        "roots": starts.to_numpy(dtype="int32"),
-        "feature": nodes["feature"].to_numpy(dtype="int32"),
-        "threshold": nodes["threshold"].to_numpy(dtype="float64"),
-        "left": (nodes["left"].to_numpy() + base).astype("int32"),
-        "right": (nodes["right"].to_numpy() + base).astype("int32"),
+        "roots": roots.to_numpy(dtype="int64"),
+        "feature": nodes["feature"].to_numpy(dtype="int64"),
+        "threshold": np.where(leaf, np.inf, nodes["threshold"]),  # a leaf always goes "left", to itself
+        "left": nodes["left"].to_numpy(dtype="int64") + base,
+        "step": (nodes["right"] - nodes["left"]).to_numpy(dtype="int64"),
         "path": nodes["path"].to_numpy(dtype="float64"),
         "depth": depth,
     }
@@ -112,16 +113,16 @@ def forest_score(spark, packed: dict, psi: int, features: Sequence[Column]) -> C
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         forest = shared.value
-        matrix = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-        n, width = matrix.shape
-        flat, offset = matrix.ravel(), np.arange(n, dtype="int64") * width
-        total = np.zeros(n)
+        feature, threshold, left, step = (forest[k] for k in ("feature", "threshold", "left", "step"))
+        n = len(columns[0])
+        flat = np.concatenate([c.to_numpy(dtype="float64") for c in columns])  # column after column
+        row, total = np.arange(n, dtype="int64"), np.zeros(n)
         for root in forest["roots"]:
-            at = np.full(n, root, dtype="int32")
+            at = np.full(n, root, dtype="int64")
             for _ in range(forest["depth"]):
-                left = flat[offset + forest["feature"][at]] <= forest["threshold"][at]
-                at = np.where(left, forest["left"][at], forest["right"][at])
-            total += forest["path"][at]
+                value = flat.take(feature.take(at) * n + row)
+                at = left.take(at) + step.take(at) * (value > threshold.take(at))
+            total += forest["path"].take(at)
         return pd.Series(2.0 ** (-total / len(forest["roots"]) / usual))
 
     return score(*features)

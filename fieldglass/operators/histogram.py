@@ -7,6 +7,8 @@ from math import pi, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.functions.scalar import sql_literal
+
 
 def _extent(df: DataFrame, column: str):
     v = F.col(column).cast("double")
@@ -46,10 +48,9 @@ def density(df: DataFrame, column: str, grid: int = 32) -> DataFrame:
     width = at["std"] * at["n"] ** -0.2
     step = (at["high"] - at["low"]) / (grid - 1)
     points = [at["low"] + i * step for i in range(grid)]
-    v = F.col(column).cast("double")
     height = 1.0 / (width * sqrt(2 * pi))
-    kernels = [F.avg(F.exp(((v - x) / width) * ((v - x) / width) * -0.5)) * height for x in points]
-    row = df.agg(*[k.alias(f"d{i}") for i, k in enumerate(kernels)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("point"), F.lit(x).alias("x"), F.col(f"d{i}").alias("density"))
-        for i, x in enumerate(points)])))
+    kernels = [f"avg(exp(pow((v - {sql_literal(x)}) / {sql_literal(width)}, 2) * -0.5D)) * {sql_literal(height)} AS d{i}"
+               for i, x in enumerate(points)]
+    row = df.select(F.col(column).cast("double").alias("v")).agg(*map(F.expr, kernels))
+    cells = ", ".join(f"named_struct('point', {i}, 'x', {sql_literal(x)}, 'density', d{i})" for i, x in enumerate(points))
+    return row.selectExpr(f"inline(array({cells}))")

@@ -53,20 +53,18 @@ def index_cards(df: DataFrame, region: str | None = None, index: str | None = No
         if column in df.columns and index in (None, key, column):
             wanted.append((column, *texts))
     monthly = in_region(df, region, fields).groupBy(bucket_of(F.col("_timestamp"), "monthly").alias("bucket")).agg(*[
-        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.min(c).alias("low"),
-                 F.max(c).alias("high")).alias(f"k{i}") for i, (c, *_) in enumerate(wanted)
+        F.expr(f"struct(count(`{c}`) AS n, avg(`{c}`) AS mean, var_pop(`{c}`) AS var, min(`{c}`) AS low, "
+               f"max(`{c}`) AS high) AS k{i}") for i, (c, *_) in enumerate(wanted)
     ])
-    rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("key"), F.col("bucket"), F.col(f"k{i}").alias("k"))
-            for i, (c, *_) in enumerate(wanted)]
-    long = monthly.select(F.inline(F.array(*rows))).select("ordinal", "key", "bucket", "k.*").where("n > 0")
-    whole = Window.partitionBy("key")  # one row per month
-    overall = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
-    spread = long.withColumn("overall", overall).withColumn(
-        "m2", F.col("n") * (F.col("var") + (F.col("mean") - F.col("overall")) * (F.col("mean") - F.col("overall"))))
-    dated = F.when(F.col("bucket").isNotNull(), F.col("mean"))
-    cards = spread.withColumn("_dated", dated).groupBy("ordinal", "key").agg(
-        F.max("overall").alias("current_average"), F.min("low").alias("minimum"), F.max("high").alias("maximum"),
-        F.sqrt(F.try_divide(F.sum("m2"), F.nullif(F.sum("n") - 1, F.lit(0)))).alias("std"),
+    rows = ", ".join(f"named_struct('ordinal', {i}, 'key', '{c}', 'bucket', bucket, 'k', k{i})"
+                     for i, (c, *_) in enumerate(wanted))
+    long = monthly.selectExpr(f"inline(array({rows}))").select("ordinal", "key", "bucket", "k.*").where("n > 0")
+    # one row per month and indicator from here on
+    overall = long.withColumn("overall", F.expr(
+        "sum(n * mean) OVER (PARTITION BY key) / sum(n) OVER (PARTITION BY key)"))
+    cards = overall.withColumn("_dated", F.expr("IF(bucket IS NULL, NULL, mean)")).groupBy("ordinal", "key").agg(
+        *map(F.expr, ["max(overall) AS current_average", "min(low) AS minimum", "max(high) AS maximum",
+                      "sqrt(try_divide(sum(n * (var + pow(mean - overall, 2))), sum(n) - 1)) AS std"]),
         change_percent("_dated", "bucket").alias("trend"),
     )
     texts = literal_table(df.sparkSession, ["_key", "name", "full_name", "description", "healthy_range",

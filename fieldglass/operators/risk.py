@@ -42,7 +42,7 @@ class _Parts:
             found = exact_quantiles(df, {p: (c, [0.5]) for p, c in self.expressions.items()}, **limits)
             self.medians = {p: q[0] for p, q in found.items()}
         self.ranks = RankTable(df, self.ranked, **limits) if self.ranked else None
-        for field, middle in (self.ranks.median_pct() if self.ranks else {}).items():
+        for field, middle in (self.ranks.medians if self.ranks else {}).items():
             pct = F.col(f"_{field}_pct")
             self.expressions[field] = pct * 100 if field == "temperature" else (1 - pct) * 100
             if middle is not None:
