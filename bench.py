@@ -52,7 +52,9 @@ def session() -> SparkSession:
         SparkSession.builder.master(f"local[{CPUS}]").appName("fieldglass-bench")
         .config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per expression
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

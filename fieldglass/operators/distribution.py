@@ -15,6 +15,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions.scalar import sql_literal
 from fieldglass.runtime import settle
 
 #: up to this many distinct values: one window task, and a broadcast lookup (about 24 bytes a row)
@@ -161,18 +162,17 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[f
     prove the bracket holds the wanted ranks; if one does not, it is widened to
     the column's whole range, so the answer never rests on the sketch.
     """
-    slots = [(name, q) for name, (_, qs) in wanted.items() for q in qs]
     plain = df.select(*[c.cast("double").alias(f"q{i}") for i, (c, _) in enumerate(wanted.values())])
     column = {name: f"q{i}" for i, name in enumerate(wanted)}
     margin = 4.0 / SKETCH_ACCURACY
     sketches = []
     for name, (_, qs) in wanted.items():
-        ends = [p for q in qs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
+        ends = ", ".join(f"{p}D" for q in qs for p in (max(q - margin, 0.0), min(q + margin, 1.0)))
         c = column[name]
-        sketches += [F.count(c).alias(f"{c}_n"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
-                     F.percentile_approx(c, ends, SKETCH_ACCURACY).alias(f"{c}_ends")]
+        sketches += [f"count({c}) AS {c}_n", f"min({c}) AS {c}_min", f"max({c}) AS {c}_max",
+                     f"percentile_approx({c}, array({ends}), {SKETCH_ACCURACY}) AS {c}_ends"]
     sharded = plain.withColumn("_shard", F.spark_partition_id() % SKETCH_SHARDS)
-    shards = sharded.groupBy("_shard").agg(*sketches).collect()  # at most SKETCH_SHARDS rows
+    shards = sharded.groupBy("_shard").agg(*map(F.expr, sketches)).collect()  # at most SKETCH_SHARDS rows
 
     answers: dict[str, list[float | None]] = {name: [None] * len(qs) for name, (_, qs) in wanted.items()}
     brackets, whole, counts = {}, {}, {}
@@ -208,13 +208,11 @@ def _locate(plain: DataFrame, brackets: Mapping[tuple, tuple[str, float, float]]
     spans: dict[tuple[str, float, float], list] = {}
     for slot, bracket in brackets.items():
         spans.setdefault(bracket, []).append(slot)
-    cells = []
-    for number, (c, low, high) in enumerate(spans):
-        value = F.col(c)
-        cells.append(F.struct(F.lit(number).alias("span"), (value <= high).alias("kept"),
-                              F.when(value >= low, value).alias("value")))
+    cells = ", ".join(
+        f"struct({number} AS span, {c} <= {sql_literal(high)} AS kept, IF({c} >= {sql_literal(low)}, {c}, NULL) AS value)"
+        for number, (c, low, high) in enumerate(spans))
     # everything below a bracket becomes one row (missing value, sorts first); everything above is dropped
-    table = plain.select(F.inline(F.array(*cells))).where("kept").groupBy("span", "value").agg(
+    table = plain.selectExpr(f"inline(array({cells}))").where("kept").groupBy("span", "value").agg(
         F.count(F.lit(1)).alias("ties"))
     wanted = [(number, slot, rank) for number, slots in enumerate(spans.values()) for slot in slots
               for rank in set(ranks[slot])]
@@ -229,9 +227,7 @@ def _locate(plain: DataFrame, brackets: Mapping[tuple, tuple[str, float, float]]
     else:
         table = settle(table, "brackets")
         placed = running_before(table, "span", ["value"], F.col("ties"), table.count(), small, range_rows)
-        hit = F.lit(False)
-        for number, _, rank in wanted:
-            hit = hit | ((F.col("span") == number) & (F.col("before") <= rank) & (F.col("before") + F.col("ties") > rank))
+        hit = " OR ".join(f"(span = {number} AND before <= {rank} AND before + ties > {rank})" for number, _, rank in wanted)
         ordered = placed.where(hit).select("span", "value", "before", "ties").collect()
     out = {}
     for span, value, before, ties in ordered:

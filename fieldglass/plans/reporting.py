@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from fieldglass import vocabulary as V
 from fieldglass.operators import anomaly, browse, correlation, points, regions, risk, trends
 from fieldglass.operators.distribution import with_percent_rank, with_row_position
-from fieldglass.operators.findings import findings, first_findings
 from fieldglass.operators.reports import flagged
 from fieldglass.operators.schema import numeric_features, prepare
 from fieldglass.plans import sql as Q
@@ -504,8 +503,3 @@ def _(ws):
 def _(ws):
     return six(reduce(DataFrame.unionByName, [
         ws.climate.agg(F.lit(f).alias("feature"), F.avg(f).alias("mean")) for f in numeric_features(ws.climate)]))
-
-
-@query("o9_first_findings")
-def _(ws):
-    return first_findings(findings(ws.scored)).select("ordinal", "category", "statement")

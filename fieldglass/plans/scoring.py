@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from fieldglass import vocabulary as V
 from fieldglass.operators import anomaly, cluster, histogram, regions, risk, trends
 from fieldglass.operators.distribution import exact_quantiles
+from fieldglass.operators import findings as F_
 from fieldglass.operators.findings import findings, recommendations
 from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, query, six, with_ctes
 from fieldglass.plans.reporting import _pair_rows
 from fieldglass.plans.tables import obs_raw, score
-from fieldglass.operators.schema import prepare
+from fieldglass.operators.schema import prepare, resolve_fields
 
 ZSCORED = Q.OBS + Q.anomalies("obs")
 FEATURES = list(Q.FEATURES)
@@ -232,16 +233,38 @@ def _flat(found):
     return found.withColumn("evidence", F.array_join(pairs, ";"))
 
 
-@query("i1_to_i9_findings", _findings_sql(Q.SCORED, "obs"))
+@query("i9_findings", _findings_sql(Q.SCORED, "obs"))
 def _(ws):
     return _flat(findings(ws.scored))
 
 
-@query("i1_to_i9_findings_climate", _findings_sql(Q.CLIMATE_SCORED, "climate"))
+@query("i9_findings_climate", _findings_sql(Q.CLIMATE_SCORED, "climate"))
 def _(ws):
     return _flat(findings(ws.climate_scored))
 
 
+_ONE = {
+    1: ("vegetation_trend", lambda ws, f: F_.trend_finding(ws.scored)),
+    2: ("moisture", lambda ws, f: F_.level_findings(ws.scored, f)),
+    3: ("heat", lambda ws, f: F_.level_findings(ws.scored, f)),
+    4: ("rain", lambda ws, f: F_.level_findings(ws.scored, f)),
+    5: ("anomalies", lambda ws, f: F_.level_findings(ws.scored, f)),
+    6: ("region_extremes", lambda ws, f: F_.region_finding(ws.scored, f)),
+    7: ("strongest_pair", lambda ws, f: F_.correlation_finding(ws.scored)),
+    8: ("risk_counts", lambda ws, f: F_.level_findings(ws.scored, f)),
+}
+for _number, (_name, _build) in _ONE.items():
+    @query(f"i{_number}_{_name}", f"SELECT * FROM ({_findings_sql(Q.SCORED, 'obs')}) f WHERE ordinal = {_number}")
+    def _(ws, number=_number, build=_build):
+        return _flat(build(ws, resolve_fields(ws.scored.columns)).where(F.col("ordinal") == number))
+
+
+@query("o9_first_findings", f"SELECT ordinal, category, statement FROM ({_findings_sql(Q.SCORED, 'obs')}) f ORDER BY ordinal "
+                            "LIMIT 4")
+def _(ws):
+    return F_.first_findings(findings(ws.scored)).select("ordinal", "category", "statement")
+
+
 @query("i10_recommendations", with_ctes(
     f"rule AS (SELECT * FROM (VALUES {Q.values([(i + 1, c, t) for i, (c, t) in enumerate(V.RECOMMENDATIONS)])}) "
     f"v(ordinal, category, recommendation)), found AS ({_findings_sql(Q.SCORED, 'obs')})",

@@ -15,7 +15,7 @@ from fieldglass.operators.schema import adapt_names, prepare
 
 
 def take_in(spark: SparkSession, source: str, schema: T.StructType, target: str, progress: str,
-            fmt: str = "parquet", high_rain: float | None = None, files_per_batch: int | None = None) -> int:
+            fmt: str = "parquet", high_rain: float | None = None) -> int:
     """Prepare all new files of ``source`` and append them to the Parquet table ``target``; returns the rows added.
 
     ``progress`` is the stream's checkpoint folder and belongs to one target.
@@ -26,8 +26,6 @@ def take_in(spark: SparkSession, source: str, schema: T.StructType, target: str,
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     prepared = prepare(adapt_names(reader.load(source)), high_rain=high_rain)
     query = (
         prepared.writeStream.format("parquet").option("path", target).option("checkpointLocation", progress)
