@@ -31,9 +31,11 @@ def season(timestamp: Column) -> Column:
     return clamp(F.sin((F.dayofyear(timestamp) - 110) * (2 * pi / 365.25)), -0.4, 1.0)
 
 
-def wetness(rainfall: Column, high_rain: float) -> Column:
-    """Rain relative to its 0.92 quantile, limited to [0, 1.8]; missing rain counts as none."""
-    return clamp(ratio(F.coalesce(rainfall, F.lit(0.0)), F.lit(high_rain) + 1e-4), 0.0, 1.8)
+def wetness(rainfall: Column, high_rain: float | None) -> Column:
+    """Rain relative to its 0.92 quantile, limited to [0, 1.8]; missing rain counts as none, no quantile gives none."""
+    if high_rain is None:
+        return F.lit(None).cast("double")
+    return clamp(F.try_divide(F.coalesce(rainfall, F.lit(0.0)), F.lit(high_rain + 1e-4)), 0.0, 1.8)
 
 
 def heat(temperature: Column) -> Column:

@@ -99,10 +99,13 @@ class RankTable:
                  range_rows: int = RANGE_ROWS) -> None:
         self.small = small
         values = settle(value_table(df, columns), "values")
+        rows = values.count()
         totals = values.groupBy("feature").agg(F.sum("ties").alias("n"), F.count(F.lit(1)).alias("d"))
-        ordered = running_before(values, "feature", ["value"], F.col("ties"), values.count(), small, range_rows)
+        ordered = running_before(values, "feature", ["value"], F.col("ties"), rows, small, range_rows)
         self.table = ordered.join(F.broadcast(totals), "feature").withColumn(
             "pct", F.expr("(before + (ties + 1) / 2) / n"))
+        if rows > small:  # ordering is then worth keeping; a small table is cheaper to order again
+            self.table = settle(self.table, "ranks")
         self.counts = dict.fromkeys(columns, 0)
         self.distinct = dict.fromkeys(columns, 0)
         self.medians: dict[str, float | None] = dict.fromkeys(columns)

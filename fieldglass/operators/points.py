@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import literal_table
 from fieldglass.operators.risk import risk_level
-from fieldglass.operators.schema import resolve_fields, state_of_city
+from fieldglass.operators.schema import present, resolve_fields, state_of_city
 
 POINT_MEANS = ("ndvi", "ndwi", "temperature", "rainfall", "risk_score", "anomaly_score")
 
@@ -49,7 +49,7 @@ def group_points(rows: DataFrame, fields: Mapping[str, str] | None = None) -> Da
     if "state" in rows.columns:
         sources["state"] = "state"
     means = {m: fields.get(m, m) for m in POINT_MEANS if fields.get(m, m) in rows.columns}
-    keyed = rows.dropna(subset=list(sources.values())).select(
+    keyed = present(rows, list(sources.values())).select(
         *[F.col(c).alias(k) for k, c in sources.items()], *[F.col(c).alias(m) for m, c in means.items()])
     if not means:
         points = keyed.dropDuplicates()

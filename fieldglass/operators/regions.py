@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import literal_table
 from fieldglass.operators.distribution import RANGE_ROWS, SMALL_VALUES, running_before
-from fieldglass.operators.schema import candidate_features, resolve_fields
+from fieldglass.operators.schema import candidate_features, present, resolve_fields
 from fieldglass.operators.trends import bucket_of, change_percent, in_region
 from fieldglass.runtime import settle
 
@@ -83,10 +83,10 @@ def regional_profile(scored: DataFrame, fields: Mapping[str, str] | None = None)
     region = fields["region"]
     keys = [region, "state"] if "state" in scored.columns else [region]
     means = [F.avg(c).alias(c) for c in [*candidate_features(scored, fields), "risk_score"]]
-    grouped = scored.dropna(subset=[region]).groupBy(*keys).agg(*means, F.count(F.lit(1)).alias("_rows"))
+    grouped = present(scored, [region]).groupBy(*keys).agg(*means, F.count(F.lit(1)).alias("_rows"))
     per_region = Window.partitionBy(region)  # over groups, not over rows
     profile = grouped.withColumn("observations", F.sum("_rows").over(per_region)).drop("_rows")
-    return profile.dropna(subset=keys).orderBy(F.col("risk_score").desc(), *keys)
+    return present(profile, keys).orderBy(F.col("risk_score").desc(), *keys)
 
 
 def rank_regions(profile: DataFrame, small: int = SMALL_VALUES, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -114,13 +114,13 @@ def spatial_density(df: DataFrame, by: str = "state", cell: float = 1.0,
                     fields: Mapping[str, str] | None = None) -> DataFrame:
     """Rows, distinct points, cells, rows per cell, centroid, and greatest distance (km) from the centroid.
 
-    Rows are reduced to distinct points before anything is joined.
+    Rows are reduced to distinct points, which are settled, before anything is joined: one scan of the table.
     """
     fields = fields or resolve_fields(df.columns)
     by = fields.get(by, by)
     lat, lon = fields["latitude"], fields["longitude"]
-    places = df.dropna(subset=[by, lat, lon]).groupBy(F.col(by).alias("_by"), F.col(lat).alias("lat"),
-                                                      F.col(lon).alias("lon")).agg(F.count(F.lit(1)).alias("n"))
+    places = settle(present(df, [by, lat, lon]).groupBy(
+        F.col(by).alias("_by"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count(F.lit(1)).alias("n")), "places")
     centres = places.groupBy("_by").agg(
         F.sum("n").alias("observations"), F.count(F.lit(1)).alias("points"),
         (F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("centre_latitude"),

@@ -129,13 +129,19 @@ def climate_indices(df: DataFrame, fields: Fields, high_rain: float | None, keep
     """Stand-ins for all six indices from season, rain and heat; replaces measured ones unless told to keep them."""
     rain = F.col(fields["rainfall"]) if "rainfall" in fields else F.lit(2.0)
     temperature = F.col(fields["temperature"]) if "temperature" in fields else F.lit(25.0)
-    m, h = season(F.col("_timestamp")), heat(temperature)
-    r = wetness(rain, high_rain) if high_rain is not None else F.lit(None).cast("double")
-    first = df.withColumn("ndvi", proxy_ndvi(m, r, h))
+    # Each term is a column of its own, so that it is computed once for all six formulas.
+    terms = df.withColumns({"_season": season(F.col("_timestamp")), "_wet": wetness(rain, high_rain),
+                            "_heat": heat(temperature)})
+    m, r, h = F.col("_season"), F.col("_wet"), F.col("_heat")
     rest = proxy_rest(F.col("ndvi"), m, r, h)
     if keep_measured:
         rest = {k: v for k, v in rest.items() if k not in df.columns}
-    return first.withColumns(rest)
+    return terms.withColumn("ndvi", proxy_ndvi(m, r, h)).withColumns(rest).drop("_season", "_wet", "_heat")
+
+
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with all of the columns present, as plain conditions that reach the file scan."""
+    return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
 
 
 def prepare(df: DataFrame, fields: Mapping[str, str] | None = None, order_key: Sequence[str] | None = None,

@@ -34,14 +34,23 @@ def with_ctes(ctes: str, body: str) -> str:
     return f"WITH {ctes} {body}"
 
 
-def six(df: DataFrame) -> DataFrame:
-    """All floating-point columns at six places."""
+def rounded(df: DataFrame, places: int) -> DataFrame:
     return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        (F.round(F.col(f"`{f.name}`"), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`") for f in df.schema.fields
     ])
 
 
+def six(df: DataFrame) -> DataFrame:
+    """All floating-point columns at six places."""
+    return rounded(df, 6)
+
+
+def nine(df: DataFrame) -> DataFrame:
+    """All floating-point columns at nine places."""
+    return rounded(df, 9)
+
+
 def day(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 

@@ -14,7 +14,7 @@ from fieldglass.operators.distribution import with_percent_rank, with_row_positi
 from fieldglass.operators.reports import flagged
 from fieldglass.operators.schema import numeric_features, prepare
 from fieldglass.plans import sql as Q
-from fieldglass.plans.registry import day, query, six, with_ctes
+from fieldglass.plans.registry import day, nine, query, six, with_ctes
 from fieldglass.plans.tables import climate_feed, climate_raw, obs_raw, table
 from fieldglass.sources.readers import normalise_climate_feed
 
@@ -121,11 +121,11 @@ _POINT_ROWS = (f"SELECT latitude, longitude, region, state, region AS city, {Q.s
 
 
 @query("f12_hot_points", with_ctes(
-    Q.CLIMATE_SCORED, f"SELECT region, avg(risk_score) >= 60 AS hot, {Q.r6('avg(risk_score)', 'risk_score')} FROM scored "
+    Q.CLIMATE_SCORED, f"SELECT region, avg(risk_score) >= 60 AS hot, {Q.r9('avg(risk_score)', 'risk_score')} FROM scored "
                       "WHERE region IS NOT NULL AND region <> 'Atlantis' GROUP BY region"))
 def _(ws):
     located = _with_station(ws.climate_scored)
-    return six(points.group_points(located).select("region", "hot", "risk_score"))
+    return nine(points.group_points(located).select("region", "hot", "risk_score"))
 
 
 def _with_station(rows: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _(ws):
     return six(left.join(ws.scored.select("row_id", "risk_score", "risk_level"), "row_id", "left"))
 
 
-_PROFILE = (f"SELECT region, state, {Q.sixes(*Q.FEATURES, 'risk_score')}, observations FROM (SELECT region, state, "
+_PROFILE = (f"SELECT region, state, {Q.nines(*Q.FEATURES, 'risk_score')}, observations FROM (SELECT region, state, "
             + ", ".join(f"avg({c}) AS {c}" for c in (*Q.FEATURES, "risk_score"))
             + ", any_value(n) AS observations FROM (SELECT *, count(*) OVER (PARTITION BY region) AS n FROM scored) s "
               "WHERE region IS NOT NULL AND state IS NOT NULL GROUP BY region, state) g")
@@ -197,18 +197,18 @@ def _(ws):
 # --- aggregates ---------------------------------------------------------------------------------
 
 _SUMMARY = ("SELECT count(*) AS rows, {width} AS columns, count(DISTINCT region) AS regions, count(DISTINCT state) AS states, "
-            + ", ".join(Q.r6(f"avg({i})", f"mean_{i}") for i in V.INDEX_NAMES)
-            + f", {Q.r6('avg(risk_score)', 'average_risk')}, count(*) FILTER (risk_score >= 61) AS high_risk FROM scored")
+            + ", ".join(Q.r9(f"avg({i})", f"mean_{i}") for i in V.INDEX_NAMES)
+            + f", {Q.r9('avg(risk_score)', 'average_risk')}, count(*) FILTER (risk_score >= 61) AS high_risk FROM scored")
 
 
 @query("a1_summary", with_ctes(Q.SCORED, _SUMMARY.format(width=20)))
 def _(ws):
-    return six(regions.summary(ws.scored))
+    return nine(regions.summary(ws.scored))
 
 
 @query("a1_summary_climate", with_ctes(Q.CLIMATE_SCORED, _SUMMARY.format(width=13)))
 def _(ws):
-    return six(regions.summary(ws.climate_scored))
+    return nine(regions.summary(ws.climate_scored))
 
 
 def _cards(t: str, where: str = "true", keys=None) -> str:
@@ -220,25 +220,25 @@ def _cards(t: str, where: str = "true", keys=None) -> str:
                    f"{key} IS NOT NULL GROUP BY 1)")
         parts.append(
             f"SELECT '{key}' AS key, '{name}' AS name, {Q.quoted(full)} AS full_name, {Q.quoted(text)} AS description, "
-            f"'{healthy}' AS healthy_range, '{stressed}' AS stressed_range, {Q.r6(f'avg({key})', 'current_average')}, "
-            f"{Q.r6(f'min({key})', 'minimum')}, {Q.r6(f'max({key})', 'maximum')}, {Q.r6(f'stddev_samp({key})', 'std')}, "
-            f"(SELECT round({Q.CHANGE}, 6) + 0.0 FROM {monthly} x) AS trend FROM {t} WHERE {where}")
+            f"'{healthy}' AS healthy_range, '{stressed}' AS stressed_range, {Q.r9(f'avg({key})', 'current_average')}, "
+            f"{Q.r9(f'min({key})', 'minimum')}, {Q.r9(f'max({key})', 'maximum')}, {Q.r9(f'stddev_samp({key})', 'std')}, "
+            f"(SELECT round({Q.CHANGE}, 9) + 0.0 FROM {monthly} x) AS trend FROM {t} WHERE {where}")
     return " UNION ALL ".join(parts)
 
 
 @query("a2_index_cards", with_ctes(Q.OBS, _cards("obs")))
 def _(ws):
-    return six(regions.index_cards(ws.obs).drop("ordinal"))
+    return nine(regions.index_cards(ws.obs).drop("ordinal"))
 
 
 @query("a2_index_cards_climate", with_ctes(Q.CLIMATE, _cards("climate")))
 def _(ws):
-    return six(regions.index_cards(ws.climate).drop("ordinal"))
+    return nine(regions.index_cards(ws.climate).drop("ordinal"))
 
 
 @query("d6_index_card_of_region", with_ctes(Q.OBS, _cards("obs", "region = 'NATION_7'", ["ndwi"])))
 def _(ws):
-    return six(regions.index_cards(ws.obs, region="NATION_7", index="ndwi").drop("ordinal"))
+    return nine(regions.index_cards(ws.obs, region="NATION_7", index="ndwi").drop("ordinal"))
 
 
 for _every in trends.UNITS:
@@ -270,12 +270,12 @@ def _(ws):
 
 @query("a6_regional_profile", with_ctes(Q.SCORED, _PROFILE))
 def _(ws):
-    return six(regions.regional_profile(ws.scored))
+    return nine(regions.regional_profile(ws.scored))
 
 
 @query("a6_regional_profile_climate", with_ctes(Q.CLIMATE_SCORED, _PROFILE))
 def _(ws):
-    return six(regions.regional_profile(ws.climate_scored))
+    return nine(regions.regional_profile(ws.climate_scored))
 
 
 def _pearson(a: str, b: str) -> str:
@@ -375,11 +375,11 @@ def _(ws):
 
 
 @query("w1_percent_rank_many_values", with_ctes(
-    Q.OBS, f"SELECT row_id, {Q.r6(Q.percent_rank('ndvi'), 'ndvi_pct')} FROM obs"))
+    Q.OBS, f"SELECT row_id, {Q.r6(Q.percent_rank('swir'), 'swir_pct')} FROM obs"))
 def _(ws):
     """The way for large inputs, forced: range partitions, hot values broadcast, cold values joined by shuffle."""
-    ranked = with_percent_rank(ws.obs.select("row_id", "ndvi"), {"ndvi": "ndvi_pct"}, small=1000, range_rows=2000)
-    return six(ranked.select("row_id", "ndvi_pct"))
+    ranked = with_percent_rank(ws.obs.select("row_id", "swir"), {"swir": "swir_pct"}, small=1000, range_rows=2000)
+    return six(ranked.select("row_id", "swir_pct"))
 
 
 @query("w2_first_and_last", with_ctes(
@@ -499,7 +499,7 @@ def _(ws):
 
 
 @query("u3_union_of_findings", with_ctes(
-    Q.CLIMATE, " UNION ALL ".join(f"SELECT '{f}' AS feature, {Q.r6(f'avg({f})', 'mean')} FROM climate" for f in Q.FEATURES)))
+    Q.CLIMATE, " UNION ALL ".join(f"SELECT '{f}' AS feature, {Q.r9(f'avg({f})', 'mean')} FROM climate" for f in Q.FEATURES)))
 def _(ws):
-    return six(reduce(DataFrame.unionByName, [
+    return nine(reduce(DataFrame.unionByName, [
         ws.climate.agg(F.lit(f).alias("feature"), F.avg(f).alias("mean")) for f in numeric_features(ws.climate)]))

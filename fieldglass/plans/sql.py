@@ -10,6 +10,15 @@ def r6(expression: str, name: str | None = None) -> str:
     return f"round({expression}, 6) + 0.0 AS {name or expression}"
 
 
+def r9(expression: str, name: str | None = None) -> str:
+    """Nine places, for means of values that have few decimals: at six they often fall on exact halves."""
+    return f"round({expression}, 9) + 0.0 AS {name or expression}"
+
+
+def nines(*names: str) -> str:
+    return ", ".join(r9(n) for n in names)
+
+
 def sixes(*names: str) -> str:
     return ", ".join(r6(n) for n in names)
 
