@@ -8,18 +8,36 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass import vocabulary as V
 from fieldglass.operators.schema import resolve_fields
 
 
+#: characters that the text of a value can hold, in lower case; a column whose values cannot spell the term is skipped
+_NUMBER_TEXT = set("0123456789.-+einfatyn")
+_TIME_TEXT = set("0123456789-:. +")
+_FLAG_TEXT = set("truefals")
+
+
+def _can_hold(data_type: T.DataType, term: str) -> bool:
+    if isinstance(data_type, T.NumericType):
+        return set(term) <= _NUMBER_TEXT
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return set(term) <= _TIME_TEXT
+    return not isinstance(data_type, T.BooleanType) or set(term) <= _FLAG_TEXT
+
+
 def search_rows(df: DataFrame, term: str | None, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows with the literal text, in any case, in one of the first 20 columns (or the given ones)."""
     if not term:
         return df
-    columns = columns or df.columns[:V.SEARCHED_COLUMNS]
+    term = term.lower()
+    searched = [c for c in columns or df.columns[:V.SEARCHED_COLUMNS] if _can_hold(df.schema[c].dataType, term)]
+    if not searched:
+        return df.where(F.lit(False))
     return df.where(reduce(or_, [
-        F.coalesce(F.lower(F.col(c).cast("string")).contains(term.lower()), F.lit(False)) for c in columns]))
+        F.coalesce(F.lower(F.col(f"`{c}`").cast("string")).contains(term), F.lit(False)) for c in searched]))
 
 
 def sort_rows(df: DataFrame, sort: str | None, order: str = "asc", tiebreak: Sequence[str] = ()) -> DataFrame:

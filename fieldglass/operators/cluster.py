@@ -10,11 +10,13 @@ of a handful of rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from fieldglass.operators.forest import unit_hash
 from fieldglass.operators.schema import candidate_features, numeric_features, resolve_fields
 from fieldglass.runtime import settle
 
+# Functions sent to executors travel with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Centres = list[list[float]]
 
 

@@ -20,8 +20,9 @@ from fieldglass.runtime import settle
 
 #: up to this many distinct values: one window task, and a broadcast lookup (about 24 bytes a row)
 SMALL_VALUES = 1_000_000
-#: rows per range partition when a value table is larger than that
-RANGE_ROWS = 5_000_000
+#: rows per range partition when a value table is larger than that, and the most partitions made
+RANGE_ROWS = 250_000
+MAX_RANGES = 20_000
 #: a value holding more than 1/HOT_SHARE of the rows is hot; there are at most HOT_SHARE of them
 HOT_SHARE = 10_000
 #: salts that spread rows which must not meet in a shuffled lookup
@@ -61,12 +62,12 @@ def running_before(df: DataFrame, group: str | None, order: Sequence[str], weigh
 
     full_order = [group, *order] if group else list(order)
     ranged = settle(
-        weighted.repartitionByRange(max(2, ceil(rows / range_rows)), *full_order)
+        weighted.repartitionByRange(min(MAX_RANGES, max(2, ceil(rows / range_rows))), *full_order)
         .withColumn("_part", F.spark_partition_id()),
         "ranges",
     )
     totals = ranged.groupBy("_part").agg(F.sum("_w").alias("_sum"))
-    # one row per range partition: at most rows / range_rows of them
+    # one row per range partition: at most MAX_RANGES of them
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_part").orderBy(*full_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -75,8 +76,10 @@ def running_before(df: DataFrame, group: str | None, order: Sequence[str], weigh
         .join(F.broadcast(offsets), "_part")
         .withColumn("before", F.col("_offset") + F.col("_ahead"))
     )
-    if group:
-        starts = placed.groupBy(group).agg(F.min("before").alias("_start"))
+    if group:  # few groups: what lies ahead of each one
+        sizes = ranged.groupBy(group).agg(F.sum("_w").alias("_sum"))
+        starts = sizes.select(group, F.coalesce(F.sum("_sum").over(
+            Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
         placed = placed.join(F.broadcast(starts), group).withColumn("before", F.col("before") - F.col("_start"))
     return placed.drop("_w", "_part", "_offset", "_ahead", "_start")
 
@@ -118,8 +121,12 @@ class RankTable:
         for feature, found in middles.items():
             self.medians[feature] = (found[0] + found[-1]) / 2
 
-    def attach(self, df: DataFrame, feature: str, column: Column, out: str) -> DataFrame:
-        """Left join of the feature's percent rank onto the rows as column ``out``."""
+    def attach(self, df: DataFrame, feature: str, column: Column, out: str,
+               row_key: Sequence[str] = ("row_id",)) -> DataFrame:
+        """Left join of the feature's percent rank onto the rows as column ``out``.
+
+        ``row_key`` only spreads rows evenly in a shuffled lookup; all columns serve if it is absent.
+        """
         lookup = self.table.where(F.col("feature") == feature).select(
             F.col("value").alias("_value"), F.col("ties").alias("_ties"), F.col("pct").alias(out)
         )
@@ -131,11 +138,12 @@ class RankTable:
         # Hot values: at most HOT_SHARE rows by arithmetic, so they are broadcast. The cold values are
         # joined by shuffle; rows already answered (or missing) take a salt that matches nothing.
         limit = self.counts[feature] / HOT_SHARE
+        spread_by = [c for c in row_key if c in df.columns] or df.columns
         hot = lookup.where(F.col("_ties") > limit).select(F.col("_value").alias("_hot"), F.col(out).alias("_hot_pct"))
         cold = lookup.where(F.col("_ties") <= limit).drop("_ties").withColumn("_lane", F.lit(0))
         first = keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
         settled_here = F.col("_hot_pct").isNotNull() | F.col("_key").isNull()
-        salt = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
+        salt = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), F.lit(SALTS))
         first = first.withColumn("_row_lane", F.when(settled_here, salt).otherwise(F.lit(0)).cast("int"))
         first = first.withColumn("_cold_key", F.coalesce("_key", F.lit(0.0)))
         joined = first.join(

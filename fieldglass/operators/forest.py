@@ -7,14 +7,19 @@ tables, are broadcast, and rows are scored where they are, in Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Functions sent to executors travel with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
 
