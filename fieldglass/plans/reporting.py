@@ -367,19 +367,19 @@ def _(ws):
 
 
 @query("w1_percent_rank", with_ctes(
-    Q.OBS, f"SELECT row_id, {Q.r6(Q.percent_rank('temperature'), 'temperature_pct')}, "
-           f"{Q.r6(Q.percent_rank('rainfall'), 'rainfall_pct')} FROM obs"))
+    Q.OBS, f"SELECT row_id, {Q.r9(Q.percent_rank('temperature'), 'temperature_pct')}, "
+           f"{Q.r9(Q.percent_rank('rainfall'), 'rainfall_pct')} FROM obs"))
 def _(ws):
     ranked = with_percent_rank(ws.obs, {"temperature": "temperature_pct", "rainfall": "rainfall_pct"})
-    return six(ranked.select("row_id", "temperature_pct", "rainfall_pct"))
+    return nine(ranked.select("row_id", "temperature_pct", "rainfall_pct"))
 
 
 @query("w1_percent_rank_many_values", with_ctes(
-    Q.OBS, f"SELECT row_id, {Q.r6(Q.percent_rank('swir'), 'swir_pct')} FROM obs"))
+    Q.OBS, f"SELECT row_id, {Q.r9(Q.percent_rank('swir'), 'swir_pct')} FROM obs"))
 def _(ws):
     """The way for large inputs, forced: range partitions, hot values broadcast, cold values joined by shuffle."""
     ranked = with_percent_rank(ws.obs.select("row_id", "swir"), {"swir": "swir_pct"}, small=1000, range_rows=2000)
-    return six(ranked.select("row_id", "swir_pct"))
+    return nine(ranked.select("row_id", "swir_pct"))
 
 
 @query("w2_first_and_last", with_ctes(
