@@ -12,9 +12,6 @@ SMALL_BYTES = 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: white space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return
-BLANKS = " \t\n\x0b\x0c\r"
-
 
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
@@ -36,4 +33,4 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-__all__ = ["BLANKS", "SMALL_BYTES", "if_small", "lower_ascii", "same", "settle", "stored_bytes", "text_key"]
+__all__ = ["SMALL_BYTES", "if_small", "lower_ascii", "same", "settle", "stored_bytes", "text_key"]

@@ -16,7 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.frames import BLANKS, lower_ascii, settle, text_key
+from fieldglass.llm.blocks import Prefix, blocks, lines, mix, per_row, words
+from fieldglass.llm.frames import settle, text_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,19 +27,45 @@ LAST = (1 << 63) - 1  # a document without an id comes after all others
 LINE = "h1 bigint, h2 bigint, doc bigint, t1 bigint, t2 bigint, pos int, n_lines int"
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(BLANKS)))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+def block_keys(data: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
+    """(row, place, 64 bits, 64 bits more) of the lines of a block whose keys are long enough to count."""
+    data = LOWER[data]
+    start, end, row = lines(data, offsets)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    begins, stops, _ = words(data, offsets)
+    first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
+    full = np.flatnonzero(last > first)  # a key runs from the line's first word to the end of its last
+    row, place, low, high = row[full], place[full], begins[first[full]], stops[last[full] - 1]
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    long = np.flatnonzero(chars[high] - chars[low] >= min_chars)
+    low, high = low[long], high[long]
+    return row[long], place[long], mix(Prefix(data).ranges(low, high)), mix(Prefix(data, seed=2).ranges(low, high))
+
+
+def _hash_lines(min_chars: int):
+    def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for first, data, offsets in blocks(batch.column(3)):
+                row, place, h1, h2 = block_keys(data, offsets, min_chars)
+                n_lines = 1 + per_row(data == 10, offsets)
+                own = first + row
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc[own]), pa.array(t1[own]), pa.array(t2[own]),
+                     pa.array(place.astype(np.int32)), pa.array(n_lines[row].astype(np.int32))],
+                    names=["h1", "h2", "doc", "t1", "t2", "pos", "n_lines"])
+
+    return hash_lines
 
 
 def _line_rows(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     t1, t2 = text_key(F.col(text))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), t1.alias("t1"), t2.alias("t2"),
-                       F.size(parts).alias("n_lines"), F.posexplode(parts).alias("pos", "line"))
-    return (
-        rows.withColumn("k", line_key(F.col("line"))).where(F.length("k") >= min_chars)
-        .select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), "doc", "t1", "t2", "pos", "n_lines")
-    )
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), t1.alias("t1"), t2.alias("t2"), F.col(text).alias("text"))
+    return rows.mapInArrow(_hash_lines(min_chars), LINE)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
