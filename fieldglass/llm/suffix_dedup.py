@@ -26,8 +26,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 200
 #: bytes of the short strings that name a window
 SHORT = 48
-#: runs of one name that are sorted by one task; a name with more is dealt to several, and they compare digests
-GROUP_RUNS = 1000
+#: bytes of the strings that name the windows of a run anew when too many runs share its name
+FINE = 168
+#: different runs of one name that are sorted by one task; a name with more is split by finer names, and one that is
+#: still too common is dealt to several tasks, which compare digests
+GROUP_RUNS = 8192
 
 
 def _forward_backward(values: np.ndarray, width: int) -> np.ndarray:
@@ -67,16 +70,22 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, short: int) -
     return row[starts], starts - offsets[row[starts]], n, names[starts], content, recurs
 
 
+RUN = "k1 bigint, k2 bigint, start bigint, n bigint, name bigint, content bigint, recurs boolean"
+
+
+def _run_rows(k1, k2, start, n, name, content, recurs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(k1), pa.array(k2), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(name.view(np.int64)),
+         pa.array(content.view(np.int64)), pa.array(recurs)], names=["k1", "k2", "start", "n", "name", "content", "recurs"])
+
+
 def _runs(length: int, short: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, data, offsets in blocks(batch.column(2)):
                 row, start, n, name, content, recurs = block_runs(data, offsets, length, short)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[first + row]), pa.array(k2[first + row]), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64)),
-                     pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(recurs)],
-                    names=["k1", "k2", "start", "n", "name", "content", "recurs"])
+                yield _run_rows(k1[first + row], k2[first + row], start, n, name, content, recurs)
 
     return runs
 
@@ -293,16 +302,26 @@ def _without(length: int):
     return without
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
-    """(texts by key, spans): spans are (k1, k2, start, n): n consecutive windows that occur elsewhere as well.
+def _fine_runs(length: int, fine: int):
+    """The runs of documents' runs under finer names."""
 
-    A text is keyed by a hash of its id and 64 bits of its own; rows alike in both have the same spans.
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _cut_runs(length)(batches):
+            k1, k2, start = (batch.column(c).to_numpy() for c in ("k1", "k2", "start"))
+            for first, data, offsets in blocks(batch.column("raw")):
+                row, inner, n, name, content, recurs = block_runs(data, offsets, length, fine)
+                own = first + row
+                yield _run_rows(k1[own], k2[own], start[own] + inner, n, name, content, recurs)
+
+    return runs
+
+
+def _sift(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What names and contents tell: (spans of runs that all repeat, kinds of runs to compare with the number of the name's).
+
+    A name of one run can't repeat, unless a window may recur inside the run. Runs of a name that all have the same
+    bytes repeat as they are, and so do twins among others; one of each kind is left to be compared with other kinds.
     """
-    t1, t2 = text_key(F.col(text))
-    keyed = docs.select(F.xxhash64(F.col(key), t1).alias("k1"), t2.alias("k2"), F.col(text).alias("text"))
-    runs = keyed.where(F.octet_length("text") >= length).mapInArrow(
-        _runs(length, short), "k1 bigint, k2 bigint, start bigint, n bigint, name bigint, content bigint, recurs boolean")
-    # A name of one run can't repeat, unless a window may recur inside the run; equal bytes need no comparing.
     names = (
         runs.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.min("content").alias("least"), F.max("content").alias("most"),
                                  F.max("recurs").alias("any_recurs"))
@@ -310,41 +329,57 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         .select(F.col("name").alias("_name"), (~F.col("any_recurs") & (F.col("least") == F.col("most"))).alias("alike"))
     )
     known = settle(runs.join(names, F.col("name") == F.col("_name")).drop("_name"), "runs")
-    alike = known.where("alike").select("k1", "k2", "start", "n")
-
-    # Of runs with the same bytes one stands for all: twins all repeat, whatever the others of the name are.
-    mixed = (
-        known.where("NOT alike").groupBy("name", "content")
-        .agg(F.count(F.lit(1)).alias("twins"), F.min(F.struct("k1", "k2", "start", "n")).alias("r"), F.max("recurs").alias("recurs"))
-    )
-    mixed = settle(mixed, "mixed")
+    mixed = settle(known.where("NOT alike").groupBy("name", "content").agg(
+        F.count(F.lit(1)).alias("twins"), F.min(F.struct("k1", "k2", "start", "n")).alias("r")), "mixed")
     twins = known.where("NOT alike").join(
         mixed.where("twins > 1").select(F.col("name").alias("_name"), F.col("content").alias("_content")),
-        (F.col("name") == F.col("_name")) & (F.col("content") == F.col("_content")), "left_semi").select("k1", "k2", "start", "n")
-    sizes = mixed.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).select(F.col("name").alias("_name"), F.ceil(F.col("kinds") / GROUP_RUNS).alias("wide"))
-    pick = (
-        mixed.join(sizes, F.col("name") == F.col("_name"))
-        .withColumn("bucket", F.xxhash64("name", F.pmod(F.xxhash64("content"), F.col("wide"))))
-        .select(F.col("r.k1").alias("p1"), F.col("r.k2").alias("p2"),
-                F.struct(F.col("bucket").alias("name"), F.col("r.start").alias("start"), F.col("r.n").alias("n"), (F.col("wide") > 1).alias("shared")).alias("run"))
+        (F.col("name") == F.col("_name")) & (F.col("content") == F.col("_content")), "left_semi")
+    kinds = mixed.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).withColumnRenamed("name", "_name")
+    sized = settle(mixed.join(kinds, F.col("name") == F.col("_name")).select("name", "content", "r.*", "kinds"), "kinds")
+    return known.where("alike").unionByName(twins).select("k1", "k2", "start", "n"), sized
+
+
+def _with_bytes(keyed: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(k1, k2, text, runs): the texts that have the wanted runs."""
+    wanted = (
+        kinds.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.struct("name", "start", "n", "shared").alias("run"))
         .groupBy("p1", "p2").agg(F.collect_list("run").alias("runs"))
     )
-    bytes_of = (
-        keyed.join(pick, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2"))).select("k1", "k2", "text", "runs")
-        .mapInArrow(_cut_runs(length), "name bigint, k1 bigint, k2 bigint, start bigint, n bigint, shared boolean, raw binary")
+    return keyed.join(wanted, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2"))).select("k1", "k2", "text", "runs")
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, short: int = SHORT, fine: int = FINE) -> DataFrame:
+    """(k1, k2, start, n): n consecutive windows of a text that occur elsewhere as well.
+
+    A text is keyed by a hash of its id and 64 bits of its own; rows alike in both have the same spans.
+    """
+    keyed = _keyed(docs, text, key)
+    whole = keyed.where(F.octet_length("text") >= length).mapInArrow(_runs(length, short), RUN)
+    alike, kinds = _sift(whole)
+    common = kinds.where(F.col("kinds") > GROUP_RUNS).withColumn("shared", F.lit(False))
+    alike_fine, kinds_fine = _sift(_with_bytes(keyed, common).mapInArrow(_fine_runs(length, fine), RUN))
+    wide = F.ceil(F.col("kinds") / GROUP_RUNS)
+    left = (
+        kinds.where(F.col("kinds") <= GROUP_RUNS).unionByName(kinds_fine).withColumn("shared", F.col("kinds") > GROUP_RUNS)
+        .withColumn("name", F.xxhash64("name", F.pmod(F.xxhash64("content"), wide)))
     )
+    bytes_of = _with_bytes(keyed, left).mapInArrow(
+        _cut_runs(length), "name bigint, k1 bigint, k2 bigint, start bigint, n bigint, shared boolean, raw binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = settle(
+    found = settle(
         bytes_of.repartition(parts, "name").sortWithinPartitions("name")
         .mapInArrow(_group(length), "k1 bigint, k2 bigint, start bigint, n bigint, digest binary"), "windows")
-    # Runs that stand for several, and a name's runs in other tasks.
     across = (
-        sorted_.where("digest IS NOT NULL").groupBy("digest")
+        found.where("digest IS NOT NULL").groupBy("digest")
         .agg(F.count(F.lit(1)).alias("seen"), F.collect_set(F.when(F.col("n") == 1, F.struct("k1", "k2", "start", "n"))).alias("own"))
         .where("seen > 1").select(F.explode("own").alias("w")).select("w.*")
     )
-    spans = alike.unionByName(twins).unionByName(sorted_.where("digest IS NULL").drop("digest")).unionByName(across)
-    return keyed, spans
+    return alike.unionByName(alike_fine).unionByName(found.where("digest IS NULL").drop("digest")).unionByName(across)
+
+
+def _keyed(docs: DataFrame, text: str, key: str, *more: str) -> DataFrame:
+    t1, t2 = text_key(F.col(text))
+    return docs.select(F.xxhash64(F.col(key), t1).alias("k1"), t2.alias("k2"), F.col(text).alias("text"), *more)
 
 
 def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, short: int = SHORT) -> DataFrame:
@@ -356,10 +391,9 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     Null and empty texts, and texts shorter than ``length``, stay as they are. Repeated rows are copies of each other
     and lose everything that is long enough; an empty table gives an empty one.
     """
-    _, spans = repeated_spans(docs, text, key, length, short)
+    spans = repeated_spans(docs, text, key, length, short, max(short, length * FINE // LENGTH))
     own = (spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set(F.struct("start", "n")).alias("spans")))
-    t1, t2 = text_key(F.col(text))
-    keyed = docs.select(F.col(key), F.xxhash64(F.col(key), t1).alias("k1"), t2.alias("k2"), F.col(text).alias("text"))
+    keyed = _keyed(docs, text, key, key)
     joined = keyed.join(own, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     return joined.withColumn("x", _without(length)(F.col("text"), F.col("spans"))).select(key, "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept")
 

@@ -107,8 +107,6 @@ def test_tangled_bytes(spark, seed, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_RUNS", group)
     rows = tangled(seed, 150)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
-    _, spans = suffix_dedup.repeated_spans(docs, length=24, short=8)
-    assert spans.count()
     got = drop_repeated_bytes(docs, length=24, short=8)
     assert digests(got) == bytes_left(rows, 24)
 
