@@ -1,7 +1,7 @@
 """Earth-observation analytics as functions from DataFrame to DataFrame."""
 
 from fieldglass.operators.anomaly import severity_distribution, with_anomaly
-from fieldglass.operators.browse import browse, browse_total, health, metadata
+from fieldglass.operators.browse import browse, browse_total, health, metadata, page_after
 from fieldglass.operators.cluster import clusters
 from fieldglass.operators.correlation import correlation_matrix, correlations, strongest
 from fieldglass.operators.distribution import exact_quantiles, with_percent_rank, with_row_position
@@ -9,7 +9,7 @@ from fieldglass.operators.findings import findings, first_findings, recommendati
 from fieldglass.operators.histogram import density, histogram
 from fieldglass.operators.points import map_positions, matching_total, points
 from fieldglass.operators.regions import index_cards, rank_regions, regional_profile, spatial_density, summary
-from fieldglass.operators.reports import flagged, report
+from fieldglass.operators.reports import flagged, flagged_total, report
 from fieldglass.operators.risk import risk_distribution, risk_report, with_risk
 from fieldglass.operators.schema import numeric_features, prepare, resolve_fields
 from fieldglass.operators.trends import (

@@ -14,7 +14,6 @@ from fieldglass.functions.scalar import clamp, label_right_closed
 from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.forest import fit_forest, forest_score
 from fieldglass.operators.schema import candidate_features
-from fieldglass.runtime import settle
 
 
 def any_present(features: Sequence[str]) -> Column:
@@ -62,9 +61,9 @@ def with_anomaly(df: DataFrame, features: Sequence[str] | None = None, method: s
     """Add ``anomaly_score``, ``anomaly_flag`` and ``severity``.
 
     ``method`` is ``zscore``, ``forest``, or ``auto`` (forest from 8 eligible
-    rows on). Both read the table once for statistics; the forest also writes
-    the scored table once, because its scale needs the least and greatest raw
-    score.
+    rows on). Both read the table once for statistics; the forest scores it
+    once more for the least and greatest raw score, and writes nothing. It draws
+    rows by ``row_key``, which must be unique.
     """
     named = list(candidate_features(df) if features is None else features)
     if not named:
@@ -96,31 +95,38 @@ def min_max_scale(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(scaled, F.lit(0.0)))
 
 
-def robust_scale(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
-    """Feature -> ``(filled - median) / IQR``, exact over the whole table; a feature without spread is divided by 1.
+def scale_numbers(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float, float]]:
+    """Feature -> ``(fill, centre, width)``: its median, and median and IQR after filling, exact over the whole table.
 
-    Missing values are filled with the median first, and quartiles are taken after filling.
+    A feature without spread has width 1, one without values is all zero.
     """
-    filled = impute_median(df, features)
-    found = exact_quantiles(df, {f: (filled[f], [0.25, 0.5, 0.75]) for f in features})
+    medians = exact_quantiles(df, {f: (F.col(f), [0.5]) for f in features})
+    fills = {f: medians[f][0] if medians[f][0] is not None else 0.0 for f in features}
+    found = exact_quantiles(df, {f: (F.coalesce(F.col(f).cast("double"), F.lit(fills[f])), [0.25, 0.5, 0.75]) for f in features})
     out = {}
     for f in features:
         low, middle, high = found[f]
-        out[f] = F.lit(0.0) if middle is None else (filled[f] - middle) / ((high - low) or 1.0)
+        out[f] = (0.0, 0.0, 1.0) if middle is None else (fills[f], middle, (high - low) or 1.0)
     return out
 
 
+def robust_scale(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
+    """Feature -> ``(filled - median) / IQR`` as a column."""
+    numbers = scale_numbers(df, features)
+    return {f: (F.coalesce(F.col(f).cast("double"), F.lit(fill)) - centre) / width for f, (fill, centre, width) in numbers.items()}
+
+
 def _forest(df, features, n, trees, sample, seed, row_key) -> DataFrame:
     keys = [k for k in row_key if k in df.columns]
+    if not keys:
+        raise ValueError(f"the forest needs a unique key: none of {list(row_key)} is a column")
     filled = impute_median(df, features)
     rows = eligible_rows(df, features).select(
         *(F.col(k) for k in keys), *[filled[f].alias(f"_f{i}") for i, f in enumerate(features)])
     names = [f"_f{i}" for i in range(len(features))]
-    if not keys:
-        rows, keys = rows.withColumn("_key", F.xxhash64(*names)), ["_key"]
     packed, psi = fit_forest(rows, names, keys, n, trees, sample, seed)
     raw = forest_score(df.sparkSession, packed, psi, [filled[f] for f in features])
-    scored = settle(df.withColumn("_raw", F.when(any_present(features), raw)), "scored")
+    scored = df.withColumn("_raw", F.when(any_present(features), raw))
     return _labelled(min_max_scale(scored, "_raw", "anomaly_score"), F.col("anomaly_score")).drop("_raw")
 
 

@@ -29,11 +29,11 @@ def _can_hold(data_type: T.DataType, term: str) -> bool:
 
 
 def search_rows(df: DataFrame, term: str | None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows with the literal text, in any case, in one of the first 20 columns (or the given ones)."""
+    """Rows with the literal text, in any case, in any column (or one of the given ones)."""
     if not term:
         return df
     term = term.lower()
-    searched = [c for c in columns or df.columns[:V.SEARCHED_COLUMNS] if _can_hold(df.schema[c].dataType, term)]
+    searched = [c for c in columns or df.columns if _can_hold(df.schema[c].dataType, term)]
     if not searched:
         return df.where(F.lit(False))
     return df.where(reduce(or_, [
@@ -41,12 +41,17 @@ def search_rows(df: DataFrame, term: str | None, columns: Sequence[str] | None =
 
 
 def sort_rows(df: DataFrame, sort: str | None, order: str = "asc", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Ordered by a column with missing values last either way; an unknown column only leaves the tie-break."""
+    """Ordered by a column with missing values last either way; an unknown column only leaves the tie-break.
+
+    Pages of one table only fit together in a total order, so one of the tie-break columns must be there.
+    """
+    if not any(c in df.columns for c in tiebreak):
+        raise ValueError(f"paging needs a unique key: none of {list(tiebreak)} is a column")
     keys = []
     if sort in df.columns:
         keys.append(F.col(sort).asc_nulls_last() if order == "asc" else F.col(sort).desc_nulls_last())
     keys += [F.col(c) for c in tiebreak if c in df.columns and c != sort]
-    return df.orderBy(*keys) if keys else df
+    return df.orderBy(*keys)
 
 
 def page_of(df: DataFrame, page: int = 1, page_size: int = V.PAGE_SIZE) -> DataFrame:
@@ -56,9 +61,24 @@ def page_of(df: DataFrame, page: int = 1, page_size: int = V.PAGE_SIZE) -> DataF
     return df.offset((page - 1) * page_size).limit(page_size) if page > 1 else df.limit(page_size)
 
 
-def page_after(df: DataFrame, sort: str, last_value, page_size: int = V.PAGE_SIZE) -> DataFrame:
-    """Next page of a unique ascending column by its last seen value: cost does not grow with page depth."""
-    return page_of(df.where(F.col(sort) > F.lit(last_value)).orderBy(sort), 1, page_size)
+def page_after(df: DataFrame, sort: str, last_value, page_size: int = V.PAGE_SIZE, order: str = "asc",
+               key: str | None = None, last_key=None) -> DataFrame:
+    """The page after a row, by the row's sort value and key: the cost does not grow with the depth of the page.
+
+    Missing values come last in either direction; ``last_value`` None means that the row had none. Without ``key`` the
+    sort column itself must be unique and present.
+    """
+    keys = [F.col(sort).asc_nulls_last() if order == "asc" else F.col(sort).desc_nulls_last()]
+    if key is None or key == sort:
+        further = F.col(sort) > F.lit(last_value) if order == "asc" else F.col(sort) < F.lit(last_value)
+        return page_of(df.where(further).orderBy(*keys), 1, page_size)
+    tied = F.col(key) > F.lit(last_key)
+    if last_value is None:
+        further = F.col(sort).isNull() & tied
+    else:
+        beyond = F.col(sort) > F.lit(last_value) if order == "asc" else F.col(sort) < F.lit(last_value)
+        further = beyond | F.col(sort).isNull() | ((F.col(sort) == F.lit(last_value)) & tied)
+    return page_of(df.where(further).orderBy(*keys, key), 1, page_size)
 
 
 def browse(df: DataFrame, search: str | None = None, sort: str | None = None, order: str = "asc", page: int = 1,

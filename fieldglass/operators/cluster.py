@@ -1,7 +1,7 @@
 """Environmental zones: K-means on robustly scaled indicators, the number of zones chosen by silhouette.
 
-The number of clusters is chosen on a sample of at most 5,000 rows, a bounded
-problem whose runs (each k, each restart) and silhouettes are spread over
+Rows are scaled by exact quantiles of all rows. The number of clusters is chosen on a sample of at most ``sample_cap``
+rows, a bounded problem whose runs (each k, each restart) and silhouettes are spread over
 tasks against a broadcast copy of the sample. The whole table is then clustered from the best
 sample centres by plain aggregation: assign by least distance, average by
 cluster, repeat. Each round is one scan with map-side combining and a shuffle
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import sql_literal
-from fieldglass.operators.anomaly import any_present, eligible_rows
+from fieldglass.operators.anomaly import any_present, eligible_rows, scale_numbers
 from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.forest import unit_hash
 from fieldglass.operators.schema import candidate_features, numeric_features, resolve_fields
@@ -44,30 +44,16 @@ class Zones:
     silhouette: float
     silhouettes: dict[int, float]
     centres: Centres
+    converged: bool
 
 
-def seeded_sample(rows: DataFrame, n: int, cap: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """At most ``cap`` rows by hash order; a threshold first leaves about ``2 * cap`` rows to order."""
+def seeded_sample(rows: DataFrame, cap: int, seed: int, keys: Sequence[str]) -> DataFrame:
+    """The first ``cap`` rows (or all) by hash of their key: every task keeps its own first ``cap``."""
     by = [F.col(k) for k in keys]
     drawn = rows.withColumn("_u", unit_hash(*by, F.lit(seed)))
-    if n > 4 * cap:
-        drawn = drawn.where(F.col("_u") < 2.0 * cap / n)
     return drawn.orderBy("_u", *by).limit(cap).drop("_u")
 
 
-def robust_scale(sample: pd.DataFrame) -> dict[str, tuple[float, float, float]]:
-    """Per feature ``(median, centre, width)`` of a bounded sample: fill, subtract, divide.
-
-    Quartiles are taken after filling missing values with the median; no spread divides by 1.
-    """
-    out = {}
-    for name, values in sample.items():
-        median = float(values.median()) if values.notna().any() else 0.0
-        low, centre, high = np.percentile(values.fillna(median), [25, 50, 75])
-        out[name] = (median, float(centre), float(high - low) or 1.0)
-    return out
-
-
 def scaled_columns(scale: Mapping[str, tuple[float, float, float]], names: Sequence[str]) -> dict[str, Column]:
     return {
         x: F.expr(f"(coalesce(CAST(`{f}` AS DOUBLE), {sql_literal(fill)}) - {sql_literal(centre)}) / {sql_literal(width)}")
@@ -165,8 +151,12 @@ def mean_silhouettes(spark: SparkSession, shared, size: int, models: Mapping[int
     return {k: means[f"s{k}"] if means[f"c{k}"] > 1 else -1.0 for k in models}
 
 
-def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: int, tolerance: float) -> Centres:
-    """Lloyd rounds over the whole table until no centre moves more than the tolerance; empty clusters stay put."""
+def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: int,
+           tolerance: float) -> tuple[Centres, bool]:
+    """Lloyd rounds over the whole table until no centre moves more than the tolerance, and whether that came about.
+
+    Empty clusters stay put.
+    """
     for _ in range(max_iter):
         means = {
             row["c"]: [row[n] for n in names]
@@ -177,8 +167,8 @@ def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: in
         shift = max(sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(moved, centres))
         centres = moved
         if shift <= tolerance ** 2:
-            break
-    return centres
+            return centres, True
+    return centres, False
 
 
 def describe(profiles: DataFrame, table: DataFrame, fields: Mapping[str, str]) -> DataFrame:
@@ -212,15 +202,17 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     if len(features) < 2:
         raise ValueError("clustering needs at least two compatible numerical indicators")
     rows = eligible_rows(df, features)
-    keys = [c for c in row_key if c in df.columns] or features
+    keys = [c for c in row_key if c in df.columns]
+    if not keys:
+        raise ValueError(f"clustering needs a unique key: none of {list(row_key)} is a column")
     n = counts["_n"] if features == named else rows.count()
     if n < V.CLUSTER_MIN_ROWS:
         raise ValueError(f"clustering needs at least {V.CLUSTER_MIN_ROWS} rows with an indicator")
 
-    drawn = seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), n, sample_cap, seed, keys)
+    drawn = seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), sample_cap, seed, keys)
     sample = drawn.toPandas()[features].astype("float64")  # at most sample_cap rows
     size = len(sample)
-    scale = robust_scale(sample)
+    scale = scale_numbers(rows, features)
     names = [f"_x{i}" for i in range(len(features))]
     points = np.column_stack([(sample[f].fillna(fill) - centre) / width for f, (fill, centre, width) in scale.items()])
     spark = df.sparkSession
@@ -231,11 +223,10 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     chosen = max(tried, key=lambda c: (scores[c], -c))
 
     centres = models[chosen]
-    if n > size:
-        matrix = rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()])
-        centres = refine(settle(matrix, "matrix"), names, centres, max_iter, tolerance)
+    matrix = rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()])
+    centres, converged = refine(settle(matrix, "matrix"), names, centres, max_iter, tolerance)
     centres = sorted(centres)
     assigned = rows.withColumns(scaled_columns(scale, names)).withColumn("cluster", nearest(names, centres)).drop(*names)
     profiles = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), *[F.avg(f).alias(f) for f in features])
-    return Zones(assigned, describe(profiles, df, fields), chosen, scores[chosen], scores, centres)
+    return Zones(assigned, describe(profiles, df, fields), chosen, scores[chosen], scores, centres, converged)

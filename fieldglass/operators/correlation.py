@@ -14,22 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.functions.scalar import sql_literal
+from fieldglass.functions.scalar import literal_table, sql_literal
 from fieldglass.operators.schema import candidate_features
 
 
-def correlations(df: DataFrame, features: Sequence[str] | None = None, min_pairs: int = 3) -> DataFrame:
+def correlations(df: DataFrame, features: Sequence[str] | None = None, min_pairs: int = 3,
+                 fewer_ok: bool = False) -> DataFrame:
     """``(pair, a, b, correlation, observations)`` for each unordered pair, missing correlations left out.
 
     ``pair`` numbers the pairs in feature order and settles ties. One eager
     aggregate finds the usable features and their means; values are centred
     on those means before they are multiplied, which keeps the sums accurate.
+    With fewer than two usable features there is no pair: an error, or an empty
+    table if ``fewer_ok``.
     """
     named = list(features or candidate_features(df))
     numbers = df.select(*[F.col(f).cast("double").alias(f) for f in named])
     at = numbers.agg(*[a for f in named for a in (F.count(f).alias(f"n_{f}"), F.avg(f).alias(f"m_{f}"))]).first()
     used = named if features else [f for f in named if at[f"n_{f}"] >= 2]
     if len(used) < 2:
+        if fewer_ok:
+            return df.sparkSession.createDataFrame([], "pair int, a string, b string, correlation double, observations bigint")
         raise ValueError("at least two compatible numerical indicators are required")
 
     # Written as SQL text: a column object per term would cost more than the query.
@@ -67,4 +72,6 @@ def correlation_matrix(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
         F.struct(F.col("a").alias("indicator"), F.col("a").alias("other"), F.lit(1.0).alias("r")),
         F.struct(F.col("b").alias("indicator"), F.col("b").alias("other"), F.lit(1.0).alias("r")),
     )))
-    return cells.groupBy("indicator").pivot("other", list(features)).agg(F.max("r"))
+    square = cells.groupBy(F.col("indicator").alias("_i")).pivot("other", list(features)).agg(F.max("r"))
+    rows = literal_table(pairs.sparkSession, ["indicator"], [(f,) for f in features])  # a row even without any pair
+    return rows.join(F.broadcast(square), F.col("indicator") == F.col("_i"), "left").drop("_i")

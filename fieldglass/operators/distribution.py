@@ -2,9 +2,8 @@
 
 All of it rests on one idea. ``groupBy(value).count()`` combines on the map
 side, so a value holding a third of all rows costs one row per task. What is
-left, one row per distinct value, is ordered either by a plain window (when a
-count has shown it to be small) or by range partitions whose totals give each
-partition its starting offset.
+left, one row per distinct value, is ordered by range partitions whose totals
+give each partition its starting offset.
 """
 
 from __future__ import annotations
@@ -18,17 +17,13 @@ from pyspark.sql import functions as F
 from fieldglass.functions.scalar import sql_literal
 from fieldglass.runtime import settle
 
-#: up to this many distinct values: one window task, and a broadcast lookup (about 24 bytes a row)
-SMALL_VALUES = 1_000_000
-#: rows per range partition when a value table is larger than that, and the most partitions made
+#: rows per range partition of a value table, and the most partitions made
 RANGE_ROWS = 250_000
 MAX_RANGES = 20_000
 #: a value holding more than 1/HOT_SHARE of the rows is hot; there are at most HOT_SHARE of them
 HOT_SHARE = 10_000
 #: salts that spread rows which must not meet in a shuffled lookup
 SALTS = 4096
-#: bracket rows that may be brought to the driver
-TAKEN_ROWS = 100_000
 #: sketches are merged in this many groups instead of in one task
 SKETCH_SHARDS = 64
 SKETCH_ACCURACY = 1000
@@ -46,23 +41,17 @@ def value_table(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 
 def running_before(df: DataFrame, group: str | None, order: Sequence[str], weight: Column, rows: int,
-                   small: int = SMALL_VALUES, range_rows: int = RANGE_ROWS) -> DataFrame:
+                   range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``before``: the weight of all rows ahead of this one in ``order``, within ``group`` if given.
 
-    ``rows`` is the known row count of ``df``. Small tables use one window per
-    group. Larger ones are range partitioned and settled, which pins each row
-    to its partition number; the partition totals, one row each, then give
-    every partition its offset.
+    ``rows`` is the known row count of ``df``, which is range partitioned and
+    settled; that pins each row to its partition number. The partition totals,
+    one row each, then give every partition its offset.
     """
     weighted = df.withColumn("_w", weight.cast("long"))
-    if rows <= small:
-        keys = [group] if group else [F.lit(0)]
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return weighted.withColumn("before", F.coalesce(F.sum("_w").over(w), F.lit(0))).drop("_w")
-
     full_order = [group, *order] if group else list(order)
     ranged = settle(
-        weighted.repartitionByRange(min(MAX_RANGES, max(2, ceil(rows / range_rows))), *full_order)
+        weighted.repartitionByRange(min(MAX_RANGES, max(1, ceil(rows / range_rows))), *full_order)
         .withColumn("_part", F.spark_partition_id()),
         "ranges",
     )
@@ -84,11 +73,10 @@ def running_before(df: DataFrame, group: str | None, order: Sequence[str], weigh
     return placed.drop("_w", "_part", "_offset", "_ahead", "_start")
 
 
-def with_row_position(df: DataFrame, order: Sequence[str], out: str = "position", small: int = SMALL_VALUES,
-                      range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_row_position(df: DataFrame, order: Sequence[str], out: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Zero-based position of each row in a declared unique order (counts the rows first)."""
     rows = df.count()
-    return running_before(df, None, order, F.lit(1), rows, small, range_rows).withColumnRenamed("before", out)
+    return running_before(df, None, order, F.lit(1), rows, range_rows).withColumnRenamed("before", out)
 
 
 class RankTable:
@@ -98,17 +86,13 @@ class RankTable:
     each column, ``medians`` the median over the rows of its percent rank.
     """
 
-    def __init__(self, df: DataFrame, columns: Mapping[str, Column], small: int = SMALL_VALUES,
-                 range_rows: int = RANGE_ROWS) -> None:
-        self.small = small
+    def __init__(self, df: DataFrame, columns: Mapping[str, Column], range_rows: int = RANGE_ROWS) -> None:
         values = settle(value_table(df, columns), "values")
         rows = values.count()
         totals = values.groupBy("feature").agg(F.sum("ties").alias("n"), F.count(F.lit(1)).alias("d"))
-        ordered = running_before(values, "feature", ["value"], F.col("ties"), rows, small, range_rows)
-        self.table = ordered.join(F.broadcast(totals), "feature").withColumn(
-            "pct", F.expr("(before + (ties + 1) / 2) / n"))
-        if rows > small:  # ordering is then worth keeping; a small table is cheaper to order again
-            self.table = settle(self.table, "ranks")
+        ordered = running_before(values, "feature", ["value"], F.col("ties"), rows, range_rows)
+        self.table = settle(ordered.join(F.broadcast(totals), "feature").withColumn(
+            "pct", F.expr("(before + (ties + 1) / 2) / n")), "ranks")
         self.counts = dict.fromkeys(columns, 0)
         self.distinct = dict.fromkeys(columns, 0)
         self.medians: dict[str, float | None] = dict.fromkeys(columns)
@@ -131,12 +115,8 @@ class RankTable:
             F.col("value").alias("_value"), F.col("ties").alias("_ties"), F.col("pct").alias(out)
         )
         keyed = df.withColumn("_key", column.cast("double"))
-        if self.distinct[feature] <= self.small:
-            joined = keyed.join(F.broadcast(lookup.drop("_ties")), F.col("_key") == F.col("_value"), "left")
-            return joined.drop("_key", "_value")
-
         # Hot values: at most HOT_SHARE rows by arithmetic, so they are broadcast. The cold values are
-        # joined by shuffle; rows already answered (or missing) take a salt that matches nothing.
+        # joined as their size asks for; rows already answered (or missing) take a salt that matches nothing.
         limit = self.counts[feature] / HOT_SHARE
         spread_by = [c for c in row_key if c in df.columns] or df.columns
         hot = lookup.where(F.col("_ties") > limit).select(F.col("_value").alias("_hot"), F.col(out).alias("_hot_pct"))
@@ -162,8 +142,8 @@ def with_percent_rank(df: DataFrame, columns: Mapping[str, str], **limits) -> Da
     return df
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], small: int = SMALL_VALUES,
-                    range_rows: int = RANGE_ROWS, taken: int = TAKEN_ROWS) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]],
+                    range_rows: int = RANGE_ROWS) -> dict[str, list[float | None]]:
     """Interpolated quantiles of several columns, exact at any size, in two scans.
 
     Scan one sketches each column in ``SKETCH_SHARDS`` groups; whatever the
@@ -201,7 +181,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[f
             position = (counts[name] - 1) * wanted[name][1][i]
             ranks[name, i] = (floor(position), min(floor(position) + 1, counts[name] - 1), position - floor(position))
         found = _locate(plain, brackets, {slot: r[:2] for slot, r in ranks.items()},
-                        max(counts.values()), small, range_rows, taken)
+                        range_rows)
         retry = {}
         for slot, (lower, upper, share) in ranks.items():
             low, high = found.get((slot, lower)), found.get((slot, upper))
@@ -214,7 +194,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[f
 
 
 def _locate(plain: DataFrame, brackets: Mapping[tuple, tuple[str, float, float]], ranks: Mapping[tuple, tuple[int, int]],
-            rows: int, small: int, range_rows: int, taken: int) -> dict[tuple, float]:
+            range_rows: int) -> dict[tuple, float]:
     """``(slot, rank) -> value`` for the slots whose bracket holds their ranks."""
     spans: dict[tuple[str, float, float], list] = {}
     for slot, bracket in brackets.items():
@@ -227,19 +207,10 @@ def _locate(plain: DataFrame, brackets: Mapping[tuple, tuple[str, float, float]]
         F.count(F.lit(1)).alias("ties"))
     wanted = [(number, slot, rank) for number, slots in enumerate(spans.values()) for slot in slots
               for rank in set(ranks[slot])]
-    # Tried only where the expected bracket is small, so that a large input is not scanned once more for nothing.
-    few = table.limit(taken + 1).collect() if rows * 0.01 * len(spans) <= 10 * taken else None
-    if few is not None and len(few) <= taken:
-        below: dict[int, int] = {}
-        ordered = []
-        for span, value, ties in sorted(few, key=lambda r: (r["span"], r["value"] is not None, r["value"])):
-            ordered.append((span, value, below.get(span, 0), ties))
-            below[span] = below.get(span, 0) + ties
-    else:
-        table = settle(table, "brackets")
-        placed = running_before(table, "span", ["value"], F.col("ties"), table.count(), small, range_rows)
-        hit = " OR ".join(f"(span = {number} AND before <= {rank} AND before + ties > {rank})" for number, _, rank in wanted)
-        ordered = placed.where(hit).select("span", "value", "before", "ties").collect()
+    table = settle(table, "brackets")
+    placed = running_before(table, "span", ["value"], F.col("ties"), table.count(), range_rows)
+    hit = " OR ".join(f"(span = {number} AND before <= {rank} AND before + ties > {rank})" for number, _, rank in wanted)
+    ordered = placed.where(hit).select("span", "value", "before", "ties").collect()  # two rows a quantile at most
     out = {}
     for span, value, before, ties in ordered:
         for number, slot, rank in wanted:

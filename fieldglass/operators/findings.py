@@ -13,7 +13,7 @@ from fieldglass.functions.scalar import fixed_text, literal_table, sql_literal
 from fieldglass.operators.correlation import correlations
 from fieldglass.operators.regions import extreme_regions, regional_profile
 from fieldglass.operators.schema import resolve_fields
-from fieldglass.operators.trends import change_percent, trend
+from fieldglass.operators.trends import bucket_of, change_percent
 
 ORDER = {category: i + 1 for i, category in enumerate(V.FINDING_TEXT)}
 
@@ -35,8 +35,11 @@ def _rows(facts: DataFrame, found: list[str]) -> DataFrame:
 
 
 def trend_finding(scored: DataFrame, index: str = "ndvi") -> DataFrame:
-    facts = trend(scored, index).agg(change_percent().alias("change"),
-                                     F.expr("try_divide(sum(mean * count), sum(count)) AS overall"))
+    months = scored.groupBy(bucket_of(F.col("_timestamp"), "monthly").alias("bucket")).agg(
+        F.avg(index).alias("mean"), F.count(index).alias("count")).where(F.col("count") > 0)
+    # the mean is that of all rows; only the change needs a time
+    facts = months.withColumn("dated", F.expr("IF(bucket IS NULL, NULL, mean)")).agg(
+        change_percent("dated", "bucket").alias("change"), F.expr("try_divide(sum(mean * count), sum(count)) AS overall"))
     return _rows(facts, [_finding(
         "VEGETATION HEALTH",
         [sql_literal(index.upper()), "IF(change >= 0, 'improved', 'declined')", fixed_text("abs(change)", 1)],
@@ -89,7 +92,7 @@ def region_finding(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
 
 def correlation_finding(scored: DataFrame) -> DataFrame:
     # 28 pairs at most: the strongest is an aggregate over them
-    best = correlations(scored).agg(F.expr(
+    best = correlations(scored, fewer_ok=True).agg(F.expr(
         "max_by(struct(a, b, correlation, observations), struct(abs(round(correlation, 6)), -pair)) AS p")).select("p.*")
     kind = "IF(correlation > 0, 'positive association', 'inverse relationship')"
     return _rows(best, [_finding(

@@ -38,18 +38,12 @@ def unit_hash(*parts: Column) -> Column:
 def tree_samples(rows: DataFrame, keys: Sequence[str], n: int, trees: int, psi: int, seed: int) -> DataFrame:
     """Exactly ``psi`` rows for each tree, drawn without replacement by hash of the row key.
 
-    Large inputs give each row to at most one tree, so one hash per row
-    decides; small inputs let every tree draw from all rows. A threshold with
-    twofold margin comes first, so only about ``2 * trees * psi`` rows shuffle.
+    Every tree draws from all rows. A threshold with twofold margin comes
+    first, so only about ``2 * trees * psi`` rows shuffle.
     """
     key = [F.col(k) for k in keys]
-    if n >= 4 * trees * psi:
-        drawn = rows.withColumn("_u", unit_hash(*key, F.lit(seed))).where(F.col("_u") < 2.0 * trees * psi / n)
-        drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.withColumn("_u", unit_hash(*key, F.col("tree"), F.lit(seed)))
-        drawn = drawn.where(F.col("_u") < max(2.0 * psi / n, 0.0) if n > 2 * psi else F.lit(True))
+    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = drawn.withColumn("_u", unit_hash(*key, F.col("tree"), F.lit(seed))).where(F.col("_u") < min(2.0 * psi / n, 1.0))
     order = Window.partitionBy("tree").orderBy("_u", *key)
     return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= psi).drop("_u", "_n")
 

@@ -74,7 +74,8 @@ def cap_points(points: DataFrame, cap: int = V.MAX_POINTS, seed: int = V.SEED) -
 
 
 def points(scored: DataFrame, region: str | None = None, state: str | None = None, risk: str | None = None,
-           anomalies_only: bool = False, cap: int | None = V.MAX_POINTS, seed: int = V.SEED) -> DataFrame:
+           anomalies_only: bool = False, cap: int | None = None, seed: int = V.SEED) -> DataFrame:
+    """All matching points; ``cap`` leaves that many by ``cap_points``."""
     grouped = group_points(matching(scored, region, state, risk, anomalies_only))
     return grouped if cap is None else cap_points(grouped, cap, seed)
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import literal_table
-from fieldglass.operators.distribution import RANGE_ROWS, SMALL_VALUES, running_before
-from fieldglass.operators.schema import candidate_features, present, resolve_fields
+from fieldglass.operators.distribution import RANGE_ROWS, running_before
+from fieldglass.operators.schema import numeric_features, present, resolve_fields
 from fieldglass.operators.trends import bucket_of, change_percent, in_region
 from fieldglass.runtime import settle
 
@@ -29,7 +29,7 @@ def summary(scored: DataFrame, fields: Mapping[str, str] | None = None) -> DataF
         *[a for c in averaged for a in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))],
     )
     means = {c: F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")) for c in averaged}
-    derived = {"anomaly_score", "anomaly_flag", "severity", "risk_score", "risk_level"}
+    derived = {"anomaly_score", "anomaly_flag", "severity", "risk_score", "risk_level", "obs_year", "obs_month", "cluster", "contaminated"}
     width = len([c for c in scored.columns if c not in derived and not c.endswith("_contribution")])
     return groups.agg(
         F.sum("_rows").alias("rows"), F.lit(width).alias("columns"),
@@ -52,23 +52,24 @@ def index_cards(df: DataFrame, region: str | None = None, index: str | None = No
         column = fields.get(key) if key in V.CLIMATE_FIELDS else key
         if column in df.columns and index in (None, key, column):
             wanted.append((column, *texts))
+    if not wanted:
+        raise ValueError(f"no indicator {index!r} in this table" if index else "no indicator in this table")
     monthly = in_region(df, region, fields).groupBy(bucket_of(F.col("_timestamp"), "monthly").alias("bucket")).agg(*[
         F.expr(f"struct(count(`{c}`) AS n, avg(`{c}`) AS mean, var_pop(`{c}`) AS var, min(`{c}`) AS low, "
                f"max(`{c}`) AS high) AS k{i}") for i, (c, *_) in enumerate(wanted)
     ])
-    rows = ", ".join(f"named_struct('ordinal', {i}, 'key', '{c}', 'bucket', bucket, 'k', k{i})"
-                     for i, (c, *_) in enumerate(wanted))
-    long = monthly.selectExpr(f"inline(array({rows}))").select("ordinal", "key", "bucket", "k.*").where("n > 0")
+    rows = ", ".join(f"named_struct('key', '{c}', 'bucket', bucket, 'k', k{i})" for i, (c, *_) in enumerate(wanted))
+    long = monthly.selectExpr(f"inline(array({rows}))").select("key", "bucket", "k.*").where("n > 0")
     # one row per month and indicator from here on
     overall = long.withColumn("overall", F.expr(
         "sum(n * mean) OVER (PARTITION BY key) / sum(n) OVER (PARTITION BY key)"))
-    cards = overall.withColumn("_dated", F.expr("IF(bucket IS NULL, NULL, mean)")).groupBy("ordinal", "key").agg(
+    cards = overall.withColumn("_dated", F.expr("IF(bucket IS NULL, NULL, mean)")).groupBy("key").agg(
         *map(F.expr, ["max(overall) AS current_average", "min(low) AS minimum", "max(high) AS maximum",
                       "sqrt(try_divide(sum(n * (var + pow(mean - overall, 2))), sum(n) - 1)) AS std"]),
         change_percent("_dated", "bucket").alias("trend"),
     )
     texts = literal_table(df.sparkSession, ["_key", "name", "full_name", "description", "healthy_range",
-                                            "stressed_range"], [row for row in wanted])
+                                            "stressed_range", "ordinal"], [(*row, i) for i, row in enumerate(wanted)])
     return (
         texts.join(cards, F.col("_key") == F.col("key"), "left")
         .withColumn("key", F.col("_key")).drop("_key").orderBy("ordinal")
@@ -82,21 +83,21 @@ def regional_profile(scored: DataFrame, fields: Mapping[str, str] | None = None)
         raise ValueError("regional analysis needs a region column")
     region = fields["region"]
     keys = [region, "state"] if "state" in scored.columns else [region]
-    means = [F.avg(c).alias(c) for c in [*candidate_features(scored, fields), "risk_score"]]
+    means = [F.avg(c).alias(c) for c in [*numeric_features(scored, fields), "risk_score"]]
     grouped = present(scored, [region]).groupBy(*keys).agg(*means, F.count(F.lit(1)).alias("_rows"))
     per_region = Window.partitionBy(region)  # over groups, not over rows
     profile = grouped.withColumn("observations", F.sum("_rows").over(per_region)).drop("_rows")
     return present(profile, keys).orderBy(F.col("risk_score").desc(), *keys)
 
 
-def rank_regions(profile: DataFrame, small: int = SMALL_VALUES, range_rows: int = RANGE_ROWS) -> DataFrame:
+def rank_regions(profile: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``risk_rank``: the dense rank of the groups by mean risk, highest first (counts the distinct scores)."""
     scores = settle(profile.select((-F.col("risk_score")).alias("_order")).distinct(), "scores")
     distinct = scores.count()
-    placed = running_before(scores, None, ["_order"], F.lit(1), distinct, small, range_rows)
+    placed = running_before(scores, None, ["_order"], F.lit(1), distinct, range_rows)
     ranks = placed.select("_order", (F.col("before") + 1).cast("int").alias("risk_rank"))
     joined = profile.withColumn("_score", -F.col("risk_score")).join(
-        F.broadcast(ranks) if distinct <= small else ranks, F.col("_score").eqNullSafe(F.col("_order")), "left")
+        ranks, F.col("_score").eqNullSafe(F.col("_order")), "left")
     return joined.drop("_score", "_order")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
 from fieldglass.operators.anomaly import flagged_rows
-from fieldglass.operators.browse import page_of
+from fieldglass.operators.browse import page_of, sort_rows
 from fieldglass.operators.findings import findings
 from fieldglass.operators.regions import regional_profile
 from fieldglass.operators.schema import resolve_fields
@@ -27,8 +27,13 @@ def display_columns(scored: DataFrame, fields: Mapping[str, str] | None = None)
 def flagged(scored: DataFrame, severity: str | None = None, page: int = 1, page_size: int = V.PAGE_SIZE,
             tiebreak: str = "row_id") -> DataFrame:
     """One page of the flagged rows, highest score first."""
-    keys = [F.col("anomaly_score").desc()] + ([F.col(tiebreak)] if tiebreak in scored.columns else [])
-    return page_of(flagged_rows(scored, severity).orderBy(*keys), page, page_size).select(*display_columns(scored))
+    ordered = sort_rows(flagged_rows(scored, severity), "anomaly_score", "desc", (tiebreak,))
+    return page_of(ordered, page, page_size).select(*display_columns(scored))
+
+
+def flagged_total(scored: DataFrame, severity: str | None = None) -> DataFrame:
+    """One row: flagged rows, of the given severity if any."""
+    return flagged_rows(scored, severity).agg(F.count(F.lit(1)).alias("total"))
 
 
 def report(scored: DataFrame, kind: str) -> DataFrame:

@@ -24,7 +24,7 @@ def clean_name(name: str) -> str:
 
 def adapt_names(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Clean the column names and keep the first of those that become equal (by position, so clashes are safe)."""
-    cleaned = [clean_name(n) for n in (names or df.columns)]
+    cleaned = [clean_name(n) or f"unnamed_{i}" for i, n in enumerate(names or df.columns)]
     keep = [i for i, n in enumerate(cleaned) if n not in cleaned[:i]]
     by_position = df.toDF(*[f"_c{i}" for i in range(len(cleaned))])
     return by_position.select(*[F.col(f"_c{i}").alias(cleaned[i]) for i in keep])
@@ -107,9 +107,9 @@ def with_timestamp(df: DataFrame, fields: Fields, order_key: Sequence[str] | Non
         raise ValueError("no timestamp found: name order_key columns to lay rows out one day apart")
     days = with_row_position(df, order_key, "_position")
     start = F.lit(V.TIMELINE_START).cast("date")
-    return days.withColumn("_timestamp", F.date_add(start, F.col("_position").cast("int")).cast("timestamp")).drop(
-        "_position"
-    )
+    # a row beyond the calendar has no day
+    day = F.when(F.col("_position") < V.TIMELINE_DAYS, F.date_add(start, F.col("_position").try_cast("int")).cast("timestamp"))
+    return days.withColumn("_timestamp", day).drop("_position")
 
 
 def spectral_indices(df: DataFrame, fields: Fields) -> DataFrame:
@@ -145,13 +145,17 @@ def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def prepare(df: DataFrame, fields: Mapping[str, str] | None = None, order_key: Sequence[str] | None = None,
-            keep_measured: bool = False, formats: Sequence[str] = (), high_rain: float | None = None) -> DataFrame:
+            keep_measured: bool = False, formats: Sequence[str] = (), high_rain: float | None = None,
+            row_key: Sequence[str] = ()) -> DataFrame:
     """The observation table every analysis reads.
 
     Lazy, except for one aggregate when no timestamp column is named, and the
     rain quantile (``high_rain`` skips it) when vegetation must be estimated
-    from climate.
+    from climate. A table without ``row_id`` gets one from the columns named by
+    ``row_key``, which must be unique together.
     """
+    if row_key and "row_id" not in df.columns:
+        df = df.withColumn("row_id", F.to_json(F.struct(*row_key)))
     fields = dict(fields or resolve_fields(df.columns))
     numbers = {fields[f]: as_number(F.col(fields[f])) for f in V.NUMERIC_FIELDS if f in fields}
     out = df.withColumns(numbers) if numbers else df

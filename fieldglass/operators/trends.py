@@ -40,12 +40,21 @@ def in_region(df: DataFrame, region: str | None, fields: Mapping[str, str]) -> D
 
 
 def in_time(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows from ``start`` to ``end``, both included; a date alone means its midnight, unreadable bounds are ignored."""
+    """Rows from ``start`` to ``end``, both included; a date alone means its midnight, unreadable bounds are ignored.
+
+    On a table laid out by month the bounds reach its folders as well.
+    """
     lower, upper = parse_bound(start), parse_bound(end)
+    by_month = {"obs_year", "obs_month"} <= set(df.columns)
+    month = F.col("obs_year") * 12 + F.col("obs_month") if by_month else None
     if lower is not None:
         df = df.where(F.col("_timestamp") >= lower)
+        if by_month:
+            df = df.where(month >= F.year(lower) * 12 + F.month(lower))
     if upper is not None:
         df = df.where(F.col("_timestamp") <= upper)
+        if by_month:
+            df = df.where(month <= F.year(upper) * 12 + F.month(upper))
     return df
 
 

@@ -129,10 +129,10 @@ def _(ws):
 
 
 def _with_station(rows: DataFrame) -> DataFrame:
-    """Climate rows of known stations with the station's coordinates."""
+    """Climate rows with their station's coordinates, where the station is known."""
     from fieldglass.sources.readers import station_table
 
-    return rows.join(F.broadcast(station_table(rows.sparkSession)), "region")
+    return rows.join(F.broadcast(station_table(rows.sparkSession)), "region", "left")
 
 
 # --- joins --------------------------------------------------------------------------------------
@@ -190,7 +190,7 @@ def _(ws):
     "FROM climate_raw JOIN station ON region = name LEFT JOIN position ON region = city_name"))
 def _(ws):
     feed = normalise_climate_feed(climate_feed(ws.spark, ws.sf_dir))
-    placed = points.map_positions(points.group_points(prepare(feed, high_rain=1.0)))
+    placed = points.map_positions(points.group_points(prepare(feed)))
     return placed.select("city", "map_latitude", "map_longitude")
 
 
@@ -378,7 +378,7 @@ def _(ws):
     Q.OBS, f"SELECT row_id, {Q.r9(Q.percent_rank('swir'), 'swir_pct')} FROM obs"))
 def _(ws):
     """The way for large inputs, forced: range partitions, hot values broadcast, cold values joined by shuffle."""
-    ranked = with_percent_rank(ws.obs.select("row_id", "swir"), {"swir": "swir_pct"}, small=1000, range_rows=2000)
+    ranked = with_percent_rank(ws.obs.select("row_id", "swir"), {"swir": "swir_pct"}, range_rows=2000)
     return nine(ranked.select("row_id", "swir_pct"))
 
 
@@ -402,7 +402,7 @@ def _(ws):
 def _(ws):
     """The way for large inputs, forced: range partitions and their offsets."""
     rows = table(ws.spark, ws.sf_dir, "events").select("event_id", "ts")
-    return with_row_position(rows, ["ts", "event_id"], small=100, range_rows=1500).select("event_id", "position")
+    return with_row_position(rows, ["ts", "event_id"], range_rows=1500).select("event_id", "position")
 
 
 # --- sort, limit, sample ------------------------------------------------------------------------
@@ -477,7 +477,7 @@ def _(ws):
     from fieldglass.operators.cluster import seeded_sample
 
     rows = ws.obs.select("row_id", "ndvi")
-    return six(seeded_sample(rows, rows.count(), V.CLUSTER_SAMPLE, V.SEED, ["row_id"]))
+    return six(seeded_sample(rows, V.CLUSTER_SAMPLE, V.SEED, ["row_id"]))
 
 
 @query("o8_last_buckets", with_ctes(

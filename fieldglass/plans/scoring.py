@@ -162,7 +162,7 @@ def _(ws):
 def _(ws):
     from fieldglass.functions.scalar import literal_table
 
-    zones = cluster.clusters(ws.climate, restarts=2)
+    zones = cluster.clusters(ws.climate)
     rows = [(k, float(s), k == zones.k) for k, s in zones.silhouettes.items()]
     return six(literal_table(ws.spark, ["k", "silhouette", "chosen"], rows))
 
@@ -176,12 +176,12 @@ def _(ws):
 
 @query("a12_a13_m11_cluster_profiles")
 def _(ws):
-    return six(cluster.clusters(ws.climate, restarts=2).profiles)
+    return six(cluster.clusters(ws.climate).profiles)
 
 
 @query("d9_clusters_of_given_k")
 def _(ws):
-    return six(cluster.clusters(ws.climate, k=4, restarts=3).profiles)
+    return six(cluster.clusters(ws.climate, k=4).profiles)
 
 
 # --- findings -----------------------------------------------------------------------------------
@@ -194,7 +194,7 @@ def _findings_sql(base: str, t: str) -> str:
     text = V.FINDING_TEXT
     sql = base + Q.trend(t, "ndvi", "monthly") + _pair_rows(t) + f""", region_means AS (
       SELECT region, avg(risk_score) AS s FROM scored WHERE region IS NOT NULL AND state IS NOT NULL GROUP BY region, state),
-    change AS (SELECT {Q.CHANGE} AS c, sum(mean * count) / sum(count) AS overall FROM series),
+    change AS (SELECT {Q.CHANGE} AS c, (SELECT avg(ndvi) FROM scored) AS overall FROM series),
     facts AS (SELECT avg(ndwi) AS wm, avg(CASE WHEN ndwi < -0.1 THEN 1.0 ELSE 0.0 END) * 100 AS ws, avg(temperature) AS tm,
       max(temperature) AS tx, avg(rainfall) AS rm, max(rainfall) AS rx, count(*) FILTER (anomaly_flag) AS fc,
       count(*) FILTER (anomaly_flag) * 100.0 / count(*) AS fs, count(*) FILTER (risk_score >= 80) AS cr,

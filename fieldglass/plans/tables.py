@@ -17,7 +17,7 @@ from fieldglass.functions.scalar import literal_table
 from fieldglass.operators.anomaly import with_anomaly
 from fieldglass.operators.risk import with_risk
 from fieldglass.operators.schema import prepare
-from fieldglass.runtime import settle, small_side, spread
+from fieldglass.runtime import settle
 
 
 @lru_cache
@@ -37,12 +37,12 @@ def row_key() -> F.Column:
 
 def obs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    # nation and region have a fixed 25 and 5 rows; suppliers grow with the data, so their size is checked
+    # nation and region have a fixed 25 and 5 rows; how suppliers are joined is left to adaptive execution
     nations = F.broadcast(table(spark, sf_dir, "nation").join(
         F.broadcast(table(spark, sf_dir, "region")), c("n_regionkey") == c("r_regionkey")))
     supplier = table(spark, sf_dir, "supplier")
-    located = small_side(supplier.join(nations, c("s_nationkey") == c("n_nationkey")), supplier)
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").join(located, c("l_suppkey") == c("s_suppkey"))
+    located = supplier.join(nations, c("s_nationkey") == c("n_nationkey"))
+    rows = table(spark, sf_dir, "lineitem").join(located, c("l_suppkey") == c("s_suppkey"))
     return rows.select(
         row_key().alias("row_id"), c("l_shipdate").alias("timestamp"),
         (8 + c("n_nationkey")).cast("double").alias("latitude"),
@@ -61,7 +61,7 @@ def climate_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     cities = [(i, name) for i, (name, _, _) in enumerate(V.STATIONS)] + [(20, "Atlantis")]
     dim = literal_table(spark, ["slot", "region"], cities)
-    rows = spread(table(spark, sf_dir, "events"), "event_id").join(F.broadcast(dim), c("user_id") % 22 == c("slot"), "left")
+    rows = table(spark, sf_dir, "events").join(F.broadcast(dim), c("user_id") % 22 == c("slot"), "left")
     return rows.select(
         c("event_id").alias("row_id"), c("ts").alias("timestamp"), "region",
         F.when(c("event_id") % 13 != 0, (15 + c("event_id") % 25).cast("double")).alias("temperature"),

@@ -12,10 +12,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared scratch folder; only a local session may fall back to a temporary one."""
@@ -24,41 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="fieldglass-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="fieldglass-")
+    return _local_folders[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/fieldglass/{label}-{uuid.uuid4().hex}"
 
 
-#: a stored table up to this size may be sent to every executor
-BROADCAST_BYTES = 64 << 20
-
-
 def stored_bytes(table: DataFrame) -> int:
     """The optimizer's size of a stored table: the bytes of its files. No job runs."""
     return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Spread a stored table of less than one file split per core over all cores; larger ones are left as they are.
-
-    The shuffle is by key hash, which repeats exactly when a task is run again.
-    """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return table.repartition(cores, *keys) if stored_bytes(table) < cores * split else table
-
-
-def small_side(side: DataFrame, table: DataFrame) -> DataFrame:
-    """``side``, derived row by row from the stored ``table``, marked for broadcast if that table is small.
-
-    Beyond the limit the join is left to the optimizer.
-    """
-    return F.broadcast(side) if stored_bytes(table) <= BROADCAST_BYTES else side
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this library's folder of intermediate tables; tables that still read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/fieldglass")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:

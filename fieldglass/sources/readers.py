@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,9 @@ def format_of(path: str) -> str:
     return FORMATS[suffix]
 
 
-def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``(path, modified, bytes)`` of the files behind a path; contents are not read."""
-    reader = spark.read.format("binaryFile")
+def list_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, deep: bool = False) -> DataFrame:
+    """``(path, modified, bytes)`` of the files behind a path (and in its folders, if ``deep``); contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", deep)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select("path", F.col("modificationTime").alias("modified"),
@@ -33,14 +35,27 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 
 def choose_source(spark: SparkSession, folder: str) -> str | None:
-    """First Parquet file of a folder by name, else the first CSV file, else None."""
-    for pattern in ("*.parquet", "*.csv"):
-        first = list_files(spark, folder, pattern).agg(F.min("path")).first()[0]
+    """First Parquet file or dataset folder of a folder by name, else the first CSV one, else None."""
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
+    own = F.regexp_extract("path", f"^(.*?/{re.escape(base)}/[^/]+)", 1)
+    for suffix in ("parquet", "csv"):
+        found = list_files(spark, folder, deep=True).select(own.alias("path")).where(F.lower("path").endswith(f".{suffix}"))
+        first = found.agg(F.min("path")).first()[0]
         if first:
             return first
     return None
 
 
+def header_groups(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of the CSV files behind a path that have the same header; reads each file's first line."""
+    groups: dict[tuple, list[str]] = {}
+    for row in list_files(spark, path).orderBy("path").toLocalIterator():
+        first = spark.read.csv(row["path"], header=False, maxColumns=100_000).head()
+        if first is not None:
+            groups.setdefault(tuple(name or "" for name in first), []).append(row["path"])
+    return [(list(names), files) for names, files in groups.items()]
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """One row: a 20-character digest over path, change time and size of every file (order does not matter)."""
     files = list_files(spark, path)
@@ -58,19 +73,24 @@ def read_observations(spark: SparkSession, path: str | Sequence[str], fmt: str |
                       schema: T.StructType | str | None = None, sampling_ratio: float | None = None) -> DataFrame:
     """CSV or Parquet observations with cleaned, de-duplicated column names.
 
-    CSV names are taken from the header line itself and applied by position,
-    so names that differ only in case do not clash. Give ``schema`` (by
-    position) for large CSV input: without it the types are inferred by an
-    extra pass, over ``sampling_ratio`` of the rows if set.
+    CSV names are taken from each file's own header line: files are read in
+    groups of equal headers and put together by name. Give ``schema`` (by
+    position, for files of one header) for large CSV input: without it the types
+    are inferred by an extra pass, over ``sampling_ratio`` of the rows if set.
+
+    Parquet rows without a ``row_id`` get one from their file and their place in
+    it; for CSV input name key columns in ``prepare`` or ``materialise`` it.
     """
     first = path if isinstance(path, str) else path[0]
     paths = path if isinstance(path, str) else list(path)
     if (fmt or format_of(first)) == "parquet":
-        df = adapt_names((spark.read.schema(schema) if schema else spark.read).parquet(
-            *([paths] if isinstance(paths, str) else paths)))
+        rows = (spark.read.schema(schema) if schema else spark.read).parquet(*([paths] if isinstance(paths, str) else paths))
+        place = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
+        keyed = "row_id" in map(clean_name, rows.columns)
+        df = adapt_names(rows if keyed else rows.select("*", place.alias("row_id")))
     else:
-        header = spark.read.csv(first, header=False, maxColumns=100_000).head()
-        if header is None:
+        groups = header_groups(spark, paths)
+        if not groups:
             raise ValueError("the dataset contains no observations")
         reader = spark.read.option("header", True)
         if schema is not None:
@@ -79,7 +99,8 @@ def read_observations(spark: SparkSession, path: str | Sequence[str], fmt: str |
             reader = reader.option("inferSchema", True)
             if sampling_ratio:
                 reader = reader.option("samplingRatio", sampling_ratio)
-        df = adapt_names(reader.csv(paths), [name or "" for name in header])
+        parts = [adapt_names(reader.csv(files), names) for names, files in groups]
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if df.isEmpty():
         raise ValueError("the dataset contains no observations")
     return df
@@ -117,13 +138,18 @@ def normalise_climate_feed(feed: DataFrame, stations: DataFrame | None = None, s
 def read_climate_feed(spark: SparkSession, path: str | Sequence[str], stations: DataFrame | None = None) -> DataFrame:
     """All station files at once; the station is the file's name without its suffix (``Port_Blair`` or ``Port%20Blair``
     for names with blanks)."""
-    header = [clean_name(c) for c in spark.read.csv(path, header=False).head()]
-    absent = [c for c in V.FEED_COLUMNS if c not in header]
-    if absent:
-        raise ValueError(f"climate feed lacks columns {absent}")
     types = {"year": "int", "doy": "int", "t2m": "double", "prectotcorr": "double"}
-    schema = T.StructType.fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     name = F.regexp_replace(stem, "%20|_", " ")
-    rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
-    return normalise_climate_feed(rows.select("*", name.alias("region")), stations)
+    parts = []
+    for names, files in header_groups(spark, path):
+        header = [clean_name(c) or f"unnamed_{i}" for i, c in enumerate(names)]
+        absent = [c for c in V.FEED_COLUMNS if c not in header]
+        if absent:
+            raise ValueError(f"climate feed lacks columns {absent}")
+        schema = T.StructType.fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
+        rows = spark.read.csv(files, header=True, schema=schema, enforceSchema=True)
+        parts.append(rows.select(*V.FEED_COLUMNS, name.alias("region")))
+    if not parts:
+        raise ValueError("the climate feed has no files")
+    return normalise_climate_feed(reduce(DataFrame.unionAll, parts), stations)

@@ -16,11 +16,12 @@ EXPORT_FORMATS = ("csv", "json", "parquet")
 def materialise(df: DataFrame, path: str, view: str = "observations", by_month: bool = False) -> DataFrame:
     """Write the prepared table as Parquet, register it as a view, and return it.
 
-    ``by_month`` lays it out by year and month, so that time ranges prune folders.
+    ``by_month`` lays it out by year and month, so that time ranges prune folders. Rows without a ``row_id`` get one here:
+    once written, it stays.
     """
-    out = df
+    out = df if "row_id" in df.columns else df.withColumn("row_id", F.monotonically_increasing_id())
     if by_month:
-        out = df.withColumns({"obs_year": F.year("_timestamp"), "obs_month": F.month("_timestamp")})
+        out = out.withColumns({"obs_year": F.year("_timestamp"), "obs_month": F.month("_timestamp")})
         # rebalancing gathers small months and splits large ones by size, at run time
         even = df.sparkSession.sql("SELECT /*+ REBALANCE(obs_year, obs_month) */ * FROM {rows}", rows=out)
         even.write.mode("overwrite").partitionBy("obs_year", "obs_month").parquet(path)

@@ -115,14 +115,14 @@ def test_forest_properties(spark):
     assert not other.sort_index().equals(scored.sort_index())
 
 
-def test_forest_draws_disjoint_samples_from_large_inputs(spark):
+def test_forest_draws_full_samples_without_replacement_at_every_size(spark):
     from fieldglass.operators.forest import tree_samples
 
     rows = spark.range(20000).select(F.col("id").alias("row_id"), F.rand(1).alias("x"))
     drawn = tree_samples(rows, ["row_id"], 20000, 8, 64, 42)
     sizes = drawn.groupBy("tree").count().collect()
     assert len(sizes) == 8 and all(r["count"] == 64 for r in sizes)
-    assert drawn.select("row_id").distinct().count() == 8 * 64
+    assert drawn.select("tree", "row_id").distinct().count() == 8 * 64
     few = tree_samples(rows.limit(100), ["row_id"], 100, 8, 64, 42).groupBy("tree").count().collect()
     assert len(few) == 8 and all(r["count"] == 64 for r in few)
 
@@ -145,7 +145,7 @@ def test_contributions_add_up_whatever_the_partitioning(ws):
     gap = ws.scored.agg(F.max(F.abs(sum(F.col(p) for p in parts) - F.col("risk_score")))).first()[0]
     assert len(parts) == 6 and gap < 1e-9 and sum(V.RISK_WEIGHTS.values()) == pytest.approx(1)
     plain = ws.scored.drop(*parts, "risk_score", "risk_level").repartition(9)
-    again = risk.with_risk(plain, small=20, range_rows=500).select("row_id", F.col("risk_score").alias("again"))
+    again = risk.with_risk(plain, range_rows=500).select("row_id", F.col("risk_score").alias("again"))
     joined = ws.scored.select("row_id", "risk_score").join(again, "row_id")
     assert joined.count() == ws.scored.count()
     assert joined.where(F.abs(F.col("again") - F.col("risk_score")) > 1e-9).count() == 0
@@ -213,7 +213,7 @@ def test_summary_reads_few_columns_without_expanding(ws):
 def test_region_ranks_both_ways(ws):
     profile = regions.regional_profile(ws.scored)
     small = {r["region"]: r["risk_rank"] for r in regions.rank_regions(profile).collect()}
-    large = {r["region"]: r["risk_rank"] for r in regions.rank_regions(profile, small=3, range_rows=5).collect()}
+    large = {r["region"]: r["risk_rank"] for r in regions.rank_regions(profile, range_rows=5).collect()}
     order = [r["region"] for r in profile.collect()]
     assert small == large and [small[r] for r in order] == sorted(small.values())
 

@@ -32,7 +32,7 @@ def test_golden_sample(spark):
     assert ranks[6] == pytest.approx(1 / 3) and ranks[4] is None
 
 
-@pytest.mark.parametrize("limits", [{}, {"small": 50, "range_rows": 200}])
+@pytest.mark.parametrize("limits", [{}, {"range_rows": 200}])
 def test_percent_rank_matches_pandas(spark, limits):
     values = mixed()
     got = D.with_percent_rank(frame(spark, values).repartition(7), {"v": "pct"}, **limits).orderBy("id").toPandas()
@@ -41,7 +41,7 @@ def test_percent_rank_matches_pandas(spark, limits):
     np.testing.assert_allclose(got["pct"].astype("float64"), want, rtol=0, atol=1e-12)
 
 
-@pytest.mark.parametrize("limits", [{}, {"taken": 5}, {"taken": 5, "small": 3, "range_rows": 20}])
+@pytest.mark.parametrize("limits", [{}, {"range_rows": 20}])
 def test_quantiles_match_pandas(spark, limits):
     a, b = mixed(seed=2), [float(i % 10) for i in range(4000)]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double").repartition(5)
@@ -92,7 +92,7 @@ def test_ranks_and_medians_property(spark, values):
         assert ranks.medians["v"] == pytest.approx(want.median())
 
 
-@pytest.mark.parametrize("limits", [{}, {"small": 10, "range_rows": 100}])
+@pytest.mark.parametrize("limits", [{}, {"range_rows": 100}])
 def test_row_position(spark, limits):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(6)
     rows = D.with_row_position(df, ["k"], **limits).collect()
@@ -100,7 +100,7 @@ def test_row_position(spark, limits):
 
 
 def test_large_rank_plan_has_no_window_over_all_rows(spark):
-    ranked = D.with_percent_rank(frame(spark, mixed()), {"v": "pct"}, small=50, range_rows=500)
+    ranked = D.with_percent_rank(frame(spark, mixed()), {"v": "pct"}, range_rows=500)
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "specifiedwindow" in line.lower()]
     on_rows = [line for line in windows if "_part" not in line]
