@@ -29,6 +29,9 @@ BITS = 9
 TARGET_RECALL = 0.9995
 SEED = 17
 
+#: bits of the fixed-size filter that keeps most texts without candidates from being shuffled
+MARK_BITS = 1 << 24
+
 #: nodes of a block that are compared at once, and the bytes of their shingles
 BLOCK_NODES = 1024
 BLOCK_BYTES = 4 << 20
@@ -197,13 +200,36 @@ def _verify(depth: int, threshold: float):
     return verify
 
 
+def _marks(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of MARK_BITS with the hashed keys' bits set; at most MARK_BITS / 32 numbers reach the driver."""
+    bit = F.pmod(F.col(key), F.lit(MARK_BITS))
+    one = F.expr(f"shiftleft(1L, CAST(pmod({key}, 32) AS INT))")
+    parts = keys.select(F.floor(bit / 32).alias("word"), one.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    marks = np.zeros(MARK_BITS // 32, np.uint32)
+    marks[parts.column("word").to_numpy()] = parts.column("mask").to_numpy().astype(np.uint32)
+    return marks
+
+
+def _marked(key: Column, marks: np.ndarray) -> Column:
+    """Whether a key's bit is set: always for keys of the bitmap, seldom for others while it is sparse."""
+
+    @F.arrow_udf("boolean")
+    def marked(keys: pa.Array) -> pa.Array:
+        bit = keys.to_numpy(zero_copy_only=False) % MARK_BITS
+        return pa.array((marks[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) > 0)
+
+    return marked(key)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, text: str, key: str, depth: int, threshold: float) -> DataFrame:
     """(t1, t2, l1, l2, links, weight) of the candidates at ``depth``: exact links within and between blocks."""
     work = settle(_blocks_of(_candidates(nodes, depth), nodes), "blocks")
     wanted = work.select("node", "rep").distinct().select(F.col("node.t1").alias("n1"), F.col("node.t2").alias("n2"), "rep")
+    marks = _marks(wanted, "n2")
     t1, t2 = text_key(F.col(text))
     texts = (
         docs.select(F.col(key).alias("id"), F.col(text).alias("text"), t1.alias("t1"), t2.alias("t2"))
+        .where(_marked(F.col("t2"), marks))
         .join(wanted, (F.col("t1") == F.col("n1")) & (F.col("t2") == F.col("n2")) & same(F.col("id"), F.col("rep")))
         .groupBy("t1", "t2").agg(F.first("text").alias("text"))
     )
