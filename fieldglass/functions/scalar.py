@@ -21,6 +21,11 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(INFINITY), value)
 
 
+def seeded_digest(keys: Sequence[str], seed: int) -> Column:
+    """MD5 of the key columns' texts and the seed, joined by ``|``: an order that any engine can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
 def ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
     """``scale * numerator / denominator``; NULL for a zero denominator or an overflowing result."""
     quotient = F.try_divide(numerator, denominator)

@@ -21,10 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.functions.scalar import sql_literal
+from fieldglass.functions.scalar import seeded_digest, sql_literal
 from fieldglass.operators.anomaly import any_present, eligible_rows, scale_numbers
 from fieldglass.operators.distribution import exact_quantiles
-from fieldglass.operators.forest import unit_hash
 from fieldglass.operators.schema import candidate_features, numeric_features, resolve_fields
 from fieldglass.runtime import settle
 
@@ -48,10 +47,8 @@ class Zones:
 
 
 def seeded_sample(rows: DataFrame, cap: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """The first ``cap`` rows (or all) by hash of their key: every task keeps its own first ``cap``."""
-    by = [F.col(k) for k in keys]
-    drawn = rows.withColumn("_u", unit_hash(*by, F.lit(seed)))
-    return drawn.orderBy("_u", *by).limit(cap).drop("_u")
+    """The first ``cap`` rows (or all) by digest of their key: every task keeps its own first ``cap``."""
+    return rows.orderBy(seeded_digest(keys, seed), *keys).limit(cap)
 
 
 def scaled_columns(scale: Mapping[str, tuple[float, float, float]], names: Sequence[str]) -> dict[str, Column]:
@@ -173,12 +170,10 @@ def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: in
 
 def describe(profiles: DataFrame, table: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Add a description of each cluster by comparing its means with the table's medians."""
-    wording = {"ndvi": ("dense vegetation", "lower canopy"), "ndwi": ("higher surface moisture", "water stress")}
-    if "temperature" in fields:
-        wording[fields["temperature"]] = ("warmer climate", "cooler zone")
+    wording = {fields.get(c, c): w for c, w in V.CLUSTER_WORDING.items()}
     used = {c: w for c, w in wording.items() if c in profiles.columns}
     if not used:
-        return profiles.withColumn("description", F.lit("bio-climatic zone based on detected indicators"))
+        return profiles.withColumn("description", F.lit(V.CLUSTER_TEXT))
     medians = exact_quantiles(table, {c: (F.col(c), [0.5]) for c in used})
     texts = [F.when(F.col(c) >= F.lit(medians[c][0]), above).otherwise(below) for c, (above, below) in used.items()]
     return profiles.withColumn("description", F.concat_ws(", ", *texts))

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.functions.scalar import literal_table
+from fieldglass.functions.scalar import literal_table, seeded_digest
 from fieldglass.operators.risk import risk_level
 from fieldglass.operators.schema import present, resolve_fields, state_of_city
 
-POINT_MEANS = ("ndvi", "ndwi", "temperature", "rainfall", "risk_score", "anomaly_score")
-
 
 def same_text(column, text: str):
     return F.lower(F.col(column).cast("string")) == text.lower()
@@ -48,7 +46,7 @@ def group_points(rows: DataFrame, fields: Mapping[str, str] | None = None) -> Da
         sources["region"] = fields["region"]
     if "state" in rows.columns:
         sources["state"] = "state"
-    means = {m: fields.get(m, m) for m in POINT_MEANS if fields.get(m, m) in rows.columns}
+    means = {m: fields.get(m, m) for m in V.POINT_MEANS if fields.get(m, m) in rows.columns}
     keyed = present(rows, list(sources.values())).select(
         *[F.col(c).alias(k) for k, c in sources.items()], *[F.col(c).alias(m) for m, c in means.items()])
     if not means:
@@ -68,9 +66,9 @@ def group_points(rows: DataFrame, fields: Mapping[str, str] | None = None) -> Da
 
 
 def cap_points(points: DataFrame, cap: int = V.MAX_POINTS, seed: int = V.SEED) -> DataFrame:
-    """At most ``cap`` points, chosen by a hash of their place: repeatable and independent of partitioning."""
+    """At most ``cap`` points, chosen by a digest of their place: repeatable and independent of partitioning."""
     keys = [c for c in ("latitude", "longitude", "region", "state") if c in points.columns]
-    return points.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(cap)
+    return points.orderBy(seeded_digest(keys, seed), *keys).limit(cap)
 
 
 def points(scored: DataFrame, region: str | None = None, state: str | None = None, risk: str | None = None,

@@ -14,7 +14,7 @@ from fieldglass.operators.findings import findings
 from fieldglass.operators.regions import regional_profile
 from fieldglass.operators.schema import resolve_fields
 
-KINDS = ("anomalies", "regions", "risk", "insights")
+KINDS = V.REPORT_KINDS
 
 
 def display_columns(scored: DataFrame, fields: Mapping[str, str] | None = None) -> list[str]:
@@ -48,4 +48,4 @@ def report(scored: DataFrame, kind: str) -> DataFrame:
         return regional_profile(scored)
     if kind == "insights":
         return findings(scored)
-    raise ValueError(f"kind must be one of {KINDS}")
+    raise ValueError(f"kind must be one of {V.REPORT_KINDS}")

@@ -108,7 +108,7 @@ def _(ws):
         F.count_if(F.col("ndwi") < V.WATER_STRESS_BELOW).alias("stressed"))
 
 
-_POINT_MEANS = ", ".join(f"avg({c}) AS {c}" for c in points.POINT_MEANS)
+_POINT_MEANS = ", ".join(f"avg({c}) AS {c}" for c in V.POINT_MEANS)
 
 
 def _points(where: str = "true", source: str = "scored") -> str:
@@ -116,7 +116,7 @@ def _points(where: str = "true", source: str = "scored") -> str:
             "latitude IS NOT NULL AND longitude IS NOT NULL AND region IS NOT NULL AND state IS NOT NULL GROUP BY ALL)")
 
 
-_POINT_ROWS = (f"SELECT latitude, longitude, region, state, region AS city, {Q.sixes(*points.POINT_MEANS)}, "
+_POINT_ROWS = (f"SELECT latitude, longitude, region, state, region AS city, {Q.sixes(*V.POINT_MEANS)}, "
                f"{Q.level('risk_score')} AS severity, coalesce(risk_score >= 60, false) AS hot FROM point")
 
 
@@ -463,7 +463,11 @@ def _(ws):
     return six(correlation.strongest(correlation.correlations(ws.obs)).drop("pair"))
 
 
-@query("o6_point_sample")
+@query("o6_point_sample", with_ctes(
+    "place AS (SELECT CAST(c_custkey % 90 AS DOUBLE) AS latitude, CAST(c_custkey % 179 AS DOUBLE) AS longitude, "
+    f"CAST(c_nationkey AS VARCHAR) AS region, {Q.quoted(V.UNKNOWN_STATE)} AS state, avg(c_acctbal) AS ndvi FROM customer GROUP BY 1, 2, 3, 4)",
+    f"SELECT latitude, longitude, region, region AS city, state, {Q.r6('ndvi')} FROM place "
+    f"ORDER BY md5(concat_ws('|', latitude, longitude, region, state, '{V.SEED}')), latitude, longitude, region LIMIT {V.MAX_POINTS}"))
 def _(ws):
     """A seeded choice of at most 500 places; here places are suppliers."""
     rows = table(ws.spark, ws.sf_dir, "customer").select(
@@ -472,7 +476,9 @@ def _(ws):
     return six(points.cap_points(points.group_points(rows)))
 
 
-@query("o7_cluster_sample")
+@query("o7_cluster_sample", with_ctes(
+    Q.OBS, f"SELECT row_id, {Q.r6('ndvi')} FROM (SELECT * FROM obs ORDER BY md5(concat_ws('|', row_id, '{V.SEED}')), row_id "
+           f"LIMIT {V.CLUSTER_SAMPLE}) s"))
 def _(ws):
     from fieldglass.operators.cluster import seeded_sample
 

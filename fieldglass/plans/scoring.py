@@ -12,7 +12,7 @@ from fieldglass.operators.findings import findings, recommendations
 from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, query, six, with_ctes
 from fieldglass.plans.reporting import _pair_rows
-from fieldglass.plans.tables import obs_raw, score
+from fieldglass.plans.tables import obs_raw, score, table
 from fieldglass.operators.schema import prepare, resolve_fields
 
 ZSCORED = Q.OBS + Q.anomalies("obs")
@@ -53,6 +53,29 @@ def _(ws):
     return six(scored.select("row_id", "anomaly_score", "anomaly_flag", "severity"))
 
 
+_OUTLIER = "c_custkey % 500 = 0"
+
+
+@query("m3_keyed_properties", f"""SELECT count(*) AS rows, count(*) FILTER ({_OUTLIER}) AS planted, CAST(0 AS DOUBLE) AS least, CAST(1 AS DOUBLE) AS greatest,
+  0 AS wrong_flags, 0 AS wrong_severities, 0 AS changed, true AS planted_first FROM customer""")
+def _(ws):
+    """Ordinary rows with a few far ones among them: what any forest must give, and the same again on other partitions."""
+    far = F.when(F.col("c_custkey") % 1000 == 0, 1.0).otherwise(-1.0)
+    rows = table(ws.spark, ws.sf_dir, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.expr(_OUTLIER).alias("planted"),
+        *[F.when(F.expr(_OUTLIER), far * 900).otherwise((F.col("c_custkey") % n) / n).alias(c)
+          for c, n in (("ndvi", 97), ("ndwi", 89), ("temperature", 31))])
+    first = anomaly.with_anomaly(rows, method="forest")
+    again = anomaly.with_anomaly(rows.repartition(5, "ndvi"), method="forest").select("row_id", F.col("anomaly_score").alias("again"))
+    score = F.col("anomaly_score")
+    return six(first.join(again, "row_id", "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("planted").alias("planted"), F.min(score).alias("least"), F.max(score).alias("greatest"),
+        F.count_if(F.col("anomaly_flag") != (score >= V.FLAG_FROM)).alias("wrong_flags"),
+        F.count_if(F.col("severity") != F.expr(Q.severity("anomaly_score"))).alias("wrong_severities"),
+        F.count_if(F.coalesce(F.abs(score - F.col("again")) > 1e-9, F.lit(True))).alias("changed"),
+        (F.min(F.when(F.col("planted"), score)) > F.max(F.when(~F.col("planted"), score))).alias("planted_first")))
+
+
 @query("m4_z_score", with_ctes(ZSCORED, f"SELECT row_id, {Q.sixes('anomaly_score')}, anomaly_flag, severity FROM flagged"))
 def _(ws):
     scored = anomaly.with_anomaly(ws.obs, method="zscore")
@@ -174,6 +197,65 @@ def _(ws):
     return cluster.preconditions(ws.obs)
 
 
+def _groups(ws):
+    """Customers in three groups far from each other."""
+    group = F.col("c_custkey") % 3
+    return table(ws.spark, ws.sf_dir, "customer").select(
+        F.col("c_custkey").alias("row_id"), group.alias("planted"), (group * 10 + F.col("c_custkey") % 7 / 10).alias("ndvi"),
+        (F.col("c_custkey") % 5 / 10 - group * 8).alias("ndwi"), (20 + group * 15 + F.col("c_custkey") % 4).cast("double").alias("temperature"))
+
+
+_GROUPS = """rows AS (SELECT c_custkey AS row_id, c_custkey % 3 AS planted, (c_custkey % 3) * 10 + (c_custkey % 7) / CAST(10 AS DOUBLE) AS ndvi,
+  (c_custkey % 5) / CAST(10 AS DOUBLE) - (c_custkey % 3) * 8 AS ndwi,
+  CAST(20 + (c_custkey % 3) * 15 + c_custkey % 4 AS DOUBLE) AS temperature FROM customer)"""
+_FOUND = with_ctes(_GROUPS, "SELECT planted, count(*) AS rows, 1 AS clusters, count(*) AS mates, 3 AS k, true AS converged FROM rows GROUP BY planted")
+
+
+def _found(zones):
+    sizes = zones.profiles.select("cluster", F.col("size").alias("mates"))
+    return (zones.assigned.groupBy("planted").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cluster").alias("clusters"),
+                                                  F.min("cluster").alias("cluster"))
+            .join(sizes, "cluster").drop("cluster").withColumns({"k": F.lit(zones.k), "converged": F.lit(zones.converged)}))
+
+
+@query("m7_m9_planted_groups", _FOUND)
+def _(ws):
+    """The number of groups and every row's group are found."""
+    return _found(cluster.clusters(_groups(ws)))
+
+
+@query("d9_planted_groups", _FOUND)
+def _(ws):
+    return _found(cluster.clusters(_groups(ws), k=3))
+
+
+@query("m8_planted_silhouette", with_ctes(_GROUPS + ", scale AS (SELECT " + ", ".join(
+    f"median({c}) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS w_{c}" for c in ("ndvi", "ndwi", "temperature"))
+    + f""" FROM rows), drawn AS (SELECT * FROM rows ORDER BY md5(concat_ws('|', row_id, '{V.SEED}')), row_id LIMIT {V.CLUSTER_SAMPLE}),
+    place AS (SELECT planted AS g, (ndvi - m_ndvi) / w_ndvi AS x, (ndwi - m_ndwi) / w_ndwi AS y,
+      (temperature - m_temperature) / w_temperature AS z, count(*) AS w FROM drawn, scale GROUP BY ALL),
+    total AS (SELECT a.g, a.x, a.y, a.z, a.w, b.g AS h, sum(b.w * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d,
+      sum(b.w) AS n FROM place a, place b GROUP BY a.g, a.x, a.y, a.z, a.w, b.g),
+    own AS (SELECT w, max(d) FILTER (h = g) / (max(n) FILTER (h = g) - 1) AS inside, min(d / n) FILTER (h <> g) AS outside
+      FROM total GROUP BY g, x, y, z, w)""",
+    f"SELECT 3 AS k, {Q.r6('sum(w * (outside - inside) / greatest(inside, outside)) / sum(w)', 'silhouette')} FROM own"))
+def _(ws):
+    from fieldglass.functions.scalar import literal_table
+
+    zones = cluster.clusters(_groups(ws))
+    return six(literal_table(ws.spark, ["k", "silhouette"], [(zones.k, float(zones.silhouette))]))
+
+
+@query("a12_a13_m11_planted_profiles", with_ctes(
+    _GROUPS + ", middle AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in V.CLUSTER_WORDING) + " FROM rows), profile AS (SELECT "
+    "count(*) AS size, " + ", ".join(f"avg({c}) AS {c}" for c in V.CLUSTER_WORDING) + " FROM rows GROUP BY planted)",
+    f"SELECT size, {Q.sixes(*V.CLUSTER_WORDING)}, " + " || ', ' || ".join(
+        f"CASE WHEN {c} >= m_{c} THEN '{above}' ELSE '{below}' END" for c, (above, below) in V.CLUSTER_WORDING.items())
+    + " AS description FROM profile, middle"))
+def _(ws):
+    return six(cluster.clusters(_groups(ws)).profiles.drop("cluster"))
+
+
 @query("a12_a13_m11_cluster_profiles")
 def _(ws):
     return six(cluster.clusters(ws.climate).profiles)
