@@ -1,5 +1,6 @@
 """Scalar helpers and index formulas on hand-worked rows."""
 
+import hashlib
 import math
 
 import pytest
@@ -16,6 +17,12 @@ def one(spark, column, **values):
     return row.select(column.alias("out")).first()["out"]
 
 
+def test_seeded_digest(spark):
+    digest = scalar.seeded_digest(["a", "b"], 42)
+    assert one(spark, digest, a="x", b=7.0) == hashlib.md5(b"x|7.0|42").hexdigest()
+    assert one(spark, digest, a=None, b=7.0) == hashlib.md5(b"7.0|42").hexdigest()  # a missing key is left out
+
+
 def test_division_guards(spark):
     c = F.col
     assert one(spark, scalar.ratio(c("a"), c("b")), a=1.0, b=0.0) is None
