@@ -1,21 +1,22 @@
 """Environmental zones: K-means on robustly scaled indicators, the number of zones chosen by silhouette.
 
-Rows are scaled by exact quantiles of all rows. The number of clusters is chosen on a sample of at most ``sample_cap``
-rows, a bounded problem whose runs (each k, each restart) and silhouettes are spread over
-tasks against a broadcast copy of the sample. The whole table is then clustered from the best
-sample centres by plain aggregation: assign by least distance, average by
-cluster, repeat. Each round is one scan with map-side combining and a shuffle
-of a handful of rows.
+Rows are scaled by exact quantiles of all rows and written once. For each number of clusters the restarts compete on a
+seeded sample, a bounded problem with a task for each run; it only says where K-means starts. From there every number
+of clusters goes on over all rows, in step: a round is one scan in which tasks add up the members of all clusters, so
+only sums of a handful of clusters are shuffled. The number of clusters is chosen over all rows by the silhouette of
+squared distances, which needs sums per cluster alone. The Euclidean silhouette of the chosen clustering, where every
+pair counts, is reported for the sample.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,10 @@ Centres = list[list[float]]
 
 @dataclass
 class Zones:
-    """Result of clustering: rows with ``cluster``, one profile row per cluster, and how the number was chosen."""
+    """Result of clustering: rows with ``cluster``, one profile row per cluster, and how the number was chosen.
+
+    ``silhouettes`` are means over all rows, of squared distances; ``silhouette`` is the Euclidean mean over a sample.
+    """
 
     assigned: DataFrame
     profiles: DataFrame
@@ -94,6 +98,91 @@ def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(cross, 0.0)
 
 
+def points_of(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The first ``width`` columns as rows of points, some thousand at a time."""
+    columns = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+    for at in range(0, len(columns), 4096):
+        yield columns[at:at + 4096]
+
+
+def cluster_sums(matrix: DataFrame, width: int, models: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """For each model one row per cluster: members, sum of their squared lengths, and sum of their points; one scan."""
+    every = np.vstack(models)
+    edges = np.cumsum([0, *[len(m) for m in models]])
+    schema = "c int, n double, q double, " + ", ".join(f"x{i} double" for i in range(width))
+
+    def add(batches):
+        total = np.zeros((len(every), width + 2))
+        for batch in batches:
+            for points in points_of(batch, width):
+                near = (every ** 2).sum(axis=1)[None, :] - 2.0 * (points @ every.T)
+                member, at = np.zeros(near.shape), np.arange(len(points))
+                for a, b in zip(edges, edges[1:]):
+                    member[at, a + near[:, a:b].argmin(axis=1)] = 1.0
+                total += member.T @ np.column_stack([np.ones(len(points)), (points ** 2).sum(axis=1), points])
+        used = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(v) for v in total[used].T]],
+                                         names=["c", "n", "q", *[f"x{i}" for i in range(width)]])
+
+    out = np.zeros((len(every), width + 2))
+    names = ["n", "q", *[f"x{i}" for i in range(width)]]
+    for row in matrix.mapInArrow(add, schema).groupBy("c").agg(*[F.sum(n).alias(n) for n in names]).collect():  # a row per cluster
+        out[row["c"]] = [row[n] for n in names]
+    return [out[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def refine(matrix: DataFrame, width: int, models: Mapping[int, np.ndarray], max_iter: int,
+           tolerance: float) -> tuple[dict[int, np.ndarray], set[int]]:
+    """Lloyd rounds of all models in step over all rows, each until no centre moves more than the tolerance.
+
+    Returns the centres and the models that came to rest within ``max_iter`` rounds. Empty clusters stay put.
+    """
+    models, active = dict(models), list(models)
+    for _ in range(max_iter):
+        found = dict(zip(active, cluster_sums(matrix, width, [models[k] for k in active])))
+        for k, sums in found.items():
+            n, before = sums[:, :1], models[k]
+            models[k] = np.where(n > 0, sums[:, 2:] / np.maximum(n, 1.0), before)
+            if ((models[k] - before) ** 2).sum(axis=1).max() <= tolerance ** 2:
+                active.remove(k)
+        if not active:
+            break
+    return models, set(models) - set(active)
+
+
+def squared_silhouettes(matrix: DataFrame, width: int, models: Mapping[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette of squared Euclidean distances over all rows: two scans, by sums of each cluster.
+
+    The mean squared distance of a point to a cluster follows from the cluster's size, summed squares and summed points.
+    A row alone in its cluster counts 0; a clustering with fewer than two clusters in use has -1.
+    """
+    sums = dict(zip(models, cluster_sums(matrix, width, list(models.values()))))
+
+    def add(batches):
+        total, n = dict.fromkeys(models, 0.0), 0
+        for batch in batches:
+            for points in points_of(batch, width):
+                n += len(points)
+                at = np.arange(len(points))
+                for k, centres in models.items():
+                    size, squares, summed = sums[k][:, 0], sums[k][:, 1], sums[k][:, 2:]
+                    used = np.maximum(size, 1.0)
+                    mine = ((centres ** 2).sum(axis=1)[None, :] - 2.0 * (points @ centres.T)).argmin(axis=1)
+                    gap = (points ** 2).sum(axis=1)[:, None] + (squares / used)[None, :] - 2.0 * (points @ (summed / used[:, None]).T)
+                    gap = np.where(size > 0, np.maximum(gap, 0.0), np.inf)
+                    inside = gap[at, mine] * size[mine] / np.maximum(size[mine] - 1.0, 1.0)
+                    gap[at, mine] = np.inf
+                    outside = gap.min(axis=1)
+                    larger = np.maximum(inside, outside)
+                    fair = (size[mine] > 1) & np.isfinite(outside) & (larger > 0)
+                    total[k] += float(np.where(fair, (outside - inside) / np.where(fair, larger, 1.0), 0.0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values())),
+                                          pa.array([float(n)] * len(total))], names=["k", "s", "n"])
+
+    means = matrix.mapInArrow(add, "k int, s double, n double").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("mean")).collect()
+    return {row["k"]: row["mean"] if (sums[row["k"]][:, 0] > 0).sum() > 1 else -1.0 for row in means}
+
+
 def best_of_restarts(spark: SparkSession, shared, ks: Sequence[int], restarts: int, seed: int) -> dict[int, Centres]:
     """For each k the centres with the least cost among seeded restarts; every run is a task of its own."""
     tasks = [(k, run) for k in ks for run in range(restarts)]
@@ -148,26 +237,6 @@ def mean_silhouettes(spark: SparkSession, shared, size: int, models: Mapping[int
     return {k: means[f"s{k}"] if means[f"c{k}"] > 1 else -1.0 for k in models}
 
 
-def refine(rows: DataFrame, names: Sequence[str], centres: Centres, max_iter: int,
-           tolerance: float) -> tuple[Centres, bool]:
-    """Lloyd rounds over the whole table until no centre moves more than the tolerance, and whether that came about.
-
-    Empty clusters stay put.
-    """
-    for _ in range(max_iter):
-        means = {
-            row["c"]: [row[n] for n in names]
-            for row in rows.groupBy(nearest(names, centres).alias("c")).agg(*[F.avg(n).alias(n) for n in names])
-            .collect()  # at most k rows
-        }
-        moved = [means.get(i, c) for i, c in enumerate(centres)]
-        shift = max(sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(moved, centres))
-        centres = moved
-        if shift <= tolerance ** 2:
-            return centres, True
-    return centres, False
-
-
 def describe(profiles: DataFrame, table: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Add a description of each cluster by comparing its means with the table's medians."""
     wording = {fields.get(c, c): w for c, w in V.CLUSTER_WORDING.items()}
@@ -189,7 +258,11 @@ def preconditions(df: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None = None, seed: int = V.SEED,
              restarts: int = V.CLUSTER_RESTARTS, sample_cap: int = V.CLUSTER_SAMPLE, max_iter: int = 100,
              tolerance: float = 1e-4, row_key: Sequence[str] = ("row_id",)) -> Zones:
-    """Cluster the rows with at least one feature; ``k`` fixes the number of clusters, else 2..6 are compared."""
+    """Cluster the rows with at least one feature; ``k`` fixes the number of clusters, else 2..6 are compared.
+
+    All rows decide on scales, centres and the number of clusters; ``sample_cap`` bounds the sample that gives the start
+    centres and the reported Euclidean silhouette.
+    """
     fields = resolve_fields(df.columns)
     named = list(candidate_features(df, fields) if features is None else features)
     counts = df.agg(F.count_if(any_present(named)).alias("_n"), *[F.count(f).alias(f) for f in named]).first()
@@ -204,24 +277,24 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     if n < V.CLUSTER_MIN_ROWS:
         raise ValueError(f"clustering needs at least {V.CLUSTER_MIN_ROWS} rows with an indicator")
 
-    drawn = seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), sample_cap, seed, keys)
-    sample = drawn.toPandas()[features].astype("float64")  # at most sample_cap rows
-    size = len(sample)
     scale = scale_numbers(rows, features)
     names = [f"_x{i}" for i in range(len(features))]
+    drawn = seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), sample_cap, seed, keys)
+    sample = drawn.toPandas()[features].astype("float64")  # at most sample_cap rows
     points = np.column_stack([(sample[f].fillna(fill) - centre) / width for f, (fill, centre, width) in scale.items()])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(points)
-    tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, size - 1) + 1))
-    models = best_of_restarts(spark, shared, tried, restarts, seed)
-    scores = mean_silhouettes(spark, shared, len(points), models)
-    chosen = max(tried, key=lambda c: (scores[c], -c))
+    tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, n - 1) + 1))
+    starts = {c: np.asarray(x) for c, x in best_of_restarts(spark, shared, tried, restarts, seed).items()}
 
-    centres = models[chosen]
-    matrix = rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()])
-    centres, converged = refine(settle(matrix, "matrix"), names, centres, max_iter, tolerance)
+    matrix = settle(rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()]), "matrix")
+    models, rested = refine(matrix, len(names), starts, max_iter, tolerance)
+    scores = squared_silhouettes(matrix, len(names), models)
+    chosen = max(tried, key=lambda c: (scores[c], -c))
+    centres, converged = models[chosen].tolist(), chosen in rested
+    silhouette = mean_silhouettes(spark, shared, len(points), {chosen: centres})[chosen]
     centres = sorted(centres)
     assigned = rows.withColumns(scaled_columns(scale, names)).withColumn("cluster", nearest(names, centres)).drop(*names)
     profiles = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), *[F.avg(f).alias(f) for f in features])
-    return Zones(assigned, describe(profiles, df, fields), chosen, scores[chosen], scores, centres, converged)
+    return Zones(assigned, describe(profiles, df, fields), chosen, silhouette, scores, centres, converged)

@@ -246,6 +246,23 @@ def _(ws):
     return six(literal_table(ws.spark, ["k", "silhouette"], [(zones.k, float(zones.silhouette))]))
 
 
+@query("m8_planted_squared_silhouette", with_ctes(_GROUPS + ", scale AS (SELECT " + ", ".join(
+    f"median({c}) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS w_{c}" for c in ("ndvi", "ndwi", "temperature"))
+    + """ FROM rows), place AS (SELECT planted AS g, (ndvi - m_ndvi) / w_ndvi AS x, (ndwi - m_ndwi) / w_ndwi AS y,
+      (temperature - m_temperature) / w_temperature AS z, count(*) AS w FROM rows, scale GROUP BY ALL),
+    total AS (SELECT a.g, a.x, a.y, a.z, a.w, b.g AS h, sum(b.w * (pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d,
+      sum(b.w) AS n FROM place a, place b GROUP BY a.g, a.x, a.y, a.z, a.w, b.g),
+    own AS (SELECT w, max(d) FILTER (h = g) / (max(n) FILTER (h = g) - 1) AS inside, min(d / n) FILTER (h <> g) AS outside
+      FROM total GROUP BY g, x, y, z, w)""",
+    f"SELECT 3 AS k, {Q.r6('sum(w * (outside - inside) / greatest(inside, outside)) / sum(w)', 'squared_silhouette')} FROM own"))
+def _(ws):
+    """The silhouette by which k is chosen, over all rows."""
+    from fieldglass.functions.scalar import literal_table
+
+    zones = cluster.clusters(_groups(ws))
+    return six(literal_table(ws.spark, ["k", "squared_silhouette"], [(zones.k, float(zones.silhouettes[zones.k]))]))
+
+
 @query("a12_a13_m11_planted_profiles", with_ctes(
     _GROUPS + ", middle AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in V.CLUSTER_WORDING) + " FROM rows), profile AS (SELECT "
     "count(*) AS size, " + ", ".join(f"avg({c}) AS {c}" for c in V.CLUSTER_WORDING) + " FROM rows GROUP BY planted)",

@@ -173,7 +173,7 @@ def test_clusters_find_the_groups(spark):
     assert got.groupby(got["row_id"] % 3)["cluster"].nunique().eq(1).all()
     profiles = zones.profiles.toPandas()
     assert profiles["size"].sum() == 300 and profiles["description"].str.contains("vegetation|canopy").all()
-    capped = cluster.clusters(df, restarts=4, sample_cap=60)  # centres from a sample, refined over all rows
+    capped = cluster.clusters(df, restarts=4, sample_cap=60)  # starts from a sample, refined over all rows
     assert capped.k == 3 and capped.profiles.toPandas()["size"].tolist() == [100, 100, 100]
     assert cluster.clusters(df, k=2, restarts=2).profiles.count() == 2
 
@@ -194,6 +194,49 @@ def test_silhouettes_match_brute_force(spark):
         assert got[k] == pytest.approx(np.mean(values), abs=1e-6)
 
 
+def matrix_of(spark, n):
+    return blobs(spark, n).select("ndvi", "ndwi").repartition(5)
+
+
+def test_squared_silhouettes_match_brute_force(spark):
+    df = matrix_of(spark, 60)
+    points_ = np.array([[r["ndvi"], r["ndwi"]] for r in df.collect()])
+    models = {2: np.array([[0., 0.], [8., -6.]]), 3: np.array([[0., 0.], [5., -4.], [10., -8.]]), 4: np.array([[5., -4.], [99., 99.], [99., -99.], [-99., 99.]])}
+    got = cluster.squared_silhouettes(df, 2, models)
+    distance = ((points_[:, None] - points_[None]) ** 2).sum(2)
+    for k in (2, 3):
+        label = ((points_[:, None] - models[k][None]) ** 2).sum(2).argmin(1)
+        values = []
+        for i in range(60):
+            own = label == label[i]
+            a = distance[i][own].sum() / (own.sum() - 1)
+            b = min(distance[i][label == c].mean() for c in set(label) - {label[i]})
+            values.append((b - a) / max(a, b))
+        assert got[k] == pytest.approx(np.mean(values), abs=1e-9)
+    assert got[4] == -1.0  # one cluster in use
+
+
+def test_refined_centres_are_means_of_their_rows(spark):
+    df = matrix_of(spark, 300)
+    points_ = np.array([[r["ndvi"], r["ndwi"]] for r in df.collect()])
+    starts = {2: points_[:2], 3: np.array([[1., -1.], [4., -3.], [9., -9.]])}
+    models, rested = cluster.refine(df, 2, starts, 100, 1e-4)
+    assert rested == {2, 3}
+    for centres in models.values():
+        label = ((points_[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        for c in set(label):
+            assert centres[c] == pytest.approx(points_[label == c].mean(0), abs=1e-3)
+    sums = cluster.cluster_sums(df, 2, [models[3]])[0]
+    assert sums[:, 0].tolist() == [100, 100, 100] and sums[:, 1].sum() == pytest.approx((points_ ** 2).sum())
+    assert cluster.refine(df, 2, starts, 1, 1e-9)[1] == set()  # one round does not suffice
+
+
+def test_clusters_of_few_different_points(spark):
+    df = spark.range(500).selectExpr("id AS row_id", "CAST(id % 2 AS DOUBLE) AS ndvi", "CAST(id % 2 AS DOUBLE) AS ndwi")
+    zones = cluster.clusters(df, restarts=2)
+    assert zones.k == 2 and sorted(zones.profiles.toPandas()["size"]) == [250, 250] and zones.silhouettes[2] == pytest.approx(1.0)
+
+
 def test_clusters_need_enough(spark):
     with pytest.raises(ValueError):
         cluster.clusters(blobs(spark, 11))
