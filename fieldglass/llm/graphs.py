@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); a component is named by its least node.
 
     Nodes may be of any ordered type. Every round is written to the shared folder; the number of rounds grows with the
-    logarithm of the longest chain. A hub with many neighbours is a hot key of joins that adaptive execution splits.
+    logarithm of the longest chain. A hub with many neighbours is a hot key of the joins; the task that
+    has it streams its rows where adaptive execution does not split it.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
