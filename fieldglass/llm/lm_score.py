@@ -1,7 +1,8 @@
 """LM scoring: masked pseudo-likelihood from a bidirectional window network, trained in numpy over all documents.
 
 Every word is predicted from the two words on each side. The output is two softmaxes: the word's class, and the word
-within its class. Partitions train on their own words and their networks are averaged, round after round.
+within its class. Rarer words share entries by hash; which word of its entry it is, is a third level, by the counts of
+all words, which stay in Spark. Partitions train on their own words and their networks are averaged, round after round.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Prefix, blocks, mix, words
+from fieldglass.llm.blocks import Prefix, blocks, mix, per_row, words
 from fieldglass.llm.frames import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,15 +59,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(kind, n, len(kinds)).astype(np.int64))], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of the frequent words, their entries' counts by rank): counted over all words of all documents."""
-    counts = settle(docs.select(F.col(text)).mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of every word of all documents, written."""
+    return settle(docs.select(F.col(text)).mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the frequent words by rank, one more than each entry's count): entries of rare words count all of theirs."""
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).toArrow()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    sums = counts.groupBy(F.pmod("word", F.lit(RARE)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     frequent, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.float64)
     entries = np.full(VOCABULARY, 1.0)
     entries[: len(n)] += n
-    entries[VOCABULARY - RARE:] += (total - n.sum()) / RARE
+    rare = entries[VOCABULARY - RARE:]
+    rare[sums.column("bucket").to_numpy().astype(np.int64)] += sums.column("n").to_numpy()
+    np.subtract.at(rare, (frequent % np.uint64(RARE)).astype(np.int64), n)
     return frequent, entries
 
 
@@ -238,23 +245,39 @@ def _merged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(w, np.float32) for w in rows.column("weights").to_pylist()]) if rows.num_rows else np.zeros(0, np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(frequent words, network): vocabulary and training cover every document."""
-    frequent, entries = vocabulary(docs, text)
+def _fit(docs: DataFrame, frequent: np.ndarray, entries: np.ndarray, text: str, rounds: int) -> np.ndarray:
     net = pack(new_network(entries))
     for turn in range(rounds):
         parts = settle(docs.select(F.col(text)).mapInArrow(_train(net, frequent, turn), "slice bigint, part bigint, n double, weights binary"), "networks")
         new = _merged(parts)
         net = new if len(new) else net
-    return frequent, net
+    return net
+
+
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent words, network): vocabulary and training cover every document."""
+    frequent, entries = vocabulary(word_counts(docs, text))
+    return frequent, _fit(docs, frequent, entries, text, rounds)
 
 
 def score_texts(texts: pa.Array, net: dict[str, np.ndarray], known: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(words, summed log-probability of every word given the words around it) of each text."""
+    """(words, summed log-probability of every word's entry given the words around it) of each text."""
+    n, total, _, _ = _entry_scores(texts, net, known, np.ones(VOCABULARY))
+    return n, total
+
+
+def _entry_scores(texts: pa.Array, net: dict[str, np.ndarray], known: Words, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words, summed log-probability of their entries, rare words, summed log of the rare words' entry sizes) of each text."""
     n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    n_rare, shared = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    logs = np.log(sizes)
     step = 16384
     for row, hashes, first in hashed_words(texts):
         entries = known.entries(hashes)
+        rare = entries >= VOCABULARY - RARE
+        n_rare[row: row + len(first) - 1] = per_row(rare, first)
+        whole = np.concatenate([[0.0], np.cumsum(np.where(rare, logs[entries], 0.0))])
+        shared[row: row + len(first) - 1] = whole[first[1:]] - whole[first[:-1]]
         own = np.zeros(len(hashes) + 1)
         for k in range(0, len(hashes), step):
             at = np.arange(k, min(k + step, len(hashes)))
@@ -262,24 +285,74 @@ def score_texts(texts: pa.Array, net: dict[str, np.ndarray], known: Words) -> tu
         sums = np.cumsum(own)
         n[row: row + len(first) - 1] = np.diff(first)
         total[row: row + len(first) - 1] = sums[first[1:]] - sums[first[:-1]]
-    return n, total
+    return n, total, n_rare, shared
+
+
+# --- rare words ----------------------------------------------------------------------------------------------------
+
+def _rare_words(frequent: np.ndarray):
+    """(own, word, k): how often each rare word is in a text, own being the text's hash; copies in a block are added up."""
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(frequent)
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for row, hashes, first in hashed_words(batch.column(0)):
+                at = np.flatnonzero(known.entries(hashes) >= VOCABULARY - RARE)
+                own, number = np.unique(keys[row: row + len(first) - 1], return_inverse=True)
+                number, word = np.repeat(number, np.diff(first))[at], hashes[at]
+                order = np.lexsort((word, number))
+                number, word = number[order], word[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (number[1:] != number[:-1]) | (word[1:] != word[:-1])
+                starts = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[number[starts]]), pa.array(word[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(word))))],
+                    names=["own", "word", "k"])
+
+    return rare_words
+
+
+def rare_levels(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
+    """(own, level): the mean log count of each text's rare words; words without a count stand like those of count 1.
+
+    Copies of a text add to sum and number alike, so none has to be left out.
+    """
+    rows = docs.select(F.col(text), _own(text).alias("own")).mapInArrow(_rare_words(frequent), "own bigint, word bigint, k bigint")
+    logs = counts.where("n > 1").select(F.col("word").alias("_w"), F.log("n").alias("log_n"))
+    return rows.join(logs, F.col("word") == F.col("_w"), "left").groupBy("own").agg(
+        (F.sum(F.col("k") * F.coalesce("log_n", F.lit(0.0))) / F.sum("k")).alias("level"))
+
+
+def _own(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def lm_scores(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with ``n_tokens``, ``log_likelihood`` (pseudo, summed) and ``lm_score`` (per word); such columns are replaced.
 
+    A word that shares its entry with others has the entry's probability times its share of the entry's words in all
+    documents, n / (words of the entry + 1); the rest is for words never seen.
+
     Null and empty texts have 0 words, log-likelihood 0 and a null score. Repeated rows get the same score (to
     rounding); an empty table gives an empty one. Scores of another layout of the same rows differ slightly, as partitions train apart.
     """
-    docs = docs.drop("n_tokens", "log_likelihood", "lm_score", "_lm")
-    frequent, flat = fit(docs, text, rounds)
+    docs = docs.drop("n_tokens", "log_likelihood", "lm_score", "_lm", "_lm_own", "_lm_text", "_lm_level")
+    counts = word_counts(docs, text)
+    frequent, entries = vocabulary(counts)
+    flat = _fit(docs, frequent, entries, text, rounds)
 
-    @F.arrow_udf("n bigint, total double")
+    @F.arrow_udf("n bigint, total double, n_rare bigint")
     def score(texts: pa.Array) -> pa.Array:
-        n, total = score_texts(texts, unpack(flat), Words(frequent))
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(total)], names=["n", "total"])
+        n, total, n_rare, shared = _entry_scores(texts, unpack(flat), Words(frequent), entries)
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(total - shared), pa.array(n_rare)], names=["n", "total", "n_rare"])
 
+    levels = rare_levels(docs, counts, frequent, text).select(F.col("own").alias("_lm_text"), F.col("level").alias("_lm_level"))
+    rare = F.col("_lm.n_rare") * F.coalesce("_lm_level", F.lit(0.0))
     return (
-        docs.withColumn("_lm", score(F.col(text))).withColumn("n_tokens", F.col("_lm.n")).withColumn("log_likelihood", F.col("_lm.total"))
-        .withColumn("lm_score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))).drop("_lm")
+        docs.withColumn("_lm", score(F.col(text))).withColumn("_lm_own", _own(text))
+        .join(levels, F.col("_lm_own") == F.col("_lm_text"), "left")
+        .withColumn("n_tokens", F.col("_lm.n")).withColumn("log_likelihood", F.col("_lm.total") + rare)
+        .withColumn("lm_score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+        .drop("_lm", "_lm_own", "_lm_text", "_lm_level")
     )

@@ -69,6 +69,27 @@ def test_order_and_likelihood(spark, documents, odd, none, clash):
     assert lm_scores(documents).agg(F.sum("n_tokens")).first()[0] == sum(len(WORD.findall(r.text)) for r in documents.collect())
 
 
+def test_rare_words_by_their_own_counts(spark):
+    r = random.Random(3)
+    known = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    rows = [(i, " ".join(r.choice(known) for _ in range(200))) for i in range(300)]
+    rows += [(1000 + i, " ".join("".join(r.sample(w, 7)) for w in t.split())) for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id bigint, text string").repartition(3).cache()
+    got = {x.doc_id: x for x in lm_scores(docs).collect()}
+    assert min(got[i].lm_score for i in range(300)) > max(got[i].lm_score for i in range(1000, 1020)) + 1
+    frequent, flat = lm_score.fit(docs)
+    kept, per = lm_score.Words(frequent), Counter()
+    hashes = {i: next(lm_score.hashed_words(pa.array([t])))[1] for i, t in rows}
+    n = Counter(h for i, _ in rows + rows[:40] for h in hashes[i].tolist())
+    rare = {h for h in n if kept.entries(np.array([h], np.uint64))[0] >= lm_score.VOCABULARY - lm_score.RARE}
+    for h in rare:
+        per[h % lm_score.RARE] += n[h]
+    for i, t in rows[:3] + rows[-3:]:
+        _, total = lm_score.score_texts(pa.array([t]), lm_score.unpack(flat), kept)
+        want = total[0] + sum(math.log(n[h] / (per[h % lm_score.RARE] + 1)) for h in hashes[i].tolist() if h in rare)
+        assert got[i].log_likelihood == pytest.approx(want, rel=1e-4)
+
+
 # --- classifier ----------------------------------------------------------------------------------------------------
 
 def test_held_out_accuracy(spark):
