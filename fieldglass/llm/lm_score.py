@@ -27,8 +27,7 @@ VOCABULARY = CLASSES * WITHIN
 RARE = 256
 WIDTH, HIDDEN = 16, 32
 SIDES = (-2, -1, 1, 2)
-#: of the words of every document one in so many is masked and predicted in a training round
-MASK_ONE_IN = 16
+#: training rounds; every word of every document is masked and predicted in one of them
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.05
@@ -128,9 +127,23 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(at)), at]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
+def _sorted_kinds(values: np.ndarray) -> np.ndarray:
+    """The stable order of entries or classes; 16 bits are sorted by digits."""
+    return np.argsort(values.astype(np.uint16), kind="stable")
 
 
 def _hidden(net, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,41 +153,42 @@ def _hidden(net, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probability(net: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(word | words around it)."""
-    _, h = _hidden(net, around)
-    kind, inner = target // WITHIN, target % WITHIN
-    out = _log_softmax(h @ net["classes"] + net["class_bias"])[np.arange(len(target)), kind].astype(np.float64)
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[edges[c]: edges[c + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ net["inner"][c] + net["inner_bias"][c])[np.arange(len(rows)), inner[rows]]
+    order = _sorted_kinds(target // WITHIN)
+    _, h = _hidden(net, around[order])
+    kind, inner = target[order] // WITHIN, target[order] % WITHIN
+    own = _log_softmax_at(h @ net["classes"] + net["class_bias"], kind).astype(np.float64)
+    edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+    for c, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            own[a:b] += _log_softmax_at(h[a:b] @ net["inner"][c] + net["inner_bias"][c], inner[a:b])
+    out = np.empty(len(target))
+    out[order] = own
     return out
 
 
 def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> None:
     """One step of gradient descent, steps scaled by each parameter's own history (Adagrad)."""
     n = len(target)
+    order = _sorted_kinds(target // WITHIN)
+    around, target = around[order], target[order]
     x, h = _hidden(net, around)
     kind, inner = target // WITHIN, target % WITHIN
-    d = np.exp(_log_softmax(h @ net["classes"] + net["class_bias"]))
+    d = _softmax(h @ net["classes"] + net["class_bias"])
     d[np.arange(n), kind] -= 1
     grads = {"classes": h.T @ d, "class_bias": d.sum(0), "inner": np.zeros(SHAPES["inner"], np.float32), "inner_bias": np.zeros(SHAPES["inner_bias"], np.float32)}
     back = d @ net["classes"].T
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[edges[c]: edges[c + 1]]
-        if len(rows):
-            e = np.exp(_log_softmax(h[rows] @ net["inner"][c] + net["inner_bias"][c]))
-            e[np.arange(len(rows)), inner[rows]] -= 1
-            grads["inner"][c], grads["inner_bias"][c] = h[rows].T @ e, e.sum(0)
-            back[rows] += e @ net["inner"][c].T
+    edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+    for c, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            e = _softmax(h[a:b] @ net["inner"][c] + net["inner_bias"][c])
+            e[np.arange(b - a), inner[a:b]] -= 1
+            grads["inner"][c], grads["inner_bias"][c] = h[a:b].T @ e, e.sum(0)
+            back[a:b] += e @ net["inner"][c].T
     back *= 1 - h * h
     grads["hidden"], grads["bias"] = x.T @ back, back.sum(0)
     to_words = (back @ net["hidden"].T).reshape(-1, WIDTH)
     flat = around.reshape(-1)
-    order = np.argsort(flat, kind="stable")
+    order = _sorted_kinds(flat)
     kinds, at = np.unique(flat[order], return_index=True)
     rows = np.add.reduceat(to_words[order], at, axis=0)
     for k, g in grads.items():
@@ -186,20 +200,24 @@ def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], around:
     net["embed"][kinds] -= RATE * rows / np.sqrt(seen["embed"][kinds])
 
 
-def masked(hashes: np.ndarray, first: np.ndarray, turn: int) -> np.ndarray:
-    """The words that are predicted in a round: chosen by hash of the word, its place and the round."""
+def masked(hashes: np.ndarray, first: np.ndarray, own: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The words that are predicted in a round, by hash of the word, its place and the document's key ``own``.
+
+    The rounds together predict each word once.
+    """
     place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-    draw = mix(hashes + mix(place.astype(np.uint64) + np.uint64(SEED)))
-    return np.flatnonzero(draw % np.uint64(MASK_ONE_IN) == np.uint64(turn % MASK_ONE_IN))
+    draw = mix(hashes + mix(place.astype(np.uint64) + np.uint64(SEED)) + np.repeat(mix(own.astype(np.int64).view(np.uint64)), np.diff(first)))
+    return np.flatnonzero(draw % np.uint64(rounds) == np.uint64(turn))
 
 
-def _train(start: np.ndarray, frequent: np.ndarray, turn: int):
+def _train(start: np.ndarray, frequent: np.ndarray, turn: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, known, n = unpack(start.copy()), Words(frequent), 0
         seen = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
         for batch in batches:
-            for _, hashes, first in hashed_words(batch.column(0)):
-                entries, at = known.entries(hashes), masked(hashes, first, turn)
+            keys = batch.column(1).to_numpy()
+            for row, hashes, first in hashed_words(batch.column(0)):
+                entries, at = known.entries(hashes), masked(hashes, first, keys[row: row + len(first) - 1], turn, rounds)
                 at = np.random.default_rng([SEED, turn, len(at)]).permutation(at)
                 for k in range(0, len(at), BATCH):
                     own = np.sort(at[k: k + BATCH])
@@ -245,19 +263,19 @@ def _merged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(w, np.float32) for w in rows.column("weights").to_pylist()]) if rows.num_rows else np.zeros(0, np.float32)
 
 
-def _fit(docs: DataFrame, frequent: np.ndarray, entries: np.ndarray, text: str, rounds: int) -> np.ndarray:
+def _fit(docs: DataFrame, frequent: np.ndarray, entries: np.ndarray, text: str, rounds: int, key: str) -> np.ndarray:
     net = pack(new_network(entries))
     for turn in range(rounds):
-        parts = settle(docs.select(F.col(text)).mapInArrow(_train(net, frequent, turn), "slice bigint, part bigint, n double, weights binary"), "networks")
+        parts = settle(docs.select(F.col(text), F.xxhash64(key)).mapInArrow(_train(net, frequent, turn, rounds), "slice bigint, part bigint, n double, weights binary"), "networks")
         new = _merged(parts)
         net = new if len(new) else net
     return net
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(frequent words, network): vocabulary and training cover every document."""
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    """(frequent words, network): the vocabulary counts, and training predicts, every word of every document once."""
     frequent, entries = vocabulary(word_counts(docs, text))
-    return frequent, _fit(docs, frequent, entries, text, rounds)
+    return frequent, _fit(docs, frequent, entries, text, rounds, key)
 
 
 def score_texts(texts: pa.Array, net: dict[str, np.ndarray], known: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -328,19 +346,22 @@ def _own(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def lm_scores(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``n_tokens``, ``log_likelihood`` (pseudo, summed) and ``lm_score`` (per word); such columns are replaced.
 
     A word that shares its entry with others has the entry's probability times its share of the entry's words in all
     documents, n / (words of the entry + 1); the rest is for words never seen.
 
+    Every word is predicted once in training, in one of the rounds; ``key`` (nulls and repeats may be) only spreads the
+    words of copies over the rounds.
+
     Null and empty texts have 0 words, log-likelihood 0 and a null score. Repeated rows get the same score (to
     rounding); an empty table gives an empty one. Scores of another layout of the same rows differ slightly, as partitions train apart.
     """
     docs = docs.drop("n_tokens", "log_likelihood", "lm_score", "_lm", "_lm_own", "_lm_text", "_lm_level")
     counts = word_counts(docs, text)
     frequent, entries = vocabulary(counts)
-    flat = _fit(docs, frequent, entries, text, rounds)
+    flat = _fit(docs, frequent, entries, text, rounds, key)
 
     @F.arrow_udf("n bigint, total double, n_rare bigint")
     def score(texts: pa.Array) -> pa.Array:

@@ -90,6 +90,21 @@ def test_rare_words_by_their_own_counts(spark):
         assert got[i].log_likelihood == pytest.approx(want, rel=1e-4)
 
 
+def test_every_word_is_a_target_once(spark, monkeypatch):
+    texts = ["one", "two words", *[prose(i, 40) for i in range(5)], prose(0, 40)]
+    _, hashes, first = next(lm_score.hashed_words(pa.array(texts)))
+    for rounds in (1, 2, 5):
+        at = [lm_score.masked(hashes, first, np.arange(len(texts)), k, rounds) for k in range(rounds)]
+        assert sorted(np.concatenate(at).tolist()) == list(range(len(hashes)))
+    copies = [tuple(x[(x >= a) & (x < a + 40)] - a) for x in at for a in (first[2], first[7])]
+    assert copies[0::2] != copies[1::2]  # the same text under two keys
+    seen = []
+    merged = lm_score._merged
+    monkeypatch.setattr(lm_score, "_merged", lambda parts: seen.append(parts.where("slice = 0").agg(F.sum("n")).first()[0]) or merged(parts))
+    lm_score.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2))
+    assert sum(x or 0 for x in seen) == len(hashes)
+
+
 # --- classifier ----------------------------------------------------------------------------------------------------
 
 def test_held_out_accuracy(spark):
