@@ -243,11 +243,12 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, key: str, depth: int, t
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
                     target: float = TARGET_RECALL) -> DataFrame:
-    """(key, t1, t2, class_id, text_id, n_copies, n_links): one row per document.
+    """(key, t1, t2, class_id, class_t1, class_t2, text_id, n_copies, n_links): one row per document.
 
     ``text_id`` is the least id with the same text and ``n_copies`` counts those rows, ``n_links`` counts the other
     texts whose five-word shingle sets have a Jaccard similarity of ``threshold`` or more, and ``class_id`` is the least
-    id of the texts that chains of links connect.
+    id of the texts that chains of links connect. Classes may share that id; ``class_t1`` and ``class_t2``, the key of
+    the class's least text, tell them apart.
 
     Matched prefixes are shortened, beginning at the longest that finds 99.9 % of the pairs at the threshold, until the
     links found (each weighted by its chance to be found) say that the recall is ``target``. Links are exact.
@@ -269,7 +270,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     classes = settle(named.join(least, "component").select(
-        F.col("node.t1").alias("n1"), F.col("node.t2").alias("n2"), "class_id", F.col("rep").alias("text_id"),
+        F.col("node.t1").alias("n1"), F.col("node.t2").alias("n2"), "class_id",
+        F.col("component.t1").alias("class_t1"), F.col("component.t2").alias("class_t2"), F.col("rep").alias("text_id"),
         F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links")), "classes")
     t1, t2 = text_key(F.col(text))
     rows = docs.select(F.col(key), t1.alias("t1"), t2.alias("t2"))
@@ -279,10 +281,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: the least id (of rows that share it, the least text).
 
-    A class without any id keeps one row.
+    Each class without any id keeps one row, and so does each of the classes that have the same least id.
     """
     classes = near_duplicates(docs, text, key, threshold)
-    stay = classes.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), "t1", "t2")).alias("f"))
+    stay = classes.groupBy("class_t1", "class_t2").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), "t1", "t2")).alias("f"))
     stay = stay.select(F.col("f.id").alias("_id"), F.col("f.t1").alias("_f1"), F.col("f.t2").alias("_f2")).distinct()
     t1, t2 = text_key(F.col(text))
     kept = docs.withColumns({"_t1": t1, "_t2": t2}).join(

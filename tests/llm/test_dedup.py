@@ -180,6 +180,16 @@ def test_first_of_each(odd, odd_rows, spark):
     assert Counter(kept) == Counter(classes)
 
 
+def test_first_of_each_keeps_every_class(spark):
+    own = [prose(300 + i, 60) for i in range(8)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, own[2] + " end"), (None, own[2]),  # three classes without an id
+            (5, own[3]), (5, own[4]), (6, own[4]), (5, own[5]), (7, own[6]), (8, own[6] + " end"), (None, own[6]), (9, own[7])]
+    docs = spark.createDataFrame([(*x, None) for x in rows], "doc_id bigint, text string, source string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in first_of_each(docs).collect()]
+    of = lambda t: next(i for i, x in enumerate(own) if t.startswith(x))
+    assert Counter((d, of(t)) for d, t in kept) == Counter([(None, 0), (None, 1), (None, 2), (5, 3), (5, 4), (5, 5), (7, 6), (9, 7)])
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(2000 + r.randrange(300), 2000 + r.randrange(300)) for _ in range(200)]
