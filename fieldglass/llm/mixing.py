@@ -118,13 +118,13 @@ def slots_of(size: int, want: int, length: int, source_key: int) -> tuple[int, i
     return epochs * n + at + 1 + more, rest - short - (more - 1) * length
 
 
-def _deal(sources: DataFrame, shards: int, length: int, seed: int) -> DataFrame:
+def _deal(sources: DataFrame, shards: int, length: int, seed: int, cap: float) -> DataFrame:
     """Multinomial counts: (sid, source_key, blocks, shard, first_slot, n, slots, last_words)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                size, want = row["source_size"], min(int(row["target"] + 0.5), int(CAP * row["source_size"]))
+                size, want = row["source_size"], min(int(row["target"] + 0.5), int(cap * row["source_size"]))
                 if size <= 0 or want <= 0:
                     continue
                 slots, last = slots_of(size, want, length, row["source_key"])
@@ -155,7 +155,8 @@ def _block_of(source_key: Column, n_blocks: Column, slot: Column) -> Column:
     return block(source_key, n_blocks, slot)
 
 
-def draw_slots(sources: DataFrame, length: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def draw_slots(sources: DataFrame, length: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED,
+               cap: float = CAP) -> DataFrame:
     """(shard, slot, sid, block, words): which block goes where, and how many of its words are taken.
 
     Every block is taken at most as often as its source is gone through, so no document exceeds the cap.
@@ -163,7 +164,7 @@ def draw_slots(sources: DataFrame, length: int = BLOCK_WORDS, shard_blocks: int
     all_words = sources.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, math.ceil(all_words / (length * shard_blocks)))
     keyed = sources.withColumn("source_key", F.xxhash64(F.lit(seed), "source"))
-    dealt = settle(_deal(keyed, shards, length, seed), "dealt")
+    dealt = settle(_deal(keyed, shards, length, seed, cap), "dealt")
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = dealt.repartition(parts, "sid", "shard").withColumn("j", F.explode(F.expr("sequence(first_slot, first_slot + n - 1)")))
     taken = F.when((F.col("j") == F.col("slots") - 1) & (F.col("last_words") >= 0), F.col("last_words")).otherwise(F.lit(length))
@@ -222,7 +223,7 @@ def mixed_counts(docs: DataFrame, text: str = "text", source: str = "source", ke
         .withColumn("n", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length) - F.col("block") * length - F.col("at"))
     )
     got = (
-        pieces.join(draw_slots(sources, length, seed=seed).select("sid", "block", "words"), ["sid", "block"])
+        pieces.join(draw_slots(sources, length, seed=seed, cap=cap).select("sid", "block", "words"), ["sid", "block"])
         .withColumns(_overlap(length)).groupBy("sid", "start").agg(F.sum("n").alias("taken"))
         .select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "taken")
     )
@@ -288,7 +289,7 @@ def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", ke
     pieces = layout.select("sid", "start", F.col("doc_id").cast("long"), "text").mapInArrow(
         _cut(length), "sid bigint, block bigint, at bigint, n bigint, doc_id bigint, piece string")
     whole = pieces.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "doc_id", "piece"))).alias("pieces"))
-    slots = draw_slots(sources, length, seed=seed)
+    slots = draw_slots(sources, length, seed=seed, cap=cap)
     names = sources.select("sid", "source")
     taken = F.filter("pieces", lambda p: p["at"] < F.col("words"))
     last = F.element_at("pieces", -1)

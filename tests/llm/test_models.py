@@ -252,6 +252,19 @@ def test_blocks_hold_the_words(odd, odd_rows):
     assert len({(r.source, r.slot) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("cap", [4.0, 0.5])
+def test_other_caps(spark, cap):
+    rows = [(0, prose(1, 30), "a"), (1, prose(2, 2000), "b"), (2, prose(3, 40), "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.source: r for r in mixed_counts(docs, length=16, cap=cap).collect()}
+    assert got["a"].target == cap * 30 and got["c"].target == cap * 40
+    assert all(abs(r.taken - r.target) <= 0.5 for r in got.values())
+    n = Counter()
+    for r in mixed_blocks(docs, length=16, cap=cap).collect():
+        n[r.source] += r.n_words
+    assert n == Counter({s: r.taken for s, r in got.items()})
+
+
 def test_permutations():
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         at = np.arange(n)
