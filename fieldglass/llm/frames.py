@@ -29,8 +29,20 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole), F.xxhash64(F.lit(1), whole)]
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names that no column of the table has, in any case, made from the stems."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-__all__ = ["SMALL_BYTES", "if_small", "lower_ascii", "same", "settle", "stored_bytes", "text_key"]
+__all__ = ["SMALL_BYTES", "if_small", "lower_ascii", "same", "settle", "stored_bytes", "text_key", "unused"]

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm.classifier import quality_scores
+from fieldglass.llm.conversation_trie import NODE, id_digests, prefix_trie, spliced, turn_table
 from fieldglass.llm.decontamination import contaminated
+from fieldglass.llm.language_id import languages_of
 from fieldglass.llm.license_scan import license_labels
 from fieldglass.llm.line_dedup import drop_repeated_lines
 from fieldglass.llm.lm_score import lm_scores
@@ -18,6 +20,7 @@ from fieldglass.llm.oracles import ORACLES
 from fieldglass.llm.quality_rules import quality_verdicts
 from fieldglass.llm.suffix_dedup import drop_repeated_bytes
 from fieldglass.llm.url_filters import rule_table, url_verdicts
+from fieldglass.llm.vector_codes import codebooks_digest, vector_codes
 
 # The rules of the url query.
 URL_RULES = (
@@ -81,9 +84,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = spliced(turn_table(_table(spark, sf_dir, "conversations")))
+    nodes, ends = prefix_trie(turns, members)
+    found = nodes.join(id_digests(ends), NODE, "left")
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages_of(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_url_filters, op2_source_mixing, op3_quality_rules, op4_lm_scoring, op5_suffix_dedup, op6_ngram_join, op7_license_scan,
-             op8_decontamination, op9_line_dedup, op10_quality_classifier)
+             op8_decontamination, op9_line_dedup, op10_quality_classifier, op11_conversation_trie, op12_language_id, op13_vector_codes)
     return {f.__name__: f for f in found}
 
 
