@@ -70,4 +70,59 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM owned GROUP BY n
 """
 
-ORACLES = {"op1_url_filters": URLS, "op3_quality_rules": QUALITY, "op9_line_dedup": LINES}
+# CRC-32 of the digits of a number, bit by bit
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
+TRIE = rf"""
+WITH own AS (
+    SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT c, turns, c - c % 20 AS base, {_CRC.format('c')} % 4 AS h FROM own),
+rebuilt AS (
+    SELECT a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+    FROM heads a LEFT JOIN own b ON b.c = a.base),
+prefixes AS (SELECT c, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+    SELECT depth, turns[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY 1, 2),
+linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id,
+           (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].text, '{WORD}')) END AS w
+    FROM nodes n LEFT JOIN (SELECT depth AS d, path AS above, conv_id FROM nodes) p ON p.d = n.depth - 1 AND p.above = n.path[1:n.depth - 1]),
+kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids k ON k.depth = l.depth AND k.path = l.path),
+above AS (SELECT unnest(range(0, depth + 1)) AS depth, path, w, n_children = 0 AS leaf FROM counted),
+sums AS (
+    SELECT depth, path[1:depth] AS path, sum(w)::BIGINT AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM above GROUP BY 1, 2)
+SELECT conv_id, c.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted c JOIN sums s ON s.depth = c.depth AND s.path = c.path
+"""
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after another, each a search of every entry and a mean of the parts assigned."""
+    distance = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = [
+        "kept AS (SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v "
+        "FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"cells AS MATERIALIZED (SELECT n, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(p))",
+        f"book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM cells JOIN kept USING (n) "
+        f"QUALIFY e < {entries})",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"near{r} AS MATERIALIZED (SELECT n, c.p, min(({distance.format('x', 'y')}, e)) AS best FROM cells c JOIN book{r} b ON b.p = c.p GROUP BY n, c.p)")
+        if r < rounds:
+            ctes.append(
+                f"mean{r} AS (SELECT p, e, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS y FROM (SELECT c.p, best[2] AS e, i, sum(x[i])::BIGINT AS s, "
+                f"count(*) AS k FROM cells c JOIN near{r} USING (n, p), range(1, len(x) + 1) g(i) GROUP BY ALL) GROUP BY p, e)")
+            ctes.append(f"book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e)")
+    ctes.append(f"coded AS (SELECT n, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{rounds} GROUP BY n)")
+    ctes.append(f"digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})")
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 "
+            "FROM coded JOIN kept USING (n), digest")
+
+
+ORACLES = {"op1_url_filters": URLS, "op3_quality_rules": QUALITY, "op9_line_dedup": LINES, "op11_conversation_trie": TRIE,
+           "op13_vector_codes": vector_codes_sql()}

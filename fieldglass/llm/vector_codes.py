@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: scaled components beyond this are set to it
-LARGEST = 1 << 40
+LARGEST = 1 << 60
 LONG = (1 << 63) - 1
 
 
@@ -97,12 +97,13 @@ def _sums(books: list[np.ndarray], dimensions: int):
         totals = [np.zeros(b.shape, object) for b in books]
         for batch in batches:
             rows = _matrix(batch.column(0), dimensions)
+            wide = int(np.abs(rows).max(initial=0)) * max(len(rows), 1) > LONG
             for p, (entry, _) in enumerate(_searched(rows, books, edges)):
                 own = rows[:, edges[p]: edges[p + 1]]
                 for e in np.unique(entry).tolist():
                     mine = own[entry == e]
                     counts[p][e] += len(mine)
-                    totals[p][e] += mine.sum(0)
+                    totals[p][e] += (mine.astype(object) if wide else mine).sum(0)
         used = [(p, e) for p in range(len(books)) for e in np.flatnonzero(counts[p]).tolist()]
         kind = pa.list_(pa.decimal128(38, 0))
         yield pa.RecordBatch.from_arrays(
@@ -174,7 +175,7 @@ def vector_codes(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
 
     Null vectors and vectors with null or non-finite components are left out, as are empty ones and those of another
     length than the vector of the smallest key. Null keys come last, null labels are one label. Components beyond
-    2**40 are cut there, errors beyond 64 bits count as the largest long. Of equal distances the first entry wins;
+    2**60 are cut there, errors beyond 64 bits count as the largest long. Of equal distances the first entry wins;
     repeated rows get the same code and count each in the means; with fewer keys than ``entries`` the codebooks are
     smaller. Very long vectors cost memory of one Arrow batch of them. An empty table gives an empty one. Other
     columns are kept, whatever their names but ``ints``, which is replaced and dropped.
