@@ -22,7 +22,8 @@ from fieldglass.operators.trends import (
     trend_change,
     trend_slope,
 )
+from fieldglass.sources.ledger import load, stored_rows
 from fieldglass.sources.readers import choose_source, fingerprint, read_climate_feed, read_observations
-from fieldglass.sources.writers import export, materialise
+from fieldglass.sources.writers import export, materialise, stored_metadata
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -90,8 +90,14 @@ def browse_total(df: DataFrame, search: str | None = None) -> DataFrame:
     return search_rows(df, search).agg(F.count(F.lit(1)).alias("total"))
 
 
-def metadata(df: DataFrame) -> DataFrame:
-    """One row: row count, column names, resolved fields and derived indices."""
+def metadata(df: DataFrame, source: str | None = None) -> DataFrame:
+    """One row: row count, column names, resolved fields, derived indices, and the name and fingerprint of the ``source``.
+
+    It counts the rows; of a table that ``materialise`` wrote, ``stored_metadata`` knows all this without reading it.
+    """
+    from fieldglass.sources.readers import fingerprint
+
+    mark = fingerprint(df.sparkSession, source).first()["fingerprint"] if source else None
     fields = resolve_fields(df.columns)
     pairs = [x for k, v in fields.items() for x in (F.lit(k), F.lit(v))]
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
@@ -99,6 +105,8 @@ def metadata(df: DataFrame) -> DataFrame:
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).alias("fields"),
         F.array(*[F.lit(i) for i in V.INDEX_NAMES if i in df.columns]).cast("array<string>").alias("derived"),
+        F.lit(source.rstrip("/").rsplit("/", 1)[-1] if source else None).cast("string").alias("dataset"),
+        F.lit(mark).cast("string").alias("fingerprint"),
     )
 
 

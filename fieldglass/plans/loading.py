@@ -13,7 +13,7 @@ from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, query, six, with_ctes
 from fieldglass.plans.tables import climate_feed, climate_raw, obs_raw, table
 from fieldglass.runtime import scratch_path, settle
-from fieldglass.sources import readers, writers
+from fieldglass.sources import ledger, readers, writers
 
 # --- sources and sinks --------------------------------------------------------------------------
 
@@ -61,19 +61,20 @@ def _(ws):
 @query("s4_climate_feed_files", with_ctes(
     Q.CLIMATE_RAW + ", " + Q.STATIONS,
     "SELECT region, lat AS latitude, lon AS longitude, count(*) AS rows, count(temperature) AS temperatures, "
-    f"{Q.r6('sum(temperature)', 'temperature')} FROM climate_raw JOIN station ON region = name GROUP BY ALL"))
+    f"{Q.r6('sum(temperature)', 'temperature')}, {Q.r6('sum(rainfall)', 'rainfall')} FROM climate_raw LEFT JOIN station ON region = name "
+    "WHERE region IS NOT NULL GROUP BY ALL"))
 def _(ws):
-    """One CSV file per station, as the feed delivers them, read back in one scan."""
-    known = [name for name, _, _ in V.STATIONS]
-    feed = climate_feed(ws.spark, ws.sf_dir).where(F.col("region").isin(known))
+    """One folder of CSV files per station, as the feed delivers them, with other columns in other files; all are read back."""
+    feed = climate_feed(ws.spark, ws.sf_dir).withColumn("station", F.replace("region", F.lit(" "), F.lit("_")))
     path = scratch_path(ws.spark, "feed")
-    feed.write.partitionBy("region").option("header", True).csv(path)
-    rows = ws.spark.read.option("basePath", path).csv(
-        path, header=True, schema="YEAR int, DOY int, T2M double, PRECTOTCORR double, region string")
-    stations = readers.normalise_climate_feed(rows)
+    old = F.col("YEAR") < 2024
+    feed.where(old & F.col("region").isNotNull()).drop("region").write.partitionBy("station").option("header", True).csv(f"{path}/a")
+    other = feed.where(~old & F.col("region").isNotNull()).select("PRECTOTCORR", "DOY", "T2M", F.lit("x").alias("note"), "YEAR", "station")
+    other.write.partitionBy("station").option("header", True).csv(f"{path}/b")
+    stations = readers.read_climate_feed(ws.spark, path, name_from=r"station=([^/]+)/", deep=True)
     return six(stations.groupBy("region", "latitude", "longitude").agg(
         F.count(F.lit(1)).alias("rows"), F.count("temperature").alias("temperatures"),
-        F.sum("temperature").alias("temperature")))
+        F.sum("temperature").alias("temperature"), F.sum("rainfall").alias("rainfall")))
 
 
 @query("s5_fingerprint")
@@ -81,6 +82,27 @@ def _(ws):
     return readers.fingerprint(ws.spark, f"{ws.sf_dir}/lineitem.parquet")
 
 
+@query("s5_ledger",
+       "SELECT event_id % 8 AS part, CASE WHEN event_id % 8 = 3 THEN 2 ELSE 1 END AS batch, count(*) AS rows, "
+       "round(sum(CASE WHEN event_id % 8 = 3 THEN 2 * value ELSE value END), 6) + 0.0 AS value, 1 AS added, 1 AS removed, "
+       "7 AS unchanged, 0 AS read_again FROM events GROUP BY ALL")
+def _(ws):
+    """Eight files; one is replaced, so its rows alone are read again; a third load of the unchanged folder reads nothing."""
+    path, store = scratch_path(ws.spark, "ledger-source"), scratch_path(ws.spark, "ledger-store")
+    events = table(ws.spark, ws.sf_dir, "events").select("event_id", "value", (F.col("event_id") % 8).alias("part"))
+    folder = lambda rows, k: rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{k}")
+    for k in range(8):
+        folder(events.where(F.col("part") == k), k)
+    ledger.load(ws.spark, path, store, "parquet")
+    folder(events.where("part = 3").withColumn("value", 2 * F.col("value")), 3)
+    second = ledger.load(ws.spark, path, store, "parquet")
+    third = ledger.load(ws.spark, path, store, "parquet")
+    rows = ledger.stored_rows(ws.spark, store)
+    return six(rows.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("value")).select(
+        "*", F.lit(second.added).alias("added"), F.lit(second.removed).alias("removed"), F.lit(second.unchanged).alias("unchanged"),
+        F.lit(third.version - second.version).alias("read_again")))
+
+
 @query("s6_materialised_table", with_ctes(
     Q.OBS, f"SELECT year(ts) AS obs_year, month(ts) AS obs_month, count(*) AS rows, {Q.r6('avg(ndvi)', 'ndvi')} FROM obs "
            "GROUP BY ALL"))
@@ -94,8 +116,8 @@ _EXPORT = with_ctes(Q.SCORED, f"SELECT row_id, {Q.sixes('anomaly_score')}, anoma
                               f"{Q.sixes('risk_score', *[p + '_contribution' for p in Q.PARTS])}, risk_level FROM scored")
 
 
-def _exported(ws, fmt):
-    table_ = report(ws.scored, "anomalies")
+def _exported(ws, fmt, kind="anomalies"):
+    table_ = report(ws.scored, kind)
     path = writers.export(table_, scratch_path(ws.spark, "export"), fmt)
     reader = ws.spark.read.schema(table_.schema)
     return six((reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path))
@@ -124,6 +146,12 @@ def _(ws):
     return six(rows.select("region", "state", F.col("risk_score").cast("double").alias("risk_score")))
 
 
+@query("s7_export_risk", with_ctes(
+    Q.SCORED, f"SELECT row_id, {Q.sixes('risk_score', *[p + '_contribution' for p in Q.PARTS])}, risk_level FROM scored"))
+def _(ws):
+    return _exported(ws, "json", "risk")
+
+
 @query("s8_json_rows", with_ctes(
     Q.OBS, "SELECT row_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS timestamp, "
            f"{Q.sixes('ndvi', 'evi')}, region FROM obs"))
@@ -144,6 +172,23 @@ def _(ws):
                         F.size("fields").alias("fields"))
 
 
+@query("s9_stored_metadata", with_ctes(
+    Q.OBS, "SELECT 'lineitem.parquet' AS dataset, 20 AS fingerprint_length, count(*) AS rows, 18 AS fields, 'ndvi,ndwi,ndbi,evi,savi,nbr' AS derived, "
+           "count(temperature) AS temperatures, count(region) AS regions, min(temperature) AS coldest, max(temperature) AS warmest, "
+           f"{Q.r6('min(ndvi)', 'least_ndvi')}, {Q.r6('max(ndvi)', 'greatest_ndvi')}, {Q.day('min(ts)')} AS first, {Q.day('max(ts)')} AS last FROM obs"))
+def _(ws):
+    """What the write gathered, read back without a look at the table."""
+    path = scratch_path(ws.spark, "observations")
+    writers.materialise(ws.obs, path, view="metadata_source", source=f"{ws.sf_dir}/lineitem.parquet")
+    about = writers.stored_metadata(ws.spark, path)
+    of = lambda c, k: F.col(c)[k]
+    return six(about.select(
+        "dataset", F.length("fingerprint").alias("fingerprint_length"), "rows", F.size("fields").alias("fields"),
+        F.array_join("derived", ",").alias("derived"), of("non_missing", "temperature").alias("temperatures"), of("non_missing", "region").alias("regions"),
+        of("least", "temperature").alias("coldest"), of("greatest", "temperature").alias("warmest"), of("least", "ndvi").alias("least_ndvi"),
+        of("greatest", "ndvi").alias("greatest_ndvi"), day("first"), day("last")))
+
+
 @query("s10_health", "SELECT CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'degraded' END AS status, count(*) > 0 AS "
                      "dataset_available, CAST(NULL AS VARCHAR) AS dataset_error FROM lineitem")
 def _(ws):

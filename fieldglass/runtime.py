@@ -40,6 +40,15 @@ def stored_bytes(table: DataFrame) -> int:
     return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: a table that the optimizer sizes at no more than this may be sent to every executor
+SMALL_BYTES = 8 << 20
+
+
+def small_enough(table: DataFrame) -> bool:
+    """Whether a table's known size allows a broadcast; a size that nobody knows does not."""
+    return stored_bytes(table) <= SMALL_BYTES
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this library's folder of intermediate tables; tables that still read from it are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/fieldglass")

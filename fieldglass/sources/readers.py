@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,9 @@ from pyspark.sql import types as T
 from fieldglass import vocabulary as V
 from fieldglass.functions.scalar import literal_table
 from fieldglass.operators.schema import adapt_names, clean_name, day_of_year_timestamp
+from fieldglass.runtime import settle, small_enough
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv"}
 
@@ -46,14 +54,75 @@ def choose_source(spark: SparkSession, folder: str) -> str | None:
     return None
 
 
-def header_groups(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) of the CSV files behind a path that have the same header; reads each file's first line."""
+def plain_path(path: F.Column) -> F.Column:
+    """A path as listings spell it, from the URL-encoded one of ``_metadata.file_path``."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^([A-Za-z][A-Za-z0-9+.\-]*):///", "$1:/")
+
+
+#: no file is split below this, and none shares a task with another, while headers are read
+_WHOLE_FILES = str(1 << 40)
+
+
+@contextmanager
+def _one_file_a_task(spark: SparkSession) -> Iterator[bool]:
+    """Scans planned and run inside give every file a task of its own; false if the session holds to other sizes."""
+    wanted = {"spark.sql.files.maxPartitionBytes": _WHOLE_FILES, "spark.sql.files.openCostInBytes": _WHOLE_FILES,
+              "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield spark.conf.get("spark.sql.files.openCostInBytes") == _WHOLE_FILES
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _first_lines(alone: bool):
+    """The first line that is not blank of each file; a task that has a single file stops reading there."""
+
+    def first_lines(batches):
+        seen = set()
+        for batch in batches:
+            rows = [(path, line) for path, line in zip(*(c.to_pylist() for c in batch.columns)) if line.strip()]
+            firsts = []
+            for path, line in rows:
+                if path not in seen:
+                    seen.add(path)
+                    firsts.append((path, line))
+            if firsts:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*firsts)], names=["path", "line"])
+                if alone:
+                    return
+
+    return first_lines
+
+
+def header_lines(spark: SparkSession, path: str | Sequence[str], deep: bool = False) -> DataFrame:
+    """``(path, line)``: the first line of every file behind a path, in one job with a task for each file, written."""
+    with _one_file_a_task(spark) as alone:
+        text = spark.read.option("recursiveFileLookup", deep).text(path)
+        rows = text.where(F.col("_metadata.file_block_start") == 0).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
+        return settle(rows.mapInArrow(_first_lines(alone), "path string, line string"), "header-lines")
+
+
+def header_groups(spark: SparkSession, path: str | Sequence[str], deep: bool = False) -> list[tuple[list[str], str | list[str]]]:
+    """(column names, files) of the CSV files behind a path that have the same header.
+
+    The driver gets the distinct header lines. Files of a single header are read by the path as it was given; only if there
+    are several are their files listed, as readers take lists.
+    """
+    lines = header_lines(spark, path, deep)
+    headers = [r["line"] for r in lines.groupBy("line").agg(F.min("path").alias("first")).orderBy("first").collect()]
     groups: dict[tuple, list[str]] = {}
-    for row in list_files(spark, path).orderBy("path").toLocalIterator():
-        first = spark.read.csv(row["path"], header=False, maxColumns=100_000).head()
-        if first is not None:
-            groups.setdefault(tuple(name or "" for name in first), []).append(row["path"])
-    return [(list(names), files) for names, files in groups.items()]
+    for line in headers:
+        names = tuple(n.strip() for n in next(csv.reader([line.lstrip("\ufeff")])))
+        groups.setdefault(names, []).append(line)
+    if len(groups) == 1:
+        return [(list(names), path) for names in groups]
+    return [(list(names), [r["path"] for r in lines.where(F.col("line").isin(own)).orderBy("path").select("path").collect()])
+            for names, own in groups.items()]
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +139,8 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_observations(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None,
-                      schema: T.StructType | str | None = None, sampling_ratio: float | None = None) -> DataFrame:
+                      schema: T.StructType | str | None = None, sampling_ratio: float | None = None,
+                      file_column: str | None = None, deep: bool = False) -> DataFrame:
     """CSV or Parquet observations with cleaned, de-duplicated column names.
 
     CSV names are taken from each file's own header line: files are read in
@@ -80,26 +150,34 @@ def read_observations(spark: SparkSession, path: str | Sequence[str], fmt: str |
 
     Parquet rows without a ``row_id`` get one from their file and their place in
     it; for CSV input name key columns in ``prepare`` or ``materialise`` it.
+    ``file_column`` adds each row's file, spelled as ``list_files`` does; ``deep`` reads all files below a folder, whose own
+    folder names are no columns then.
     """
+    source = plain_path(F.col("_metadata.file_path"))
     first = path if isinstance(path, str) else path[0]
     paths = path if isinstance(path, str) else list(path)
     if (fmt or format_of(first)) == "parquet":
-        rows = (spark.read.schema(schema) if schema else spark.read).parquet(*([paths] if isinstance(paths, str) else paths))
+        reader = spark.read.option("recursiveFileLookup", deep)
+        rows = (reader.schema(schema) if schema else reader).parquet(*([paths] if isinstance(paths, str) else paths))
         place = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
         keyed = "row_id" in map(clean_name, rows.columns)
-        df = adapt_names(rows if keyed else rows.select("*", place.alias("row_id")))
+        more = ([] if keyed else [place.alias("row_id")]) + ([source.alias(file_column)] if file_column else [])
+        df = adapt_names(rows.select("*", *more) if more else rows)
     else:
-        groups = header_groups(spark, paths)
+        groups = header_groups(spark, paths, deep)
         if not groups:
             raise ValueError("the dataset contains no observations")
-        reader = spark.read.option("header", True)
+        reader = spark.read.option("header", True).option("recursiveFileLookup", deep)
         if schema is not None:
             reader = reader.schema(schema)
         else:
             reader = reader.option("inferSchema", True)
             if sampling_ratio:
                 reader = reader.option("samplingRatio", sampling_ratio)
-        parts = [adapt_names(reader.csv(files), names) for names, files in groups]
+        parts = []
+        for names, files in groups:
+            rows = reader.csv(files)
+            parts.append(adapt_names(rows.select("*", source.alias(file_column)), [*names, file_column]) if file_column else adapt_names(rows, names))
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if df.isEmpty():
         raise ValueError("the dataset contains no observations")
@@ -113,21 +191,22 @@ def station_table(spark: SparkSession) -> DataFrame:
 def normalise_climate_feed(feed: DataFrame, stations: DataFrame | None = None, station: str = "region") -> DataFrame:
     """Daily feed rows (year, day of year, temperature, rain, station name) as observations.
 
-    ``-999`` is missing in every column; positions come from a broadcast join
-    with the station table, which is small by nature (20 rows by default).
+    ``-999`` is missing in every column; positions come from a join with the station table, broadcast if it is the fixed
+    one or its stored size is small.
     """
     feed = adapt_names(feed)
     absent = [c for c in V.FEED_COLUMNS if c not in feed.columns]
     if absent:
         raise ValueError(f"climate feed lacks columns {absent}")
-    stations = station_table(feed.sparkSession) if stations is None else stations
-    known = stations.select(F.col("region").alias("_station"), "latitude", "longitude")
+    own = station_table(feed.sparkSession) if stations is None else stations
+    known = own.select(F.col("region").alias("_station"), "latitude", "longitude")
+    known = F.broadcast(known) if stations is None or small_enough(own) else known
 
     def present(name):
         value = F.col(name).try_cast("double")
         return F.when(value != V.FEED_MISSING, value)
 
-    source = feed.drop("latitude", "longitude").join(F.broadcast(known), F.col(station) == F.col("_station"), "left")
+    source = feed.drop("latitude", "longitude").join(known, F.col(station) == F.col("_station"), "left")
     return source.select(
         day_of_year_timestamp(F.col("year"), F.col("doy")).alias("timestamp"),
         "latitude", "longitude", F.col(station).alias("region"),
@@ -135,20 +214,20 @@ def normalise_climate_feed(feed: DataFrame, stations: DataFrame | None = None, s
     )
 
 
-def read_climate_feed(spark: SparkSession, path: str | Sequence[str], stations: DataFrame | None = None) -> DataFrame:
-    """All station files at once; the station is the file's name without its suffix (``Port_Blair`` or ``Port%20Blair``
-    for names with blanks)."""
+def read_climate_feed(spark: SparkSession, path: str | Sequence[str], stations: DataFrame | None = None,
+                      name_from: str = r"([^/]*?)(?:\.[^./]*)?$", deep: bool = False) -> DataFrame:
+    """All station files at once; the station is the file's name without its suffix, or what ``name_from`` finds in its path
+    (``Port_Blair`` or ``Port%20Blair`` for names with blanks). ``deep`` reads all folders below."""
     types = {"year": "int", "doy": "int", "t2m": "double", "prectotcorr": "double"}
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    name = F.regexp_replace(stem, "%20|_", " ")
+    name = F.regexp_replace(F.regexp_extract("_metadata.file_path", name_from, 1), "%20|_", " ")
     parts = []
-    for names, files in header_groups(spark, path):
+    for names, files in header_groups(spark, path, deep):
         header = [clean_name(c) or f"unnamed_{i}" for i, c in enumerate(names)]
         absent = [c for c in V.FEED_COLUMNS if c not in header]
         if absent:
             raise ValueError(f"climate feed lacks columns {absent}")
         schema = T.StructType.fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
-        rows = spark.read.csv(files, header=True, schema=schema, enforceSchema=True)
+        rows = spark.read.option("recursiveFileLookup", deep).csv(files, header=True, schema=schema, enforceSchema=True)
         parts.append(rows.select(*V.FEED_COLUMNS, name.alias("region")))
     if not parts:
         raise ValueError("the climate feed has no files")

@@ -27,6 +27,7 @@ def take_in(spark: SparkSession, source: str, schema: T.StructType, target: str,
     if fmt == "csv":
         reader = reader.option("header", True)
     prepared = prepare(adapt_names(reader.load(source)), high_rain=high_rain)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 1_000_000)  # all batches are counted, not the last hundred
     query = (
         prepared.writeStream.format("parquet").option("path", target).option("checkpointLocation", progress)
         .trigger(availableNow=True).start()
