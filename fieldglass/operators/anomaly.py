@@ -14,6 +14,7 @@ from fieldglass.functions.scalar import clamp, label_right_closed
 from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.forest import fit_forest, forest_score
 from fieldglass.operators.schema import candidate_features
+from fieldglass.runtime import settle
 
 
 def any_present(features: Sequence[str]) -> Column:
@@ -61,9 +62,10 @@ def with_anomaly(df: DataFrame, features: Sequence[str] | None = None, method: s
     """Add ``anomaly_score``, ``anomaly_flag`` and ``severity``.
 
     ``method`` is ``zscore``, ``forest``, or ``auto`` (forest from 8 eligible
-    rows on). Both read the table once for statistics; the forest scores it
-    once more for the least and greatest raw score, and writes nothing. It draws
-    rows by ``row_key``, which must be unique.
+    rows on). Both read the table once for statistics; the forest writes its raw
+    scores beside the rows, so that the trees are walked once and the least and
+    greatest score are read from one column. It draws rows by ``row_key``, which
+    must be unique.
     """
     named = list(candidate_features(df) if features is None else features)
     if not named:
@@ -77,7 +79,8 @@ def with_anomaly(df: DataFrame, features: Sequence[str] | None = None, method: s
         return _labelled(df, F.lit(0.0))
     if method == "zscore" or n == 0 or (method == "auto" and n < V.MIN_FOREST_ROWS):
         return _labelled(df, z_score(features, moments))
-    return _forest(df, features, n, trees, sample, seed, row_key)
+    gaps = [f for f in features if moments[f"{f}_count"] < n]
+    return _forest(df, features, gaps, n, trees, sample, seed, row_key)
 
 
 def impute_median(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
@@ -95,13 +98,15 @@ def min_max_scale(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(scaled, F.lit(0.0)))
 
 
-def scale_numbers(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float, float]]:
+def scale_numbers(df: DataFrame, features: Sequence[str], gaps: Sequence[str] | None = None) -> dict[str, tuple[float, float, float]]:
     """Feature -> ``(fill, centre, width)``: its median, and median and IQR after filling, exact over the whole table.
 
-    A feature without spread has width 1, one without values is all zero.
+    A feature without spread has width 1, one without values is all zero. ``gaps`` names the features with missing values
+    where that is known; others need no median before they are filled.
     """
-    medians = exact_quantiles(df, {f: (F.col(f), [0.5]) for f in features})
-    fills = {f: medians[f][0] if medians[f][0] is not None else 0.0 for f in features}
+    gaps = list(features if gaps is None else gaps)
+    medians = exact_quantiles(df, {f: (F.col(f), [0.5]) for f in gaps}) if gaps else {}
+    fills = {f: medians[f][0] if medians.get(f, [None])[0] is not None else 0.0 for f in features}
     found = exact_quantiles(df, {f: (F.coalesce(F.col(f).cast("double"), F.lit(fills[f])), [0.25, 0.5, 0.75]) for f in features})
     out = {}
     for f in features:
@@ -116,17 +121,18 @@ def robust_scale(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
     return {f: (F.coalesce(F.col(f).cast("double"), F.lit(fill)) - centre) / width for f, (fill, centre, width) in numbers.items()}
 
 
-def _forest(df, features, n, trees, sample, seed, row_key) -> DataFrame:
+def _forest(df, features, gaps, n, trees, sample, seed, row_key) -> DataFrame:
     keys = [k for k in row_key if k in df.columns]
     if not keys:
         raise ValueError(f"the forest needs a unique key: none of {list(row_key)} is a column")
-    filled = impute_median(df, features)
+    plain = {f: F.col(f).cast("double") for f in features}
+    filled = plain | (impute_median(df, gaps) if gaps else {})  # features that every eligible row has need no median
     rows = eligible_rows(df, features).select(
         *(F.col(k) for k in keys), *[filled[f].alias(f"_f{i}") for i, f in enumerate(features)])
     names = [f"_f{i}" for i in range(len(features))]
     packed, psi = fit_forest(rows, names, keys, n, trees, sample, seed)
     raw = forest_score(df.sparkSession, packed, psi, [filled[f] for f in features])
-    scored = df.withColumn("_raw", F.when(any_present(features), raw))
+    scored = settle(df.withColumn("_raw", F.when(any_present(features), raw)), "forest-scores")  # the trees are walked once
     return _labelled(min_max_scale(scored, "_raw", "anomaly_score"), F.col("anomaly_score")).drop("_raw")
 
 

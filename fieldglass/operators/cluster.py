@@ -1,11 +1,12 @@
 """Environmental zones: K-means on robustly scaled indicators, the number of zones chosen by silhouette.
 
-Rows are scaled by exact quantiles of all rows and written once. For each number of clusters the restarts compete on a
-seeded sample, a bounded problem with a task for each run; it only says where K-means starts. From there every number
-of clusters goes on over all rows, in step: a round is one scan in which tasks add up the members of all clusters, so
-only sums of a handful of clusters are shuffled. The number of clusters is chosen over all rows by the silhouette of
+Rows are scaled by exact quantiles of all rows and written once. Starts come from all rows (k-means||): a few scans draw
+rows with chances in proportion to their squared distance from those drawn so far, a further one counts the rows nearest
+to each, and the restarts of every number of clusters compete on these few hundred weighted points. From there every
+number of clusters goes on over all rows, in step: a round is one scan in which tasks add up the members of all clusters,
+so only sums of a handful of clusters are shuffled. The number of clusters is chosen over all rows by the silhouette of
 squared distances, which needs sums per cluster alone. The Euclidean silhouette of the chosen clustering, where every
-pair counts, is reported for the sample.
+pair counts, is reported for a sample.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Centres = list[list[float]]
 
+#: scans that draw starts, and rows that each draws in expectation
+START_ROUNDS, START_DRAWS = 4, 64.0
+
 
 @dataclass
 class Zones:
@@ -72,25 +76,77 @@ def nearest(names: Sequence[str], centres: Centres) -> Column:
     return F.expr(f"least({distances}).i")
 
 
-def lloyd(points: np.ndarray, k: int, rng: np.random.Generator, max_iter: int = 100) -> tuple[np.ndarray, float]:
-    """Centres and cost of one K-means run on a bounded sample, started by squared-distance seeding."""
-    centres = points[rng.integers(len(points))][None, :]
+def lloyd(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, max_iter: int = 100) -> tuple[np.ndarray, float]:
+    """Centres and cost of one K-means run on a bounded number of weighted points, started by squared-distance seeding."""
+    def pick(mass: np.ndarray) -> int:
+        return int(rng.choice(len(points), p=mass / mass.sum())) if mass.sum() > 0 else int(rng.integers(len(points)))
+
+    centres = points[pick(weights)][None, :]
     gap = ((points - centres[0]) ** 2).sum(axis=1)
     while len(centres) < k:
-        pick = rng.choice(len(points), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(points))
-        centres = np.vstack([centres, points[pick]])
-        gap = np.minimum(gap, ((points - points[pick]) ** 2).sum(axis=1))
+        centres = np.vstack([centres, points[pick(gap * weights)]])
+        gap = np.minimum(gap, ((points - centres[-1]) ** 2).sum(axis=1))
     for _ in range(max_iter):
-        distance = squared_distances(points, centres)
-        label = distance.argmin(axis=1)
-        member = np.eye(k)[label]
+        member = np.eye(k)[squared_distances(points, centres).argmin(axis=1)] * weights[:, None]
         size = member.sum(axis=0)
-        moved = np.where(size[:, None] > 0, (member.T @ points) / np.maximum(size, 1)[:, None], centres)
+        moved = np.where(size[:, None] > 0, (member.T @ points) / np.maximum(size, 1e-300)[:, None], centres)
         shift = ((moved - centres) ** 2).sum()
         centres = moved
         if shift <= 1e-8:
             break
-    return centres, float(squared_distances(points, centres).min(axis=1).sum())
+    return centres, float((squared_distances(points, centres).min(axis=1) * weights).sum())
+
+
+def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers in [0, 1) decided by row keys and a round."""
+    h = keys.astype(np.int64).view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+
+def far_points(matrix: DataFrame, width: int, drawn: np.ndarray, cost: float, turn: int, wanted: float) -> tuple[np.ndarray, float]:
+    """(different points drawn, summed squared distance of all rows from ``drawn``), in one scan.
+
+    A row is drawn with the chance ``wanted`` * its squared distance / ``cost``; ``cost`` being that of an earlier round,
+    no more than ``wanted`` rows are drawn in expectation.
+    """
+    schema = "q double, " + ", ".join(f"x{i} double" for i in range(width))
+
+    def draw(batches):
+        total, found = 0.0, [np.zeros((0, width))]
+        for batch in batches:
+            at = 0
+            keys = batch.column(width).to_numpy()
+            for points in points_of(batch, width):
+                gap = squared_distances(points, drawn).min(axis=1)
+                total += float(gap.sum())
+                found.append(points[uniform(keys[at: at + len(points)], turn) * cost < wanted * gap])
+                at += len(points)
+        rows = np.unique(np.vstack(found), axis=0)
+        out = np.vstack([np.zeros((1, width)), rows])
+        q = np.full(len(out), np.nan)
+        q[0] = total
+        yield pa.RecordBatch.from_arrays([pa.array(q, from_pandas=True), *[pa.array(v) for v in out.T]], names=["q", *[f"x{i}" for i in range(width)]])
+
+    names = [f"x{i}" for i in range(width)]
+    rows = matrix.mapInArrow(draw, schema).groupBy(F.col("q").isNotNull().alias("cost"), *[F.when(F.col("q").isNull(), F.col(n)).alias(n) for n in names])
+    rows = rows.agg(F.sum("q").alias("q")).orderBy(*names).collect()  # a row for each point drawn, and one for the cost
+    points = np.array([[r[n] for n in names] for r in rows if not r["cost"]]).reshape(-1, width)
+    return points, next((r["q"] for r in rows if r["cost"]), 0.0)
+
+
+def weighted_starts(matrix: DataFrame, width: int, first: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
+    """(points, weights): k-means|| over all rows, each point with the mean and the number of the rows nearest to it."""
+    drawn = first[None, :]
+    for turn in range(START_ROUNDS):
+        if cost <= 0:
+            break
+        points, cost = far_points(matrix, width, drawn, cost, turn, START_DRAWS)
+        drawn = np.unique(np.vstack([drawn, points]), axis=0)
+    sums = cluster_sums(matrix, width, [drawn])[0]
+    used = sums[:, 0] > 0
+    return sums[used, 2:] / sums[used, :1], sums[used, 0]
 
 
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -132,8 +188,8 @@ def cluster_sums(matrix: DataFrame, width: int, models: Sequence[np.ndarray]) ->
 
 
 def refine(matrix: DataFrame, width: int, models: Mapping[int, np.ndarray], max_iter: int,
-           tolerance: float) -> tuple[dict[int, np.ndarray], set[int]]:
-    """Lloyd rounds of all models in step over all rows, each until no centre moves more than the tolerance.
+           least_move: float) -> tuple[dict[int, np.ndarray], set[int]]:
+    """Lloyd rounds of all models in step over all rows, each until its centres' squared moves sum to ``least_move`` at most.
 
     Returns the centres and the models that came to rest within ``max_iter`` rounds. Empty clusters stay put.
     """
@@ -143,7 +199,7 @@ def refine(matrix: DataFrame, width: int, models: Mapping[int, np.ndarray], max_
         for k, sums in found.items():
             n, before = sums[:, :1], models[k]
             models[k] = np.where(n > 0, sums[:, 2:] / np.maximum(n, 1.0), before)
-            if ((models[k] - before) ** 2).sum(axis=1).max() <= tolerance ** 2:
+            if ((models[k] - before) ** 2).sum() <= least_move:
                 active.remove(k)
         if not active:
             break
@@ -183,25 +239,14 @@ def squared_silhouettes(matrix: DataFrame, width: int, models: Mapping[int, np.n
     return {row["k"]: row["mean"] if (sums[row["k"]][:, 0] > 0).sum() > 1 else -1.0 for row in means}
 
 
-def best_of_restarts(spark: SparkSession, shared, ks: Sequence[int], restarts: int, seed: int) -> dict[int, Centres]:
-    """For each k the centres with the least cost among seeded restarts; every run is a task of its own."""
-    tasks = [(k, run) for k in ks for run in range(restarts)]
-
-    def fit(batches):
-        for batch in batches:
-            for number in batch["id"]:
-                k, run = tasks[number]
-                centres, cost = lloyd(shared.value, k, np.random.default_rng([seed, k, run]))
-                yield pd.DataFrame({"k": [k], "run": [run], "cost": [cost], "centres": [centres.tolist()]})
-
-    runs = spark.range(0, len(tasks), 1, len(tasks)).mapInPandas(
-        fit, "k int, run int, cost double, centres array<array<double>>")
-    best = runs.groupBy("k").agg(F.min_by("centres", F.struct("cost", "run")).alias("centres")).collect()
-    return {row["k"]: row["centres"] for row in best}
+def best_of_restarts(points: np.ndarray, weights: np.ndarray, ks: Sequence[int], restarts: int, seed: int) -> dict[int, np.ndarray]:
+    """For each k the centres with the least cost among seeded restarts over weighted points, some hundreds at most."""
+    runs = {k: [lloyd(points, weights, k, np.random.default_rng([seed, k, run])) for run in range(restarts)] for k in ks}
+    return {k: min(found, key=lambda r: r[1])[0] for k, found in runs.items()}
 
 
 def mean_silhouettes(spark: SparkSession, shared, size: int, models: Mapping[int, Centres]) -> dict[int, float]:
-    """Mean Euclidean silhouette of each clustering of a bounded sample.
+    """Mean Euclidean silhouette of each clustering of a bounded sample; -1 where the whole sample lies in one cluster.
 
     The sample (at most a few hundred kilobytes) is broadcast; each row sums
     its distances to every cluster in its own task, so no pair is ever emitted.
@@ -260,8 +305,8 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
              tolerance: float = 1e-4, row_key: Sequence[str] = ("row_id",)) -> Zones:
     """Cluster the rows with at least one feature; ``k`` fixes the number of clusters, else 2..6 are compared.
 
-    All rows decide on scales, centres and the number of clusters; ``sample_cap`` bounds the sample that gives the start
-    centres and the reported Euclidean silhouette.
+    All rows decide on scales, starts, centres and the number of clusters. Rounds end when the centres' squared moves sum to
+    ``tolerance`` times the columns' mean variance at most. ``sample_cap`` bounds the sample of the reported Euclidean silhouette.
     """
     fields = resolve_fields(df.columns)
     named = list(candidate_features(df, fields) if features is None else features)
@@ -277,7 +322,7 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     if n < V.CLUSTER_MIN_ROWS:
         raise ValueError(f"clustering needs at least {V.CLUSTER_MIN_ROWS} rows with an indicator")
 
-    scale = scale_numbers(rows, features)
+    scale = scale_numbers(rows, features, [f for f in features if counts[f] < n])
     names = [f"_x{i}" for i in range(len(features))]
     drawn = seeded_sample(rows.select(*dict.fromkeys([*keys, *features])), sample_cap, seed, keys)
     sample = drawn.toPandas()[features].astype("float64")  # at most sample_cap rows
@@ -285,10 +330,13 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(points)
     tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, n - 1) + 1))
-    starts = {c: np.asarray(x) for c, x in best_of_restarts(spark, shared, tried, restarts, seed).items()}
 
-    matrix = settle(rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()]), "matrix")
-    models, rested = refine(matrix, len(names), starts, max_iter, tolerance)
+    matrix = settle(rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()], F.xxhash64(F.lit(seed), *keys).alias("_h")), "matrix")
+    spread = matrix.agg(*[F.var_pop(x).alias(f"v{x}") for x in names], *[F.avg(x).alias(f"m{x}") for x in names], F.min_by(F.array(*names), "_h").alias("first")).first()
+    first = np.array(spread["first"])
+    variances, means = (np.array([spread[f"{p}{x}"] for x in names]) for p in "vm")
+    starts = weighted_starts(matrix, len(names), first, n * float((variances + (means - first) ** 2).sum()))
+    models, rested = refine(matrix, len(names), best_of_restarts(*starts, tried, restarts, seed), max_iter, tolerance * float(variances.mean()))
     scores = squared_silhouettes(matrix, len(names), models)
     chosen = max(tried, key=lambda c: (scores[c], -c))
     centres, converged = models[chosen].tolist(), chosen in rested

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
-from math import ceil, log, log2
+from math import ceil, exp, lgamma, log, log1p, log2
 
 import numpy as np
 import pandas as pd
@@ -35,17 +35,45 @@ def unit_hash(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * 2.0 ** -53
 
 
+#: draws made for each row that a tree takes; the least draws of a tree are taken
+MARGIN = 1.75
+
+
+def draw_counts(trees: int, chance: float) -> list[float]:
+    """P(at most k of ``trees`` draw a row), k from 0 on, as far as it is below 1: thresholds for a uniform number."""
+    out, total = [], 0.0
+    for k in range(trees):
+        if chance >= 1.0:
+            mass = 0.0
+        else:
+            mass = exp(lgamma(trees + 1) - lgamma(k + 1) - lgamma(trees - k + 1) + k * log(chance) + (trees - k) * log1p(-chance))
+        total += mass
+        if total >= 1.0 - 2.0 ** -53:
+            break
+        out.append(total)
+    return out
+
+
 def tree_samples(rows: DataFrame, keys: Sequence[str], n: int, trees: int, psi: int, seed: int) -> DataFrame:
     """Exactly ``psi`` rows for each tree, drawn without replacement by hash of the row key.
 
-    Every tree draws from all rows. A threshold with twofold margin comes
-    first, so only about ``2 * trees * psi`` rows shuffle.
+    Every tree draws every row with the same chance. One hash of a row says how many trees draw it, by inversion of
+    the binomial distribution, and only if some do, further hashes say which; so a table of any size costs one hash a row
+    and makes about ``MARGIN * trees * psi`` rows, of which each tree takes those with the least hashes.
     """
     key = [F.col(k) for k in keys]
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("_u", unit_hash(*key, F.col("tree"), F.lit(seed))).where(F.col("_u") < min(2.0 * psi / n, 1.0))
+    uniform = unit_hash(*key, F.lit(seed), F.lit(0))
+    thresholds = draw_counts(trees, min(MARGIN * psi / n, 1.0))
+    if not thresholds:
+        return rows.where(F.lit(False)).withColumn("tree", F.lit(0))
+    count = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("_u") >= t))
+    one = F.array(F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(1)), F.lit(trees)).cast("int"))
+    mixed = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(*key, t, F.lit(seed)).alias("h"), t.alias("tree"))))
+    which = F.when(F.col("_k") == 1, one).otherwise(F.transform(F.slice(mixed, 1, F.greatest("_k", F.lit(1))), lambda x: x["tree"]))
+    drawn = rows.withColumn("_u", uniform).where(F.col("_u") >= thresholds[0]).withColumn("_k", count)
+    drawn = drawn.withColumn("tree", F.explode(which)).withColumn("_u", unit_hash(*key, F.col("tree"), F.lit(seed), F.lit(2)))
     order = Window.partitionBy("tree").orderBy("_u", *key)
-    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= psi).drop("_u", "_n")
+    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= psi).drop("_u", "_k", "_n")
 
 
 def _grow(features: Sequence[str], psi: int, seed: int):
@@ -88,20 +116,53 @@ def fit_forest(rows: DataFrame, features: Sequence[str], keys: Sequence[str], n:
                          keys, n, trees, psi, seed).select("tree", *features)
     grow, depth = _grow(features, psi, seed)
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-    roots = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
-    base = nodes["tree"].map(roots).to_numpy()
-    leaf = (nodes["left"] == nodes["node"]).to_numpy()
-    packed = {
-        "roots": roots.to_numpy(dtype="int64"),
-        "feature": nodes["feature"].to_numpy(dtype="int64"),
-        "threshold": np.where(leaf, np.inf, nodes["threshold"]),  # a leaf always goes "left", to itself
-        "left": nodes["left"].to_numpy(dtype="int64") + base,
-        "step": (nodes["right"] - nodes["left"]).to_numpy(dtype="int64"),
-        "path": nodes["path"].to_numpy(dtype="float64"),
-        "depth": depth,
-    }
-    return packed, psi
+    return pack(nodes, depth), psi
+
+
+def pack(nodes: pd.DataFrame, depth: int) -> dict[str, np.ndarray]:
+    """Trees as full binary trees of ``depth`` levels, a row each: the children of i are 2i + 1 and 2i + 2.
+
+    Below a leaf every row goes left, and the leaf's path length stands at the bottom.
+    """
+    size = (2 << depth) - 1
+    packed = {"feature": np.zeros((nodes["tree"].nunique(), size), np.int64), "threshold": np.full((nodes["tree"].nunique(), size), np.inf),
+              "path": np.zeros((nodes["tree"].nunique(), size))}
+    for row, (_, tree) in enumerate(nodes.groupby("tree", sort=True)):
+        feature, threshold, left, right, length = (tree[c].tolist() for c in ("feature", "threshold", "left", "right", "path"))  # by node
+        todo = [(0, 0, 0)]  # node, place, level
+        while todo:
+            number, place, level = todo.pop()
+            if left[number] == number:
+                packed["path"][row, ((place + 1) << (depth - level)) - 1] = length[number]
+                continue
+            packed["feature"][row, place], packed["threshold"][row, place] = feature[number], threshold[number]
+            todo += [(left[number], 2 * place + 1, level + 1), (right[number], 2 * place + 2, level + 1)]
+    return packed
+
+
+def mean_paths(values: np.ndarray, forest: dict[str, np.ndarray], rows: int = 4096) -> np.ndarray:
+    """Mean path length of each row of ``values`` over all trees; a few thousand rows walk a tree level by level."""
+    n, width = values.shape
+    depth = (forest["feature"].shape[1] + 1).bit_length() - 2
+    out = np.zeros(n)
+    for a in range(0, n, rows):
+        flat = np.ascontiguousarray(values[a: a + rows], dtype="float64").reshape(-1)
+        m = len(flat) // width
+        base, at, cell = np.arange(m) * width, np.zeros(m, np.int64), np.empty(m, np.int64)
+        value, cut, right = np.empty(m), np.empty(m), np.empty(m, bool)
+        for feature, threshold, path in zip(forest["feature"], forest["threshold"], forest["path"]):
+            at[:] = 0
+            for _ in range(depth):
+                np.take(feature, at, out=cell, mode="clip")
+                cell += base
+                np.take(flat, cell, out=value, mode="clip")
+                np.take(threshold, at, out=cut, mode="clip")
+                np.greater(value, cut, out=right)
+                at += at
+                at += 1
+                at += right
+            out[a: a + m] += path.take(at)
+    return out / len(forest["path"])
 
 
 def forest_score(spark, packed: dict, psi: int, features: Sequence[Column]) -> Column:
@@ -111,17 +172,7 @@ def forest_score(spark, packed: dict, psi: int, features: Sequence[Column]) -> C
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        forest = shared.value
-        feature, threshold, left, step = (forest[k] for k in ("feature", "threshold", "left", "step"))
-        n = len(columns[0])
-        flat = np.concatenate([c.to_numpy(dtype="float64") for c in columns])  # column after column
-        row, total = np.arange(n, dtype="int64"), np.zeros(n)
-        for root in forest["roots"]:
-            at = np.full(n, root, dtype="int64")
-            for _ in range(forest["depth"]):
-                value = flat.take(feature.take(at) * n + row)
-                at = left.take(at) + step.take(at) * (value > threshold.take(at))
-            total += forest["path"].take(at)
-        return pd.Series(2.0 ** (-total / len(forest["roots"]) / usual))
+        values = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
+        return pd.Series(2.0 ** (-mean_paths(values, shared.value) / usual))
 
     return score(*features)

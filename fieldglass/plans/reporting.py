@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldglass import vocabulary as V
 from fieldglass.operators import anomaly, browse, correlation, points, regions, risk, trends
 from fieldglass.operators.distribution import with_percent_rank, with_row_position
-from fieldglass.operators.reports import flagged
+from fieldglass.operators.reports import flagged, flagged_total
 from fieldglass.operators.schema import numeric_features, prepare
 from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, nine, query, six, with_ctes
@@ -447,6 +447,11 @@ def _(ws):
     return six(flagged(ws.scored).withColumn("_timestamp", day("_timestamp")))
 
 
+@query("o3_flagged_total", with_ctes(Q.SCORED, "SELECT count(*) AS total FROM scored WHERE anomaly_flag"))
+def _(ws):
+    return flagged_total(ws.scored)
+
+
 @query("o4_extreme_regions", with_ctes(
     Q.SCORED + ", g AS (SELECT region, avg(risk_score) AS s FROM scored WHERE region IS NOT NULL GROUP BY region, state)",
     f"SELECT max_by(region, s) AS highest, {Q.r6('max(s)', 'highest_risk')}, min_by(region, s) AS lowest, "

@@ -20,6 +20,10 @@ from fieldglass.operators.schema import prepare
 from fieldglass.runtime import settle
 
 
+#: row groups of the prepared tables; the test tables are one group each, which one task would read alone
+GROUP_BYTES = 4 << 20
+
+
 @lru_cache
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -92,23 +96,23 @@ class Workspace:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return settle(prepare(obs_raw(self.spark, self.sf_dir)), "obs")
+        return settle(prepare(obs_raw(self.spark, self.sf_dir)), "obs", GROUP_BYTES)
 
     @cached_property
     def climate(self) -> DataFrame:
-        return settle(prepare(climate_raw(self.spark, self.sf_dir)), "climate")
+        return settle(prepare(climate_raw(self.spark, self.sf_dir)), "climate", GROUP_BYTES)
 
     @cached_property
     def scored(self) -> DataFrame:
-        return settle(score(self.obs), "obs-scored")
+        return settle(score(self.obs), "obs-scored", GROUP_BYTES)
 
     @cached_property
     def climate_scored(self) -> DataFrame:
-        return settle(score(self.climate), "climate-scored")
+        return settle(score(self.climate), "climate-scored", GROUP_BYTES)
 
     @cached_property
     def forest(self) -> DataFrame:
-        return settle(score(self.obs, "forest"), "obs-forest")
+        return settle(score(self.obs, "forest"), "obs-forest", GROUP_BYTES)
 
 
 _workspaces: dict[tuple[str, str], Workspace] = {}

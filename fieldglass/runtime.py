@@ -55,8 +55,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write once to the shared folder and continue from the written table."""
+def settle(df: DataFrame, label: str = "table", group_bytes: int | None = None) -> DataFrame:
+    """Write once to the shared folder and continue from the written table.
+
+    ``group_bytes`` bounds its row groups, so that a table written by few tasks is read by many, without a shuffle.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
