@@ -66,6 +66,70 @@ class Prefix:
         return (self.sums[size:] - self.sums[:n]) * self.inverse[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
+#: the prime 2**61 - 1
+PRIME = np.uint64((1 << 61) - 1)
+
+_PRIME_POWERS: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 modulo the prime."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 31 bits; 2**61 counts as 1."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def _prime_powers(seed: int, n: int, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Upper 31 and lower 30 bits of ``base**i`` (or its inverse) modulo the prime, i from 0 to n at least."""
+    found = _PRIME_POWERS.get((seed, inverse))
+    if found is None or len(found[0]) <= n:
+        base = int(np.random.default_rng([seed, 61]).integers(1 << 59, (1 << 61) - 2))
+        out = np.ones(1, np.uint64)
+        while len(out) <= max(n, BLOCK):
+            step = pow(base, -len(out) if inverse else len(out), (1 << 61) - 1)
+            out = np.concatenate([out, _times(out, np.full(1, step, np.uint64))])
+        found = _PRIME_POWERS[seed, inverse] = (out >> np.uint64(30)).astype(np.uint32), (out & np.uint64((1 << 30) - 1)).astype(np.uint32)
+    return found
+
+
+class Ranges:
+    """Hashes of byte ranges of a block, polynomials modulo a prime: for any two different ranges equal by chance only.
+
+    The hash of a range is that of its bytes alone, as ``Prefix`` gives, but no text is built so that its hash modulo
+    2**64 vanishes. Sums run over halves of the powers; they may wrap, as their differences over a stretch don't.
+    """
+
+    STRETCH = 1 << 24
+
+    def __init__(self, data: np.ndarray, seed: int = 1):
+        self.inverse = _prime_powers(seed, len(data), inverse=True)
+        letters = data.astype(np.uint64) + np.uint64(1)
+        self.sums = []
+        for half in _prime_powers(seed, len(data)):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(letters * half[: len(data)], out=sums[1:])
+            self.sums.append(sums)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total, at = np.zeros(len(starts), np.uint64), np.asarray(starts)
+        while True:
+            to = np.minimum(at + self.STRETCH, ends)
+            upper, lower = (_reduced(s[to] - s[at]) for s in self.sums)
+            total = _reduced(total + _times(upper, np.full(1, 1 << 30, np.uint64)) + lower)
+            if not (to < ends).any():
+                break
+            at = to
+        upper, lower = (half[starts] for half in self.inverse)
+        return _times(total, (upper.astype(np.uint64) << np.uint64(30)) | lower)
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """Nulls as empty texts, with 64-bit offsets."""
     if isinstance(texts, pa.ChunkedArray):

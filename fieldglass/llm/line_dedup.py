@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Prefix, blocks, lines, mix, per_row, words
+from fieldglass.llm.blocks import Ranges, blocks, lines, mix, per_row, words
 from fieldglass.llm.frames import settle, text_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,7 +32,7 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def block_keys(data: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
-    """(row, place, 64 bits, 64 bits more) of the lines of a block whose keys are long enough to count."""
+    """(row, place, 61 bits, 61 bits more) of the lines of a block whose keys are long enough to count."""
     data = LOWER[data]
     start, end, row = lines(data, offsets)
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -43,7 +43,7 @@ def block_keys(data: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[n
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     long = np.flatnonzero(chars[high] - chars[low] >= min_chars)
     low, high = low[long], high[long]
-    return row[long], place[long], mix(Prefix(data).ranges(low, high)), mix(Prefix(data, seed=2).ranges(low, high))
+    return row[long], place[long], mix(Ranges(data).of(low, high)), mix(Ranges(data, seed=2).of(low, high))
 
 
 def _hash_lines(min_chars: int):

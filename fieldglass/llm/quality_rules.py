@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import SPACE, Prefix, blocks, grams, lines, mix, per_row, words
+from fieldglass.llm.blocks import SPACE, Ranges, blocks, grams, lines, mix, per_row, words
 from fieldglass.llm.frames import if_small, same, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,17 +30,17 @@ HOST_LIMIT = 0.5
 def _block_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     n = len(offsets) - 1
     starts, ends, first = words(data, offsets)
-    hashed = Prefix(data)
+    hashed = Ranges(data)
     n_words = np.diff(first)
     letters = ~SPACE[data] & ((data & 0xC0) != 0x80)
     line_from, line_to, line_row = lines(data, offsets)
     full = np.searchsorted(starts, line_to) > np.searchsorted(starts, line_from)
-    line_hash, rows = mix(hashed.ranges(line_from[full], line_to[full])), line_row[full]
+    line_hash, rows = mix(hashed.of(line_from[full], line_to[full])), line_row[full]
     order = np.lexsort((line_hash, rows))
     again = (line_hash[order][1:] == line_hash[order][:-1]) & (rows[order][1:] == rows[order][:-1])
     dup_lines = np.bincount(rows[order][1:][again], minlength=n)
 
-    windows = grams(mix(hashed.ranges(starts, ends)), WINDOW)
+    windows = grams(mix(hashed.of(starts, ends)), WINDOW)
     word_row = np.repeat(np.arange(n), n_words)
     whole = np.arange(len(windows)) + WINDOW <= first[word_row[: len(windows)] + 1]
     at = np.flatnonzero(whole)

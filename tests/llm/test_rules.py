@@ -3,10 +3,13 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from fieldglass.llm.blocks import PRIME, Ranges
 from fieldglass.llm.license_rules import BASE, rules
 from fieldglass.llm.license_scan import license_labels
+from fieldglass.llm.line_dedup import drop_repeated_lines
 from fieldglass.llm.quality_rules import quality_verdicts
 from fieldglass.llm.queries import URL_RULES
 from fieldglass.llm.url_filters import HOST_WORDS, rule_table, url_verdicts
@@ -145,3 +148,35 @@ def test_rules_and_suppression(spark):
 def test_rules_are_patterns(rule):
     re.compile(rule.before), re.compile(rule.after)
     assert rule.keyword.isalnum() and 0 < rule.weight <= 1
+
+
+def thue_morse(n):
+    text = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_hashes_tell_built_texts_apart(spark, n):
+    """Texts whose polynomials agree modulo 2**64 for every odd base: as lines, they are different ones."""
+    one, other = thue_morse(n)
+    rows = [(1, one, "a"), (2, other, "a"), (3, f"{one}\n{other}", "b"), (4, " ".join([one, other] * 4 + [other, one] * 4), "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.n_dropped for r in drop_repeated_lines(docs.where("doc_id < 3")).collect()} == {1: 0, 2: 0}
+    got = {r.doc_id: r for r in quality_verdicts(docs).collect()}
+    assert got[3].n_dup_lines == 0 and got[4].n_repeat_words == 0
+
+
+def test_range_hashes():
+    """Ranges modulo the prime against Python's integers; longer ranges than a stretch; the same in any block."""
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    data[100:400] = data[3000:3300]
+    for stretch in (1 << 24, 64):
+        Ranges.STRETCH, before = stretch, Ranges.STRETCH
+        try:
+            a, b = Ranges(data).of(np.array([100, 120, 7, 9]), np.array([400, 121, 7, 2000])), Ranges(data[90:]).of(np.array([2910, 2930, 0]), np.array([3210, 2931, 0]))
+        finally:
+            Ranges.STRETCH = before
+        assert a[:3].tolist() == b.tolist() and a[2] == 0
+        base = int(np.random.default_rng([1, 61]).integers(1 << 59, (1 << 61) - 2))
+        assert int(a[3]) == sum((int(x) + 1) * pow(base, i, int(PRIME)) for i, x in enumerate(data[9:2000])) % int(PRIME)
