@@ -16,8 +16,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Prefix, blocks, mix, per_row, words
-from fieldglass.llm.frames import settle
+from fieldglass.llm.blocks import Ranges, blocks, mix, words
+from fieldglass.llm.frames import settle, unused
+from fieldglass.llm.marks import is_marked, key_marks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,6 +35,8 @@ RATE = 0.05
 SEED = 23
 #: networks that are averaged by one task at a time
 FAN_IN = 64
+#: words beyond the vocabulary whose counts go to every task; the counts of rarer ones are joined
+HEAD = 1 << 18
 SLICES = 16
 
 SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "hidden": (WIDTH * len(SIDES), HIDDEN), "bias": (HIDDEN,),
@@ -43,7 +46,7 @@ SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "hidden": (WIDTH * len(SIDES), HIDDE
 def hashed_words(texts: pa.Array):
     for row, data, offsets in blocks(texts):
         starts, ends, first = words(data, offsets)
-        yield row, mix(Prefix(data).ranges(starts, ends)), first
+        yield row, mix(Ranges(data).of(starts, ends)), first
 
 
 # --- vocabulary ----------------------------------------------------------------------------------------------------
@@ -280,66 +283,114 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: str = "d
 
 def score_texts(texts: pa.Array, net: dict[str, np.ndarray], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed log-probability of every word's entry given the words around it) of each text."""
-    n, total, _, _ = _entry_scores(texts, net, known, np.ones(VOCABULARY))
-    return n, total
+    return _entry_scores(texts, net, known, np.ones(VOCABULARY), None)
 
 
-def _entry_scores(texts: pa.Array, net: dict[str, np.ndarray], known: Words, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(words, summed log-probability of their entries, rare words, summed log of the rare words' entry sizes) of each text."""
+def _entry_scores(texts: pa.Array, net: dict[str, np.ndarray], known: Words, sizes: np.ndarray, head: "Head | None") -> tuple[np.ndarray, np.ndarray]:
+    """(words, summed log-probability) of each text: of the words' entries, less the log size of rare words' entries, and
+    with the log count of those rare words that the head holds."""
     n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    n_rare, shared = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     logs = np.log(sizes)
     step = 16384
     for row, hashes, first in hashed_words(texts):
         entries = known.entries(hashes)
-        rare = entries >= VOCABULARY - RARE
-        n_rare[row: row + len(first) - 1] = per_row(rare, first)
-        whole = np.concatenate([[0.0], np.cumsum(np.where(rare, logs[entries], 0.0))])
-        shared[row: row + len(first) - 1] = whole[first[1:]] - whole[first[:-1]]
         own = np.zeros(len(hashes) + 1)
         for k in range(0, len(hashes), step):
             at = np.arange(k, min(k + step, len(hashes)))
             own[at + 1] = log_probability(net, contexts(entries, first, at), entries[at])
+        rare = np.flatnonzero(entries >= VOCABULARY - RARE)
+        own[rare + 1] -= logs[entries[rare]]
+        if head is not None:
+            own[rare + 1] += head.logs_of(hashes[rare])
         sums = np.cumsum(own)
         n[row: row + len(first) - 1] = np.diff(first)
         total[row: row + len(first) - 1] = sums[first[1:]] - sums[first[:-1]]
-    return n, total, n_rare, shared
+    return n, total
 
 
 # --- rare words ----------------------------------------------------------------------------------------------------
 
-def _rare_words(frequent: np.ndarray):
-    """(own, word, k): how often each rare word is in a text, own being the text's hash; copies in a block are added up."""
+class Head:
+    """The log counts of the most frequent words, ``HEAD`` at most; every word with a count of ``least`` or more is there."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, least: float):
+        order = np.argsort(hashes)
+        self.hashes, self.logs, self.least = hashes[order], np.log(counts[order]).astype(np.float32), least
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the head holds each word, where)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, at
+
+    def logs_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The log count of words of the head, 0 for others."""
+        kinds, kind = np.unique(hashes, return_inverse=True)
+        held, at = self.places(kinds)
+        return (np.where(held, self.logs[at], 0.0) if len(self.logs) else np.zeros(len(kinds)))[kind]
+
+
+def head_words(counts: DataFrame, most: int = HEAD) -> Head:
+    """The words from some count on, that count being the least (to a sixteenth of an octave) with ``most`` words at most."""
+    octave = F.floor(F.log2("n") * 16)
+    sizes = counts.where("n > 1").groupBy(octave.alias("octave")).count().orderBy(F.desc("octave")).collect()  # some hundred rows
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["octave"]
+    if least is None:
+        return Head(np.zeros(0, np.uint64), np.zeros(0), 2.0 ** 60 if sizes else 2.0)
+    rows = counts.where((F.col("n") > 1) & (octave >= least)).toArrow()
+    whole = least == sizes[-1]["octave"]
+    return Head(rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy(), 2.0 if whole else 2.0 ** (least / 16))
+
+
+def _tail_rows(frequent: np.ndarray, head: Head, marks: np.ndarray):
+    """(own, word, k): how often each marked rare word beyond the head is in a text, own being the text's hash.
+
+    Copies in a block are added up; of a text with such words a row without a word says how many copies there were.
+    """
 
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(frequent)
         for batch in batches:
             keys = batch.column(1).to_numpy()
             for row, hashes, first in hashed_words(batch.column(0)):
                 at = np.flatnonzero(known.entries(hashes) >= VOCABULARY - RARE)
-                own, number = np.unique(keys[row: row + len(first) - 1], return_inverse=True)
-                number, word = np.repeat(number, np.diff(first))[at], hashes[at]
-                order = np.lexsort((word, number))
-                number, word = number[order], word[order]
+                at = at[is_marked(hashes[at].view(np.int64), marks)]
+                at = at[~head.places(hashes[at])[0]]
+                own, number, copies = np.unique(keys[row: row + len(first) - 1], return_inverse=True, return_counts=True)
+                of_text, word = np.repeat(number, np.diff(first))[at], hashes[at]
+                order = np.lexsort((word, of_text))
+                of_text, word = of_text[order], word[order]
                 new = np.ones(len(word), bool)
-                new[1:] = (number[1:] != number[:-1]) | (word[1:] != word[:-1])
-                starts = np.flatnonzero(new)
+                new[1:] = (of_text[1:] != of_text[:-1]) | (word[1:] != word[:-1])
+                starts, texts = np.flatnonzero(new), np.unique(of_text)
+                words_ = pa.array(np.concatenate([word[starts].view(np.int64), np.zeros(len(texts), np.int64)]),
+                                  mask=np.repeat([False, True], [len(starts), len(texts)]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[number[starts]]), pa.array(word[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(word))))],
-                    names=["own", "word", "k"])
+                    [pa.array(own[np.concatenate([of_text[starts], texts])]), words_,
+                     pa.array(np.concatenate([np.diff(np.append(starts, len(word))), copies[texts]]))], names=["own", "word", "k"])
 
-    return rare_words
+    return tail_rows
 
 
-def rare_levels(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
-    """(own, level): the mean log count of each text's rare words; words without a count stand like those of count 1.
+def tail_levels(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, head: Head, text: str = "text") -> DataFrame | None:
+    """(own, level): the summed log count of each text's rare words that occur again but are not in the head; None without such words.
 
-    Copies of a text add to sum and number alike, so none has to be left out.
+    Words that occur once add log 1 = 0: a bitmap of fixed size keeps nearly all of them out of the shuffle.
     """
-    rows = docs.select(F.col(text), _own(text).alias("own")).mapInArrow(_rare_words(frequent), "own bigint, word bigint, k bigint")
-    logs = counts.where("n > 1").select(F.col("word").alias("_w"), F.log("n").alias("log_n"))
+    tail = counts.where((F.col("n") > 1) & (F.floor(F.log2("n") * 16) < F.floor(F.log2(F.lit(head.least)) * 16 + 1e-6)))
+    if head.least <= 2.0:
+        return None
+    marks = key_marks(tail, "word")
+    rows = docs.select(F.col(text), _own(text).alias("own")).mapInArrow(_tail_rows(frequent, head, marks), "own bigint, word bigint, k bigint")
+    logs = tail.select(F.col("word").alias("_w"), F.log("n").alias("log_n"))
     return rows.join(logs, F.col("word") == F.col("_w"), "left").groupBy("own").agg(
-        (F.sum(F.col("k") * F.coalesce("log_n", F.lit(0.0))) / F.sum("k")).alias("level"))
+        (F.sum(F.col("k") * F.coalesce("log_n", F.lit(0.0))) / F.sum(F.when(F.col("word").isNull(), F.col("k")))).alias("level"))
 
 
 def _own(text: str) -> Column:
@@ -355,25 +406,30 @@ def lm_scores(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: st
     Every word is predicted once in training, in one of the rounds; ``key`` (nulls and repeats may be) only spreads the
     words of copies over the rounds.
 
+    Very long texts are worked on in a block of their own; ties don't matter; other columns are kept, whatever their names.
     Null and empty texts have 0 words, log-likelihood 0 and a null score. Repeated rows get the same score (to
     rounding); an empty table gives an empty one. Scores of another layout of the same rows differ slightly, as partitions train apart.
     """
-    docs = docs.drop("n_tokens", "log_likelihood", "lm_score", "_lm", "_lm_own", "_lm_text", "_lm_level")
+    docs = docs.drop("n_tokens", "log_likelihood", "lm_score")
     counts = word_counts(docs, text)
     frequent, entries = vocabulary(counts)
     flat = _fit(docs, frequent, entries, text, rounds, key)
+    head = head_words(counts)
 
-    @F.arrow_udf("n bigint, total double, n_rare bigint")
+    @F.arrow_udf("n bigint, total double")
     def score(texts: pa.Array) -> pa.Array:
-        n, total, n_rare, shared = _entry_scores(texts, unpack(flat), Words(frequent), entries)
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(total - shared), pa.array(n_rare)], names=["n", "total", "n_rare"])
-
-    levels = rare_levels(docs, counts, frequent, text).select(F.col("own").alias("_lm_text"), F.col("level").alias("_lm_level"))
-    rare = F.col("_lm.n_rare") * F.coalesce("_lm_level", F.lit(0.0))
+        n, total = _entry_scores(texts, unpack(flat), Words(frequent), entries, head)
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(total)], names=["n", "total"])
+
+    found, own, of_text, level = unused(docs, "scored", "own", "own_text", "level")
+    scored, more = docs.withColumn(found, score(F.col(text))), F.lit(0.0)
+    levels = tail_levels(docs, counts, frequent, head, text)
+    if levels is not None:
+        named = levels.select(F.col("own").alias(of_text), F.col("level").alias(level))
+        scored = scored.withColumn(own, _own(text)).join(named, F.col(own) == F.col(of_text), "left")
+        more = F.coalesce(level, F.lit(0.0))
     return (
-        docs.withColumn("_lm", score(F.col(text))).withColumn("_lm_own", _own(text))
-        .join(levels, F.col("_lm_own") == F.col("_lm_text"), "left")
-        .withColumn("n_tokens", F.col("_lm.n")).withColumn("log_likelihood", F.col("_lm.total") + rare)
+        scored.withColumn("n_tokens", F.col(found)["n"]).withColumn("log_likelihood", F.col(found)["total"] + more)
         .withColumn("lm_score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
-        .drop("_lm", "_lm_own", "_lm_text", "_lm_level")
+        .drop(found, own, of_text, level)
     )

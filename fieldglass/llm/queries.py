@@ -49,7 +49,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_scores(docs).select("doc_id", "n_tokens", "log_likelihood", "lm_score")
+    return lm_scores(docs).select("doc_id", "lm_score", "n_tokens", "log_likelihood")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,21 @@ def test_rare_words_by_their_own_counts(spark):
         assert got[i].log_likelihood == pytest.approx(want, rel=1e-4)
 
 
+def test_rare_words_of_the_tail_are_joined(spark, monkeypatch):
+    """With a small head most counts are joined; scores are those of a head that holds all."""
+    r = random.Random(5)
+    known = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(6000)]
+    rows = [(i, " ".join(r.choice(known) for _ in range(150))) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:9] + [(900, None), (901, "")], "doc_id bigint, text string").repartition(2).cache()
+    scores = lambda: {x.doc_id: x.log_likelihood for x in lm_scores(docs).collect()}
+    whole = scores()
+    monkeypatch.setattr(lm_score.head_words, "__defaults__", (700,))
+    counts = lm_score.word_counts(docs)
+    head = lm_score.head_words(counts)
+    assert 0 < len(head.hashes) <= 700 and head.least > 2 and counts.where(F.col("n") >= head.least).count() == len(head.hashes)
+    assert scores() == pytest.approx(whole, rel=1e-4)
+
+
 def test_every_word_is_a_target_once(spark, monkeypatch):
     texts = ["one", "two words", *[prose(i, 40) for i in range(5)], prose(0, 40)]
     _, hashes, first = next(lm_score.hashed_words(pa.array(texts)))
@@ -185,6 +200,21 @@ def test_blocks_of_items(spark, documents, sf_dir, monkeypatch):
     assert contaminated(documents, bench).select("doc_id", "matches").orderBy("doc_id").collect() == whole
 
 
+def test_short_items_and_items_without_an_id(spark):
+    """Items of one word up stand whole in a text or not at all; null ids match; several passes give what one gives."""
+    long = prose(700, 24)
+    items = [(k, " ".join(f"item{k}w{i}" for i in range(k))) for k in range(1, 8)] + [(None, long), (None, "lone words"), (8, "?!"), (9, None)]
+    rows = [(k, f"before, {' '.join(f'Item{k}w{i}' for i in range(k))}! after") for k in range(1, 8)]
+    rows += [(20, f"x {long} y"), (21, "lone, WORDS"), (22, "lone word"), (23, "item4w0 item4w1 item4w3"), (24, None), (25, "item1w0 " * 3), (25, "item1w0 " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = Counter({(k, ((k, 0),)): 1 for k in range(1, 8)} | {(20, ((None, 0),)): 1, (21, ((None, 0),)): 1, (22, ()): 1, (23, ()): 1, (24, ()): 1, (25, ((1, 0),)): 2})
+    for size in (None, 40):
+        got = contaminated(docs, bench, block_bytes=size).collect()
+        assert Counter((r.doc_id, tuple((m.item_id, m.distance) for m in r.matches)) for r in got) == want
+        assert all(r.contaminated == bool(r.matches) for r in got)
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 def targets(sizes, share=1.5, cap=2.0, weights=(3, 1, 2)):
