@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Ranges, blocks, mix, words
+from fieldglass.llm.blocks import Prefix, blocks, mix, words
 from fieldglass.llm.frames import settle, unused
 from fieldglass.llm.marks import is_marked, key_marks
 
@@ -46,7 +46,7 @@ SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "hidden": (WIDTH * len(SIDES), HIDDE
 def hashed_words(texts: pa.Array):
     for row, data, offsets in blocks(texts):
         starts, ends, first = words(data, offsets)
-        yield row, mix(Ranges(data).of(starts, ends)), first
+        yield row, mix(Prefix(data).ranges(starts, ends)), first
 
 
 # --- vocabulary ----------------------------------------------------------------------------------------------------
@@ -213,14 +213,14 @@ def masked(hashes: np.ndarray, first: np.ndarray, own: np.ndarray, turn: int, ro
     return np.flatnonzero(draw % np.uint64(rounds) == np.uint64(turn))
 
 
-def _train(start: np.ndarray, frequent: np.ndarray, turn: int, rounds: int):
+def _train(start: np.ndarray, turn: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, known, n = unpack(start.copy()), Words(frequent), 0
+        net, n = unpack(start.copy()), 0
         seen = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for row, hashes, first in hashed_words(batch.column(0)):
-                entries, at = known.entries(hashes), masked(hashes, first, keys[row: row + len(first) - 1], turn, rounds)
+            for row, entries, first in coded_words(batch.column(0)):
+                at = masked(entries.astype(np.uint64), first, keys[row: row + len(first) - 1], turn, rounds)
                 at = np.random.default_rng([SEED, turn, len(at)]).permutation(at)
                 for k in range(0, len(at), BATCH):
                     own = np.sort(at[k: k + BATCH])
@@ -266,10 +266,17 @@ def _merged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(w, np.float32) for w in rows.column("weights").to_pylist()]) if rows.num_rows else np.zeros(0, np.float32)
 
 
-def _fit(docs: DataFrame, frequent: np.ndarray, entries: np.ndarray, text: str, rounds: int, key: str) -> np.ndarray:
+def coded_words(codes: pa.Array):
+    """(first row, entries, each row's first word) by block, of rows of two-byte entries."""
+    for row, data, offsets in blocks(codes):
+        yield row, np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), offsets // 2
+
+
+def _fit(coded: DataFrame, codes: str, entries: np.ndarray, rounds: int, key: str) -> np.ndarray:
     net = pack(new_network(entries))
     for turn in range(rounds):
-        parts = settle(docs.select(F.col(text), F.xxhash64(key)).mapInArrow(_train(net, frequent, turn, rounds), "slice bigint, part bigint, n double, weights binary"), "networks")
+        parts = settle(coded.select(F.col(codes), F.xxhash64(F.col(f"`{key}`"))).mapInArrow(
+            _train(net, turn, rounds), "slice bigint, part bigint, n double, weights binary"), "networks")
         new = _merged(parts)
         net = new if len(new) else net
     return net
@@ -277,37 +284,30 @@ def _fit(docs: DataFrame, frequent: np.ndarray, entries: np.ndarray, text: str,
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """(frequent words, network): the vocabulary counts, and training predicts, every word of every document once."""
-    frequent, entries = vocabulary(word_counts(docs, text))
-    return frequent, _fit(docs, frequent, entries, text, rounds, key)
+    counts = word_counts(docs, text)
+    frequent, entries = vocabulary(counts)
+    coded, names = _coded(docs, text, frequent, entries, head_words(counts), None)
+    return frequent, _fit(coded, names["codes"], entries, rounds, key)
 
 
 def score_texts(texts: pa.Array, net: dict[str, np.ndarray], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed log-probability of every word's entry given the words around it) of each text."""
-    return _entry_scores(texts, net, known, np.ones(VOCABULARY), None)
-
-
-def _entry_scores(texts: pa.Array, net: dict[str, np.ndarray], known: Words, sizes: np.ndarray, head: "Head | None") -> tuple[np.ndarray, np.ndarray]:
-    """(words, summed log-probability) of each text: of the words' entries, less the log size of rare words' entries, and
-    with the log count of those rare words that the head holds."""
     n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    logs = np.log(sizes)
-    step = 16384
     for row, hashes, first in hashed_words(texts):
-        entries = known.entries(hashes)
-        own = np.zeros(len(hashes) + 1)
-        for k in range(0, len(hashes), step):
-            at = np.arange(k, min(k + step, len(hashes)))
-            own[at + 1] = log_probability(net, contexts(entries, first, at), entries[at])
-        rare = np.flatnonzero(entries >= VOCABULARY - RARE)
-        own[rare + 1] -= logs[entries[rare]]
-        if head is not None:
-            own[rare + 1] += head.logs_of(hashes[rare])
-        sums = np.cumsum(own)
-        n[row: row + len(first) - 1] = np.diff(first)
-        total[row: row + len(first) - 1] = sums[first[1:]] - sums[first[:-1]]
+        n[row: row + len(first) - 1], total[row: row + len(first) - 1] = _summed(known.entries(hashes), first, net)
     return n, total
 
 
+def _summed(entries: np.ndarray, first: np.ndarray, net: dict[str, np.ndarray], step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """(words, summed log-probability) of each row of a block of entries."""
+    own = np.zeros(len(entries) + 1)
+    for k in range(0, len(entries), step):
+        at = np.arange(k, min(k + step, len(entries)))
+        own[at + 1] = log_probability(net, contexts(entries, first, at), entries[at])
+    sums = np.cumsum(own)
+    return np.diff(first), sums[first[1:]] - sums[first[:-1]]
+
+
 # --- rare words ----------------------------------------------------------------------------------------------------
 
 class Head:
@@ -324,12 +324,6 @@ class Head:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return self.hashes[at] == hashes, at
 
-    def logs_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The log count of words of the head, 0 for others."""
-        kinds, kind = np.unique(hashes, return_inverse=True)
-        held, at = self.places(kinds)
-        return (np.where(held, self.logs[at], 0.0) if len(self.logs) else np.zeros(len(kinds)))[kind]
-
 
 def head_words(counts: DataFrame, most: int = HEAD) -> Head:
     """The words from some count on, that count being the least (to a sixteenth of an octave) with ``most`` words at most."""
@@ -348,49 +342,64 @@ def head_words(counts: DataFrame, most: int = HEAD) -> Head:
     return Head(rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy(), 2.0 if whole else 2.0 ** (least / 16))
 
 
-def _tail_rows(frequent: np.ndarray, head: Head, marks: np.ndarray):
-    """(own, word, k): how often each marked rare word beyond the head is in a text, own being the text's hash.
+def _coded(docs: DataFrame, text: str, frequent: np.ndarray, sizes: np.ndarray, head: Head, marks: np.ndarray | None) -> tuple[DataFrame, dict[str, str]]:
+    """(docs with a struct more, written; the names of its parts): words are hashed once, and later passes read entries.
 
-    Copies in a block are added up; of a text with such words a row without a word says how many copies there were.
+    ``codes`` has a text's entries in two bytes each; ``known`` the summed log shares of rare words in their entries as far
+    as the head knows their counts; ``tail`` the other rare words that are marked, repeats included.
     """
+    logs = np.log(sizes)
 
-    def tail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(frequent)
-        for batch in batches:
-            keys = batch.column(1).to_numpy()
-            for row, hashes, first in hashed_words(batch.column(0)):
-                at = np.flatnonzero(known.entries(hashes) >= VOCABULARY - RARE)
-                at = at[is_marked(hashes[at].view(np.int64), marks)]
-                at = at[~head.places(hashes[at])[0]]
-                own, number, copies = np.unique(keys[row: row + len(first) - 1], return_inverse=True, return_counts=True)
-                of_text, word = np.repeat(number, np.diff(first))[at], hashes[at]
-                order = np.lexsort((word, of_text))
-                of_text, word = of_text[order], word[order]
-                new = np.ones(len(word), bool)
-                new[1:] = (of_text[1:] != of_text[:-1]) | (word[1:] != word[:-1])
-                starts, texts = np.flatnonzero(new), np.unique(of_text)
-                words_ = pa.array(np.concatenate([word[starts].view(np.int64), np.zeros(len(texts), np.int64)]),
-                                  mask=np.repeat([False, True], [len(starts), len(texts)]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[np.concatenate([of_text[starts], texts])]), words_,
-                     pa.array(np.concatenate([np.diff(np.append(starts, len(word))), copies[texts]]))], names=["own", "word", "k"])
-
-    return tail_rows
-
-
-def tail_levels(docs: DataFrame, counts: DataFrame, frequent: np.ndarray, head: Head, text: str = "text") -> DataFrame | None:
-    """(own, level): the summed log count of each text's rare words that occur again but are not in the head; None without such words.
+    @F.arrow_udf("codes binary, known double, tail array<bigint>")
+    def encode(texts: pa.Array) -> pa.Array:
+        words_of = Words(frequent)
+        codes, known, tails, lengths = [], [], [], []
+        for _, hashes, first in hashed_words(texts):
+            entries = words_of.entries(hashes)
+            raw = entries.astype(np.uint16).tobytes()
+            codes += [raw[2 * a: 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            rare = np.flatnonzero(entries >= VOCABULARY - RARE)
+            kinds, kind = np.unique(hashes[rare], return_inverse=True)
+            held, at = head.places(kinds)
+            share = np.zeros(len(hashes) + 1)
+            share[rare + 1] = (np.where(held, head.logs[at], 0.0) if len(head.logs) else np.zeros(len(kinds)))[kind] - logs[entries[rare]]
+            sums = np.cumsum(share)
+            known.append(sums[first[1:]] - sums[first[:-1]])
+            if marks is None:
+                lengths.append(np.zeros(len(first) - 1, np.int64))
+                continue
+            open_ = ~held & is_marked(kinds.view(np.int64), marks)
+            mine = rare[open_[kind]]
+            tails.append(hashes[mine].view(np.int64))
+            lengths.append(np.diff(np.searchsorted(mine, first)))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32) if lengths else np.zeros(1, np.int32)
+        tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(np.concatenate(known) if known else np.zeros(0)), tail],
+                                          names=["codes", "known", "tail"])
+
+    found, *parts = unused(docs, "coded", "codes", "known", "tail", "own_text")
+    names = dict(zip(("codes", "known", "tail", "own"), parts))
+    coded = docs.withColumn(found, encode(F.col(f"`{text}`"))).withColumns(
+        {names[c]: F.col(found)[c] for c in ("codes", "known", "tail")} | {names["own"]: _own(text)}).drop(found)
+    return settle(coded, "coded-texts"), names
+
+
+def tail_words(counts: DataFrame, head: Head) -> DataFrame | None:
+    """(word, n) of the words that occur again but are not in the head; None if there are none.
 
     Words that occur once add log 1 = 0: a bitmap of fixed size keeps nearly all of them out of the shuffle.
     """
-    tail = counts.where((F.col("n") > 1) & (F.floor(F.log2("n") * 16) < F.floor(F.log2(F.lit(head.least)) * 16 + 1e-6)))
     if head.least <= 2.0:
         return None
-    marks = key_marks(tail, "word")
-    rows = docs.select(F.col(text), _own(text).alias("own")).mapInArrow(_tail_rows(frequent, head, marks), "own bigint, word bigint, k bigint")
-    logs = tail.select(F.col("word").alias("_w"), F.log("n").alias("log_n"))
-    return rows.join(logs, F.col("word") == F.col("_w"), "left").groupBy("own").agg(
-        (F.sum(F.col("k") * F.coalesce("log_n", F.lit(0.0))) / F.sum(F.when(F.col("word").isNull(), F.col("k")))).alias("level"))
+    return counts.where((F.col("n") > 1) & (F.floor(F.log2("n") * 16) < F.floor(F.log2(F.lit(head.least)) * 16 + 1e-6)))
+
+
+def tail_levels(coded: DataFrame, names: dict[str, str], tail: DataFrame) -> DataFrame:
+    """(own, level): the summed log count of a text's tail words, own being the text's hash; of copies the mean, so that of one."""
+    rows = coded.where(F.size(names["tail"]) > 0).select(F.col(names["own"]).alias("own"), F.explode(F.concat(names["tail"], F.array(F.lit(None).cast("long")))).alias("word"))
+    logs = tail.select(F.col("word").alias("tail_word"), F.log("n").alias("log_n"))
+    return rows.join(logs, F.col("word") == F.col("tail_word"), "left").groupBy("own").agg(
+        (F.sum(F.coalesce("log_n", F.lit(0.0))) / F.count_if(F.col("word").isNull())).alias("level"))
 
 
 def _own(text: str) -> Column:
@@ -413,23 +422,27 @@ def lm_scores(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, key: st
     docs = docs.drop("n_tokens", "log_likelihood", "lm_score")
     counts = word_counts(docs, text)
     frequent, entries = vocabulary(counts)
-    flat = _fit(docs, frequent, entries, text, rounds, key)
     head = head_words(counts)
+    tail = tail_words(counts, head)
+    coded, names = _coded(docs, text, frequent, entries, head, key_marks(tail, "word") if tail is not None else None)
+    flat = _fit(coded, names["codes"], entries, rounds, key)
 
     @F.arrow_udf("n bigint, total double")
-    def score(texts: pa.Array) -> pa.Array:
-        n, total = _entry_scores(texts, unpack(flat), Words(frequent), entries, head)
+    def score(codes: pa.Array) -> pa.Array:
+        net, parts = unpack(flat), [(np.zeros(0, np.int64), np.zeros(0))]
+        parts += [_summed(own, first, net) for _, own, first in coded_words(codes)]
+        n, total = (np.concatenate(x) for x in zip(*parts))
         return pa.StructArray.from_arrays([pa.array(n), pa.array(total)], names=["n", "total"])
 
-    found, own, of_text, level = unused(docs, "scored", "own", "own_text", "level")
-    scored, more = docs.withColumn(found, score(F.col(text))), F.lit(0.0)
-    levels = tail_levels(docs, counts, frequent, head, text)
-    if levels is not None:
-        named = levels.select(F.col("own").alias(of_text), F.col("level").alias(level))
-        scored = scored.withColumn(own, _own(text)).join(named, F.col(own) == F.col(of_text), "left")
+    found, of_text, level = unused(coded, "scored", "of_text", "level")
+    scored, more = coded.withColumn(found, score(F.col(names["codes"]))), F.lit(0.0)
+    if tail is not None:
+        named = tail_levels(coded, names, tail).select(F.col("own").alias(of_text), F.col("level").alias(level))
+        scored = scored.join(named, F.col(names["own"]) == F.col(of_text), "left")
         more = F.coalesce(level, F.lit(0.0))
+    whole = F.col(found)["total"] + F.col(names["known"]) + more
     return (
-        scored.withColumn("n_tokens", F.col(found)["n"]).withColumn("log_likelihood", F.col(found)["total"] + more)
+        scored.withColumn("n_tokens", F.col(found)["n"]).withColumn("log_likelihood", whole)
         .withColumn("lm_score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
-        .drop(found, own, of_text, level)
+        .drop(found, of_text, level, *names.values())
     )
