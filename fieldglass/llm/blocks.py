@@ -22,7 +22,15 @@ BLOCK = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+class Cache(dict):
+    """Tables that every process makes for itself: they don't travel with functions that use them."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = Cache()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -69,7 +77,7 @@ class Prefix:
 #: the prime 2**61 - 1
 PRIME = np.uint64((1 << 61) - 1)
 
-_PRIME_POWERS: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+_PRIME_POWERS: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = Cache()
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
