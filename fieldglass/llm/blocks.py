@@ -99,11 +99,15 @@ def _prime_powers(seed: int, n: int, inverse: bool = False) -> tuple[np.ndarray,
     found = _PRIME_POWERS.get((seed, inverse))
     if found is None or len(found[0]) <= n:
         base = int(np.random.default_rng([seed, 61]).integers(1 << 59, (1 << 61) - 2))
-        out = np.ones(1, np.uint64)
-        while len(out) <= max(n, BLOCK):
-            step = pow(base, -len(out) if inverse else len(out), (1 << 61) - 1)
-            out = np.concatenate([out, _times(out, np.full(1, step, np.uint64))])
-        found = _PRIME_POWERS[seed, inverse] = (out >> np.uint64(30)).astype(np.uint32), (out & np.uint64((1 << 30) - 1)).astype(np.uint32)
+        size, prime, sign = max(n, BLOCK) + 1, (1 << 61) - 1, -1 if inverse else 1
+        own = np.ones(1, np.uint64)
+        while len(own) < 1 << 14:
+            own = np.concatenate([own, _times(own, np.full(1, pow(base, sign * len(own), prime), np.uint64))])
+        found = np.empty(size, np.uint32), np.empty(size, np.uint32)
+        for at in range(0, size, len(own)):  # some at a time: the steps of a product need several times their room
+            part = _times(own, np.full(1, pow(base, sign * at, prime), np.uint64))[: size - at]
+            found[0][at: at + len(own)], found[1][at: at + len(own)] = part >> np.uint64(30), part & np.uint64((1 << 30) - 1)
+        _PRIME_POWERS[seed, inverse] = found
     return found
 
 
