@@ -40,7 +40,7 @@ def value_table(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     )
 
 
-def running_before(df: DataFrame, group: str | None, order: Sequence[str], weight: Column, rows: int,
+def running_before(df: DataFrame, group: str | None, order: Sequence[str | Column], weight: Column, rows: int,
                    range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``before``: the weight of all rows ahead of this one in ``order``, within ``group`` if given.
 
@@ -73,7 +73,7 @@ def running_before(df: DataFrame, group: str | None, order: Sequence[str], weigh
     return placed.drop("_w", "_part", "_offset", "_ahead", "_start")
 
 
-def with_row_position(df: DataFrame, order: Sequence[str], out: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_row_position(df: DataFrame, order: Sequence[str | Column], out: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Zero-based position of each row in a declared unique order (counts the rows first)."""
     rows = df.count()
     return running_before(df, None, order, F.lit(1), rows, range_rows).withColumnRenamed("before", out)

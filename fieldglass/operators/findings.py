@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -101,6 +101,11 @@ def correlation_finding(scored: DataFrame) -> DataFrame:
         f"abs(correlation) >= {V.STRONG_CORRELATION_FROM}")])
 
 
+def union_findings(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of several tables of findings in rule order; each holds one row a rule at most."""
+    return reduce(DataFrame.unionByName, parts).orderBy("ordinal")
+
+
 def findings(scored: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:
     """``(ordinal, category, statement, evidence)`` in rule order; rules without a result leave no row.
 
@@ -113,7 +118,7 @@ def findings(scored: DataFrame, fields: Mapping[str, str] | None = None) -> Data
         parts.append(trend_finding(scored))
     if "region" in fields:
         parts.append(region_finding(scored, fields))
-    return reduce(DataFrame.unionByName, parts).orderBy("ordinal")
+    return union_findings(parts)
 
 
 def first_findings(found: DataFrame, n: int = V.FIRST_FINDINGS) -> DataFrame:

@@ -84,6 +84,11 @@ def trend(df: DataFrame, index: str | None = None, every: str = "monthly", regio
     ).where(F.col("count") > 0)
 
 
+def first_and_last(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the first and of the last bucket of each series, in one aggregate."""
+    return series.groupBy(*by).agg(F.min_by("mean", "bucket").alias("first_mean"), F.max_by("mean", "bucket").alias("last_mean"))
+
+
 def change_percent(mean: str = "mean", bucket: str = "bucket") -> Column:
     """Aggregate: last mean over first mean in percent; NULL for fewer than two buckets or a first mean of zero."""
     first, last = F.min_by(mean, bucket), F.max_by(mean, bucket)

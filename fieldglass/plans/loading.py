@@ -442,5 +442,12 @@ def _(ws):
 @query("u1_union_of_stations", with_ctes(
     Q.CLIMATE_RAW, f"SELECT region, count(*) AS rows, {Q.r6('avg(temperature)', 'temperature')} FROM climate_raw GROUP BY 1"))
 def _(ws):
-    union = readers.normalise_climate_feed(climate_feed(ws.spark, ws.sf_dir))  # all stations in one scan
+    """One frame for each station's folder, put together again and read as a feed."""
+    path = scratch_path(ws.spark, "stations")
+    feed = climate_feed(ws.spark, ws.sf_dir)
+    feed.withColumn("station", F.coalesce("region", F.lit(""))).write.partitionBy("station").parquet(path)
+    names = [r["region"] for r in feed.select("region").distinct().collect()]  # station names, a few dozen
+    folder = {name: f"{path}/station={name or '__HIVE_DEFAULT_PARTITION__'}" for name in names}
+    frames = {name: ws.spark.read.schema(feed.schema).parquet(folder[name]).drop("region") for name in names}
+    union = readers.normalise_climate_feed(readers.union_stations(frames))
     return six(union.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.avg("temperature").alias("temperature")))

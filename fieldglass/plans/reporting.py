@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.operators import anomaly, browse, correlation, points, regions, risk, trends
+from fieldglass.operators import anomaly, browse, correlation, counts, pages, points, regions, risk, trends
+from fieldglass.operators.browse import sort_rows
 from fieldglass.operators.distribution import with_percent_rank, with_row_position
-from fieldglass.operators.reports import flagged, flagged_total
-from fieldglass.operators.schema import numeric_features, prepare
+from fieldglass.operators.findings import level_findings, region_finding, union_findings
+from fieldglass.operators.reports import attach_scores, flagged, flagged_after, flagged_total, report
+from fieldglass.operators.schema import prepare, present, resolve_fields
 from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, nine, query, six, with_ctes
 from fieldglass.plans.tables import climate_feed, climate_raw, obs_raw, table
+from fieldglass.runtime import settle
 from fieldglass.sources.readers import normalise_climate_feed
 
 SERIES = f"SELECT {Q.day('bucket')} AS bucket, {Q.sixes('mean', 'min', 'max')}, count FROM series"
@@ -72,7 +74,7 @@ def _(ws):
 @query("f7_drop_rows_missing_any", with_ctes(
     Q.OBS, "SELECT row_id FROM obs WHERE ts IS NOT NULL AND ndvi IS NOT NULL AND rainfall IS NOT NULL"))
 def _(ws):
-    return ws.obs.dropna(subset=["_timestamp", "ndvi", "rainfall"]).select("row_id")
+    return present(ws.obs, ["_timestamp", "ndvi", "rainfall"]).select("row_id")
 
 
 @query("f8_drop_rows_missing_all", with_ctes(
@@ -101,11 +103,7 @@ def _(ws):
               "count(*) FILTER (risk_score >= 50 AND risk_score < 80) AS elevated, "
               "count(*) FILTER (ndwi < -0.1) AS stressed FROM scored"))
 def _(ws):
-    score = F.col("risk_score")
-    return ws.scored.agg(
-        F.count_if(score >= V.HIGH_RISK_FROM).alias("high"), F.count_if(score >= V.FINDING_CRITICAL_FROM).alias("critical"),
-        F.count_if((score >= V.FINDING_ELEVATED_FROM) & (score < V.FINDING_CRITICAL_FROM)).alias("elevated"),
-        F.count_if(F.col("ndwi") < V.WATER_STRESS_BELOW).alias("stressed"))
+    return counts.threshold_counts(ws.scored)
 
 
 _POINT_MEANS = ", ".join(f"avg({c}) AS {c}" for c in V.POINT_MEANS)
@@ -142,15 +140,15 @@ def _with_station(rows: DataFrame) -> DataFrame:
     Q.SCORED, f"SELECT row_id, {Q.sixes('ndvi', 'anomaly_score', 'risk_score')} FROM scored"))
 def _(ws):
     """Scores computed apart, joined back by row key."""
-    scores = ws.scored.select("row_id", "anomaly_score", "risk_score")
-    return six(ws.obs.select("row_id", "ndvi").join(scores, "row_id", "left"))
+    return six(attach_scores(ws.obs.select("row_id", "ndvi"), ws.scored, ["anomaly_score", "risk_score"]))
 
 
 @query("j3_anomaly_with_risk", with_ctes(
     Q.SCORED, f"SELECT row_id, {Q.sixes('anomaly_score', 'risk_score')}, severity, risk_level FROM scored"))
 def _(ws):
-    left = ws.scored.select("row_id", "anomaly_score", "severity")
-    return six(left.join(ws.scored.select("row_id", "risk_score", "risk_level"), "row_id", "left"))
+    anomalies = ws.scored.select("row_id", "anomaly_score", "anomaly_flag", "severity")
+    risks = ws.scored.select("row_id", "risk_score", "risk_level", *[f"{p}_contribution" for p in Q.PARTS])
+    return six(report(anomalies, "anomalies", risks).select("row_id", "anomaly_score", "risk_score", "severity", "risk_level"))
 
 
 _PROFILE = (f"SELECT region, state, {Q.nines(*Q.FEATURES, 'risk_score')}, observations FROM (SELECT region, state, "
@@ -179,9 +177,7 @@ def _(ws):
     f"SELECT o.row_id, {Q.r6('coalesce(f.anomaly_score, 0)', 'anomaly_score')} FROM obs o LEFT JOIN (SELECT * FROM flagged "
     "WHERE anomaly_flag) f USING (row_id)"))
 def _(ws):
-    some = anomaly.flagged_rows(ws.scored).select("row_id", "anomaly_score")
-    joined = ws.obs.select("row_id").join(some, "row_id", "left")
-    return six(joined.withColumn("anomaly_score", F.coalesce("anomaly_score", F.lit(0.0))))
+    return six(attach_scores(ws.obs.select("row_id"), anomaly.flagged_rows(ws.scored), ["anomaly_score"], missing=0.0))
 
 
 @query("j7_map_positions", with_ctes(
@@ -346,21 +342,20 @@ def _(ws):
 @query("a15_distinct_counts", with_ctes(
     Q.CLIMATE_RAW, "SELECT count(DISTINCT region) AS regions, count(DISTINCT temperature) AS temperatures FROM climate_raw"))
 def _(ws):
-    return climate_raw(ws.spark, ws.sf_dir).agg(
-        F.countDistinct("region").alias("regions"), F.countDistinct("temperature").alias("temperatures"))
+    found = counts.distinct_counts(climate_raw(ws.spark, ws.sf_dir), ["region", "temperature"])
+    return found.select(F.col("region").alias("regions"), F.col("temperature").alias("temperatures"))
 
 
 @query("a16_deviations", with_ctes(
     Q.OBS, f"SELECT state, {Q.r6('stddev_pop(ndvi)', 'population')}, {Q.r6('stddev_samp(ndvi)', 'sample')} FROM obs GROUP BY 1"))
 def _(ws):
-    return six(ws.obs.groupBy("state").agg(F.stddev_pop("ndvi").alias("population"), F.stddev_samp("ndvi").alias("sample")))
+    return six(counts.deviations(ws.obs, "ndvi", ["state"]))
 
 
 @query("a17_share_of_rows", with_ctes(
     Q.OBS, f"SELECT state, {Q.r6('avg(CASE WHEN ndwi < -0.1 THEN 1.0 ELSE 0.0 END) * 100', 'share')} FROM obs GROUP BY 1"))
 def _(ws):
-    stressed = F.when(F.col("ndwi") < V.WATER_STRESS_BELOW, 1.0).otherwise(0.0)
-    return six(ws.obs.groupBy("state").agg((F.avg(stressed) * 100).alias("share")))
+    return six(counts.share_of_rows(ws.obs, counts.short_of_water(), ["state"]))
 
 
 # --- ranks and positions ------------------------------------------------------------------------
@@ -388,8 +383,7 @@ def _(ws):
     "GROUP BY state"))
 def _(ws):
     series = trends.trend(ws.obs, "ndvi", "monthly", by=["state"])
-    return six(series.groupBy("state").agg(F.min_by("mean", "bucket").alias("first_mean"),
-                                           F.max_by("mean", "bucket").alias("last_mean")))
+    return six(trends.first_and_last(series, ["state"]))
 
 
 @query("w3_row_position", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events")
@@ -439,6 +433,27 @@ def _(ws):
     return browse.page_after(ws.obs.select("row_id"), "row_id", "3")
 
 
+@query("o2_deep_page_by_number", with_ctes(
+    Q.OBS, f"SELECT row_id, rainfall, {Q.sixes('ndvi')} FROM obs ORDER BY rainfall DESC NULLS LAST, row_id LIMIT 50 OFFSET "
+           "(SELECT count(*) // 100 * 50 FROM obs)"))
+def _(ws):
+    """The page in the middle of the table, through the index of every n-th row."""
+    index = settle(pages.page_index(ws.obs, "rainfall", "desc"), "pages")
+    middle = ws.obs.count() // 100 + 1
+    return six(pages.page_at(ws.obs, index, middle).select("row_id", "rainfall", "ndvi"))
+
+
+@query("o3_flagged_page_after", with_ctes(
+    Q.SCORED, f"SELECT {Q.day('ts')} AS _timestamp, region, state, latitude, longitude, severity, temperature, "
+              f"{Q.sixes('anomaly_score', 'ndvi', 'ndwi', 'risk_score')} FROM (SELECT * FROM scored WHERE anomaly_flag "
+              "ORDER BY anomaly_score DESC, row_id LIMIT 50 OFFSET 50) p"))
+def _(ws):
+    """The second page, from the last row of the first one."""
+    ends = sort_rows(anomaly.flagged_rows(ws.scored), "anomaly_score", "desc", ("row_id",)).limit(50).select("anomaly_score", "row_id").tail(1)
+    after = flagged_after(ws.scored, ends[0]["anomaly_score"], ends[0]["row_id"]) if ends else ws.scored.limit(0)
+    return six(after.withColumn("_timestamp", day("_timestamp")))
+
+
 @query("o3_flagged_by_score", with_ctes(
     Q.SCORED, f"SELECT {Q.day('ts')} AS _timestamp, region, state, latitude, longitude, severity, temperature, "
               f"{Q.sixes('anomaly_score', 'ndvi', 'ndwi', 'risk_score')} FROM (SELECT * FROM scored WHERE anomaly_flag "
@@ -510,7 +525,15 @@ def _(ws):
 
 
 @query("u3_union_of_findings", with_ctes(
-    Q.CLIMATE, " UNION ALL ".join(f"SELECT '{f}' AS feature, {Q.r9(f'avg({f})', 'mean')} FROM climate" for f in Q.FEATURES)))
-def _(ws):
-    return nine(reduce(DataFrame.unionByName, [
-        ws.climate.agg(F.lit(f).alias("feature"), F.avg(f).alias("mean")) for f in numeric_features(ws.climate)]))
+    Q.SCORED,
+    "SELECT 2 AS ordinal, 'HYDROLOGY & MOISTURE' AS category FROM scored HAVING count(ndwi) > 0 UNION ALL "
+    "SELECT 3, 'THERMAL REGIME' FROM scored HAVING count(temperature) > 0 UNION ALL "
+    "SELECT 4, 'PRECIPITATION DYNAMICS' FROM scored HAVING count(rainfall) > 0 UNION ALL "
+    "SELECT 5, 'ML ANOMALY OUTLIERS' FROM scored HAVING count(*) FILTER (anomaly_flag) > 0 UNION ALL "
+    "SELECT 6, 'REGIONAL DISPARITY' FROM scored HAVING count(region) > 0 UNION ALL "
+    "SELECT 8, 'RISK STRATIFICATION' FROM scored HAVING count(*) > 0"))
+def _(ws):
+    """Findings of two sources, the whole table's and the regions', as one list."""
+    fields = resolve_fields(ws.scored.columns)
+    found = union_findings([region_finding(ws.scored, fields), level_findings(ws.scored, fields)])
+    return found.select("ordinal", "category")

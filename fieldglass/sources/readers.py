@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
@@ -184,6 +184,14 @@ def read_observations(spark: SparkSession, path: str | Sequence[str], fmt: str |
     return df
 
 
+def union_stations(frames: Mapping[str, DataFrame], station: str = "region") -> DataFrame:
+    """The rows of all stations' frames, each with its station's name; a column that a frame lacks is missing there."""
+    if not frames:
+        raise ValueError("the climate feed has no stations")
+    named = [rows.withColumn(station, F.lit(name)) for name, rows in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def station_table(spark: SparkSession) -> DataFrame:
     return literal_table(spark, ["region", "latitude", "longitude"], V.STATIONS)
 
