@@ -9,7 +9,7 @@ from fieldglass.operators.distribution import exact_quantiles, with_percent_rank
 from fieldglass.operators.findings import findings, first_findings, recommendations
 from fieldglass.operators.histogram import density, histogram
 from fieldglass.operators.pages import page_at, page_index
-from fieldglass.operators.points import map_positions, matching_total, points
+from fieldglass.operators.points import in_box, map_positions, matching_total, points
 from fieldglass.operators.regions import index_cards, rank_regions, regional_profile, spatial_density, summary
 from fieldglass.operators.reports import attach_scores, flagged, flagged_after, flagged_total, report
 from fieldglass.operators.risk import risk_distribution, risk_report, with_risk

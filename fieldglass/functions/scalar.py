@@ -45,6 +45,22 @@ def label_right_closed(value: Column, edges: Sequence[float], labels: Sequence[s
     return chain
 
 
+def _every_second_bit(value: Column) -> Column:
+    """The 16 bits of a whole number, a zero before each."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return value
+
+
+def place_code(latitude: Column, longitude: Column) -> Column:
+    """Place on a Z-order curve over 65,536 x 65,536 cells: neighbours on it are neighbours on the map; NULL without a position."""
+    def cell(degrees: Column, span: float) -> Column:
+        return clamp(F.floor((degrees + span / 2) / span * 65536.0), 0, 65535).cast("long")
+
+    rows, columns = _every_second_bit(cell(latitude, 180.0)), _every_second_bit(cell(longitude, 360.0))
+    return F.shiftleft(rows, 1).bitwiseOR(columns)
+
+
 def sql_literal(value) -> str:
     """A Python text, number, flag or None as a Spark SQL literal (doubles keep every digit)."""
     if value is None:

@@ -31,6 +31,20 @@ def matching(scored: DataFrame, region: str | None = None, state: str | None = N
     return rows.where("anomaly_flag") if anomalies_only else rows
 
 
+def in_box(df: DataFrame, south: float, west: float, north: float, east: float, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows inside a box of coordinates, its edges included; ``west`` beyond ``east`` crosses the date line.
+
+    Plain comparisons, so that the statistics of a table laid out by place skip what lies elsewhere. A row without a
+    position is in no box.
+    """
+    fields = fields or resolve_fields(df.columns)
+    if not {"latitude", "longitude"} <= set(fields):
+        raise ValueError("geospatial analysis needs coordinates")
+    latitude, longitude = F.col(fields["latitude"]), F.col(fields["longitude"])
+    across = longitude.between(west, east) if west <= east else (longitude >= west) | (longitude <= east)
+    return df.where(latitude.between(south, north) & across)
+
+
 def matching_total(scored: DataFrame, **filters) -> DataFrame:
     """Matching rows, those without coordinates included."""
     return matching(scored, **filters).agg(F.count(F.lit(1)).alias("total_matching"))

@@ -8,6 +8,7 @@ from fieldglass import vocabulary as V
 from fieldglass.functions import scalar
 from fieldglass.operators import browse, schema
 from fieldglass.operators.distribution import exact_quantiles
+from fieldglass.operators.points import in_box
 from fieldglass.operators.reports import display_columns, report
 from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, query, six, with_ctes
@@ -112,6 +113,14 @@ def _(ws):
                             "GROUP BY obs_year, obs_month") if stored is not None else stored)
 
 
+@query("s6_layout_by_place", with_ctes(
+    Q.OBS, f"SELECT region, count(*) AS rows, {Q.r6('avg(ndvi)', 'ndvi')} FROM obs WHERE latitude BETWEEN 10 AND 15 AND "
+           "longitude BETWEEN 72 AND 90 GROUP BY region"))
+def _(ws):
+    stored = writers.materialise(ws.obs, scratch_path(ws.spark, "places"), view="places", by_place=True, group_bytes=1 << 20)
+    return six(in_box(stored, 10, 72, 15, 90).groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.avg("ndvi").alias("ndvi")))
+
+
 _EXPORT = with_ctes(Q.SCORED, f"SELECT row_id, {Q.sixes('anomaly_score')}, anomaly_flag, severity, "
                               f"{Q.sixes('risk_score', *[p + '_contribution' for p in Q.PARTS])}, risk_level FROM scored")
 

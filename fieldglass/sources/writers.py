@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass import vocabulary as V
-from fieldglass.functions.scalar import json_safe
+from fieldglass.functions.scalar import json_safe, place_code
 from fieldglass.operators.schema import resolve_fields
 from fieldglass.runtime import settle
 from fieldglass.sources.readers import fingerprint
@@ -46,12 +46,27 @@ def _keep_about(df: DataFrame, path: str, seen: dict, source: str | None) -> Non
     about.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{ABOUT}")
 
 
-def materialise(df: DataFrame, path: str, view: str = "observations", by_month: bool = False, source: str | None = None) -> DataFrame:
+def _by_place(df: DataFrame, spread: bool) -> tuple[DataFrame, str]:
+    """Rows with their place on the curve, dealt to tasks in its order if asked; a place with many rows is split by row key."""
+    fields = resolve_fields(df.columns)
+    if not {"latitude", "longitude"} <= set(fields):
+        raise ValueError("a layout by place needs coordinates")
+    code = "_place"
+    rows = df.withColumn(code, place_code(*[F.col(fields[f]).cast("double") for f in ("latitude", "longitude")]))
+    return (rows.repartitionByRange(code, F.xxhash64("row_id")) if spread else rows), code
+
+
+def materialise(df: DataFrame, path: str, view: str = "observations", by_month: bool = False, source: str | None = None,
+                by_place: bool = False, group_bytes: int | None = None) -> DataFrame:
     """Write the prepared table as Parquet, register it as a view, and return it.
 
     ``by_month`` lays it out by year and month, so that time ranges prune folders. Rows without a ``row_id`` get one from
     their file and place in a first written copy: once written, it stays, whatever tasks are run again.
 
+    ``by_place`` orders it along a curve over the map, within each month if both are asked for, so that files and row groups
+    hold small areas and the statistics of both skip those that a box (``points.in_box``) does not touch; ``group_bytes`` bounds
+    a row group. Rows without a position come first.
+
     The write itself counts rows, values and extremes; they are kept beside the table with the fingerprint of ``source``
     (the dataset it was read from), for ``metadata``.
     """
@@ -60,14 +75,21 @@ def materialise(df: DataFrame, path: str, view: str = "observations", by_month:
         place = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
         out = settle(df, "unkeyed").select("*", place.alias("row_id"))
     seen = Observation("about")
-    watched = out.observe(seen, *_measures(out))
+    # range partitioning samples its input first: what is laid out by place is only counted on its way to the files
+    watched = out if by_place else out.observe(seen, *_measures(out))
     if by_month:
         watched = watched.withColumns({"obs_year": F.year("_timestamp"), "obs_month": F.month("_timestamp")})
         # rebalancing gathers small months and splits large ones by size, at run time
-        even = df.sparkSession.sql("SELECT /*+ REBALANCE(obs_year, obs_month) */ * FROM {rows}", rows=watched)
-        even.write.mode("overwrite").partitionBy("obs_year", "obs_month").parquet(path)
+        laid = df.sparkSession.sql("SELECT /*+ REBALANCE(obs_year, obs_month) */ * FROM {rows}", rows=watched)
     else:
-        watched.write.mode("overwrite").parquet(path)
+        laid = watched
+    if by_place:
+        laid, code = _by_place(laid, spread=not by_month)
+        laid = laid.sortWithinPartitions(*(["obs_year", "obs_month"] if by_month else []), code, "row_id").drop(code).observe(seen, *_measures(out))
+    writer = laid.write.mode("overwrite")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    (writer.partitionBy("obs_year", "obs_month") if by_month else writer).parquet(path)
     _keep_about(out, path, seen.get, source)
     stored = df.sparkSession.read.schema(watched.schema).parquet(path)
     stored.createOrReplaceTempView(view)
