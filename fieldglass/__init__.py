@@ -14,6 +14,7 @@ from fieldglass.operators.regions import index_cards, rank_regions, regional_pro
 from fieldglass.operators.reports import attach_scores, flagged, flagged_after, flagged_total, report
 from fieldglass.operators.risk import risk_distribution, risk_report, with_risk
 from fieldglass.operators.schema import numeric_features, prepare, resolve_fields
+from fieldglass.operators.search_index import search_index, search_indexed
 from fieldglass.operators.trends import (
     first_and_last,
     latest_buckets,
@@ -27,6 +28,7 @@ from fieldglass.operators.trends import (
 )
 from fieldglass.sources.ledger import load, stored_rows
 from fieldglass.sources.readers import choose_source, fingerprint, read_climate_feed, read_observations, union_stations
+from fieldglass.sources.totals import kept_counts, kept_profile, kept_trend, refresh_totals
 from fieldglass.sources.writers import export, materialise, stored_metadata
 
 __all__ = [name for name in dir() if not name.startswith("_")]

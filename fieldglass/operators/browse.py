@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ _TIME_TEXT = set("0123456789-:. +")
 _FLAG_TEXT = set("truefals")
 
 
-def _can_hold(data_type: T.DataType, term: str) -> bool:
+def can_hold(data_type: T.DataType, term: str) -> bool:
     if isinstance(data_type, T.NumericType):
         return set(term) <= _NUMBER_TEXT
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -28,16 +28,20 @@ def _can_hold(data_type: T.DataType, term: str) -> bool:
     return not isinstance(data_type, T.BooleanType) or set(term) <= _FLAG_TEXT
 
 
+def holds(column: str, term: str) -> Column:
+    """Whether the text of a column's value holds a term in lower case; a missing value does not."""
+    return F.coalesce(F.lower(F.col(f"`{column}`").cast("string")).contains(term), F.lit(False))
+
+
 def search_rows(df: DataFrame, term: str | None, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows with the literal text, in any case, in any column (or one of the given ones)."""
     if not term:
         return df
     term = term.lower()
-    searched = [c for c in columns or df.columns if _can_hold(df.schema[c].dataType, term)]
+    searched = [c for c in columns or df.columns if can_hold(df.schema[c].dataType, term)]
     if not searched:
         return df.where(F.lit(False))
-    return df.where(reduce(or_, [
-        F.coalesce(F.lower(F.col(f"`{c}`").cast("string")).contains(term), F.lit(False)) for c in searched]))
+    return df.where(reduce(or_, [holds(c, term) for c in searched]))
 
 
 def sort_rows(df: DataFrame, sort: str | None, order: str = "asc", tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -11,10 +11,10 @@ from fieldglass.operators.distribution import exact_quantiles
 from fieldglass.operators.points import in_box
 from fieldglass.operators.reports import display_columns, report
 from fieldglass.plans import sql as Q
-from fieldglass.plans.registry import day, query, six, with_ctes
+from fieldglass.plans.registry import day, nine, query, six, with_ctes
 from fieldglass.plans.tables import climate_feed, climate_raw, obs_raw, table
 from fieldglass.runtime import scratch_path, settle
-from fieldglass.sources import ledger, readers, writers
+from fieldglass.sources import ledger, readers, totals, writers
 
 # --- sources and sinks --------------------------------------------------------------------------
 
@@ -104,6 +104,43 @@ def _(ws):
         F.lit(third.version - second.version).alias("read_again")))
 
 
+KEPT_VALUES = ("ndvi", "evi", "temperature", "rainfall")
+
+
+def _kept_store(ws):
+    """A store of seven years with its totals: the last year is added and 1993 replaced, after totals were made of the rest."""
+    path, store = scratch_path(ws.spark, "kept-source"), scratch_path(ws.spark, "kept-store")
+    rows = obs_raw(ws.spark, ws.sf_dir)
+    year = F.coalesce(F.year("timestamp"), F.lit(0))
+    rows.where(year < 1998).withColumn("nir", F.when(year == 1993, 1 - F.col("nir")).otherwise(F.col("nir"))).withColumn(
+        "year", year).write.partitionBy("year").parquet(path)
+    ledger.load(ws.spark, path, store, "parquet", prepare=schema.prepare)
+    totals.refresh_totals(ws.spark, store, ["region", "state"], KEPT_VALUES)
+    for y in (1993, 1998):
+        rows.where(year == y).write.mode("overwrite").parquet(f"{path}/year={y}")
+    ledger.load(ws.spark, path, store, "parquet", prepare=schema.prepare)
+    return store, totals.refresh_totals(ws.spark, store)
+
+
+@query("a3_kept_trend", with_ctes(
+    Q.OBS + Q.trend("obs", "ndvi", "monthly", by="region"),
+    f"SELECT region, {Q.day('bucket')} AS bucket, {Q.sixes('mean', 'min', 'max')}, count, '2' AS batches_read FROM series"))
+def _(ws):
+    """A trend brought up to date by a load: only the rows of that load were read again."""
+    store, done = _kept_store(ws)
+    series = totals.kept_trend(ws.spark, store, "ndvi", "monthly", by=["region"])
+    return six(series.withColumn("bucket", day("bucket")).withColumn("batches_read", F.lit(",".join(map(str, done.read)))))
+
+
+@query("a6_kept_profile", with_ctes(
+    Q.OBS, f"SELECT region, state, {Q.nines(*KEPT_VALUES)}, observations FROM (SELECT region, state, "
+           + ", ".join(f"avg({c}) AS {c}" for c in KEPT_VALUES)
+           + ", any_value(n) AS observations FROM (SELECT *, count(*) OVER (PARTITION BY region) AS n FROM obs) s "
+             "WHERE region IS NOT NULL AND state IS NOT NULL GROUP BY region, state) g"))
+def _(ws):
+    return nine(totals.kept_profile(ws.spark, _kept_store(ws)[0]))
+
+
 @query("s6_materialised_table", with_ctes(
     Q.OBS, f"SELECT year(ts) AS obs_year, month(ts) AS obs_month, count(*) AS rows, {Q.r6('avg(ndvi)', 'ndvi')} FROM obs "
            "GROUP BY ALL"))

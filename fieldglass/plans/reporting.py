@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass import vocabulary as V
-from fieldglass.operators import anomaly, browse, correlation, counts, pages, points, regions, risk, trends
+from fieldglass.operators import anomaly, browse, correlation, counts, pages, points, regions, risk, search_index, trends
 from fieldglass.operators.browse import sort_rows
 from fieldglass.operators.distribution import with_percent_rank, with_row_position
 from fieldglass.operators.findings import level_findings, region_finding, union_findings
@@ -98,6 +98,28 @@ def _(ws):
     return browse.search_rows(rows, "CLI").select("event_id", "event_type", "props")
 
 
+@query("f10_search_by_dictionary",
+       "SELECT event_id, event_type, props FROM events WHERE contains(lower(event_type), 'cli') OR "
+       "contains(lower(props), 'cli') OR contains(CAST(event_id AS VARCHAR), 'cli') OR "
+       "contains(CAST(user_id AS VARCHAR), 'cli')")
+def _(ws):
+    """The same search through an index of the text columns' values."""
+    rows = table(ws.spark, ws.sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    index = scratch_path(ws.spark, "search-index")
+    search_index.search_index(rows, index)
+    return search_index.search_indexed(rows, index, "CLI").select("event_id", "event_type", "props")
+
+
+@query("f10_urls_by_dictionary",
+       "SELECT page_id, url FROM pages WHERE contains(lower(url), '.com/fr/8')")
+def _(ws):
+    """Nearly every value is distinct: matching ones are found by their rarest trigram, and named or scanned for by their number."""
+    rows = table(ws.spark, ws.sf_dir, "pages").select("page_id", "url")
+    index = scratch_path(ws.spark, "url-index")
+    search_index.search_index(rows, index)
+    return search_index.search_indexed(rows, index, ".com/FR/8")
+
+
 @query("f11_threshold_counts", with_ctes(
     Q.SCORED, "SELECT count(*) FILTER (risk_score >= 61) AS high, count(*) FILTER (risk_score >= 80) AS critical, "
               "count(*) FILTER (risk_score >= 50 AND risk_score < 80) AS elevated, "

@@ -44,15 +44,19 @@ def listing(spark: SparkSession, source: str, deep: bool = True) -> DataFrame:
     return list_files(spark, source, deep=deep).withColumn("fingerprint", file_fingerprint(F.col("path"), F.col("modified"), F.col("bytes")))
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of the ledgers that were written to their end."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/ledger")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
+def written_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers N of the folders ``prefixN`` below a folder that were written to their end."""
+    parent = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(parent):
         return []
-    found = [s.getPath() for s in fs.listStatus(folder)]
-    done = [p for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+    found = [s.getPath() for s in fs.listStatus(parent)]
+    done = [p for p in found if p.getName().startswith(prefix) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix(prefix)) for p in done)
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    return written_numbers(spark, f"{store}/ledger", "version=")
 
 
 def ledger(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
@@ -97,12 +101,14 @@ def load(spark: SparkSession, source: str, store: str, fmt: str | None = None, s
     wanted = states.where("state <> 'removed'") if force else states.where("state IN ('added', 'changed')")
     whole = force or not any(done[1:])
     chunks = _chunks(wanted.select("path").toLocalIterator(), READ_FILES)
+    mode = "overwrite"  # a load that broke off may have left rows under this number
     for files in [source] if whole and any(counts.get(k) for k in ("added", "changed", "unchanged")) else chunks:
         rows = read_observations(spark, files, fmt or format_of(source), schema, file_column=FILE, deep=True)
         if whole:  # files that came after the listing wait for the next load
             named = wanted.select(F.col("path").alias(FILE))
             rows = rows.join(F.broadcast(named) if small_enough(named) else named, FILE, "left_semi")
-        (prepare(rows) if prepare else rows).write.mode("append").parquet(f"{store}/rows/batch={version}")
+        (prepare(rows) if prepare else rows).write.mode(mode).parquet(f"{store}/rows/batch={version}")
+        mode = "append"
     gone = states.where("state IN ('changed', 'removed')").select("path")
     live = known.where(F.col("live") & F.lit(not force))
     kept, replaced = live.join(gone, "path", "left_anti"), live.join(gone, "path", "left_semi").withColumn("live", F.lit(False))
@@ -113,17 +119,25 @@ def load(spark: SparkSession, source: str, store: str, fmt: str | None = None, s
     return Load(*done, version)
 
 
+def live_batches(spark: SparkSession, store: str) -> list[int]:
+    """Batches that hold the rows of a file as it now is: one a load at most."""
+    return sorted(r["batch"] for r in ledger(spark, store).where("live").select("batch").distinct().collect())
+
+
+def still_counting(rows: DataFrame, store: str) -> DataFrame:
+    """Of rows with their ``source_file`` and ``batch``, those that no later load has replaced."""
+    dead = ledger(rows.sparkSession, store).where("NOT live").select(F.col("path").alias(FILE), "batch")
+    return rows.join(F.broadcast(dead) if small_enough(dead) else dead, [FILE, "batch"], "left_anti")
+
+
 def stored_rows(spark: SparkSession, store: str) -> DataFrame:
     """The rows of all files as they now are, with ``source_file`` and ``batch``.
 
     Folders of batches that no file needs are not listed; rows that no longer count are taken out by an anti-join with the
     ledger's dead entries, of which there are as many as files changed since the last forced load.
     """
-    known = ledger(spark, store)
-    batches = sorted(r["batch"] for r in known.where("live").select("batch").distinct().collect())
+    batches = live_batches(spark, store)
     if not batches:
         raise ValueError("the store holds no rows")
     rows = spark.read.option("mergeSchema", True).option("basePath", f"{store}/rows").parquet(*[f"{store}/rows/batch={b}" for b in batches])
-    rows = rows.withColumn("batch", F.col("batch").cast("long"))
-    dead = known.where("NOT live").select(F.col("path").alias(FILE), "batch")
-    return rows.join(F.broadcast(dead) if small_enough(dead) else dead, [FILE, "batch"], "left_anti")
+    return still_counting(rows.withColumn("batch", F.col("batch").cast("long")), store)
