@@ -108,11 +108,11 @@ KEPT_VALUES = ("ndvi", "evi", "temperature", "rainfall")
 
 
 def _kept_store(ws):
-    """A store of seven years with its totals: the last year is added and 1993 replaced, after totals were made of the rest."""
+    """A store of yearly files with its totals: 1998 is added and 1993 replaced, after totals were made of the rest."""
     path, store = scratch_path(ws.spark, "kept-source"), scratch_path(ws.spark, "kept-store")
     rows = obs_raw(ws.spark, ws.sf_dir)
     year = F.coalesce(F.year("timestamp"), F.lit(0))
-    rows.where(year < 1998).withColumn("nir", F.when(year == 1993, 1 - F.col("nir")).otherwise(F.col("nir"))).withColumn(
+    rows.where(year != 1998).withColumn("nir", F.when(year == 1993, 1 - F.col("nir")).otherwise(F.col("nir"))).withColumn(
         "year", year).write.partitionBy("year").parquet(path)
     ledger.load(ws.spark, path, store, "parquet", prepare=schema.prepare)
     totals.refresh_totals(ws.spark, store, ["region", "state"], KEPT_VALUES)
