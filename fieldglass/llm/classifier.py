@@ -179,7 +179,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     """``docs`` with ``held_out``, ``score`` (probability of label 1) and ``predicted``; such columns are replaced.
 
     Every whole text is scored in one pass without a shuffle. Null and empty texts have no features and get the score
-    of the bias alone. Repeated rows get the same score; an empty table gives an empty one.
+    of the bias alone. Repeated rows get the same score; an empty table gives an empty one. Very long
+    texts are scored whole. Other columns are kept, whatever their names.
     """
     docs = docs.drop("held_out", "score", "predicted")
     table, bias = train(docs, labels, text, key, label, sample)

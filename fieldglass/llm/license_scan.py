@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldglass.llm.frames import lower_ascii, same, text_key
+from fieldglass.llm.frames import lower_ascii, same, text_key, unused
 from fieldglass.llm.license_rules import Rule, rules
 
 #: words on each side of a keyword that a rule may look at
@@ -87,18 +87,20 @@ def license_labels(docs: DataFrame, text: str = "text", key: str = "doc_id", kno
 
     ``score`` is the weight of the best detection left, 0 without any. Null and empty texts have no words, no labels
     (empty strings) and score 0. Repeated rows get the same result; an empty table gives an empty one.
+    Very long texts are scanned whole. Other columns are kept, whatever their names.
     """
-    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "_t1", "_t2")
+    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    own_1, own_2, found_key, found_1, found_2 = unused(docs, "_t1", "_t2", "_key", "_f1", "_f2")
     found = (
-        detections(docs, text, key, known).groupBy(F.col("key").alias("_key"), F.col("t1").alias("_f1"), F.col("t2").alias("_f2"))
+        detections(docs, text, key, known).groupBy(F.col("key").alias(found_key), F.col("t1").alias(found_1), F.col("t2").alias(found_2))
         .agg(F.count(F.when(F.col("base"), 1)).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
              F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"), _labels(F.col("base")).alias("base_labels"),
              _labels(F.lit(True)).alias("labels"), F.max("weight").alias("score"))
     )
     t1, t2 = text_key(F.col(text))
-    counted = docs.withColumns({"_t1": t1, "_t2": t2,
+    counted = docs.withColumns({own_1: t1, own_2: t2,
                                 "n_words": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")})
-    joined = counted.join(found, same(F.col(key), F.col("_key")) & (F.col("_t1") == F.col("_f1")) & (F.col("_t2") == F.col("_f2")), "left")
+    joined = counted.join(found, same(F.col(key), F.col(found_key)) & (F.col(own_1) == F.col(found_1)) & (F.col(own_2) == F.col(found_2)), "left")
     return joined.select(
         *[docs[c] for c in docs.columns], "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),

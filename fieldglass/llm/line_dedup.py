@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.blocks import Ranges, blocks, lines, mix, per_row, words
-from fieldglass.llm.frames import settle, text_key
+from fieldglass.llm.frames import settle, text_key, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -175,16 +175,18 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     Null and empty texts are one empty line. Rows that share an id are one document: they keep the lines that only they
     have, and all of them when it is the smallest. Rows without an id are one document that comes last. Repeated rows
-    get the same result; an empty table gives an empty one.
+    get the same result; an empty table gives an empty one. Very long texts are cut into lines whole. ``kept_text`` of a null
+    text is empty. Other columns are kept, whatever their names.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "_t1", "_t2", "_doc", "_done")
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    doc, own_1, own_2, map_doc, map_1, map_2, keep, done = unused(docs, "_doc", "_t1", "_t2", "_d", "_m1", "_m2", "_keep", "_done")
     maps = keep_bitmaps(docs, text, key, min_chars).select(
-        F.col("doc").alias("_d"), F.col("t1").alias("_m1"), F.col("t2").alias("_m2"), F.col("keep").alias("_keep"))
+        F.col("doc").alias(map_doc), F.col("t1").alias(map_1), F.col("t2").alias(map_2), F.col("keep").alias(keep))
     t1, t2 = text_key(F.col(text))
-    marked = docs.withColumns({"_doc": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "_t1": t1, "_t2": t2})
-    joined = marked.join(maps, (F.col("_doc") == F.col("_d")) & (F.col("_t1") == F.col("_m1")) & (F.col("_t2") == F.col("_m2")), "left")
+    marked = docs.withColumns({doc: F.coalesce(F.col(key).cast("long"), F.lit(LAST)), own_1: t1, own_2: t2})
+    joined = marked.join(maps, (F.col(doc) == F.col(map_doc)) & (F.col(own_1) == F.col(map_1)) & (F.col(own_2) == F.col(map_2)), "left")
     return (
-        joined.withColumn("_done", _kept(F.col(text), F.col("_keep")))
-        .select(*[docs[c] for c in docs.columns], F.col("_done.kept").alias("kept_text"), F.col("_done.n_lines").alias("n_lines"),
-                F.col("_done.n_dropped").alias("n_dropped"))
+        joined.withColumn(done, _kept(F.col(text), F.col(keep)))
+        .select(*[docs[c] for c in docs.columns], F.col(f"{done}.kept").alias("kept_text"), F.col(f"{done}.n_lines").alias("n_lines"),
+                F.col(f"{done}.n_dropped").alias("n_dropped"))
     )

@@ -211,7 +211,9 @@ def mixed_counts(docs: DataFrame, text: str = "text", source: str = "source", ke
     """Per document: doc_id, size, source, source_size, target (its source's), taken (words, repeats counted).
 
     A source's taken words are its target, rounded. Null and empty texts have size 0 and give nothing; a null source is
-    a source of its own; rows with the same id are documents of their own; an empty table gives an empty one.
+    a source of its own; rows with the same id are documents of their own, in order of their texts' hashes; of rows
+    equal in both either may come first. Very long texts are cut into blocks like a run of short
+    ones. An empty table gives an empty one. Other columns are not returned, whatever their names.
     """
     sizes = settle(sized(docs, text, source, key), "sizes")
     sources = settle(source_targets(sizes, share, cap, weights), "targets")

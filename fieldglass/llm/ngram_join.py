@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.blocks import Prefix, blocks, grams, mix, words
-from fieldglass.llm.frames import same, settle, text_key
+from fieldglass.llm.frames import same, settle, text_key, unused
 from fieldglass.llm.graphs import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     links found (each weighted by its chance to be found) say that the recall is ``target``. Links are exact.
 
     Null and empty texts are equal texts without shingles: one class, no links. Null ids count as the largest; a class of
-    nothing else has a null id. Repeated rows are copies; an empty table gives an empty one.
+    nothing else has a null id. Repeated rows are copies; an empty table gives an empty one. Very long texts count with all their
+    shingles. Other columns are not returned, whatever their names.
     """
     nodes = _nodes(docs, text, key)
     depth = max(d for d in range(1, DEPTH + 1) if d == 1 or chance(threshold, d) >= 0.999)
@@ -281,12 +282,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: the least id (of rows that share it, the least text).
 
-    Each class without any id keeps one row, and so does each of the classes that have the same least id.
+    Each class without any id keeps one row, and so does each of the classes that have the same least id. Of rows with the same
+    id and text one stays, whichever: they are one document. Nulls, empty and very long texts and empty tables as in
+    ``near_duplicates``. Other columns are kept, whatever their names.
     """
     classes = near_duplicates(docs, text, key, threshold)
+    own_1, own_2, found_id, found_1, found_2 = unused(docs, "_t1", "_t2", "_id", "_f1", "_f2")
     stay = classes.groupBy("class_t1", "class_t2").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), "t1", "t2")).alias("f"))
-    stay = stay.select(F.col("f.id").alias("_id"), F.col("f.t1").alias("_f1"), F.col("f.t2").alias("_f2")).distinct()
+    stay = stay.select(F.col("f.id").alias(found_id), F.col("f.t1").alias(found_1), F.col("f.t2").alias(found_2)).distinct()
     t1, t2 = text_key(F.col(text))
-    kept = docs.withColumns({"_t1": t1, "_t2": t2}).join(
-        stay, same(F.col(key), F.col("_id")) & (F.col("_t1") == F.col("_f1")) & (F.col("_t2") == F.col("_f2")), "left_semi")
-    return kept.dropDuplicates([c for c in (key, "_t1", "_t2")]).drop("_t1", "_t2")
+    kept = docs.withColumns({own_1: t1, own_2: t2}).join(
+        stay, same(F.col(key), F.col(found_id)) & (F.col(own_1) == F.col(found_1)) & (F.col(own_2) == F.col(found_2)), "left_semi")
+    return kept.dropDuplicates([key, own_1, own_2]).drop(own_1, own_2)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.blocks import SPACE, Ranges, blocks, grams, lines, mix, per_row, words
-from fieldglass.llm.frames import if_small, same, settle
+from fieldglass.llm.frames import if_small, same, settle, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -109,19 +109,21 @@ def quality_verdicts(docs: DataFrame, text: str = "text", host: str = "source",
     ``limit`` lose all documents. Columns of the added names are replaced.
 
     Null and empty texts have no words and fail; a null host is a host of its own; repeated rows are counted and
-    returned each; an empty table gives an empty one. Only counts per host are shuffled (partial sums first); the host
+    returned each; an empty table gives an empty one. Very long texts are counted whole; a host at the limit stays. Other
+    columns are kept, whatever their names. Only counts per host are shuffled (partial sums first); the host
     table comes back by broadcast while its files are small, else by a join that adaptive execution splits.
     """
-    docs = docs.drop(*COUNTS, "base_failed", "host_rejected", "kept", "_counts", "_host")
+    docs = docs.drop(*COUNTS, "base_failed", "host_rejected", "kept")
+    packed, rejected_host = unused(docs, "_counts", "_host")
     judged = (
-        docs.withColumn("_counts", counted(docs, text)).select("*", "_counts.*").drop("_counts")
+        docs.withColumn(packed, counted(docs, text)).select("*", f"{packed}.*").drop(packed)
         .withColumn("base_failed", base_failed())
     )
     flags = judged.withColumn("failed", F.col("base_failed") | rule_failed()).select(host, "failed")
-    rejected = settle(host_rates(flags, host).where(F.col("rate") > limit).select("_host"), "rejected-hosts")
+    rejected = settle(host_rates(flags, host).where(F.col("rate") > limit).select(F.col("_host").alias(rejected_host)), "rejected-hosts")
     return (
-        judged.join(if_small(rejected.withColumn("host_rejected", F.lit(True))), same(F.col(host), F.col("_host")), "left")
+        judged.join(if_small(rejected.withColumn("host_rejected", F.lit(True))), same(F.col(host), F.col(rejected_host)), "left")
         .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~rule_failed() & ~F.col("host_rejected"))
-        .drop("_host")
+        .drop(rejected_host)
     )

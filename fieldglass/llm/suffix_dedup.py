@@ -389,7 +389,8 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     strings are judged on the input. ``kept`` is binary: a cut may fall inside a character.
 
     Null and empty texts, and texts shorter than ``length``, stay as they are. Repeated rows are copies of each other
-    and lose everything that is long enough; an empty table gives an empty one.
+    and lose everything that is long enough, so no tie is broken; an empty table gives an empty one. Very long texts are
+    judged whole. Other columns are not returned, whatever their names.
     """
     spans = repeated_spans(docs, text, key, length, short, max(short, length * FINE // LENGTH))
     own = (spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set(F.struct("start", "n")).alias("spans")))

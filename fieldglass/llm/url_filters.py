@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.frames import if_small, lower_ascii, settle
+from fieldglass.llm.frames import if_small, lower_ascii, settle, unused
 
 # Words that condemn a host when no rule speaks for or against it.
 HOST_WORDS = (
@@ -80,8 +80,11 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     Null urls and urls without ``://`` have an empty host and path and get ``default``. Repeated rows stay, each with
     its verdict; an empty table or an empty rule list gives no matches. Verdicts are worked out once for a distinct
     address, so a URL that fills a third of the table is one row until the join back, which adaptive execution splits.
+    Matches equal in both lengths are one rule; listed with two verdicts it blocks. Very long urls are judged whole. Other
+    columns are kept, whatever their names.
     """
     listed, labels, lengths = _listed(rules)
+    own_host, own_path, best = unused(pages, "_host", "_path", "_best")
     pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     found = (
         pages.select("host", "path").distinct()
@@ -89,14 +92,14 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
         .withColumn("prefix", _prefix(F.col("expression")))
         .join(if_small(listed.select("prefix", "digest", "verdict", "kind")), "prefix")
         .where(F.sha2("expression", 256) == F.col("digest"))
-        .groupBy(F.col("host").alias("_host"), F.col("path").alias("_path"))
+        .groupBy(F.col("host").alias(own_host), F.col("path").alias(own_path))
         .agg(F.max(F.struct((F.col("kind") == "rule").alias("is_rule"), F.length("expression").alias("long"),
                             F.length(F.substring_index("expression", "/", 1)).alias("host_long"), "verdict",
-                            "expression")).alias("_best"))
+                            "expression")).alias(best))
     )
     return (
-        pages.join(found, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-        .withColumn("rule", F.when(F.col("_best.is_rule"), F.col("_best.expression")))
-        .withColumn("verdict", F.coalesce("_best.verdict", F.lit(default)))
-        .drop("_host", "_path", "_best")
+        pages.join(found, (F.col("host") == F.col(own_host)) & (F.col("path") == F.col(own_path)), "left")
+        .withColumn("rule", F.when(F.col(f"{best}.is_rule"), F.col(f"{best}.expression")))
+        .withColumn("verdict", F.coalesce(f"{best}.verdict", F.lit(default)))
+        .drop(own_host, own_path, best)
     )
