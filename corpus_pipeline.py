@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All stages but the last return the columns of ``documents``; the last returns the mixed blocks.
+
+Nulls, empty and very long texts, ties and repeated rows are what the stage's operator says of them; an empty table stays an
+empty one at every stage. Columns beyond those of ``documents`` are carried along up to the last stage, except that one named like
+a result of a stage's operator holds that result after it.
 """
 
 from __future__ import annotations
@@ -18,23 +22,26 @@ from fieldglass.llm.quality_rules import quality_verdicts
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
+    """Documents that the rules or their host's verdict reject go. Null and empty texts fail a rule; repeated rows are judged each."""
     return quality_verdicts(docs).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a smaller document holds go; ``n_chars`` follows the text. Texts that lose every line go."""
+    """Lines that a smaller document holds go; ``n_chars`` follows the text. Texts that lose every line go.
+
+    A null text comes out empty, with no characters; rows that share an id are one document, those without an id the last one.
+    """
     left = drop_repeated_lines(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
     return left.where("n_dropped = 0 OR text <> ''").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the least id; of rows equal in id and text any one."""
     return first_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Empty texts have none; items without an id count."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contaminated(docs, benchmark).where("NOT contaminated").select(*docs.columns)
 
