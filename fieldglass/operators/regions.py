@@ -91,7 +91,11 @@ def regional_profile(scored: DataFrame, fields: Mapping[str, str] | None = None)
 
 
 def rank_regions(profile: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Add ``risk_rank``: the dense rank of the groups by mean risk, highest first (counts the distinct scores)."""
+    """Add ``risk_rank``: the dense rank of the groups by mean risk, highest first (counts the distinct scores).
+
+    The profile is written first: a mean computed twice may differ in its last bits, and its score would then find no rank.
+    """
+    profile = settle(profile, "profile")
     scores = settle(profile.select((-F.col("risk_score")).alias("_order")).distinct(), "scores")
     distinct = scores.count()
     placed = running_before(scores, None, ["_order"], F.lit(1), distinct, range_rows)

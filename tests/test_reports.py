@@ -1,5 +1,7 @@
 """Trends, scores, regions, points, paging, findings and intake."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -261,6 +263,14 @@ def test_region_ranks_both_ways(ws):
     assert small == large and [small[r] for r in order] == sorted(small.values())
 
 
+def test_region_ranks_when_means_differ_in_their_last_bits(spark):
+    """As sums of the same rows do when tasks end in another order."""
+    noise = F.udf(lambda: random.random() * 1e-9, "double").asNondeterministic()
+    profile = spark.range(12).select(F.col("id").alias("region"), (F.col("id") + noise()).alias("risk_score"))
+    found = {r["region"]: r["risk_rank"] for r in regions.rank_regions(profile).collect()}
+    assert found == {i: 12 - i for i in range(12)}
+
+
 def test_points_filters_and_cap(ws):
     everything = points.points(ws.scored)
     some = points.points(ws.scored, cap=4)
