@@ -107,7 +107,7 @@ def with_timestamp(df: DataFrame, fields: Fields, order_key: Sequence[str] | Non
         raise ValueError("no timestamp found: name order_key columns to lay rows out one day apart")
     days = with_row_position(df, order_key, "_position")
     start = F.lit(V.TIMELINE_START).cast("date")
-    # a row beyond the calendar has no day
+    # a row beyond the last timestamp has no day
     day = F.when(F.col("_position") < V.TIMELINE_DAYS, F.date_add(start, F.col("_position").try_cast("int")).cast("timestamp"))
     return days.withColumn("_timestamp", day).drop("_position")
 

@@ -305,7 +305,8 @@ def _(ws):
 def _(ws):
     rows = table(ws.spark, ws.sf_dir, "events").select("event_id", "value")
     stamped = schema.with_timestamp(rows, {}, order_key=["event_id"])
-    return stamped.select("event_id", F.date_format("_timestamp", "yyyy-MM-dd").alias("day"))
+    # Spark puts a plus sign before years of more than four digits
+    return stamped.select("event_id", F.ltrim(F.date_format("_timestamp", "yyyy-MM-dd"), F.lit("+")).alias("day"))
 
 
 @query("n8_coordinate_validation",

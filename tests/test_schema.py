@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass import vocabulary as V
 from fieldglass.operators import schema
+from fieldglass.plans.catalogue import REGISTRY
 from fieldglass.sources import readers, writers
 
 
@@ -105,6 +107,24 @@ def test_synthetic_timeline(spark):
     assert [str(r["_timestamp"])[:10] for r in rows] == ["2023-01-01", "2023-01-02", "2023-01-03", "2023-01-04", "2023-01-05"]
 
 
+def test_long_timeline_keeps_its_days(spark):
+    stamped = schema.with_timestamp(spark.range(2_914_000), {}, order_key=["id"])
+    assert stamped.where("_timestamp IS NULL").count() == 0
+    ends = stamped.where("id IN (2900000, 2913900)").orderBy("id").selectExpr("date_format(_timestamp, 'yyyy-MM-dd') AS day").collect()
+    assert [r["day"] for r in ends] == ["9962-12-07", "+10000-12-27"]
+
+
+def test_timeline_ends_with_the_last_timestamp(spark):
+    ends = spark.sql(f"SELECT unix_micros(CAST(date_add(DATE'{V.TIMELINE_START}', {V.TIMELINE_DAYS - 1}) AS TIMESTAMP)) AS u").first()
+    assert 0 < 2 ** 63 - ends["u"] <= 86_400_000_000
+
+
+def test_timeline_query_writes_long_years_as_sql_does(ws, monkeypatch):
+    monkeypatch.setattr(V, "TIMELINE_START", "9999-12-31")
+    days = [r["day"] for r in REGISTRY["n7_synthetic_timeline"].run(ws).orderBy("event_id").limit(2).collect()]
+    assert days == ["9999-12-31", "10000-01-01"]
+
+
 def test_stand_ins_without_any_climate_column(spark):
     df = spark.sql("SELECT timestamp'2023-07-19' AS date, 'Pune' AS city")
     row = schema.prepare(df).first()
