@@ -87,6 +87,7 @@ class RankTable:
     """
 
     def __init__(self, df: DataFrame, columns: Mapping[str, Column], range_rows: int = RANGE_ROWS) -> None:
+        self.range_rows = range_rows
         values = settle(value_table(df, columns), "values")
         rows = values.count()
         totals = values.groupBy("feature").agg(F.sum("ties").alias("n"), F.count(F.lit(1)).alias("d"))
@@ -109,12 +110,16 @@ class RankTable:
                row_key: Sequence[str] = ("row_id",)) -> DataFrame:
         """Left join of the feature's percent rank onto the rows as column ``out``.
 
+        Up to ``range_rows`` distinct values are broadcast; with more, the hot ones are and the cold ones are joined.
         ``row_key`` only spreads rows evenly in a shuffled lookup; all columns serve if it is absent.
         """
         lookup = self.table.where(F.col("feature") == feature).select(
             F.col("value").alias("_value"), F.col("ties").alias("_ties"), F.col("pct").alias(out)
         )
         keyed = df.withColumn("_key", column.cast("double"))
+        if self.distinct[feature] <= self.range_rows:  # no more values than one range partition holds: the rows stay where they are
+            few = F.broadcast(lookup.drop("_ties"))
+            return keyed.join(few, F.col("_key") == F.col("_value"), "left").drop("_key", "_value")
         # Hot values: at most HOT_SHARE rows by arithmetic, so they are broadcast. The cold values are
         # joined as their size asks for; rows already answered (or missing) take a salt that matches nothing.
         limit = self.counts[feature] / HOT_SHARE

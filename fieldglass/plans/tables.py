@@ -17,7 +17,7 @@ from fieldglass.functions.scalar import literal_table
 from fieldglass.operators.anomaly import with_anomaly
 from fieldglass.operators.risk import with_risk
 from fieldglass.operators.schema import prepare
-from fieldglass.runtime import settle
+from fieldglass.runtime import settle, small_enough
 
 
 #: row groups of the prepared tables; the test tables are one group each, which one task would read alone
@@ -41,12 +41,14 @@ def row_key() -> F.Column:
 
 def obs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    # nation and region have a fixed 25 and 5 rows; how suppliers are joined is left to adaptive execution
+    # nation and region have a fixed 25 and 5 rows; suppliers go to every task as long as their size allows, so that the
+    # line items, the large side, are neither shuffled nor sorted
     nations = F.broadcast(table(spark, sf_dir, "nation").join(
         F.broadcast(table(spark, sf_dir, "region")), c("n_regionkey") == c("r_regionkey")))
-    supplier = table(spark, sf_dir, "supplier")
-    located = supplier.join(nations, c("s_nationkey") == c("n_nationkey"))
-    rows = table(spark, sf_dir, "lineitem").join(located, c("l_suppkey") == c("s_suppkey"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    supplier = F.broadcast(supplier) if small_enough(supplier) else supplier
+    rows = table(spark, sf_dir, "lineitem").join(supplier, c("l_suppkey") == c("s_suppkey"))
+    rows = rows.join(nations, c("s_nationkey") == c("n_nationkey"))
     return rows.select(
         row_key().alias("row_id"), c("l_shipdate").alias("timestamp"),
         (8 + c("n_nationkey")).cast("double").alias("latitude"),

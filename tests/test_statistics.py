@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldglass.operators import distribution as D
+from fieldglass.plans import tables
 from fieldglass.operators.correlation import correlation_matrix, correlations, strongest
 
 SAMPLE = [5.0, 1.0, 3.0, 3.0, None, 9.0, 2.0, 2.0, 2.0, 7.5]
@@ -92,6 +93,38 @@ def test_ranks_and_medians_property(spark, values):
         assert ranks.medians["v"] == pytest.approx(want.median())
 
 
+@pytest.fixture
+def no_automatic_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_of_few_values_leave_the_rows_in_place(spark, no_automatic_broadcast):
+    df = spark.range(2000).select("id", F.expr("IF(id % 9 = 0, NULL, CAST(id % 40 AS DOUBLE))").alias("v"))
+    few, many = D.RankTable(df, {"v": F.col("v")}), D.RankTable(df, {"v": F.col("v")}, range_rows=10)
+    placed, moved = few.attach(df, "v", F.col("v"), "pct"), many.attach(df, "v", F.col("v"), "pct", ["id"])
+    assert "Exchange hashpartitioning" not in _plan(placed) and "Exchange hashpartitioning" in _plan(moved)
+    assert sorted(map(str, placed.collect())) == sorted(map(str, moved.collect()))
+
+
+def test_line_items_are_not_shuffled_to_their_suppliers(spark, sf_dir, no_automatic_broadcast):
+    assert "Exchange hashpartitioning" not in _plan(tables.obs_raw(spark, sf_dir))
+
+
+def test_many_suppliers_are_joined_by_shuffle(spark, sf_dir, no_automatic_broadcast, monkeypatch):
+    rows = tables.obs_raw(spark, sf_dir)
+    monkeypatch.setattr(tables, "small_enough", lambda table: False)
+    moved = tables.obs_raw(spark, sf_dir)
+    assert "Exchange hashpartitioning" in _plan(moved)
+    assert rows.exceptAll(moved).count() == 0 and moved.exceptAll(rows).count() == 0
+
+
 @pytest.mark.parametrize("limits", [{}, {"range_rows": 100}])
 def test_row_position(spark, limits):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(6)
