@@ -12,7 +12,8 @@ from fieldglass.operators.schema import resolve_fields
 from fieldglass.runtime import settle
 from fieldglass.sources.readers import fingerprint
 
-EXPORT_FORMATS = ("csv", "json", "parquet")
+#: export formats and how their files are compressed unless told otherwise; text of many rows repeats itself
+EXPORT_FORMATS = {"csv": "gzip", "json": "gzip", "parquet": None}
 
 
 #: the folder, beside a table's files and unseen by its readers, that holds what is known of the table
@@ -111,9 +112,13 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", compression: str | None = None) -> str:
-    """Write a report as a folder of CSV (with header), JSON or Parquet files and return the path."""
+    """Write a report as a folder of CSV (with header), JSON or Parquet files and return the path.
+
+    Text is compressed with gzip, a file for each task; ``compression="none"`` leaves it plain.
+    """
     if fmt not in EXPORT_FORMATS:
-        raise ValueError(f"format must be one of {EXPORT_FORMATS}")
+        raise ValueError(f"format must be one of {tuple(EXPORT_FORMATS)}")
+    compression = compression or EXPORT_FORMATS[fmt]
     if fmt == "csv":
         writer = _flat(df).write.option("header", True).option("quoteAll", False)
     elif fmt == "json":

@@ -1,5 +1,7 @@
 """Names, field resolution, timestamps, coordinates, states and preparation."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,17 @@ def test_numbers_are_not_timestamps_but_year_and_day_are(spark):
     assert str(schema.prepare(df).first()["_timestamp"]) == "2024-02-29 00:00:00"
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_text_exports_are_compressed_unless_told_otherwise(spark, tmp_path, fmt):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("row_id"), (F.col("id") / 7).alias("score"))
+    size = lambda path: sum(f.stat().st_size for f in Path(path).glob("part-*"))
+    packed = writers.export(df, str(tmp_path / "packed"), fmt)
+    plain = writers.export(df, str(tmp_path / "plain"), fmt, "none")
+    read = lambda path: sorted(map(tuple, spark.read.schema(df.schema).option("header", True).format(fmt).load(path).collect()))
+    assert 2 * size(packed) < size(plain)
+    assert read(packed) == read(plain) and len(read(packed)) == 5000
+
+
 def test_synthetic_timeline(spark):
     df = spark.range(5).select(F.col("id").alias("value"), F.lit(0.1).alias("ndvi"))
     with pytest.raises(ValueError):
