@@ -36,6 +36,8 @@ Centres = list[list[float]]
 
 #: scans that draw starts, and rows that each draws in expectation
 START_ROUNDS, START_DRAWS = 4, 64.0
+#: points in a packed row: every round reads all of them, and Spark hands bytes to Python at less cost than numbers
+PACKED = 64
 
 
 @dataclass
@@ -117,7 +119,7 @@ def far_points(matrix: DataFrame, width: int, drawn: np.ndarray, cost: float, tu
         total, found = 0.0, [np.zeros((0, width))]
         for batch in batches:
             at = 0
-            keys = batch.column(width).to_numpy()
+            keys = keys_of(batch, width)
             for points in points_of(batch, width):
                 gap = squared_distances(points, drawn).min(axis=1)
                 total += float(gap.sum())
@@ -154,9 +156,44 @@ def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(cross, 0.0)
 
 
+def pack_points(width: int, per: int = PACKED):
+    """For ``mapInArrow``: rows of ``width`` numbers and a key to rows of ``per`` points and their keys as bytes."""
+    def pack(batches):
+        for batch in batches:
+            points = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]).astype("float64")
+            keys = batch.column(width).to_numpy().astype("int64")
+            cuts = range(0, len(points), per)
+            yield pa.RecordBatch.from_arrays([pa.array([points[a:a + per].tobytes() for a in cuts], pa.binary()),
+                                              pa.array([keys[a:a + per].tobytes() for a in cuts], pa.binary())], names=["points", "keys"])
+
+    return pack
+
+
+def numbers_of(column: pa.Array, dtype: str) -> np.ndarray:
+    """The numbers of packed rows, one row after the other, as they lie in the column's buffer."""
+    size = np.dtype(dtype).itemsize
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, dtype)
+    ends = np.frombuffer(column.buffers()[1], "int64" if pa.types.is_large_binary(column.type) else "int32")
+    first, last = int(ends[column.offset]), int(ends[column.offset + len(column)])
+    return np.frombuffer(column.buffers()[2], dtype, (last - first) // size, first)
+
+
+def is_packed(batch: pa.RecordBatch) -> bool:
+    kind = batch.schema.field(0).type
+    return pa.types.is_binary(kind) or pa.types.is_large_binary(kind)
+
+
+def keys_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return numbers_of(batch.column(1), "int64") if is_packed(batch) else batch.column(width).to_numpy()
+
+
 def points_of(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    """The first ``width`` columns as rows of points, some thousand at a time."""
-    columns = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+    """Rows of points, some thousand at a time: packed ones (``pack_points``), or the first ``width`` columns."""
+    if is_packed(batch):
+        columns = numbers_of(batch.column(0), "float64").reshape(-1, width)
+    else:
+        columns = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
     for at in range(0, len(columns), 4096):
         yield columns[at:at + 4096]
 
@@ -331,8 +368,9 @@ def clusters(df: DataFrame, features: Sequence[str] | None = None, k: int | None
     shared = spark.sparkContext.broadcast(points)
     tried = [k] if k else list(range(2, min(V.CLUSTER_MAX_K, n - 1) + 1))
 
-    matrix = settle(rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()], F.xxhash64(F.lit(seed), *keys).alias("_h")), "matrix")
-    spread = matrix.agg(*[F.var_pop(x).alias(f"v{x}") for x in names], *[F.avg(x).alias(f"m{x}") for x in names], F.min_by(F.array(*names), "_h").alias("first")).first()
+    scaled = rows.select(*[c.alias(x) for x, c in scaled_columns(scale, names).items()], F.xxhash64(F.lit(seed), *keys).alias("_h"))
+    matrix = settle(scaled.mapInArrow(pack_points(len(names)), "points binary, keys binary"), "matrix")
+    spread = scaled.agg(*[F.var_pop(x).alias(f"v{x}") for x in names], *[F.avg(x).alias(f"m{x}") for x in names], F.min_by(F.array(*names), "_h").alias("first")).first()
     first = np.array(spread["first"])
     variances, means = (np.array([spread[f"{p}{x}"] for x in names]) for p in "vm")
     starts = weighted_starts(matrix, len(names), first, n * float((variances + (means - first) ** 2).sum()))

@@ -239,6 +239,27 @@ def test_clusters_of_few_different_points(spark):
     assert zones.k == 2 and sorted(zones.profiles.toPandas()["size"]) == [250, 250] and zones.silhouettes[2] == pytest.approx(1.0)
 
 
+def test_packed_points_are_the_same_points(spark):
+    df = spark.range(1000).selectExpr("id / 7D AS a", "id % 13 - 5D AS b", "xxhash64(id) AS h").repartition(3)
+    packed = df.mapInArrow(cluster.pack_points(2), "points binary, keys binary")
+    assert packed.count() < 40
+    drawn = np.array([[1.0, 2.0], [90.0, -3.0]])
+    for one, other in zip(cluster.cluster_sums(df, 2, [drawn, drawn[:1]]), cluster.cluster_sums(packed, 2, [drawn, drawn[:1]])):
+        np.testing.assert_allclose(one, other)
+    (far, cost), (far_packed, cost_packed) = (cluster.far_points(m, 2, drawn, 1e5, 1, 20.0) for m in (df, packed))
+    assert cost == pytest.approx(cost_packed) and len(far) and far.tolist() == far_packed.tolist()
+    models = {2: drawn}
+    assert cluster.squared_silhouettes(df, 2, models)[2] == pytest.approx(cluster.squared_silhouettes(packed, 2, models)[2])
+    assert cluster.cluster_sums(packed.limit(0), 2, [drawn])[0].sum() == 0
+
+
+def test_clusters_read_packed_points(spark, monkeypatch):
+    read, plain = [], cluster.refine
+    monkeypatch.setattr(cluster, "refine", lambda matrix, *rest: read.append(matrix.columns) or plain(matrix, *rest))
+    cluster.clusters(blobs(spark))
+    assert read == [["points", "keys"]]
+
+
 def test_clusters_need_enough(spark):
     with pytest.raises(ValueError):
         cluster.clusters(blobs(spark, 11))
