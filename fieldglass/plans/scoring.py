@@ -44,7 +44,7 @@ def _(ws):
 
 @query("m3_isolation_forest")
 def _(ws):
-    return six(ws.forest.select("row_id", "anomaly_score", "anomaly_flag", "severity"))
+    return six(ws.forest_anomaly.select("row_id", "anomaly_score", "anomaly_flag", "severity"))
 
 
 @query("m3_isolation_forest_climate")

@@ -112,9 +112,14 @@ class Workspace:
     def climate_scored(self) -> DataFrame:
         return settle(score(self.climate), "climate-scored", GROUP_BYTES)
 
+    @cached_property
+    def forest_anomaly(self) -> DataFrame:
+        """The forest's scores alone; it has written them already, and risk has no part in them."""
+        return with_anomaly(self.obs, method="forest")
+
     @cached_property
     def forest(self) -> DataFrame:
-        return settle(score(self.obs, "forest"), "obs-forest", GROUP_BYTES)
+        return settle(with_risk(self.forest_anomaly), "obs-forest", GROUP_BYTES)
 
 
 _workspaces: dict[tuple[str, str], Workspace] = {}

@@ -260,6 +260,10 @@ def test_clusters_read_packed_points(spark, monkeypatch):
     assert read == [["points", "keys"]]
 
 
+def test_forest_query_reads_no_risk(ws):
+    assert not any(c.startswith("risk") for c in ws.forest_anomaly.columns) and {"risk_score", "anomaly_score"} <= set(ws.forest.columns)
+
+
 def test_clusters_need_enough(spark):
     with pytest.raises(ValueError):
         cluster.clusters(blobs(spark, 11))
