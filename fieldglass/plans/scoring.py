@@ -12,8 +12,9 @@ from fieldglass.operators.findings import findings, recommendations
 from fieldglass.plans import sql as Q
 from fieldglass.plans.registry import day, query, six, with_ctes
 from fieldglass.plans.reporting import _pair_rows
-from fieldglass.plans.tables import obs_raw, score, table
+from fieldglass.plans.tables import GROUP_BYTES, obs_raw, score, table
 from fieldglass.operators.schema import prepare, resolve_fields
+from fieldglass.runtime import settle
 
 ZSCORED = Q.OBS + Q.anomalies("obs")
 FEATURES = list(Q.FEATURES)
@@ -169,8 +170,8 @@ def _(ws):
 
 @query("r9_score_from_raw", with_ctes(Q.SCORED, f"SELECT row_id, {Q.sixes('anomaly_score', 'risk_score')} FROM scored"))
 def _(ws):
-    """Prepare, anomaly and risk in one go from the source tables."""
-    return six(score(prepare(obs_raw(ws.spark, ws.sf_dir))).select("row_id", "anomaly_score", "risk_score"))
+    """Prepare, anomaly and risk in one go from the source tables, which are read once: the statistics read the written rows."""
+    return six(score(settle(prepare(obs_raw(ws.spark, ws.sf_dir)), "prepared", GROUP_BYTES)).select("row_id", "anomaly_score", "risk_score"))
 
 
 # --- clusters -----------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldglass import vocabulary as V
 from fieldglass.operators import anomaly, browse, cluster, findings, points, regions, reports, risk, trends
 from fieldglass.operators.schema import prepare
+from fieldglass.plans.catalogue import REGISTRY
 from fieldglass.streaming.intake import take_in
 
 
@@ -260,6 +261,11 @@ def test_clusters_read_packed_points(spark, monkeypatch):
     assert read == [["points", "keys"]]
 
 
+def test_scores_from_raw_read_the_sources_once(ws):
+    files = REGISTRY["r9_score_from_raw"].run(ws).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
+
 def test_forest_query_reads_no_risk(ws):
     assert not any(c.startswith("risk") for c in ws.forest_anomaly.columns) and {"risk_score", "anomaly_score"} <= set(ws.forest.columns)
 
