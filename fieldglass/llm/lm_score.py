@@ -33,6 +33,8 @@ ROUNDS = 2
 BATCH = 2048
 RATE = 0.05
 SEED = 23
+#: outputs of up to this size either way have an exp, and sums of them, that 32 bits hold
+LARGE = 60
 #: networks that are averaged by one task at a time
 FAN_IN = 64
 #: words beyond the vocabulary whose counts go to every task; the counts of rarer ones are joined
@@ -94,14 +96,19 @@ class Words:
         return np.where(self.sorted[at] == hashes, self.order[at], rare)
 
 
-def contexts(entries: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The entries around the words ``at``; outside the document the blank entry."""
-    row = np.searchsorted(first, at, "right") - 1
-    out = np.full((len(at), len(SIDES)), VOCABULARY, np.int64)
+def contexts(entries: np.ndarray, first: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The entries around each of the words from ``start`` to ``stop``, in two bytes; outside the document the blank entry."""
+    stop = len(entries) if stop is None else stop
+    out = np.full((stop - start, len(SIDES)), VOCABULARY, np.uint16)
+    reach = max(SIDES)
+    edges = first[np.searchsorted(first, start - reach): np.searchsorted(first, stop + reach, "right")]
     for k, step in enumerate(SIDES):
-        there = at + step
-        inside = (there >= first[row]) & (there < first[row + 1])
-        out[inside, k] = entries[there[inside]]
+        a, b = max(start, -step), min(stop, len(entries) - step)
+        if b > a:
+            out[a - start: b - start, k] = entries[a + step: b + step]
+        for j in range(abs(step)):  # the words so near an edge that the step goes beyond it
+            at = edges + j if step < 0 else edges - 1 - j
+            out[at[(at >= start) & (at < stop)] - start, k] = VOCABULARY
     return out
 
 
@@ -130,18 +137,29 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _exps(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place; the sums of its rows."""
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], np.float32)
+
+
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """In place: rows are moved to a greatest number of 0, which leaves their softmax as it is, where exp or a sum could leave the range."""
+    if not (z.max(initial=0) < LARGE and z.min(initial=0) > -LARGE):
+        z -= z.max(1, keepdims=True)
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    sums = _exps(_bounded(z))
+    z /= sums[:, None]
     return z
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(at)), at]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    own = _bounded(z)[np.arange(len(at)), at]
+    return own - np.log(_exps(z))
 
 
 def _sorted_kinds(values: np.ndarray) -> np.ndarray:
@@ -150,8 +168,25 @@ def _sorted_kinds(values: np.ndarray) -> np.ndarray:
 
 
 def _hidden(net, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["embed"][around].reshape(len(around), -1)
-    return x, np.tanh(x @ net["hidden"] + net["bias"])
+    x = net["embed"].take(around.reshape(-1), axis=0).reshape(len(around), -1)
+    h = x @ net["hidden"]
+    h += net["bias"]
+    return x, np.tanh(h, out=h)
+
+
+def _by_class(kind: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, start, end) of the classes that occur among sorted ones."""
+    edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    return [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+
+def _inner(net, h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The outputs within the class of each row."""
+    z = np.empty((len(h), WITHIN), np.float32)
+    for c, a, b in spans:
+        np.matmul(h[a:b], net["inner"][c], out=z[a:b])
+        z[a:b] += net["inner_bias"][c]
+    return z
 
 
 def log_probability(net: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -159,48 +194,59 @@ def log_probability(net: dict[str, np.ndarray], around: np.ndarray, target: np.n
     order = _sorted_kinds(target // WITHIN)
     _, h = _hidden(net, around[order])
     kind, inner = target[order] // WITHIN, target[order] % WITHIN
-    own = _log_softmax_at(h @ net["classes"] + net["class_bias"], kind).astype(np.float64)
-    edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-    for c, (a, b) in enumerate(zip(edges, edges[1:])):
-        if b > a:
-            own[a:b] += _log_softmax_at(h[a:b] @ net["inner"][c] + net["inner_bias"][c], inner[a:b])
+    z = h @ net["classes"]
+    z += net["class_bias"]
+    own = _log_softmax_at(z, kind).astype(np.float64)
+    own += _log_softmax_at(_inner(net, h, _by_class(kind)), inner)
     out = np.empty(len(target))
     out[order] = own
     return out
 
 
+def _descend(values: np.ndarray, grads: np.ndarray, seen: np.ndarray) -> None:
+    """Steps scaled by each parameter's own history (Adagrad), all in place."""
+    scale = grads * grads
+    seen += scale
+    np.sqrt(seen, out=scale)
+    grads /= scale
+    grads *= np.float32(RATE)
+    values -= grads
+
+
 def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> None:
-    """One step of gradient descent, steps scaled by each parameter's own history (Adagrad)."""
+    """One step of gradient descent."""
     n = len(target)
     order = _sorted_kinds(target // WITHIN)
     around, target = around[order], target[order]
     x, h = _hidden(net, around)
-    kind, inner = target // WITHIN, target % WITHIN
-    d = _softmax(h @ net["classes"] + net["class_bias"])
-    d[np.arange(n), kind] -= 1
+    kind, inner, rows = target // WITHIN, target % WITHIN, np.arange(n)
+    spans = _by_class(kind)
+    d = h @ net["classes"]
+    d += net["class_bias"]
+    d, e = _softmax(d), _softmax(_inner(net, h, spans))
+    d[rows, kind] -= 1
+    e[rows, inner] -= 1
     grads = {"classes": h.T @ d, "class_bias": d.sum(0), "inner": np.zeros(SHAPES["inner"], np.float32), "inner_bias": np.zeros(SHAPES["inner_bias"], np.float32)}
     back = d @ net["classes"].T
-    edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-    for c, (a, b) in enumerate(zip(edges, edges[1:])):
-        if b > a:
-            e = _softmax(h[a:b] @ net["inner"][c] + net["inner_bias"][c])
-            e[np.arange(b - a), inner[a:b]] -= 1
-            grads["inner"][c], grads["inner_bias"][c] = h[a:b].T @ e, e.sum(0)
-            back[a:b] += e @ net["inner"][c].T
+    for c, a, b in spans:
+        np.matmul(h[a:b].T, e[a:b], out=grads["inner"][c])
+        grads["inner_bias"][c] = e[a:b].sum(0)
+        back[a:b] += e[a:b] @ net["inner"][c].T
     back *= 1 - h * h
     grads["hidden"], grads["bias"] = x.T @ back, back.sum(0)
     to_words = (back @ net["hidden"].T).reshape(-1, WIDTH)
     flat = around.reshape(-1)
     order = _sorted_kinds(flat)
-    kinds, at = np.unique(flat[order], return_index=True)
-    rows = np.add.reduceat(to_words[order], at, axis=0)
+    flat = flat[order]
+    at = np.flatnonzero(np.diff(flat, prepend=-1))
+    kinds, rows = flat[at], np.add.reduceat(to_words.take(order, axis=0), at, axis=0)
     for k, g in grads.items():
-        g = g / np.float32(n)
-        seen[k] += g * g
-        net[k] -= RATE * g / np.sqrt(seen[k])
-    rows = rows / np.float32(n)
-    seen["embed"][kinds] += rows * rows
-    net["embed"][kinds] -= RATE * rows / np.sqrt(seen["embed"][kinds])
+        g /= np.float32(n)
+        _descend(net[k], g, seen[k])
+    rows /= np.float32(n)
+    values, history = net["embed"][kinds], seen["embed"][kinds]
+    _descend(values, rows, history)
+    net["embed"][kinds], seen["embed"][kinds] = values, history
 
 
 def masked(hashes: np.ndarray, first: np.ndarray, own: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -222,9 +268,10 @@ def _train(start: np.ndarray, turn: int, rounds: int):
             for row, entries, first in coded_words(batch.column(0)):
                 at = masked(entries.astype(np.uint64), first, keys[row: row + len(first) - 1], turn, rounds)
                 at = np.random.default_rng([SEED, turn, len(at)]).permutation(at)
+                around = contexts(entries, first)
                 for k in range(0, len(at), BATCH):
-                    own = np.sort(at[k: k + BATCH])
-                    train_step(net, seen, contexts(entries, first, own), entries[own])
+                    own = at[k: k + BATCH]
+                    train_step(net, seen, around[own].astype(np.int64), entries[own])
                 n += len(at)
         if n:
             flat = pack(net)
@@ -298,12 +345,12 @@ def score_texts(texts: pa.Array, net: dict[str, np.ndarray], known: Words) -> tu
     return n, total
 
 
-def _summed(entries: np.ndarray, first: np.ndarray, net: dict[str, np.ndarray], step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+def _summed(entries: np.ndarray, first: np.ndarray, net: dict[str, np.ndarray], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed log-probability) of each row of a block of entries."""
     own = np.zeros(len(entries) + 1)
     for k in range(0, len(entries), step):
-        at = np.arange(k, min(k + step, len(entries)))
-        own[at + 1] = log_probability(net, contexts(entries, first, at), entries[at])
+        end = min(k + step, len(entries))
+        own[k + 1: end + 1] = log_probability(net, contexts(entries, first, k, end).astype(np.int64), entries[k:end])
     sums = np.cumsum(own)
     return np.diff(first), sums[first[1:]] - sums[first[:-1]]
 
