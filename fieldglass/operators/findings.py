@@ -49,15 +49,11 @@ def trend_finding(scored: DataFrame, index: str = "ndvi") -> DataFrame:
 
 
 def level_findings(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
-    """Moisture, heat, rain, anomaly and risk findings: one aggregate over the table."""
+    """Moisture, heat, rain, anomaly and risk findings: one aggregate over the table; without scores the first three."""
     def share(predicate):  # a missing value counts as false
         return f"avg(IF({predicate}, 1D, 0D)) * 100"
 
-    facts = [
-        "count(1) AS n", "avg(risk_score) AS risk", f"count_if(risk_score >= {V.FINDING_CRITICAL_FROM}) AS critical",
-        f"count_if(risk_score >= {V.FINDING_ELEVATED_FROM} AND risk_score < {V.FINDING_CRITICAL_FROM}) AS elevated",
-        "count_if(anomaly_flag) AS flagged", f"{share('anomaly_flag')} AS flagged_share",
-    ]
+    facts = ["count(1) AS n"]
     found = []
     if "ndwi" in scored.columns:
         facts += ["avg(ndwi) AS ndwi_mean", f"{share(f'ndwi < {V.WATER_STRESS_BELOW}')} AS stress"]
@@ -75,10 +71,15 @@ def level_findings(scored: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         found.append(_finding("PRECIPITATION DYNAMICS", [fixed_text("r_mean", 2), fixed_text("r_max", 1)],
                               {"mean_rainfall": _number("r_mean"), "peak_rainfall": _number("r_max")},
                               "r_mean IS NOT NULL"))
-    found.append(_finding("ML ANOMALY OUTLIERS", ["format_string('%,d', flagged)", fixed_text("flagged_share", 1)],
-                          {"anomaly_count": "flagged", "share_percent": _number("flagged_share")}, "flagged > 0"))
-    found.append(_finding("RISK STRATIFICATION", ["CAST(critical AS STRING)", "CAST(elevated AS STRING)"],
-                          {"critical": "critical", "elevated": "elevated", "avg_score": _number("risk")}, "n > 0"))
+    if "anomaly_flag" in scored.columns:
+        facts += ["count_if(anomaly_flag) AS flagged", f"{share('anomaly_flag')} AS flagged_share"]
+        found.append(_finding("ML ANOMALY OUTLIERS", ["format_string('%,d', flagged)", fixed_text("flagged_share", 1)],
+                              {"anomaly_count": "flagged", "share_percent": _number("flagged_share")}, "flagged > 0"))
+    if "risk_score" in scored.columns:
+        facts += ["avg(risk_score) AS risk", f"count_if(risk_score >= {V.FINDING_CRITICAL_FROM}) AS critical",
+                  f"count_if(risk_score >= {V.FINDING_ELEVATED_FROM} AND risk_score < {V.FINDING_CRITICAL_FROM}) AS elevated"]
+        found.append(_finding("RISK STRATIFICATION", ["CAST(critical AS STRING)", "CAST(elevated AS STRING)"],
+                              {"critical": "critical", "elevated": "elevated", "avg_score": _number("risk")}, "n > 0"))
     return _rows(scored.agg(*map(F.expr, facts)), found)
 
 

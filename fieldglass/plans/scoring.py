@@ -343,20 +343,27 @@ def _(ws):
     return _flat(findings(ws.climate_scored))
 
 
+# findings that show no score are made from the raw table, in a pass or two over the columns they need
 _ONE = {
-    1: ("vegetation_trend", lambda ws, f: F_.trend_finding(ws.scored)),
-    2: ("moisture", lambda ws, f: F_.level_findings(ws.scored, f)),
-    3: ("heat", lambda ws, f: F_.level_findings(ws.scored, f)),
-    4: ("rain", lambda ws, f: F_.level_findings(ws.scored, f)),
-    5: ("anomalies", lambda ws, f: F_.level_findings(ws.scored, f)),
-    6: ("region_extremes", lambda ws, f: F_.region_finding(ws.scored, f)),
-    7: ("strongest_pair", lambda ws, f: F_.correlation_finding(ws.scored)),
-    8: ("risk_counts", lambda ws, f: F_.level_findings(ws.scored, f)),
+    1: ("vegetation_trend", lambda ws: F_.trend_finding(ws.unwritten)),
+    2: ("moisture", lambda ws: _levels(ws.unwritten)),
+    3: ("heat", lambda ws: _levels(ws.unwritten)),
+    4: ("rain", lambda ws: _levels(ws.unwritten)),
+    5: ("anomalies", lambda ws: _levels(ws.scored)),
+    6: ("region_extremes", lambda ws: F_.region_finding(ws.scored, resolve_fields(ws.scored.columns))),
+    7: ("strongest_pair", lambda ws: F_.correlation_finding(ws.unwritten)),
+    8: ("risk_counts", lambda ws: _levels(ws.scored)),
 }
+
+
+def _levels(rows):
+    return F_.level_findings(rows, resolve_fields(rows.columns))
+
+
 for _number, (_name, _build) in _ONE.items():
     @query(f"i{_number}_{_name}", f"SELECT * FROM ({_findings_sql(Q.SCORED, 'obs')}) f WHERE ordinal = {_number}")
     def _(ws, number=_number, build=_build):
-        return _flat(build(ws, resolve_fields(ws.scored.columns)).where(F.col("ordinal") == number))
+        return _flat(build(ws).where(F.col("ordinal") == number))
 
 
 @query("o9_first_findings", f"SELECT ordinal, category, statement FROM ({_findings_sql(Q.SCORED, 'obs')}) f ORDER BY ordinal "

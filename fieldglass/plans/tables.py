@@ -96,6 +96,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def unwritten(self) -> DataFrame:
+        """The prepared rows, computed by every pass: for queries that read few of the columns once or twice."""
+        return prepare(obs_raw(self.spark, self.sf_dir))
+
     @cached_property
     def obs(self) -> DataFrame:
         return settle(prepare(obs_raw(self.spark, self.sf_dir)), "obs", GROUP_BYTES)
