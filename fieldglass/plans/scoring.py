@@ -343,16 +343,16 @@ def _(ws):
     return _flat(findings(ws.climate_scored))
 
 
-# findings that show no score are made from the raw table, in a pass or two over the columns they need
+# findings that show no score are made from the raw table, in a pass or two over the columns they need; the others write no scored rows
 _ONE = {
     1: ("vegetation_trend", lambda ws: F_.trend_finding(ws.unwritten)),
     2: ("moisture", lambda ws: _levels(ws.unwritten)),
     3: ("heat", lambda ws: _levels(ws.unwritten)),
     4: ("rain", lambda ws: _levels(ws.unwritten)),
-    5: ("anomalies", lambda ws: _levels(ws.scored)),
-    6: ("region_extremes", lambda ws: F_.region_finding(ws.scored, resolve_fields(ws.scored.columns))),
+    5: ("anomalies", lambda ws: _levels(ws.scoring)),
+    6: ("region_extremes", lambda ws: F_.region_finding(ws.scoring, resolve_fields(ws.scoring.columns))),
     7: ("strongest_pair", lambda ws: F_.correlation_finding(ws.unwritten)),
-    8: ("risk_counts", lambda ws: _levels(ws.scored)),
+    8: ("risk_counts", lambda ws: _levels(ws.scoring)),
 }
 
 

@@ -109,9 +109,14 @@ class Workspace:
     def climate(self) -> DataFrame:
         return settle(prepare(climate_raw(self.spark, self.sf_dir)), "climate", GROUP_BYTES)
 
+    @cached_property
+    def scoring(self) -> DataFrame:
+        """The scored rows, not written: ranks and moments are known, so one more pass gives them to a query that reads them once."""
+        return score(self.obs)
+
     @cached_property
     def scored(self) -> DataFrame:
-        return settle(score(self.obs), "obs-scored", GROUP_BYTES)
+        return settle(self.scoring, "obs-scored", GROUP_BYTES)
 
     @cached_property
     def climate_scored(self) -> DataFrame:

@@ -293,6 +293,14 @@ def test_findings_without_scores_write_no_table(spark, ws, sf_dir):
     assert {1, 2, 3, 4} <= set(whole)
 
 
+def test_findings_read_once_write_no_scored_rows(spark, ws, sf_dir):
+    fresh = Workspace(spark, sf_dir)
+    whole = {r["ordinal"]: r for r in REGISTRY["i9_findings"].run(ws).collect()}
+    for name in ("i5_anomalies", "i6_region_extremes", "i8_risk_counts"):
+        assert REGISTRY[name].run(fresh).collect() == [whole[int(name[1])]], name
+    assert "scored" not in vars(fresh)
+
+
 def test_level_findings_without_scores(spark):
     rows = spark.createDataFrame([(0.5, 20.0), (None, None), (-0.5, 31.0)], "ndwi double, temperature double")
     plain = findings.level_findings(rows, {"temperature": "temperature"}).collect()
