@@ -1,6 +1,6 @@
 """Arrow text columns as byte blocks: words, lines and polynomial hashes, all by numpy.
 
-Texts are taken a few megabytes at a time, whole documents only, so a task's
+Texts are taken half a megabyte at a time, whole documents only, so a task's
 memory does not depend on how many rows Arrow puts in a batch.
 """
 
@@ -16,8 +16,11 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: texts are worked on in blocks of about so many bytes; a longer text is a block of its own
-BLOCK = 2 << 20
+#: texts are worked on in blocks of about so many bytes; a longer text is a block of its own. A step's arrays take some
+#: hundred times that, in every worker
+BLOCK = 1 << 19
+#: the blocks of the models, which sum floats over a block: its size shows in the last bits of what they learn and score
+MODEL_BLOCK = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,9 +33,6 @@ class Cache(dict):
         return Cache, ()
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = Cache()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, one to one."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
@@ -41,19 +41,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i up to n."""
-    found = _POWERS.get(seed)
-    if found is None or len(found[0]) <= n:
-        base = int(np.random.default_rng(seed).integers(1 << 62, 1 << 63)) | 5
-        size = max(n + 1, BLOCK + 1)
+    """``base**i`` and ``base**-i`` modulo 2**64 for i up to n.
+
+    Made anew for each block, as products of two short series: kept tables would stay with each ended task's functions,
+    which refer to each other, until Python looks for such cycles.
+    """
+    base = int(np.random.default_rng(seed).integers(1 << 62, 1 << 63)) | 5
 
-        def series(x: int) -> np.ndarray:
-            out = np.full(size, x, np.uint64)
-            out[0] = 1
-            return np.cumprod(out, dtype=np.uint64)
+    def series(x: int, size: int) -> np.ndarray:
+        out = np.full(size, x, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
 
-        found = _POWERS[seed] = series(base), series(pow(base, -1, 1 << 64))
-    return found
+    def product(x: int) -> np.ndarray:
+        return np.multiply.outer(series(pow(x, 1 << 10, 1 << 64), (n >> 10) + 1), series(x, 1 << 10)).reshape(-1)
+
+    return product(base), product(pow(base, -1, 1 << 64))
 
 
 class Prefix:
@@ -99,7 +102,7 @@ def _prime_powers(seed: int, n: int, inverse: bool = False) -> tuple[np.ndarray,
     found = _PRIME_POWERS.get((seed, inverse))
     if found is None or len(found[0]) <= n:
         base = int(np.random.default_rng([seed, 61]).integers(1 << 59, (1 << 61) - 2))
-        size, prime, sign = max(n, BLOCK) + 1, (1 << 61) - 1, -1 if inverse else 1
+        size, prime, sign = -(-max(n, 1) // BLOCK) * BLOCK + 1, (1 << 61) - 1, -1 if inverse else 1
         own = np.ones(1, np.uint64)
         while len(own) < 1 << 14:
             own = np.concatenate([own, _times(own, np.full(1, pow(base, sign * len(own), prime), np.uint64))])
@@ -151,21 +154,32 @@ def plain(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, b"" if kind == pa.large_binary() else "") if texts.null_count else texts
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows of about ``limit`` bytes together."""
+def slices(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of consecutive rows of about ``limit`` bytes together; nulls are empty texts."""
     texts = plain(texts)
     n = len(texts)
     if not n:
         return
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+    ends = _ends(texts)
     row = 0
     while row < n:
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
-        yield row, data[ends[row]: ends[last]], ends[row: last + 1] - ends[row]
+        yield row, texts.slice(row, last - row)
         row = last
 
 
+def _ends(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+
+
+def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows of about ``limit`` bytes together."""
+    for row, own in slices(texts, limit):
+        ends = _ends(own)
+        data = np.frombuffer(own.buffers()[2], np.uint8) if own.buffers()[2] else np.zeros(0, np.uint8)
+        yield row, data[ends[0]: ends[-1]], ends - ends[0]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a block, and each row's first word (rows + 1 entries).
 

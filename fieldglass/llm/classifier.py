@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Prefix, blocks, mix, words
+from fieldglass.llm.blocks import MODEL_BLOCK, Prefix, blocks, mix, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -81,7 +81,7 @@ def logits(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     """The log-odds of label 1: the mean over a text's features of what each bucket adds, and the bias."""
     out = np.full(len(texts), bias)
     ones = np.ones(len(table))
-    for row, data, offsets in blocks(texts):
+    for row, data, offsets in blocks(texts, MODEL_BLOCK):
         kind, grams, owner, own, pairs, first = _parts(data, offsets)
         if not len(kind):
             continue
@@ -96,7 +96,7 @@ def logits(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
 def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text's features."""
     size = 1 << BUCKET_BITS
-    for _, data, offsets in blocks(texts):
+    for _, data, offsets in blocks(texts, MODEL_BLOCK):
         kind, grams, owner, own, pairs, first = _parts(data, offsets)
         order = np.argsort(owner, kind="stable")
         grams, n_grams = grams[order], np.bincount(owner, minlength=len(own))

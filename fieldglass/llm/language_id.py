@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Prefix, blocks, mix, words
+from fieldglass.llm.blocks import MODEL_BLOCK, Prefix, blocks, mix, words
 from fieldglass.llm.classifier import is_held_out
 from fieldglass.llm.frames import unused
 
@@ -91,7 +91,7 @@ def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text's n-grams."""
-    for _, data, offsets in blocks(texts):
+    for _, data, offsets in blocks(texts, MODEL_BLOCK):
         kind, buckets, owner, first = _block(data, offsets)
         order = np.argsort(owner, kind="stable")
         buckets, sizes = buckets[order], np.bincount(owner, minlength=int(kind.max(initial=-1)) + 1)
@@ -201,7 +201,7 @@ class Model:
     def margins(self, texts: pa.Array) -> np.ndarray:
         """Of each text, every SVM's weight summed over its n-grams' shares, and the bias."""
         out = np.repeat(self.biases[None], len(texts), 0)
-        for row, data, offsets in blocks(texts):
+        for row, data, offsets in blocks(texts, MODEL_BLOCK):
             kind, buckets, owner, first = _block(data, offsets)
             kinds = int(kind.max(initial=-1)) + 1
             n = _row_sums(np.bincount(owner, minlength=kinds)[kind], first)

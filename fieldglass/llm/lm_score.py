@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Prefix, blocks, mix, words
+from fieldglass.llm.blocks import MODEL_BLOCK, Prefix, blocks, mix, words
 from fieldglass.llm.frames import settle, unused
 from fieldglass.llm.marks import is_marked, key_marks
 
@@ -46,7 +46,7 @@ SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "hidden": (WIDTH * len(SIDES), HIDDE
 
 
 def hashed_words(texts: pa.Array):
-    for row, data, offsets in blocks(texts):
+    for row, data, offsets in blocks(texts, MODEL_BLOCK):
         starts, ends, first = words(data, offsets)
         yield row, mix(Prefix(data).ranges(starts, ends)), first
 
@@ -315,7 +315,7 @@ def _merged(parts: DataFrame) -> np.ndarray:
 
 def coded_words(codes: pa.Array):
     """(first row, entries, each row's first word) by block, of rows of two-byte entries."""
-    for row, data, offsets in blocks(codes):
+    for row, data, offsets in blocks(codes, MODEL_BLOCK):
         yield row, np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), offsets // 2
 
 

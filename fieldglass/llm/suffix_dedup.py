@@ -31,6 +31,8 @@ FINE = 168
 #: different runs of one name that are sorted by one task; a name with more is split by finer names, and one that is
 #: still too common is dealt to several tasks, which compare digests
 GROUP_RUNS = 8192
+#: bytes of whole groups that are sorted at once, rows of a batch that are Python objects at once, and windows compared at once
+GROUP_BYTES, ROWS, WINDOWS = 1 << 19, 1024, 2000
 
 
 def _forward_backward(values: np.ndarray, width: int) -> np.ndarray:
@@ -166,9 +168,9 @@ class Suffixes:
         """Whether the first ``limit`` bytes are the same, by the bytes themselves."""
         out = np.zeros(len(a), bool)
         steps = np.arange(self.limit)
-        for k in range(0, len(a), 20_000):
-            x, y = a[k: k + 20_000, None] + steps, b[k: k + 20_000, None] + steps
-            out[k: k + 20_000] = (self.data[x] == self.data[y]).all(1)
+        for k in range(0, len(a), WINDOWS):
+            x, y = a[k: k + WINDOWS, None] + steps, b[k: k + WINDOWS, None] + steps
+            out[k: k + WINDOWS] = (self.data[x] == self.data[y]).all(1)
         return out
 
 
@@ -235,12 +237,13 @@ def _group(length: int):
                                               names=["k1", "k2", "start", "n", "digest"])
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-                if held and row[0] != held[-1][0] and size >= BLOCK // 2:
-                    yield done()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6])
+            for k in range(0, batch.num_rows, ROWS):
+                for row in zip(*[column.to_pylist() for column in batch.slice(k, ROWS).columns[:7]]):
+                    if held and row[0] != held[-1][0] and size >= GROUP_BYTES:
+                        yield done()
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[6])
         if held:
             yield done()
 
@@ -252,20 +255,20 @@ def _cut_runs(length: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, text, runs = (batch.column(i).to_pylist() for i in range(4))
-            out = ([], [], [], [], [], [], [])
-            size = 0
-            for a, b, whole, own in zip(k1, k2, text, runs):
-                raw = (whole or "").encode()
-                for r in own:
-                    piece = raw[r["start"]: r["start"] + r["n"] + length - 1]
-                    size += len(piece)
-                    for column, value in zip(out, (r["name"], a, b, r["start"], r["n"], r["shared"], piece)):
-                        column.append(value)
-                if size > BLOCK:
-                    yield _made(out)
-                    out, size = ([], [], [], [], [], [], []), 0
-            yield _made(out)
+            for first, data, offsets in blocks(batch.column(2)):
+                k1, k2, runs = (batch.column(i).slice(first, len(offsets) - 1).to_pylist() for i in (0, 1, 3))
+                out = ([], [], [], [], [], [], [])
+                size = 0
+                for a, b, begin, end, own in zip(k1, k2, offsets.tolist(), offsets[1:].tolist(), runs):
+                    for r in own:
+                        piece = data[begin + r["start"]: min(end, begin + r["start"] + r["n"] + length - 1)].tobytes()
+                        size += len(piece)
+                        for column, value in zip(out, (r["name"], a, b, r["start"], r["n"], r["shared"], piece)):
+                            column.append(value)
+                    if size > BLOCK:
+                        yield _made(out)
+                        out, size = ([], [], [], [], [], [], []), 0
+                yield _made(out)
 
     def _made(out) -> pa.RecordBatch:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
@@ -280,24 +283,27 @@ def _without(length: int):
 
     @F.arrow_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = ([], [], [], [])
-        for text, own in zip(texts.to_pylist(), spans):
-            raw = (text or "").encode()
-            if not own.is_valid or not len(own):
-                values = len(raw), 0, 0, raw
-            else:
-                found = own.values
-                starts, n = found.field("start").to_numpy(), found.field("n").to_numpy()
-                marks = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(marks, starts, 1)
-                np.add.at(marks, starts + n + length - 1, -1)
-                gone = np.cumsum(marks[:-1]) > 0
-                opens = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                values = len(raw), int(gone.sum()), opens, np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            for column, value in zip(out, values):
-                column.append(value)
-        return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())],
-                                          names=["n_bytes", "n_removed", "n_spans", "kept"])
+        kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+        parts = [pa.array([], kind)]
+        for first, data, offsets in blocks(texts):
+            out = ([], [], [], [])
+            for begin, end, own in zip(offsets.tolist(), offsets[1:].tolist(), spans.slice(first, len(offsets) - 1)):
+                raw = data[begin: end]
+                if not own.is_valid or not len(own):
+                    values = len(raw), 0, 0, raw.tobytes()
+                else:
+                    found = own.values
+                    starts, n = found.field("start").to_numpy(), found.field("n").to_numpy()
+                    marks = np.zeros(len(raw) + 1, np.int64)
+                    np.add.at(marks, starts, 1)
+                    np.add.at(marks, starts + n + length - 1, -1)
+                    gone = np.cumsum(marks[:-1]) > 0
+                    opens = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    values = len(raw), int(gone.sum()), opens, raw[~gone].tobytes()
+                for column, value in zip(out, values):
+                    column.append(value)
+            parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], names=[f.name for f in kind]))
+        return pa.concat_arrays(parts)
 
     return without
 

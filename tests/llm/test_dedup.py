@@ -1,11 +1,15 @@
 """Line dedup, suffix dedup, n-gram join, components."""
 
+import gc
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 import fieldglass.llm.ngram_join as ngram_join
 import fieldglass.llm.suffix_dedup as suffix_dedup
@@ -122,6 +126,48 @@ def test_suffix_order():
     assert Suffixes(data, 64).common(a, b).tolist() == [64, 0, 64]
 
 
+def letters(n, size):
+    raw = np.random.default_rng(5).integers(97, 123, n * size, np.uint8).tobytes().decode()
+    return [raw[k * size: (k + 1) * size] for k in range(n)]
+
+
+def peak_mb(step, make, tasks=3):
+    """The most MB of Python's own while tasks run one after another, each with the step as it travels, before cycles are looked for."""
+    blob = cloudpickle.dumps(step)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(tasks):
+            for _ in cloudpickle.loads(blob)(make()):
+                pass
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_bytes_take_little_memory():
+    texts = letters(4000, 2000)
+    keys, runs = pa.array(range(4000)), [[{"name": k // 4, "start": 9, "n": 500, "shared": False}] for k in range(4000)]
+    rows = pa.RecordBatch.from_arrays([keys, keys, pa.array(texts), pa.array(runs)], names=["k1", "k2", "text", "runs"])
+    assert peak_mb(suffix_dedup._runs(200, 48), lambda: iter([rows])) < 80
+    assert peak_mb(suffix_dedup._cut_runs(200), lambda: iter([rows])) < 6
+    cut = pa.Table.from_batches(suffix_dedup._cut_runs(200)(iter([rows]))).combine_chunks().to_batches()
+    assert [x.decode() for x in cut[0].column("raw").to_pylist()] == [x[9:708] for x in texts]
+    assert peak_mb(suffix_dedup._group(200), lambda: iter(cut)) < 100
+
+
+def test_bytes_left_of_many_blocks(spark):
+    texts = [*letters(900, 2000), None, "", "é" * 400]
+    spans = [[{"start": 100, "n": 1}, {"start": 250, "n": 51}] if k % 3 == 0 else None if k % 3 == 1 else [] for k in range(900)] + [None] * 3
+    got = suffix_dedup._without(200).func(pa.array(texts), pa.array(spans)).to_pylist()
+    for text, own, row in zip(texts, spans, got):
+        raw = (text or "").encode()
+        left = raw[:100] + raw[500:] if own else raw
+        assert row == {"n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": 1 if own else 0, "kept": left}
+
+
 def shingle_set(text):
     w = [x for x in (text or "").replace("\x0b", " ").split() if x]
     return frozenset(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
