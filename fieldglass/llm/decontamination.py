@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldglass.llm.blocks import Ranges, blocks, grams, mix, plain, words
+from fieldglass.llm.blocks import Ranges, blocks, grams, mix, slices, words
 from fieldglass.llm.frames import if_small, settle, text_key, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,9 +32,10 @@ LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 def hashed_words(texts: pa.Array):
     """(first row, word hashes, each row's first word) by block; case and punctuation don't count."""
-    for row, data, offsets in blocks(pc.utf8_lower(plain(texts))):
-        starts, ends, first = words(data, offsets, LETTER)
-        yield row, mix(Ranges(data).of(starts, ends)), first
+    for row, own in slices(texts):
+        for inner, data, offsets in blocks(pc.utf8_lower(own)):
+            starts, ends, first = words(data, offsets, LETTER)
+            yield row + inner, mix(Ranges(data).of(starts, ends)), first
 
 
 def distance_within(pattern: list[int], window: list[int], budget: int) -> int | None:

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.blocks import Ranges, blocks, lines, mix, per_row, words
+from fieldglass.llm.blocks import Ranges, blocks, lines, mix, per_row, slices, words
 from fieldglass.llm.frames import settle, text_key, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -150,19 +150,20 @@ def _kept(text: Column, keep: Column) -> Column:
 
     @F.arrow_udf("kept string, n_lines bigint, n_dropped bigint")
     def apply(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
-        kept, n_lines, dropped = [], [], []
-        for text, bits in zip(texts.to_pylist(), bitmaps.to_pylist()):
-            text = text or ""
-            if bits is None:
-                kept.append(text), n_lines.append(text.count("\n") + 1), dropped.append(0)
-                continue
-            parts = text.split("\n")
-            flags = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(parts)).tolist()
-            left = [p for p, f in zip(parts, flags) if f]
-            kept.append("\n".join(left)), n_lines.append(len(parts)), dropped.append(len(parts) - len(left))
-        return pa.StructArray.from_arrays(
-            [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())],
-            names=["kept", "n_lines", "n_dropped"])
+        kind = pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+        done = [pa.array([], kind)]
+        for row, own in slices(texts):
+            kept, n_lines, dropped = [], [], []
+            for text, bits in zip(own.to_pylist(), bitmaps.slice(row, len(own)).to_pylist()):
+                if bits is None:
+                    kept.append(text), n_lines.append(text.count("\n") + 1), dropped.append(0)
+                    continue
+                parts = text.split("\n")
+                flags = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(parts)).tolist()
+                left = [p for p, f in zip(parts, flags) if f]
+                kept.append("\n".join(left)), n_lines.append(len(parts)), dropped.append(len(parts) - len(left))
+            done.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((kept, n_lines, dropped), kind)], names=[f.name for f in kind]))
+        return pa.concat_arrays(done)
 
     return apply(text, keep)
 

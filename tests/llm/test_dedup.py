@@ -11,6 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
+import fieldglass.llm.decontamination as decontamination
+import fieldglass.llm.line_dedup as line_dedup
 import fieldglass.llm.ngram_join as ngram_join
 import fieldglass.llm.suffix_dedup as suffix_dedup
 from fieldglass.llm.graphs import components
@@ -255,3 +257,11 @@ def test_components(spark):
             parent[b] = a
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_words_and_lines_take_little_memory():
+    texts, keys = pa.array([f"{x}\n{x[:40]}" for x in letters(4000, 2000)]), pa.array(range(4000))
+    rows = pa.RecordBatch.from_arrays([keys, keys, keys, texts], names=["doc", "t1", "t2", "text"])
+    assert peak_mb(decontamination.hashed_words, lambda: texts) < 60
+    assert peak_mb(line_dedup._hash_lines(10), lambda: iter([rows])) < 90
+    assert peak_mb(ngram_join.shingles, lambda: texts) < 60
